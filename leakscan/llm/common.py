@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BLANKS = "[\\x20\\x09-\\x0D]+"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
@@ -25,7 +24,10 @@ def ascii_lower(c: Column) -> Column:
 
 def blank_words(c: Column) -> Column:
     """Words between blanks (space and the controls 9 to 13); null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), BLANKS), lambda w: w != "")
+    spaced = F.coalesce(c, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,22 +20,20 @@ from .common import blank_words, written
 
 # Common function words of each reference language.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "are", "this", "from", "or", "an", "at", "which", "not", "he"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "werden", "aus"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne", "se", "ce", "avec"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "lo", "como", "más", "pero", "sus", "le"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por"],
 }
-# Character classes as regular-expression sets; what no set holds is "other".
+# Character classes as regular-expression sets. Blanks are a class too; what is in none (mostly a-z) is the last.
+PLAIN = "a-z\\x20\\x09-\\x0D"
 CHAR_CLASSES = {
-    "lower": "a-z",
     "upper": "A-Z",
     "digit": "0-9",
-    "blank": "\\x20\\x09-\\x0D",
     "stop": ".,;:!?'\"()\\-",
     "symbol": "#*$%&|<>=+/_@~^\\\\{}\\[\\]`",
     "letter": "\\x{C0}-\\x{24F}",
 }
-SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -54,60 +52,57 @@ def vocabulary() -> list[str]:
     return sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
-def windows(words: Column) -> Column:
-    """A word array's 3-word windows as structs (h, i) in the order of their hash h."""
-    at = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("i")))
-    return F.when(F.size(words) >= 4, F.sort_array(at))
+def window_hashes(words: Column) -> Column:
+    """A hash of each 3-word window; null under four words, where no window can repeat."""
+    return F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))))
 
 
-def repeated_words(ordered: Column) -> Column:
-    """How many words lie in 3-word windows that occur at least twice; ordered: a column (not an expression) from windows()."""
-    pairs = F.zip_with(ordered, F.slice(ordered, 2, 1 << 30), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
-    hits = F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
-    return F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(i, i + 1, i + 2))))), F.lit(0))
+def repeated_words(hashes: Column) -> Column:
+    """How many words lie in 3-word windows that occur at least twice; hashes: a column from window_hashes()."""
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.transform(F.array(ordered), lambda o: F.zip_with(o, F.slice(o, 2, 1 << 30), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))))
+    hits = F.array_distinct(F.flatten(F.filter(F.flatten(pairs), lambda p: p.isNotNull())))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(i, i + 1, i + 2)))))
+    # most texts repeat no window, and need no sorting
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0))
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and both histograms as arrays of counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id"), F.col("lang"), text.alias("t")).select("doc_id", "lang", "t", blank_words(F.col("t")).alias("w"))
     vocab = vocabulary()
-    only = lambda s: F.length(F.regexp_replace("t", f"[^{s}]+", ""))
+    base = docs.select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    base = base.select("doc_id", "lang", "t", blank_words(F.col("t")).alias("w"), F.regexp_replace("t", f"[{PLAIN}]+", "").alias("rest"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    letters = F.filter(F.split(F.lower("t"), "[^\\p{L}]+"), lambda x: x != "")
     base = base.select(
-        "doc_id", "lang",
+        "doc_id", "lang", "rest",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        lines.alias("lines"), windows(F.col("w")).alias("windows"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length("t").cast("long").alias("n_chars"),
-        F.array(*[only(s).cast("long") for s in CHAR_CLASSES.values()]).alias("classes"),
-        letters.alias("letters"),
-    )
-    base = base.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_chars", "classes",
-        F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_kinds"),
-        repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
-        F.size("letters").cast("long").alias("n_letters"),
-        F.concat(F.lit("  "), F.array_join(F.filter("letters", lambda x: x.isin(vocab)), "  "), F.lit("  ")).alias("common"),
+        lines.alias("lines"),
+        window_hashes(F.col("w")).alias("hashes"),
+        F.concat(F.lit("  "), F.array_join(F.filter("w", lambda x: x.isin(vocab)), "  "), F.lit("  ")).alias("common"),
     )
+    only = lambda s: F.length(F.regexp_replace("rest", f"[^{s}]+", "")).cast("long")
     found = [((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in vocab]
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     out = base.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", (F.col("n_lines") - F.col("n_kinds")).cast("long").alias("n_dup_lines"), "n_repeat_words", "n_chars", "n_letters",
-        "classes", F.array(*found).alias("found"),
+        "doc_id", "lang", "n_words", "word_chars", "n_chars",
+        only("#*$%&|<>").alias("n_symbols"),
+        F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_kinds"),
+        repeated_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
+        F.array(*[only(s) for s in CHAR_CLASSES.values()], F.col("n_chars") - F.col("word_chars")).alias("classes"),
+        F.array(*found).alias("found"),
     )
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select(
-        *[c for c in out.columns if c not in ("classes", "found")],
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", (F.col("n_lines") - F.col("n_kinds")).cast("long").alias("n_dup_lines"), "n_repeat_words", "n_chars",
         F.concat("classes", F.array(F.col("n_chars") - total(F.col("classes")))).alias("class_counts"),
-        F.concat("found", F.array(F.col("n_letters") - total(F.col("found")))).alias("word_counts"),
+        F.concat("found", F.array(F.col("n_words") - total(F.col("found")))).alias("word_counts"),
     )
 
 
 def references(feats: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """One row per language: summed histograms. Sums combine on the map side; there are at most len(languages) rows."""
-    n_class, n_word = len(CHAR_CLASSES) + 1, len(vocabulary()) + 1
+    n_class, n_word = len(CHAR_CLASSES) + 2, len(vocabulary()) + 1
     sums = lambda c, n: F.array(*[F.sum(F.get(F.col(c), F.lit(i))) for i in range(n)])
     return feats.where(F.col("lang").isin(*languages)).groupBy("lang").agg(sums("class_counts", n_class).alias("ref_classes"), sums("word_counts", n_word).alias("ref_words"))
 
@@ -147,7 +142,7 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
     judged = feats.withColumns({"class_shares": shares(F.col("class_counts")), "word_shares": shares(F.col("word_counts"))}).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_chars") >= rules.min_chars, nearest("class_shares", "ref_classes")).alias("class_distance"),
-        F.when(F.col("n_letters") >= rules.min_words, nearest("word_shares", "ref_words")).alias("word_distance"),
+        F.when(F.col("n_words") >= rules.min_words, nearest("word_shares", "ref_words")).alias("word_distance"),
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)

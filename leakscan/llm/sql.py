@@ -18,7 +18,7 @@ def _distance(p: str, q: str) -> str:
 
 def quality(source: str = "documents", rules: QualityRules = QualityRules()) -> str:
     classes = ", ".join(f"length(regexp_replace(t, '[^{s.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for s in CHAR_CLASSES.values())
-    n_class, n_word = len(CHAR_CLASSES) + 1, len(vocabulary()) + 1
+    n_class, n_word = len(CHAR_CLASSES) + 2, len(vocabulary()) + 1
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])::DOUBLE" for i in range(n)) + "]"
     norm = lambda c: f"list_transform({c}, lambda x: x / greatest(1, list_sum({c})))"
     return rf"""
@@ -31,12 +31,11 @@ f AS (
   SELECT rid, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(t) AS n_chars,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-    [{classes}] AS classes,
-    list_filter(string_split_regex(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS letters
+    [{classes}, length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))] AS classes, w
   FROM w),
 c AS (
-  SELECT * EXCLUDE (classes, letters), list_append(classes, n_chars - list_sum(classes)::BIGINT) AS class_counts, len(letters) AS n_letters,
-    list_transform({_list(vocabulary())}, lambda v: len(list_filter(letters, lambda x: x = v))) AS found FROM f),
+  SELECT * EXCLUDE (classes), list_append(classes, n_chars - list_sum(classes)::BIGINT) AS class_counts, len(w) AS n_letters,
+    list_transform({_list(vocabulary())}, lambda v: len(list_filter(w, lambda x: x = v))) AS found FROM f),
 e AS (SELECT *, list_append(found, n_letters - list_sum(found)::BIGINT) AS word_counts FROM c),
 q AS (SELECT lang, {sums("class_counts", n_class)} AS rc, {sums("word_counts", n_word)} AS rw FROM e WHERE lang IN ({", ".join(f"'{x}'" for x in rules.languages)}) GROUP BY lang),
 qn AS (SELECT {norm("rc")} AS rc, {norm("rw")} AS rw FROM q),
