@@ -8,8 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .html import extract_main_text
 from .licenses import scan_licenses
+from .packing import pack_documents
 from .quality import quality_verdicts
+from .secrets import span_digests
+from .warc import archive_round_trip
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +34,21 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.quality(), "op5_license_scans": sql.licenses()}
+    return {"op2_legacy_archives": sql.archives(), "op3_quality_rules": sql.quality(), "op5_license_scans": sql.licenses()}

@@ -71,3 +71,17 @@ a AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN a USING (rid)"""
+
+
+def archives() -> str:
+    bits = "list_aggregate(list_transform(string_split(sha1(body), ''), lambda c: bin(16 + ('0x' || c)::INTEGER)[2:]), 'string_agg', '')"
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    five = "list_aggregate(list_transform(range(0, 32), lambda k: '" + alphabet + "'[1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN bits[5 * k + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END))::INTEGER]), 'string_agg', '')"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, {bits} AS bits FROM p),
+e AS (SELECT page_id, payload_bytes, {five} AS payload_digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM e)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m"""
