@@ -13,7 +13,9 @@ Nulls: a null text is empty and has one token, the separator. Repeated rows and
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,24 +45,24 @@ class CachedTokenizer:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        parts, known = self.split(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        parts, known = [self.split(t) for t in texts], self.known
+        new = list(set().union(*parts).difference(known)) if parts else []
+        if new:
             if len(known) > self.keep:
                 known.clear()
-            new = [p for p in set(parts) if p not in known]
+                new = list(set().union(*parts))
             for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[p] for p in parts])
+                known[p] = array("I", e.ids).tobytes()
+        return [b"".join([known[p] for p in ps]) for ps in parts]
 
 
 def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> list[list[tuple[int, int, int]]]:
@@ -156,6 +158,11 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -> DataFrame:
     """Packs all tokens of all documents, each document followed by id 0: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, one row per piece. tokenizer: path of a byte-level BPE file that every executor can read."""
@@ -188,11 +195,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
 
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids.append(d)
-                held.append(encode(t.as_py() or "") + b"\0\0\0\0")
-                size += len(held[-1])
-                if len(held) >= limits.block or size > 64_000_000:
+            for some in slices(batch):
+                ids += some["doc_id"].to_pylist()
+                held += [t + b"\0\0\0\0" for t in encode([x or "" for x in some["text"].to_pylist()])]
+                size += some["text"].nbytes
+                if len(held) >= limits.block or size > 16_000_000:
                     yield flush()
                     size = 0
         if held:
