@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .decontam import find_leaks
 from .html import extract_main_text
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -51,6 +52,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
