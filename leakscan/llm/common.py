@@ -49,6 +49,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
+    """docs without the rows whose keys are in gone: by a broadcast of up to broadcast_rows keys, by a shuffle beyond."""
+    gone = written(gone.select(*keys), "gone")
+    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (node, component) with the smallest node of each component.
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile(r"[^\W_]+")
 Q = 3
@@ -224,32 +225,47 @@ def nearest(item: list, text: list) -> tuple[int, int, int]:
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
-    """doc_id, item_id, edits, first_word, n_words: one row for each row of docs (doc_id, text) and item (item_id, text) it
-    holds a passage of, at the closest place."""
-    spark = docs.sparkSession
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
-    ddl = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, first_word bigint, n_words bigint"
+def item_indexes(docs: DataFrame, items: DataFrame, rules: LeakRules) -> Iterator:
+    """The index of each block of items, broadcast."""
     count = items.count()
     blocks = max(1, -(-count // rules.item_block))
-    parts = []
     for n in range(blocks):
         some = items.select("item_id", "text")
         # a block holds about item_block items, whatever their number
         rows = (some if blocks == 1 else some.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)).collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"] or ""))
-        index = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], rules))
+        yield docs.sparkSession.sparkContext.broadcast(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], rules))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
+    """doc_id, item_id, edits, first_word, n_words: one row for each row of docs (doc_id, text) and item (item_id, text) it
+    holds a passage of, at the closest place."""
+    ids = {"doc_id": docs.schema["doc_id"].dataType, "item_id": items.schema["item_id"].dataType}
+    ddl = ", ".join(f"{n} {t.simpleString()}" for n, t in ids.items()) + ", edits int, first_word bigint, n_words bigint"
+    types = [to_arrow_type(t) for t in ids.values()] + [pa.int32(), pa.int64(), pa.int64()]
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def searched(index) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, words = index.value, Words()
             for b in batches:
-                out = [(d, held.item_ids[i], e, f, n) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, e, f, n in held.search(words(t.as_py()))]
+                out = [(d.as_py(), held.item_ids[i], *rest) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, *rest in held.search(words(t.as_py()))]
                 cols = list(zip(*out, strict=True)) or [[]] * 5
-                d = pa.array([x.as_py() for x in cols[0]], b.schema.field("doc_id").type)
-                yield pa.RecordBatch.from_arrays([d, pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "edits", "first_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "edits", "first_word", "n_words"])
+
+        return docs.select("doc_id", "text").mapInArrow(search, ddl)
+
+    return reduce(DataFrame.unionByName, map(searched, item_indexes(docs, items, rules)))
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
+    """docs without the rows that hold a passage of an item."""
+
+    def kept(held_docs: DataFrame, index) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, words = index.value, Words()
+            for b in batches:
+                yield b.filter(pa.array([not held.search(words(t.as_py())) for t in b["text"]], pa.bool_()))
 
-        from pyspark.sql.pandas.types import to_arrow_type
+        return held_docs.mapInArrow(keep, docs.schema)
 
-        item_type = to_arrow_type(items.schema["item_id"].dataType)
-        parts.append(docs.select("doc_id", "text").mapInArrow(search, ddl))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(kept, item_indexes(docs, items, rules), docs)

@@ -8,7 +8,7 @@ upper corners), is ruled out when that sum is smaller. Survivors are verified on
 Points alone would meet in one place, so they are first spread over blocks: shingles are dealt to finer hash groups, as many as
 a linked pair of that size can have differing shingles, and more. A linked pair then has equal groups, and a block holds the
 documents of a size class with one equal group. For sets under about 300 shingles that is certain (pigeonhole); larger sets
-use `max_groups` of their groups, and a pair right at the threshold then misses all blocks with a probability under 1e-10.
+use `max_groups` of their groups, and a pair right at the threshold then misses all blocks with a probability under 1e-9.
 
 Equal sets are one node. In each block every node is first compared with the block's smallest node only: groups of
 thousands of near copies fall together without all their pairs. Blocks that still hold several components go to R-trees, in
@@ -21,6 +21,7 @@ with nothing and has a null component. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, written
+from .common import LOWER_BYTES, components, without, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -53,6 +54,11 @@ class JoinRules:
         """How many shingles at most are in just one of two linked sets with `total` shingles together."""
         return total - 2 * -(-self.percent * total // (100 + self.percent))
 
+    @cached_property
+    def group_size(self) -> int:
+        """Shingles in a group of which a pair at the threshold agrees on all in over a third of the groups."""
+        return max(1, int(-1 / math.log(self.percent / 100)))
+
     @cached_property
     def classes(self) -> list[int]:
         """Lower bounds of the size classes."""
@@ -106,7 +112,7 @@ def groups(h: np.ndarray, rules: JoinRules) -> np.ndarray:
         top = bounds[key + 1] - 1
         certain = rules.differing(2 * top) + 1
         all_of_them = certain + 2 <= rules.max_groups
-        m = certain + 2 if all_of_them and certain > 1 else 1 if certain == 1 else max(rules.max_groups, top // 6)
+        m = certain + 2 if all_of_them and certain > 1 else 1 if certain == 1 else max(rules.max_groups, top // rules.group_size)
         at = (h >> np.uint64(17)) % np.uint64(m)
         order = np.argsort(at, kind="stable")
         at, part = at[order], mixed[order]
@@ -114,7 +120,7 @@ def groups(h: np.ndarray, rules: JoinRules) -> np.ndarray:
         sums, which = np.add.reduceat(part, first), at[first]
         if not all_of_them:
             sums, which = sums[which < rules.max_groups], which[which < rules.max_groups]
-        salt = np.uint64(key * 1_000_003 + 17) * MIX
+        salt = np.uint64((key * 1_000_003 + 17) * int(MIX) % (1 << 64))
         out.append(mix(sums + mix(which + salt)))
         if all_of_them and m - len(which) > 2:  # many empty groups: these meet too, so that the pigeonhole still holds
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
@@ -280,3 +286,9 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataF
     alias = same.where("d <> node").union(same.where("d = node").distinct())
     known = alias.join(labels, "node", "left").groupBy("d").agg(F.min(F.coalesce("component", "node")).alias("component"))
     return rows.join(known, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
+    """docs without the documents that are linked, directly or by others, to one with a smaller id."""
+    gone = jaccard_components(docs, rules).where("component_id < doc_id").select("doc_id").distinct()
+    return without(docs, gone, ["doc_id"], rules.broadcast_ids)

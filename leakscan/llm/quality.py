@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, written
+from .common import blank_words, without, written
 
 # Common function words of each reference language.
 COMMON_WORDS = {
@@ -71,10 +71,10 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and both histograms as arrays of counts."""
     vocab = vocabulary()
     base = docs.select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    base = base.select("doc_id", "lang", "t", blank_words(F.col("t")).alias("w"), F.regexp_replace("t", f"[{PLAIN}]+", "").alias("rest"))
+    base = base.select("doc_id", "lang", "t", F.xxhash64("t").alias("text_hash"), blank_words(F.col("t")).alias("w"), F.regexp_replace("t", f"[{PLAIN}]+", "").alias("rest"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     base = base.select(
-        "doc_id", "lang", "rest",
+        "doc_id", "lang", "text_hash", "rest",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length("t").cast("long").alias("n_chars"),
@@ -85,7 +85,7 @@ def features(docs: DataFrame) -> DataFrame:
     only = lambda s: F.length(F.regexp_replace("rest", f"[^{s}]+", "")).cast("long")
     found = [((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in vocab]
     out = base.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_chars",
+        "doc_id", "lang", "text_hash", "n_words", "word_chars", "n_chars",
         only("#*$%&|<>").alias("n_symbols"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_kinds"),
         repeated_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
@@ -94,7 +94,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", (F.col("n_lines") - F.col("n_kinds")).cast("long").alias("n_dup_lines"), "n_repeat_words", "n_chars",
+        "doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", (F.col("n_lines") - F.col("n_kinds")).cast("long").alias("n_dup_lines"), "n_repeat_words", "n_chars",
         F.concat("classes", F.array(F.col("n_chars") - total(F.col("classes")))).alias("class_counts"),
         F.concat("found", F.array(F.col("n_words") - total(F.col("found")))).alias("word_counts"),
     )
@@ -140,9 +140,16 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = feats.withColumns({"class_shares": shares(F.col("class_counts")), "word_shares": shares(F.col("word_counts"))}).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_chars") >= rules.min_chars, nearest("class_shares", "ref_classes")).alias("class_distance"),
         F.when(F.col("n_words") >= rules.min_words, nearest("word_shares", "ref_words")).alias("word_distance"),
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the rows that quality_verdicts rejects."""
+    gone = quality_verdicts(docs, rules).where(~F.col("kept")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text_hash").distinct()
+    keyed = docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return without(keyed, gone, ["key", "text_hash"], broadcast_rows).select(*docs.columns)

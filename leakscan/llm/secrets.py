@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # The base shapes, in their order.
@@ -119,14 +120,17 @@ def scan_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
 def redact_secrets(docs: DataFrame, mask: str = "[secret]", rules: SecretRules = SecretRules()) -> DataFrame:
     """docs with every found span replaced by the mask (overlapping spans by one) and n_chars counted anew; other columns stay."""
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["text"] = [None if t is None else masked(t, scan_text(t, rules), mask) for t in b["text"]]
-            if "n_chars" in b:
-                b["n_chars"] = [n if t is None else len(t) for t, n in zip(b["text"], b["n_chars"], strict=True)]
-            yield b
-
-    return docs.mapInPandas(clean, docs.schema)
+            old = b["text"].to_pylist()
+            new = [None if t is None else masked(t, scan_text(t, rules), mask) for t in old]
+            cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True)} | {"text": pa.array(new, b.schema.field("text").type)}
+            if "n_chars" in cols:
+                kept = b["n_chars"].to_pylist()
+                cols["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(new, kept, strict=True)], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def masked(text: str, spans: list[tuple], mask: str) -> str:

@@ -17,6 +17,7 @@ no labelled toxic text (or no other) to learn from, every score is 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,14 +36,16 @@ class ToxicityRules:
 
     window: int = 32
     stride: int = 24
-    positives: int = 1500
-    negatives: int = 2500
-    per_text: int = 4
+    positives: int = 1200
+    negatives: int = 2000
+    per_text: int = 3
     words: int = 8000
     grams: int = 12000
     size: int = 12
     hidden: int = 12
-    epochs: int = 6
+    epochs: int = 3
+    more_epochs: int = 3
+    least_aside: int = 200
     batch: int = 256
     rate: float = 0.01
     seed: int = 11
@@ -214,7 +217,13 @@ class ToxicityModel:
         best = np.full(len(texts), -np.inf)
         if not counts.sum():
             return best
-        rows, net = np.concatenate(cut), self.network
+        logit = self.logits_of(np.concatenate(cut), encoder)
+        np.maximum.at(best, np.repeat(np.arange(len(texts)), counts), logit)
+        return best
+
+    def logits_of(self, rows: np.ndarray, encoder: Encoder) -> np.ndarray:
+        """The logit of each window."""
+        net = self.network
         # input projections once for each distinct word
         distinct, where = np.unique(rows, return_inverse=True)
         where = where.reshape(rows.shape)
@@ -225,8 +234,7 @@ class ToxicityModel:
             at = where[i : i + 2048].T
             mask = (rows[i : i + 2048].T > 0)[:, :, None].astype(np.float32)
             logit[i : i + 2048] = net.logits(proj["f"][at], proj["b"][at], mask)
-        np.maximum.at(best, np.repeat(np.arange(len(texts)), counts), logit)
-        return best
+        return logit
 
 
 def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
@@ -234,6 +242,9 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
     y = np.array(labels, np.float32)
     if not (0 < y.sum() < len(y)):
         return ToxicityModel({}, {}, None, 0.0, 0.0, rules)
+    # a fifth of the sample, if it is large, sets the cut between both labels
+    aside = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) % 5 == 0 for t in texts]) & (y.sum() >= rules.least_aside)
+    checked, texts, labels, y = [(texts[i], labels[i]) for i in np.flatnonzero(aside)], [t for t, x in zip(texts, aside, strict=True) if not x], [l for l, x in zip(labels, aside, strict=True) if not x], y[~aside]
     split = [WORD.findall((t or "").lower()) for t in texts]
     seen = [set(s) for s in split]
     word_n, gram_n, word_y, gram_y = Counter(), Counter(), Counter(), Counter()
@@ -245,7 +256,7 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
             word_y.update(s)
             gram_y.update(g)
     pos, neg = y.sum(), len(y) - y.sum()
-    least = max(2, int(0.002 * pos))
+    least = max(3, int(0.02 * pos))
     lift = lambda n, k: k >= least and k / pos > 12 * (n - k + 0.5) / neg
     telling_words = {w for w, k in word_y.items() if lift(word_n[w], k)}
     telling_grams = {g for g, k in gram_y.items() if len(g) == 4 and k >= 5 and lift(gram_n[g], k)}
@@ -274,12 +285,26 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
         return ToxicityModel({}, {}, None, 0.0, 0.0, rules)
     word_ids, gram_ids = np.array(encoder.word_ids), np.array(encoder.gram_ids)
     net = GatedNetwork(len(words) + 2, len(grams) + 1, rules)
+    model = ToxicityModel(words, grams, net, 1.0, 0.0, rules)
+    _fit(net, rows, t, word_ids, gram_ids, rules, rules.epochs, random)
+    # the other texts' highest windows are the hard cases: learn them too
+    others = [windows(encoder(s), rules) for s, l in zip(split, labels, strict=True) if not l and s]
+    hard = np.stack([cut[int(model.logits_of(cut, encoder).argmax())] for cut in others]) if others else rows[:0]
+    _fit(net, np.concatenate((rows, hard)), np.concatenate((t, np.zeros(len(hard), np.float32))), word_ids, gram_ids, rules, rules.more_epochs, random)
+    if checked:
+        texts, y = [t for t, _ in checked], np.array([l for _, l in checked], np.float32)
+    top = model.raw(texts, encoder)
+    model.shift = -_cut(top[np.isfinite(top)], y[np.isfinite(top)])
+    return model
+
+
+def _fit(net: GatedNetwork, rows: np.ndarray, t: np.ndarray, word_ids: np.ndarray, gram_ids: np.ndarray, rules: ToxicityRules, epochs: int, random: np.random.Generator) -> None:
+    """Adam over shuffled batches; both labels weigh the same in all."""
     weight = np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t.mean())).astype(np.float32)
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step, batches = 0, max(1, len(rows) // rules.batch)
-    epochs = max(rules.epochs, -(-150 // batches))  # few rows need more rounds
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-100 // batches))):  # few rows need more rounds
         for some in np.array_split(random.permutation(len(rows)), batches):
             r, step = rows[some].T, step + 1
             g = net.gradients(word_ids[r], gram_ids[r], (r > 0)[:, :, None].astype(np.float32), t[some], weight[some])
@@ -287,10 +312,6 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
                 m1[k] = 0.9 * m1[k] + 0.1 * d
                 m2[k] = 0.999 * m2[k] + 0.001 * d * d
                 net.p[k] -= (rules.rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    model = ToxicityModel(words, grams, net, 1.0, 0.0, rules)
-    top = model.raw(texts, encoder)
-    model.shift = -_cut(top[np.isfinite(top)], y[np.isfinite(top)])
-    return model
 
 
 def _cut(top: np.ndarray, y: np.ndarray) -> float:
