@@ -24,21 +24,21 @@ def clusters(hits: Column, item: str) -> Column:
     start = F.array().cast(f"array<array<{item}>>")
 
     def step(found: Column, hit: Column) -> Column:
-        fits = F.transform(found, lambda c: F.exists(c, lambda m: same_text(hit, m)))
-        at = F.array_position(fits, True)
-        grown = F.transform(found, lambda c, i: F.when(i + 1 == at, F.concat(c, F.array(hit))).otherwise(c))
-        return F.when(at > 0, grown).otherwise(F.concat(found, F.array(F.array(hit))))
+        at = F.array_position(F.transform(found, lambda c: F.exists(c, lambda m: same_text(hit, m))), True)
+        # a one-element array binds the place once
+        grown = lambda n: F.transform(found, lambda c, i: F.when(i + 1 == n, F.concat(c, F.array(hit))).otherwise(c))
+        return F.flatten(F.transform(F.array(at), lambda n: F.when(n > 0, grown(n)).otherwise(F.concat(found, F.array(F.array(hit))))))
 
     return F.aggregate(hits, start, step)
 
 
-def representative(members: Column) -> Column:
-    """The member with the most base points, then the longest match, then the earliest; it takes the first entropy score of
-    the cluster if it has none."""
+def representatives(found: DataFrame) -> DataFrame:
+    """One row for each cluster (column c): the member with the most base points, then the longest match, then the earliest;
+    it takes the first entropy score of the cluster if it has none."""
     key = lambda m: F.struct(base_points(m["detector_type"]).alias("p"), F.length(m["matched_string"]).alias("n"), (-m["seq"]).alias("s"), (-m["rank"]).alias("r"), m.alias("m"))
-    top = F.array_max(F.transform(members, key))["m"]
-    score = F.get(F.filter(F.transform(members, lambda m: m["entropy_score"]), lambda e: e.isNotNull()), F.lit(0))
-    return F.struct(*[(F.coalesce(top[c], score) if c == "entropy_score" else top[c]).alias(c) for c in ROW])
+    scores = F.filter(F.transform("c", lambda m: m["entropy_score"]), lambda e: e.isNotNull())
+    picked = found.select(F.array_max(F.transform("c", key)).alias("t"), F.get(scores, F.lit(0)).alias("score"))
+    return picked.select(*[F.coalesce(F.col("t.m.entropy_score"), "score").alias(c) if c == "entropy_score" else F.col(f"t.m.{c}").alias(c) for c in ROW])
 
 
 def collapse_lines(raw: DataFrame) -> DataFrame:
@@ -47,8 +47,7 @@ def collapse_lines(raw: DataFrame) -> DataFrame:
     item = raw.select(F.struct(*ROW).alias("x")).schema["x"].dataType.simpleString()
     order = F.struct("seq", "rank", F.struct(*ROW).alias("x"))
     grouped = raw.groupBy(slashes(F.col("file_path")).alias("np"), "commit_hash", "line_number").agg(F.sort_array(F.collect_list(order)).alias("h"))
-    kept = grouped.select(F.explode(clusters(F.transform("h", lambda h: h["x"]), item)).alias("c")).select(representative(F.col("c")).alias("r"))
-    return kept.select("r.*")
+    return representatives(grouped.select(F.explode(clusters(F.transform("h", lambda h: h["x"]), item)).alias("c")))
 
 
 def collapse_commits(found: DataFrame) -> DataFrame:

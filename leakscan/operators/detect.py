@@ -30,19 +30,19 @@ QUOTED = r"""'([^']*)'|"([^"]*)\""""
 def matches(line: Column, regex: str, groups: tuple[int, ...]) -> Column:
     """All matches, left to right: structs of `at` (0-based start), `full`, and g0, g1 ... for the groups (empty if unmatched)."""
     full = F.regexp_extract_all(line, F.lit(regex), 0)
-    gaps = F.split(line, regex, -1)
-    named = [full.alias("full"), gaps.alias("gap")] + [F.regexp_extract_all(line, F.lit(regex), g).alias(f"g{n}") for n, g in enumerate(groups)]
-    kept = ["full", *[f"g{n}" for n in range(len(groups))]]
-    item = "struct<at: int, full: string" + "".join(f", g{n}: string" for n in range(len(groups))) + ">"
+    # the last gap follows the last match and has none of its own
+    both = F.filter(F.arrays_zip(full.alias("full"), F.split(line, regex, -1).alias("gap")), lambda x: x["full"].isNotNull())
+    item = "struct<at: int, full: string>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         at = s["at"] + F.length(x["gap"])
-        row = F.struct(at.alias("at"), *[x[k].alias(k) for k in kept])
-        return F.struct((at + F.length(x["full"])).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+        return F.struct((at + F.length(x["full"])).alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("at"), x["full"].alias("full")))).alias("out"))
 
-    # the last gap follows the last match and has none of its own
-    return F.aggregate(F.filter(F.arrays_zip(*named), lambda x: x["full"].isNotNull()), start, step, lambda s: s["out"])
+    placed = F.aggregate(both, start, step, lambda s: s["out"])
+    if not groups:
+        return placed
+    return F.transform(placed, lambda m: F.struct(m["at"].alias("at"), m["full"].alias("full"), *[F.regexp_extract(m["full"], regex, g).alias(f"g{n}") for n, g in enumerate(groups)]))
 
 
 def _hit(kind: str, text: Column, at: Column, score: Column | None = None) -> Column:
