@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slashes
+from .detect import with_hits
 from .score import base_points
 
 ROW = ["detector_type", "matched_string", "file_path", "line_number", "commit_hash", "line_content", "entropy_score", "start_col", "end_col", "seq", "rank"]
@@ -74,3 +75,14 @@ def collapse_commits(found: DataFrame) -> DataFrame:
 
 def deduplicate(raw: DataFrame) -> DataFrame:
     return collapse_commits(collapse_lines(raw))
+
+
+def line_findings(lines: DataFrame, **options) -> DataFrame:
+    """The first pass for scans, where each line of a path and commit is one row: hits are clustered inside their row, without
+    a shuffle. The result is that of collapse_lines over raw_findings."""
+    hits = with_hits(lines, **options)
+    of = {"detector_type": "type", "matched_string": "matched_string", "entropy_score": "entropy_score", "start_col": "start_col", "end_col": "end_col"}
+    row = lambda h, i: F.struct(*[(h[of[c]] if c in of else i if c == "rank" else F.col(c)).alias(c) for c in ROW])
+    rows = hits.select(F.transform("hits", row).alias("h"))
+    item = rows.schema["h"].dataType.elementType.simpleString()
+    return representatives(rows.select(F.explode(clusters(F.col("h"), item)).alias("c")))

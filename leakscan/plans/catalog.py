@@ -147,6 +147,13 @@ def detect_regex_all(spark, sf_dir):
     return hits.groupBy(F.col("h.type").alias("detector_type")).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("h.matched_string").alias("secrets"), F.sum("h.start_col").alias("starts"))
 
 
+@query(upto("signatures", f"SELECT detector_type, {', '.join(HIT_COLUMNS)} FROM signatures"))
+def detect_regex_spans(spark, sf_dir):
+    lines = corpus(spark, sf_dir).where(F.col("line_content") != "")
+    hits = lines.select("file_path", "commit_hash", "line_number", F.explode(detect.regex_hits(F.col("line_content"))).alias("h"))
+    return hits.select(F.col("h.type").alias("detector_type"), "file_path", "commit_hash", "line_number", "h.matched_string", "h.start_col", "h.end_col")
+
+
 @query(upto("entropic", f"SELECT {', '.join(HIT_COLUMNS)}, entropy_score, det = 101 AS fallback FROM entropy_hits"))
 def entropy_detector(spark, sf_dir):
     lines = corpus(spark, sf_dir).where(F.col("line_content") != "")
