@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import settled
 from ..functions.text import slashes
 from .detect import with_hits
 from .score import base_points
@@ -38,8 +39,8 @@ def representatives(found: DataFrame) -> DataFrame:
     it takes the first entropy score of the cluster if it has none."""
     key = lambda m: F.struct(base_points(m["detector_type"]).alias("p"), F.length(m["matched_string"]).alias("n"), (-m["seq"]).alias("s"), (-m["rank"]).alias("r"), m.alias("m"))
     scores = F.filter(F.transform("c", lambda m: m["entropy_score"]), lambda e: e.isNotNull())
-    picked = found.select(F.array_max(F.transform("c", key)).alias("t"), F.get(scores, F.lit(0)).alias("score"))
-    return picked.select(*[F.coalesce(F.col("t.m.entropy_score"), "score").alias(c) if c == "entropy_score" else F.col(f"t.m.{c}").alias(c) for c in ROW])
+    picked = settled(found).select(F.array_max(F.transform("c", key)).alias("t"), F.get(scores, F.lit(0)).alias("score"))
+    return settled(picked).select(*[F.coalesce(F.col("t.m.entropy_score"), "score").alias(c) if c == "entropy_score" else F.col(f"t.m.{c}").alias(c) for c in ROW])
 
 
 def collapse_lines(raw: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def collapse_lines(raw: DataFrame) -> DataFrame:
     item = raw.select(F.struct(*ROW).alias("x")).schema["x"].dataType.simpleString()
     order = F.struct("seq", "rank", F.struct(*ROW).alias("x"))
     grouped = raw.groupBy(slashes(F.col("file_path")).alias("np"), "commit_hash", "line_number").agg(F.sort_array(F.collect_list(order)).alias("h"))
-    return representatives(grouped.select(F.explode(clusters(F.transform("h", lambda h: h["x"]), item)).alias("c")))
+    found = settled(grouped.select(clusters(F.transform("h", lambda h: h["x"]), item).alias("cs")))
+    return representatives(found.select(F.explode("cs").alias("c")))
 
 
 def collapse_commits(found: DataFrame) -> DataFrame:
@@ -83,6 +85,7 @@ def line_findings(lines: DataFrame, **options) -> DataFrame:
     hits = with_hits(lines, **options)
     of = {"detector_type": "type", "matched_string": "matched_string", "entropy_score": "entropy_score", "start_col": "start_col", "end_col": "end_col"}
     row = lambda h, i: F.struct(*[(h[of[c]] if c in of else i if c == "rank" else F.col(c)).alias(c) for c in ROW])
-    rows = hits.select(F.transform("hits", row).alias("h"))
+    rows = hits.where(F.size("hits") > 0).select(F.transform("hits", row).alias("h"))
     item = rows.schema["h"].dataType.elementType.simpleString()
-    return representatives(rows.select(F.explode(clusters(F.col("h"), item)).alias("c")))
+    found = settled(rows.select(clusters(F.col("h"), item).alias("cs")))
+    return representatives(found.select(F.explode("cs").alias("c")))

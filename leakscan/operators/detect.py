@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import BLANK, HINTS, Signature, default_signatures
+from ..functions.plan import settled
 from ..functions.text import entropy
 
 HIT = "struct<type: string, matched_string: string, start_col: int, end_col: int, entropy_score: double>"
@@ -140,7 +141,7 @@ def python_hits(lines: DataFrame, signatures: list[Signature]) -> DataFrame:
 
 
 def with_hits(lines: DataFrame, signatures: list[Signature] | None = None, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> DataFrame:
-    """lines that hold hits, with them as the array column `hits`: signatures first, then entropy."""
+    """lines that may hold hits, with them as the array column `hits`: signatures first, then entropy."""
     own = signatures is not None
     signatures = default_signatures() if signatures is None else signatures
     lines = lines.where(F.col("line_content") != "")
@@ -152,7 +153,7 @@ def with_hits(lines: DataFrame, signatures: list[Signature] | None = None, thres
         lines = python_hits(lines, other)
         parts.append(F.col("py_hits"))
     parts.append(entropy_hits(F.col("line_content"), threshold, min_length, words))
-    return lines.withColumn("hits", F.concat(*parts)).where(F.size("hits") > 0).drop("py_hits")
+    return settled(lines.withColumn("hits", F.concat(*parts)).drop("py_hits"))
 
 
 def raw_findings(lines: DataFrame, **options) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import settled
 from ..functions.text import file_class, is_placeholder, redact, redact_line
 
 # Base points by type, and points by class of file.
@@ -64,7 +65,9 @@ def scored(found: DataFrame, context: ScanContext = ScanContext()) -> DataFrame:
     """found: deduplicated findings, maybe with a nullable boolean `verified`. The plain secret and line are left out."""
     if "verified" not in found.columns:
         found = found.withColumn("verified", F.lit(None).cast("boolean"))
-    found = found.withColumn("placeholder", is_placeholder(F.col("matched_string"), context.extra_placeholders))
+    found = settled(found.withColumns({
+        "placeholder": is_placeholder(F.col("matched_string"), context.extra_placeholders), "file_class": file_class(F.col("file_path")), "base": base_points(F.col("detector_type")), "redacted": redact(F.col("matched_string")),
+    }))
     if not context.keep_placeholders:
         found = found.where(~F.col("placeholder"))
     entropy, verified = F.col("entropy_score"), F.col("verified")
@@ -74,7 +77,6 @@ def scored(found: DataFrame, context: ScanContext = ScanContext()) -> DataFrame:
     for name, (points, reason) in CLASS_POINTS.items():
         by_class = F.when(F.col("file_class") == name, points).otherwise(by_class)
         class_reason = F.when(F.col("file_class") == name, reason).otherwise(class_reason)
-    found = found.withColumns({"file_class": file_class(F.col("file_path")), "base": base_points(F.col("detector_type")), "redacted": redact(F.col("matched_string"))})
     sums = F.col("base") + by_class - F.when(history, 5).otherwise(0) + F.when(entropy >= 4.5, 10).when(entropy >= 4.0, 5).otherwise(0)
     sums = F.when(verified, sums + 25).when(~verified, F.least(sums, F.lit(10))).otherwise(sums)
     sums = F.when(F.col("placeholder"), F.least(sums, F.lit(10))).otherwise(sums).cast("int")
@@ -87,7 +89,9 @@ def scored(found: DataFrame, context: ScanContext = ScanContext()) -> DataFrame:
         F.when(F.col("placeholder"), "looks like a placeholder (capped)"),
     ))
     found = found.withColumns({"points": sums, "exposure": F.when(history, "history_only").otherwise("working_tree"), "reasons": F.array_join(reasons, ", ")})
-    found = found.withColumn("severity", severity_band(F.col("points"))).where(F.col("severity") >= context.min_severity)
+    found = settled(settled(found).withColumn("severity", severity_band(F.col("points"))))
+    if context.min_severity > 1:
+        found = found.where(F.col("severity") >= context.min_severity)
     commits = F.size("history_commits")
     where = F.when(
         history, F.concat(F.lit("only in git history (commit "), "commit_hash", F.lit(")"), F.when(commits > 1, F.concat(F.lit(", seen in "), commits.cast("string"), F.lit(" commits"))).otherwise("")),
