@@ -10,8 +10,8 @@ a linked pair of that size can have differing shingles, and more. A linked pair
 documents of a size class with one equal group. For sets under about 300 shingles that is certain (pigeonhole); larger sets
 use `max_groups` of their groups, and a pair right at the threshold then misses all blocks with a probability under 1e-9.
 
-Equal sets are one node. In each block every node is first compared with the block's smallest node only: groups of
-thousands of near copies fall together without all their pairs. Blocks that still hold several components go to R-trees, in
+Equal sets are one node. Every node is first compared with one node only, the smallest that leads a block of its, for some
+rounds: groups of thousands of near copies fall together without all their pairs. Blocks that still hold several components go to R-trees, in
 pages of at most `page` members and pairs of pages, which emit the surviving pairs across components. So no link between
 components is lost, and links inside one are not needed.
 
@@ -41,13 +41,15 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 @dataclass(frozen=True)
 class JoinRules:
     """k: words of a shingle; percent: least Jaccard similarity; coordinates: of a count vector; max_groups: see the module;
-    page: members of an R-tree; broadcast_ids: ids that may be broadcast to pick texts, beyond which the texts are joined."""
+    page: members of an R-tree; rounds: of
+    comparisons with leaders before the R-trees; broadcast_ids: ids that may be broadcast to pick texts, beyond which the texts are joined."""
 
     k: int = 4
     percent: int = 85
-    coordinates: int = 32
+    coordinates: int = 128
     max_groups: int = 56
     page: int = 512
+    rounds: int = 2
     broadcast_ids: int = 1_000_000
 
     def differing(self, total: int) -> int:
@@ -259,6 +261,23 @@ def page_pairs(members: DataFrame, rules: JoinRules) -> DataFrame:
     return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
+def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(block, node, component, size) of the blocks that still hold several components."""
+    named = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.select("block", "node", "component", "size")
+    several = named.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
+    return named.join(several, "block")
+
+
+def leader_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """For each node one pair (a, b) at most: with the smallest node that leads a block of its and has another component."""
+    named = open_members(members, labels)
+    # of each block the leaders are its smallest node, and the smallest of any other component
+    first = named.groupBy("block").agg(F.min(F.struct("node", "component")).alias("l"))
+    marked = named.join(first, "block").select("block", "node", "component", "l")
+    return marked.where(F.col("component") != F.col("l.component")).groupBy("node").agg(F.min("l.node").alias("a")).select("a", F.col("node").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs (doc_id integer, text)."""
     rows = written(sketches(docs, rules), "sketches")
@@ -270,18 +289,18 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataF
         "nodes",
     )
     blocks = nodes.select("node", F.explode("blocks").alias("block"))
-    leaders = blocks.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("leader <> last")
-    members = written(blocks.join(leaders, "block").select("block", "node", "leader", "size"), "members")
-    first = written(bounded(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, rules), "pairs")
-    links = written(verified(first, docs, rules), "links")
-    labels = components(links)
-    # blocks that still hold several components
-    named = members.join(labels, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"), "size")
-    open_ = named.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
-    left = named.join(open_, "block").join(nodes.select("node", "n", "point"), "node")
-    second = written(page_pairs(left, rules).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(second, docs, rules), "links")
-    labels = components(links.union(more))
+    shared = blocks.groupBy("block").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("block", "size")
+    members = written(blocks.join(shared, "block"), "members")
+    tried, links, labels = None, None, None
+    for _ in range(rules.rounds):
+        found = leader_pairs(members, labels)
+        found = written(bounded(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), nodes, rules), "pairs")
+        new = written(verified(found, docs, rules), "links")
+        tried, links = (found, new) if tried is None else (tried.union(found), links.union(new))
+        labels = components(links)
+    left = open_members(members, labels).join(nodes.select("node", "n", "point"), "node")
+    rest = written(page_pairs(left, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
+    labels = components(links.union(written(verified(rest, docs, rules), "links")))
     same = usable.select(F.col("doc_id").alias("d"), "digest").join(nodes.select("digest", "node"), "digest").select("d", "node")
     alias = same.where("d <> node").union(same.where("d = node").distinct())
     known = alias.join(labels, "node", "left").groupBy("d").agg(F.min(F.coalesce("component", "node")).alias("component"))
