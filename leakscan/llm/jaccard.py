@@ -53,8 +53,8 @@ class JoinRules:
     broadcast_ids: int = 1_000_000
 
     def differing(self, total: int) -> int:
-        """How many shingles at most are in just one of two linked sets with `total` shingles together."""
-        return total - 2 * -(-self.percent * total // (100 + self.percent))
+        """No linked pair with up to `total` shingles together has more of them in just one of its sets."""
+        return total * (100 - self.percent) // (100 + self.percent)
 
     @cached_property
     def group_size(self) -> int:
