@@ -17,7 +17,7 @@ from ..operators.gitlog import parse_log
 from ..report import sarif
 from ..sources.ignore import DEFAULT_IGNORES, ignored
 from . import oracle
-from .corpus import corpus, text_lines
+from .corpus import CORPUS_SQL, DOCUMENTS_SQL, corpus, document_lines, text_lines
 from .oracle import upto
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -374,9 +374,7 @@ def leak_check(spark, sf_dir):
     return found(spark, sf_dir).join(secrets, ["file_path", "redacted"]).where(F.contains("redacted_context", "matched_string")).agg(F.count(F.lit(1)).alias("leaks"))
 
 
-@query()
+@query(upto("scored", f"SELECT {', '.join(SCORED)} FROM scored").replace(CORPUS_SQL, DOCUMENTS_SQL))
 def document_findings(spark, sf_dir):
-    """Flagship: ranked, redacted findings of the documents table."""
-    from .corpus import document_lines
-
-    return score.worst_first(score.scored(dedup.deduplicate(detect.raw_findings(document_lines(spark, sf_dir))))).drop("history_commits", "seq", "rank")
+    """Ranked, redacted findings of the documents table."""
+    return score.worst_first(score.scored(dedup.collapse_commits(dedup.line_findings(document_lines(spark, sf_dir))))).select(*SCORED)

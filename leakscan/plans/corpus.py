@@ -68,5 +68,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_lines(spark, sf_dir).unionByName(document_lines(spark, sf_dir))
 
 
+DOCUMENTS_SQL = f"""lines AS ({DOCUMENTS} FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS n, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"""
 CORPUS_SQL = f"""lines AS ({LINES}
-  UNION ALL {DOCUMENTS} FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS n, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"""
+  UNION ALL {DOCUMENTS_SQL.removeprefix("lines AS (")}"""
