@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
-    want = con.execute(f"select {', '.join(cols)} from ({catalog.ORACLES[name]})").fetchall()
+    want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({catalog.ORACLES[name]})").fetchall()
     assert plain(got.select(*cols).collect()) == plain(want)
 
 
