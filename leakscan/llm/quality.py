@@ -5,6 +5,9 @@ The same histograms are summed over all documents of each language; a document's
 distance (base 2, square root) to the nearest of these references. Short documents say too little: below `min_chars` or
 `min_words` a divergence is not judged. Only DataFrame functions run here.
 
+How far is too far comes from the corpus: the sum of both distances is judged against a fence for each size of document, put
+above the median by the spread of the half below it, which junk does not reach while it is less than half of the texts.
+
 Nulls and empty texts: no words, all counts 0, rejected by the minimum length. A null or unknown language only means that the
 document feeds no reference; it is judged like every other. Repeated rows and ids are judged one by one.
 """
@@ -34,18 +37,25 @@ CHAR_CLASSES = {
     "symbol": "#*$%&|<>=+/_@~^\\\\{}\\[\\]`",
     "letter": "\\x{C0}-\\x{24F}",
 }
+# The finer classes that distances are taken over: sentence stops, delimiters and quotes apart, a bin for each symbol.
+FINE_CLASSES = {"upper": "A-Z", "digit": "0-9", "stop": ".!?", "comma": ",;:", "quote": "'\"()\\-", "letter": CHAR_CLASSES["letter"]}
+SYMBOLS = "#*$%&|<>=+/_@~^\\{}[]`"
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """max_class_distance, max_word_distance: largest distances that are kept; min_chars, min_words: below these the
-    distances are not judged; languages: whose documents make the references."""
+    """max_class_distance, max_word_distance: largest distances that are kept in any corpus; min_chars, min_words: below these
+    the distances are not judged; languages: whose documents make the references; spreads, least_gap: how far the fence lies
+    above the median, in spreads of the lower half and at least; least_texts: sizes with fewer texts are pooled with others."""
 
     max_class_distance: float = 0.26
     max_word_distance: float = 0.75
     min_chars: int = 200
     min_words: int = 50
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
+    spreads: float = 4.0
+    least_gap: float = 0.1
+    least_texts: int = 50
 
 
 def vocabulary() -> list[str]:
@@ -74,7 +84,7 @@ def features(docs: DataFrame) -> DataFrame:
     base = base.select("doc_id", "lang", "t", F.xxhash64("t").alias("text_hash"), blank_words(F.col("t")).alias("w"), F.regexp_replace("t", f"[{PLAIN}]+", "").alias("rest"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     base = base.select(
-        "doc_id", "lang", "text_hash", "rest",
+        "doc_id", "lang", "text_hash", "rest", F.regexp_replace("rest", f"[^{CHAR_CLASSES['symbol']}]+", "").alias("symbols"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length("t").cast("long").alias("n_chars"),
@@ -83,13 +93,14 @@ def features(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("  "), F.array_join(F.filter("w", lambda x: x.isin(vocab)), "  "), F.lit("  ")).alias("common"),
     )
     only = lambda s: F.length(F.regexp_replace("rest", f"[^{s}]+", "")).cast("long")
+    each = lambda s: (F.length("symbols") - F.length(F.replace("symbols", F.lit(s), F.lit("")))).cast("long")
     found = [((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in vocab]
     out = base.select(
         "doc_id", "lang", "text_hash", "n_words", "word_chars", "n_chars",
         only("#*$%&|<>").alias("n_symbols"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_kinds"),
         repeated_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
-        F.array(*[only(s) for s in CHAR_CLASSES.values()], F.col("n_chars") - F.col("word_chars")).alias("classes"),
+        F.array(*[only(s) for s in FINE_CLASSES.values()], *[each(s) for s in SYMBOLS], F.col("n_chars") - F.col("word_chars")).alias("classes"),
         F.array(*found).alias("found"),
     )
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -102,7 +113,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def references(feats: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """One row per language: summed histograms. Sums combine on the map side; there are at most len(languages) rows."""
-    n_class, n_word = len(CHAR_CLASSES) + 2, len(vocabulary()) + 1
+    n_class, n_word = len(FINE_CLASSES) + len(SYMBOLS) + 2, len(vocabulary()) + 1
     sums = lambda c, n: F.array(*[F.sum(F.get(F.col(c), F.lit(i))) for i in range(n)])
     return feats.where(F.col("lang").isin(*languages)).groupBy("lang").agg(sums("class_counts", n_class).alias("ref_classes"), sums("word_counts", n_word).alias("ref_words"))
 
@@ -122,11 +133,30 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
+def fences(judged: DataFrame, rules: QualityRules) -> dict[int, float]:
+    """The largest kept sum of distances by the bits of n_words, from the distinct texts that pass the base."""
+    step = 0.001
+    # at most 1414 steps for each of some 25 sizes reach the driver
+    rows = judged.where("not base_failed and total is not null").groupBy("bits", F.floor(F.col("total") / step).alias("at")).agg(F.countDistinct("text_hash").alias("n")).collect()
+    out = {}
+    sizes = sorted({r["bits"] for r in rows})
+    for bits in sizes:
+        # shorter texts scatter more, so that pooling with them only widens the fence; longer ones are the last resort
+        for pool in [*({b for b in sizes if low <= b <= bits} for low in range(bits, min(sizes) - 1, -1)), set(sizes)]:
+            held = sorted((r["at"], r["n"]) for r in rows if r["bits"] in pool)
+            if sum(n for _, n in held) >= rules.least_texts:
+                break
+        reach = lambda share: next(at for i, (at, _) in enumerate(held) if sum(n for _, n in held[: i + 1]) >= share * sum(n for _, n in held)) * step  # noqa: E731, B023
+        middle = reach(0.5)
+        out[bits] = middle + max(rules.least_gap, rules.spreads * (middle - reach(0.25)))
+    return out
+
+
 def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): base counts, both distances, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed and, where long
-    enough to judge, within both distances of the nearest reference. With no reference at all nothing can be judged and the
+    enough to judge, within both distances of the nearest reference and within the fence of its size. With no reference at all nothing can be judged and the
     base decides alone.
     """
     feats = written(features(docs), "quality-features")
@@ -143,9 +173,15 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_chars") >= rules.min_chars, nearest("class_shares", "ref_classes")).alias("class_distance"),
         F.when(F.col("n_words") >= rules.min_words, nearest("word_shares", "ref_words")).alias("word_distance"),
+        F.length(F.bin("n_words")).alias("bits"),
     )
-    far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    judged = written(judged.withColumn("total", F.col("class_distance") + F.col("word_distance")), "quality-distances")
+    fence = F.lit(None).cast("double")
+    for bits, most in sorted(fences(judged, rules).items()):
+        fence = F.when(F.col("bits") == bits, F.lit(most)).otherwise(fence)
+    far = F.coalesce(F.col("total") > fence, F.lit(False))
+    far = far | (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).drop("bits", "total")
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), broadcast_rows: int = 1_000_000) -> DataFrame:

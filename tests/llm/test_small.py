@@ -145,6 +145,15 @@ def test_quality_rules(spark):
     assert quality.quality_verdicts(docs(spark, [])).count() == 0
 
 
+def test_quality_fence_follows_the_corpus(spark):
+    clean = [prose(i, 60 + 10 * i) + "." for i in range(60)]
+    # delimiters between words without a common one: 6 to 10 percent symbols
+    junk = [re.sub(r"( \S+) ", r"\1 | ", " ".join(w for w in prose(500 + i, 200).split() if w not in ("the", "of"))) + "." for i in range(6)]
+    got = {r.doc_id: r for r in quality.quality_verdicts(docs(spark, clean + junk)).collect()}
+    assert all(0.06 < got[i].n_symbols / len(junk[i - 60]) < 0.1 for i in range(60, 66))
+    assert [i for i in got if not got[i].kept] == list(range(60, 66))
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------
 
 
