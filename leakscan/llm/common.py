@@ -56,30 +56,34 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str], broadcast_rows: i
     return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*docs.columns)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, component) with the smallest node of each component.
 
-    Every round hooks each node onto its smallest neighbour and jumps pointers, so that stars end at once and paths shrink
-    geometrically; minima combine on the map side, so a node with many edges makes no large task. Null ends are dropped.
+    Every round hooks each node onto its smallest neighbour, jumps pointers until all nodes point at roots, and contracts the
+    edges to those between roots. A root that two rounds leave with an edge has taken in a node of its own, so at least half
+    of the roots go in two rounds, whatever the order of the nodes; rounds go on until no edge is left. Minima combine on the
+    map side, so a node with many edges makes no large task. Null ends are dropped.
     """
-    spark = edges.sparkSession
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("l")), "b")
-            .groupBy("a").agg(F.min("l").alias("l"))
-        )
-        hooked = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", "l").alias("next"))
-        jump = hooked.select(F.col("node").alias("j"), F.col("next").alias("k"))
-        new = written(
-            hooked.join(jump, F.col("next") == F.col("j"), "left")
-            .select("node", F.least("next", "k").alias("component"), (F.least("next", "k") != F.col("component")).alias("moved")),
-            "labels",
-        )
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+    rounds: list[DataFrame] = []
+    while both.limit(1).count():
+        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "labels")
+        moved = 1
+        while moved:
+            new = written(
+                up.join(up.select(F.col("node").alias("j"), F.col("up").alias("k")), F.col("up") == F.col("j"))
+                .select("node", F.col("k").alias("up"), (F.col("k") != F.col("up")).alias("moved")),
+                "labels",
+            )
+            moved = new.where("moved").limit(1).count()
+            up = new.select("node", "up")
+        rounds.append(up)
+        ends = [up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b")]
+        both = written(both.join(ends[0], "a").join(ends[1], "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct(), "edges")
+    if not rounds:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds.pop()
+    for up in reversed(rounds):
+        labels = up.join(labels.select(F.col("node").alias("j"), F.col("up").alias("k")), F.col("up") == F.col("j"), "left").select("node", F.coalesce("k", "up").alias("up"))
+    return written(labels.select("node", F.col("up").alias("component")), "labels")

@@ -89,6 +89,14 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_a_long_shuffled_path(spark):
+    ids = list(range(2000))
+    random.Random(3).shuffle(ids)
+    hub = [(9000, 8000 + i) for i in range(50)]
+    got = rows(components(spark.createDataFrame([*zip(ids, ids[1:]), *hub], "a bigint, b bigint")), "node", "component")
+    assert got == [(i, 0) for i in range(2000)] + [(i, 8000) for i in [*range(8000, 8050), 9000]]
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 
