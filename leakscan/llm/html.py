@@ -37,7 +37,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLASSES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus respond reply replies notice notices cookie cookies consent gdpr banner alert popup modal newsletter subscribe signup share sharing social related footer masthead skip pagination pager".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def parse(page: str) -> Node:
             close(n, lt)
         elif tag in SAME_CLOSES and (n := nearest(SAME_CLOSES[tag], LIST_SCOPE)):
             close(n, lt)
-        node = Node(tag, lt, tag in FURNITURE or (bool(attrs) and _furniture(attrs)) or (tag == "header" and not nearest(("article",))))
+        node = Node(tag, lt, tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs)) or (tag == "header" and not nearest(("article",))))
         stack[-1].children.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             node.end = at
@@ -120,10 +120,17 @@ def parse(page: str) -> Node:
     return root
 
 
-def _furniture(attrs: str) -> bool:
+def _furniture(tag: str, attrs: str) -> bool:
+    """By role, class and id; the page itself and its main parts only by role, and an article also where it is a comment."""
     for m in ATTR.finditer(attrs):
-        words = re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())
-        if not (ROLES if m[1].lower() == "role" else CLASSES).isdisjoint(words):
+        name = m[1].lower()
+        if name not in ("class", "id", "role"):
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if name != "role" and tag in ("html", "body", "main", "article"):
+            if tag == "article" and any(re.split(r"[^a-z0-9]+", x)[0] in ("comment", "reply") for x in value.split()):
+                return True
+        elif not (ROLES if name == "role" else CLASSES).isdisjoint(re.split(r"[^a-z0-9]+", value)):
             return True
     return False
 

@@ -264,6 +264,13 @@ def test_main_text():
     assert html.main_text('<body><main><p>in</p></main><p>out</p></body>') == "in"
 
 
+def test_page_and_article_classes_are_no_furniture():
+    for body, article in (("class='has-sidebar'", ""), ("class='nav-open'", "class='post related'"), ("", "class='post comments-open' id=related-1")):
+        assert html.main_text(f"<html class='no-banner'><body {body}><main id='content' class='with-sidebar'><article {article}><p>Told here.</p></article></main></body></html>") == "Told here."
+    page = "<body><article>One<div data-role='banner' data-id=ad title='a class=menu'>two</div><article class='comment-body'>no</article><div class=menu>no</div></article></body>"
+    assert html.main_text(page) == "One two"
+
+
 def test_templates_are_deleted(spark):
     page = lambda i: f'<body><div class="top"><p>Welcome to the site</p></div><div><p>Page {i} says {prose(i, 9)}</p></div></body>'
     pages = spark.createDataFrame([(i, f"http://Host/{i}", page(i)) for i in range(8)] + [(90, "http://other/", page(90)), (91, None, None), (92, "", "")], "page_id bigint, url string, html string")
