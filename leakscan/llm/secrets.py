@@ -33,8 +33,8 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "sec
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|change_me|example|placeholder|none|null|true|false|undefined|xxx+|todo|your[_-].*|<.*>|\$\{.*|\{\{.*|%\(.*|\*+)$")
 
 PAIR = re.compile(
-    r"""(?<![\w.\-$])["']?(?P<name>[A-Za-z_][\w.\-]{1,60})["']?[\ \t]*(?::=|=>|[:=])[\ \t]*
-    (?:"(?P<d>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|'(?P<s>[^'\\\n]*(?:\\.[^'\\\n]*)*)'|(?P<ref>[A-Za-z_][\w.]*)(?=[\ \t]*(?:[;,)\n]|\Z))|(?P<bare>[^\s"',;\#]+)(?=[\ \t]*(?:\n|\Z)))""",
+    r"""(?<![\w.\-$])["']?(?P<name>[A-Za-z_][\w.\-]++)["']?[\ \t]*(?::=|=>|[:=])[\ \t]*
+    (?:"(?P<d>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|'(?P<s>[^'\\\n]*(?:\\.[^'\\\n]*)*)'|(?P<ref>[A-Za-z_][\w.]*)(?=[\ \t]*(?:[;,)\r\n]|[\ \t](?:\#|//)|\Z))|(?P<bare>[^\s"',;\#]+)(?=[\ \t]*(?:[\r\n]|[\ \t](?:[\#;]|//)|\Z)))""",
     re.X | re.A,
 )
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -66,23 +66,44 @@ def literal_score(value: str) -> float:
 
 def lexed(text: str, rules: SecretRules) -> list[tuple[str, int, int, str, float]]:
     """Spans of literals that reach a sensitive name: (literal, start, end, name, score)."""
+    pairs = list(PAIR.finditer(text))
+    named = {m["name"] for m in pairs}
     literals: dict[str, tuple[int, int]] = {}
+    waiting: dict[str, list[tuple[str, re.Match]]] = {}  # pairs by the later constant that they are assigned
     reached: dict[tuple[int, int], tuple[float, str]] = {}
-    for m in PAIR.finditer(text):
+
+    def reach(name: str, span: tuple[int, int]) -> None:
+        weight = name_score(name)
+        if weight > reached.get(span, (0.0, ""))[0]:
+            reached[span] = (weight, name)
+
+    def on_own_line(m: re.Match) -> bool:
+        line = max(text.rfind("\n", 0, m.start()), text.rfind("\r", 0, m.start())) + 1
+        return text[line : m.start("name")].strip(" \t\"'") in ("", "export", "set")
+
+    for m in pairs:
         name, kind = m["name"], m.lastgroup
         if kind == "ref" and m["ref"] in literals:
             span = literals[m["ref"]]  # a constant: the literal behind it
-        elif kind in ("bare", "ref"):
-            line = text.rfind("\n", 0, m.start()) + 1
-            if text[line : m.start("name")].strip(" \t\"'") not in ("", "export", "set"):
-                continue  # bare values are read on configuration lines only
-            span = m.span(kind)
+        elif kind == "ref" and m["ref"] in named:
+            waiting.setdefault(m["ref"], []).append((name, m))
+            continue
+        elif kind in ("bare", "ref") and not on_own_line(m):
+            continue  # bare values are read on configuration lines only
         else:
             span = m.span(kind)
         literals[name] = span
-        weight = name_score(name)
-        if weight > reached.get(span, (0.0, ""))[0]:
-            reached[span] = (weight, name)
+        todo = [name]
+        while todo:  # the name, and all that wait for it
+            known = todo.pop()
+            reach(known, span)
+            for other, _ in waiting.pop(known, ()):
+                literals.setdefault(other, span)
+                todo.append(other)
+    for found in waiting.values():  # names that lead to no literal are values themselves
+        for name, m in found:
+            if on_own_line(m):
+                reach(name, m.span("ref"))
     out = []
     for (start, end), (weight, name) in reached.items():
         score = weight * literal_score(text[start:end])

@@ -293,6 +293,13 @@ def test_secret_spans(spark):
     assert clean[0].text == "é [secret]\" x" and clean[0].n_chars == len(clean[0].text) and clean[1].text is None and clean[1].page == "clash"
 
 
+def test_secret_pairs_of_other_line_ends_names_and_orders():
+    value = "Zx9fQ2LmT7pR4vB8"
+    for text in (f"PRIVATE_KEY={value}\r\nX=1\r\n", f"PRIVATE_KEY={value} # live\nX=1\n", f"{'a.b' * 40}.auth.private.key = '{value}'", f"connect(auth=SIGN)\nSIGN='{value}'", f"auth=AA;\nAA=BB;\nBB='{value}';\n"):
+        at = text.index(value)
+        assert ("literal", at, at + len(value)) in [x[:3] for x in secrets.scan_text(text)], text
+
+
 def test_base_spans_equal_brute_force():
     r = random.Random(8)
     for _ in range(300):
