@@ -2,7 +2,7 @@
 
 A version's header line names its fields, which are read from the right, as only the URL can hold blanks; the declared length
 says where a record ends. From these the converter makes WARC records: identifiers from the record's place in its file,
-timestamps from the 14 digits, types from the URL, and SHA-1 payload digests in base32. Of records with equal payloads of at
+timestamps from the 14 digits, types from the block (a response has an HTTP header), and SHA-1 payload digests in base32. Of records with equal payloads of at
 least `min_bytes`, the one with the largest key stays a response and the others become revisits of it.
 
 Archives are written by Spark's text writer (gzip) into files of a bounded number of records, each file with its own first
@@ -149,7 +149,7 @@ def read_arc(spark: SparkSession, path: str, rules: ArchiveRules = ArchiveRules(
                 for at, f, block in arc_records(data) if data else ():
                     header, payload = http_parts(block)
                     m = re.search(rb"\r\nX-Key: (-?\d+)\r\n", header)
-                    kind = "response" if f["URL"].lower().startswith(("http:", "https:", "urn:page:")) else "resource"
+                    kind = "response" if header else "resource"
                     row = (f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}')}", kind, f["URL"], f["IP-address"], iso_date(f["Archive-date"], rules.date), f["Content-type"], int(m[1]) if m else None, digest32(payload), len(payload))
                     rows.append((*row, header, payload) if blocks else row)
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]

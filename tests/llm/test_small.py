@@ -122,6 +122,12 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_every_page_is_response_or_revisit(spark):
+    urls = ["ftp://h/x", "no-scheme", "//host/x", " http://h/x", "http://h/x", "mailto:x"]
+    got = warc.archive_round_trip(spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], "page_id bigint, url string, html string"))
+    assert rows(got, "page_id", "record_type", "refers_to") == [*((i, "revisit", 5) for i in range(5)), (5, "response", None)]
+
+
 def test_warc_bytes_survive(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a", bytes(range(256)))], "key bigint, url string, payload binary")
     warc.write_arc(df, str(tmp_path / "arc"))
