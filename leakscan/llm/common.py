@@ -31,9 +31,12 @@ def blank_words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; in a session that names none (tests), a folder of this machine."""
+    """The folder that all executors see, as the session names it. A local session that names none gets a folder of this
+    machine; on a cluster that would lose data, so there the setting is required."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "leakscan-shared")
     return where.rstrip("/")
 
@@ -56,13 +59,24 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str], broadcast_rows: i
     return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*docs.columns)
 
 
+def looked_up(left: DataFrame, key: str, pointers: DataFrame, how: str = "inner", hot: int = 200, often: int = 1000) -> DataFrame:
+    """left with the columns of pointers (unique, named `key` too): keys that left has over `often` times, the `hot` most
+    frequent of them, meet their rows by a broadcast of at most `hot` rows, so that no task gets all rows of one key."""
+    counts = left.groupBy(key).count().where(F.col("count") > often).orderBy(F.desc("count"), key).limit(hot).collect()  # at most `hot` rows
+    keys = [r[0] for r in counts if r[0] is not None]
+    if not keys:
+        return left.join(pointers, key, how)
+    many = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return left.where(~many).join(pointers, key, how).unionByName(left.where(many).join(F.broadcast(pointers.where(F.col(key).isin(keys))), key, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, component) with the smallest node of each component.
 
     Every round hooks each node onto its smallest neighbour, jumps pointers until all nodes point at roots, and contracts the
     edges to those between roots. A root that two rounds leave with an edge has taken in a node of its own, so at least half
     of the roots go in two rounds, whatever the order of the nodes; rounds go on until no edge is left. Minima combine on the
-    map side, so a node with many edges makes no large task. Null ends are dropped.
+    map side and hot labels are looked up by broadcast, so a large component makes no large task. Null ends are dropped.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
@@ -71,19 +85,17 @@ def components(edges: DataFrame) -> DataFrame:
         up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "labels")
         moved = 1
         while moved:
-            new = written(
-                up.join(up.select(F.col("node").alias("j"), F.col("up").alias("k")), F.col("up") == F.col("j"))
-                .select("node", F.col("k").alias("up"), (F.col("k") != F.col("up")).alias("moved")),
-                "labels",
-            )
+            next_up = up.select(F.col("node").alias("up"), F.col("up").alias("k"))
+            new = written(looked_up(up, "up", next_up).select("node", F.col("k").alias("up"), (F.col("k") != F.col("up")).alias("moved")), "labels")
             moved = new.where("moved").limit(1).count()
             up = new.select("node", "up")
         rounds.append(up)
-        ends = [up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b")]
-        both = written(both.join(ends[0], "a").join(ends[1], "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct(), "edges")
+        for c in ("a", "b"):
+            both = looked_up(both, c, up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")))
+        both = written(both.where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct(), "edges")
     if not rounds:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = rounds.pop()
     for up in reversed(rounds):
-        labels = up.join(labels.select(F.col("node").alias("j"), F.col("up").alias("k")), F.col("up") == F.col("j"), "left").select("node", F.coalesce("k", "up").alias("up"))
+        labels = looked_up(up, "up", labels.select(F.col("node").alias("up"), F.col("up").alias("k")), "left").select("node", F.coalesce("k", "up").alias("up"))
     return written(labels.select("node", F.col("up").alias("component")), "labels")

@@ -1,30 +1,31 @@
 """N-gram Jaccard join by count vectors.
 
-A document's set holds the hashes of its distinct k-word shingles. Its count vector says how many of them fall into each of
-`coordinates` hash groups: a point. Two sets share at most the sum of the coordinate minima of their points, and a link needs
-an overlap of at least share * (a + b) / (1 + share); so a pair, or all pairs below two nodes of an R-tree (by their
-upper corners), is ruled out when that sum is smaller. Survivors are verified on the sets themselves.
-
-Points alone would meet in one place, so they are first spread over blocks: shingles are dealt to finer hash groups, as many as
-a linked pair of that size can have differing shingles, and more. A linked pair then has equal groups, and a block holds the
-documents of a size class with one equal group. For sets under about 300 shingles that is certain (pigeonhole); larger sets
-use `max_groups` of their groups, and a pair right at the threshold then misses all blocks with a probability under 1e-9.
-
-Equal sets are one node. Every node is first compared with one node only, the smallest that leads a block of its, for some
-rounds: groups of thousands of near copies fall together without all their pairs. Blocks that still hold several components go to R-trees, in
-pages of at most `page` members and pairs of pages, which emit the surviving pairs across components. So no link between
-components is lost, and links inside one are not needed.
+A document's set holds the 64-bit hashes of its distinct k-word shingles. Its count vector says how many of them fall into each
+of `coordinates` hash groups: a point. Two sets share at most the sum of the coordinate minima of their points, and a link needs
+an overlap of at least share * (a + b) / (1 + share); so a pair, or all pairs below a node of an R-tree (by its upper corner),
+is ruled out when that sum is smaller. Survivors are verified on the sets of hashes; two different shingles of one pair have
+equal hashes with a probability below the product of the sizes over 2^64.
+
+Points alone would meet in one place, so they are first spread over blocks. All shingles have one order, the rare ones first
+(by how many documents hold a shingle of the same hash bucket; ties by hash). A block is a shingle, and holds the sets that have
+it among their first n - ceil(share * n) + 1: linked sets always have a common shingle among these, at any size. The first one
+they share at places i and j leaves room for an overlap of min(a - i, b - j), which rules out most pairs of a family of copies
+that differ too much: shingles that one copy alone has come first in the order and fill up its places.
+
+Equal sets are one node. Every node is first compared with one node only, the most central leader of its blocks (the member whose
+shared shingle comes earliest), for some rounds: families of near copies fall together without all their pairs. In blocks
+that still hold several components, the members outside the largest one query R-trees over all members, in cells of bounded size.
+So no link between components is lost, and links inside one are not needed.
 
 Documents without words have no shingles and no links. Rows with equal ids count as one document; a row with a null id links
-with nothing and has a null component. Further columns are ignored.
+with nothing and has a null component. Further columns are ignored. Which of several equal leaders is compared first is decided by
+the smallest id and changes no result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,34 +41,23 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 @dataclass(frozen=True)
 class JoinRules:
-    """k: words of a shingle; percent: least Jaccard similarity; coordinates: of a count vector; max_groups: see the module;
-    page: members of an R-tree; rounds: of
-    comparisons with leaders before the R-trees; broadcast_ids: ids that may be broadcast to pick texts, beyond which the texts are joined."""
+    """k: words of a shingle; percent: least Jaccard similarity; coordinates: of a count vector; buckets: hash buckets that shingles
+    are counted in for their order, a table of this fixed size that is broadcast (more of them only save work); page,
+    query_page: members of an R-tree and queries that meet it in one cell; rounds: of comparisons with leaders before the
+    R-trees; broadcast_ids: ids that may be broadcast to pick texts, beyond which the texts are joined."""
 
     k: int = 4
     percent: int = 85
     coordinates: int = 128
-    max_groups: int = 56
-    page: int = 512
+    buckets: int = 1 << 20
+    page: int = 1024
+    query_page: int = 8192
     rounds: int = 2
     broadcast_ids: int = 1_000_000
 
-    def differing(self, total: int) -> int:
-        """No linked pair with up to `total` shingles together has more of them in just one of its sets."""
-        return total * (100 - self.percent) // (100 + self.percent)
-
-    @cached_property
-    def group_size(self) -> int:
-        """Shingles in a group of which a pair at the threshold agrees on all in over a third of the groups."""
-        return max(1, int(-1 / math.log(self.percent / 100)))
-
-    @cached_property
-    def classes(self) -> list[int]:
-        """Lower bounds of the size classes."""
-        out = [1]
-        while out[-1] < 1 << 40:
-            out.append(max(out[-1] + 1, out[-1] * 3 // 2))
-        return out
+    def places(self, n: int) -> int:
+        """How many of the first shingles of a set of n a linked set must share one of."""
+        return n - -(-n * self.percent // 100) + 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,45 +94,58 @@ class Shingler:
         return np.unique(total)
 
 
-def groups(h: np.ndarray, rules: JoinRules) -> np.ndarray:
-    """Keys of the blocks of a set (see the module)."""
-    n, bounds = len(h), rules.classes
-    c = int(np.searchsorted(bounds, n, "right")) - 1
-    keys = [c] + ([c + 1] if 100 * n >= rules.percent * bounds[c + 1] else [])
-    mixed, out = mix(h + MIX), []
-    for key in keys:
-        top = bounds[key + 1] - 1
-        certain = rules.differing(2 * top) + 1
-        all_of_them = certain + 2 <= rules.max_groups
-        m = certain + 2 if all_of_them and certain > 1 else 1 if certain == 1 else max(rules.max_groups, top // rules.group_size)
-        at = (h >> np.uint64(17)) % np.uint64(m)
-        order = np.argsort(at, kind="stable")
-        at, part = at[order], mixed[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        sums, which = np.add.reduceat(part, first), at[first]
-        if not all_of_them:
-            sums, which = sums[which < rules.max_groups], which[which < rules.max_groups]
-        salt = np.uint64((key * 1_000_003 + 17) * int(MIX) % (1 << 64))
-        out.append(mix(sums + mix(which + salt)))
-        if all_of_them and m - len(which) > 2:  # many empty groups: these meet too, so that the pigeonhole still holds
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
-            out.append(mix(mix(empty + salt) + np.uint64(1)))
-    return np.concatenate(out)
+def bucket_counts(docs: DataFrame, rules: JoinRules) -> np.ndarray:
+    """How many rows of docs hold shingles of each hash bucket: summed by tasks in parts, `buckets` numbers in all."""
+    parts = min(256, rules.buckets)
+    size = -(-rules.buckets // parts)
+    schema = "part int, counts binary"
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, total = Shingler(rules.k), np.zeros(parts * size, np.int64)
+        for b in batches:
+            for i in range(0, len(b), 4000):
+                sets = [shingles(t.as_py()) for t in b["text"].slice(i, 4000)]
+                total += np.bincount((np.concatenate(sets) % np.uint64(rules.buckets)).astype(np.int64), minlength=len(total))
+        if total.any():
+            yield rows(dict(enumerate(total.reshape(parts, size))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b["part"].to_pylist(), b["counts"], strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(counts.as_py(), "<i8")
+        yield rows(total)
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros((parts, size), np.int64)
+    for r in docs.select("text").mapInArrow(tally, schema).repartition("part").mapInArrow(add, schema).collect():  # at most `parts` rows
+        out[r["part"]] = np.frombuffer(r["counts"], "<i8")
+    return np.minimum(out.ravel()[: rules.buckets], (1 << 32) - 1).astype(np.uint32)
+
+
+def first_shingles(h: np.ndarray, counts: np.ndarray, rules: JoinRules) -> np.ndarray:
+    """The shingles of a sorted set that make its blocks, in order."""
+    if not len(h):
+        return h
+    return h[np.argsort(counts[(h % np.uint64(len(counts))).astype(np.int64)], kind="stable")[: rules.places(len(h))]]
 
 
 def sketches(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """doc_id, n, digest of the set, count vector, block keys."""
+    """doc_id, n, digest of the set, count vector, the shingles of its blocks in order."""
+    held = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, rules))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, d = Shingler(rules.k), np.uint64(rules.coordinates)
+        shingles, d, counts = Shingler(rules.k), np.uint64(rules.coordinates), held.value
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.slice(i, 1000)
                 sets = [shingles(t.as_py()) for t in part["text"]]
                 points = [np.bincount((h % d).astype(np.int64), minlength=rules.coordinates).astype(np.int32) for h in sets]
-                keys = [groups(h, rules).view(np.int64) if len(h) else np.empty(0, np.int64) for h in sets]
+                blocks = [first_shingles(h, counts, rules).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), _lists(points, pa.int32()), _lists(keys, pa.int64())],
+                    [part["doc_id"].cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), _lists(points, pa.int32()), _lists(blocks, pa.int64())],
                     names=["doc_id", "n", "digest", "point", "blocks"],
                 )
 
@@ -213,69 +216,82 @@ class RTree:
         return self.order[found]
 
 
-def page_pairs(members: DataFrame, rules: JoinRules) -> DataFrame:
-    """members: (block, node, component, n, point, size of the block). Pairs of one block and different components that the
-    bound does not rule out, found by R-trees over pages and pairs of pages."""
-    pages = F.ceil(F.col("size") / rules.page).cast("int")
-    dealt = members.withColumn("pages", pages).withColumn("page", F.pmod(F.xxhash64("node"), "pages").cast("int"))
-    # each member goes to every pair of pages that its own page is in
-    other = F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("other")
-    spread = dealt.select("block", "node", "component", "n", "point", "page", other).select("block", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "page", "node", "component", "n", "point")
-    keyed = spread.withColumn("cell", F.xxhash64("block", "i", "j")).select("cell", "i", "j", "page", "node", "component", "n", "point")
-    ordered = keyed.repartition("cell").sortWithinPartitions("cell", "node")
+def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(block, node, place, n, component, size, main) of the blocks that still hold several components; size: members of the
+    block; main: its largest component."""
+    named = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = named.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
+    several = each.groupBy("block").agg(F.sum("held").alias("size"), F.max(F.struct("held", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    return named.join(several, "block").select("block", "node", "place", "n", "component", "size", "main")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            t = pa.Table.from_batches(held).combine_chunks()
-            cells = t["cell"].to_numpy()
-            last = int(np.searchsorted(cells == cells[-1], True)) if len(cells) else 0
-            if last:
-                yield cell_pairs(t.slice(0, last))
-                held = t.slice(last).to_batches()
-        if held:
-            yield cell_pairs(pa.Table.from_batches(held).combine_chunks())
-
-    def cell_pairs(t: pa.Table) -> pa.RecordBatch:
-        cells, node, comp, n, page, i = (t[c].to_numpy() for c in ("cell", "node", "component", "n", "page", "i"))
-        points = t["point"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))).tolist()
-        out_a, out_b = [], []
-        for s, e in zip(starts, [*starts[1:], len(cells)], strict=True):
-            lower = np.flatnonzero(page[s:e] == i[s:e]) + s
-            upper = lower if (page[s:e] == i[s:e]).all() else np.flatnonzero(page[s:e] != i[s:e]) + s
-            tree = RTree(n[upper], points[upper])
-            for q in lower:
-                f = upper[tree.search(int(n[q]), points[q], rules.percent)]
-                f = f[comp[f] != comp[q]]
-                if upper is lower:
-                    f = f[node[f] > node[q]]
-                out_a.append(np.minimum(node[f], node[q]))
-                out_b.append(np.maximum(node[f], node[q]))
-        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
+def room(place_a: Column, n_a: Column, place_b: Column, n_b: Column, rules: JoinRules) -> Column:
+    """Whether two sets with their first common shingle at these places can be linked."""
+    return F.least(n_a - place_a, n_b - place_b) >= needed(n_a + n_b, rules)
 
 
-def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(block, node, component, size) of the blocks that still hold several components."""
-    named = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.select("block", "node", "component", "size")
-    several = named.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
-    return named.join(several, "block")
+def leader_pairs(members: DataFrame, labels: DataFrame | None, rules: JoinRules) -> DataFrame:
+    """For each node one pair (a, b) at most: with the most central leader of its blocks that has another component."""
+    named = open_members(members, labels)
+    first = named.groupBy("block").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("at"), "node", "component", "place", "n")).alias("l"))
+    met = named.join(first, "block").where((F.col("component") != F.col("l.component")) & room(F.col("place"), F.col("n"), F.col("l.place"), F.col("l.n"), rules))
+    best = met.groupBy("node").agg(F.min(F.struct("l.at", "l.node")).alias("l"))
+    return best.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
+def cell_pairs(members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
+    """Pairs of one block and of different components that neither their places nor the bound rule out.
+
+    Members outside a block's largest component are its queries. A block is dealt into cells of about `page` members by
+    `query_page` queries; a cell holds an R-tree of its members, and its queries stream past it.
+    """
+    pages, lanes = F.ceil(F.col("size") / rules.page).cast("int"), F.ceil(F.col("queries") / rules.query_page).cast("int")
+    asked = members.where("component <> main").groupBy("block").agg(F.count(F.lit(1)).alias("queries"))
+    dealt = members.join(asked, "block").join(nodes.select("node", "point"), "node").withColumns({"pages": pages, "lanes": lanes, "deal": F.xxhash64("node")})
+    out = ["block", "page", "lane", "query", "node", "component", "main", "n", "place", "point"]
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = dealt.withColumn("page", F.pmod("deal", "pages").cast("int")).withColumn("lane", every("lanes")).withColumn("query", F.lit(0)).select(out)
+    queries = dealt.where("component <> main").withColumn("lane", F.pmod("deal", "lanes").cast("int")).withColumn("page", every("pages")).withColumn("query", F.lit(1)).select(out)
+    cells = held.union(queries).withColumn("cell", F.xxhash64("block", "page", "lane")).drop("page", "lane")
+    ordered = cells.repartition("cell").sortWithinPartitions("cell", "block", "query", "node")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        now, tree, whole = None, None, {}
+        for b in batches:
+            col = {c: b[c].to_numpy() for c in ("cell", "block", "query", "node", "component", "main", "n", "place")}
+            col["point"] = b["point"].flatten().to_numpy().reshape(len(b), -1)
+            change = (col["cell"][1:] != col["cell"][:-1]) | (col["block"][1:] != col["block"][:-1]) | (col["query"][1:] != col["query"][:-1])
+            ends = [*(np.flatnonzero(change) + 1).tolist(), len(b)] if len(b) else []
+            start, found = 0, []
+            for end in ends:
+                part, key = {c: x[start:end] for c, x in col.items()}, (col["cell"][start], col["block"][start])
+                if key != now:
+                    now, held, tree = key, [], None
+                if not part["query"][0]:
+                    held.append(part)
+                else:
+                    if tree is None and held:
+                        whole = {c: np.concatenate([x[c] for x in held]) for c in part}
+                        tree, held = RTree(whole["n"], whole["point"]), []
+                    if tree is not None:
+                        found.append(matches(part, whole, tree))
+                start = end
+            if found:
+                both = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def matches(queries: dict[str, np.ndarray], data: dict[str, np.ndarray], tree: RTree) -> np.ndarray:
+        side = data["component"] != data["main"]  # these are queries too: such pairs are taken once
+        out = []
+        for q, comp, n, place, point in zip(*(queries[c] for c in ("node", "component", "n", "place", "point")), strict=True):
+            f = tree.search(int(n), point, rules.percent)
+            f = f[(data["component"][f] != comp) & ~(side[f] & (data["node"][f] <= q))]
+            f = f[np.minimum(n - place, data["n"][f] - data["place"][f]) * (100 + rules.percent) >= rules.percent * (n + data["n"][f])]
+            out.append(np.stack([np.minimum(data["node"][f], q), np.maximum(data["node"][f], q)], 1))
+        return np.concatenate(out)
 
-def leader_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """For each node one pair (a, b) at most: with the smallest node that leads a block of its and has another component."""
-    named = open_members(members, labels)
-    # of each block the leaders are its smallest node, and the smallest of any other component
-    first = named.groupBy("block").agg(F.min(F.struct("node", "component")).alias("l"))
-    marked = named.join(first, "block").select("block", "node", "component", "l")
-    return marked.where(F.col("component") != F.col("l.component")).groupBy("node").agg(F.min("l.node").alias("a")).select("a", F.col("node").alias("b"))
+    return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
@@ -288,19 +304,20 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataF
         .select("digest", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.point").alias("point"), F.col("m.blocks").alias("blocks")),
         "nodes",
     )
-    blocks = nodes.select("node", F.explode("blocks").alias("block"))
-    shared = blocks.groupBy("block").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("block", "size")
+    blocks = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("blocks").alias("place", "block"))
+    shared = blocks.groupBy("block").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("block")
     members = written(blocks.join(shared, "block"), "members")
     tried, links, labels = None, None, None
     for _ in range(rules.rounds):
-        found = leader_pairs(members, labels)
+        found = leader_pairs(members, labels, rules)
         found = written(bounded(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), nodes, rules), "pairs")
         new = written(verified(found, docs, rules), "links")
         tried, links = (found, new) if tried is None else (tried.union(found), links.union(new))
         labels = components(links)
-    left = open_members(members, labels).join(nodes.select("node", "n", "point"), "node")
-    rest = written(page_pairs(left, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
-    labels = components(links.union(written(verified(rest, docs, rules), "links")))
+    rest = cell_pairs(open_members(members, labels), nodes, rules)
+    rest = written(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = written(verified(rest, docs, rules), "links")
+    labels = components(found if links is None else links.union(found))
     same = usable.select(F.col("doc_id").alias("d"), "digest").join(nodes.select("digest", "node"), "digest").select("d", "node")
     alias = same.where("d <> node").union(same.where("d = node").distinct())
     known = alias.join(labels, "node", "left").groupBy("d").agg(F.min(F.coalesce("component", "node")).alias("component"))

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from leakscan.llm import decontam, html, jaccard, licenses, packing, quality, queries, secrets, toxicity, viterbi, warc
-from leakscan.llm.common import components
+from leakscan.llm.common import components, looked_up
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,8 +62,8 @@ def test_jaccard_join_equals_brute_force(spark):
     texts = [None, "", " \t", "one", "One", "a b c", *base, *base[:3]]
     texts += [near(t, s, e) for t in base for s, e in enumerate((1, 2, 3, max(1, len(t.split()) // 60), len(t.split()) // 40, len(t.split()) // 25))]
     texts += [near(base[4], 100 + s, s % 9) for s in range(60)]
-    for k, percent in ((4, 85), (5, 80)):
-        got = jaccard.jaccard_components(docs(spark, texts), jaccard.JoinRules(k=k, percent=percent, page=16))
+    for k, percent, rounds in ((4, 85, 2), (5, 80, 2), (5, 80, 0)):
+        got = jaccard.jaccard_components(docs(spark, texts), jaccard.JoinRules(k=k, percent=percent, page=16, query_page=8, rounds=rounds))
         assert rows(got, "doc_id", "n_shingles", "component_id") == brute_components(texts, k, percent)
     assert jaccard.jaccard_components(docs(spark, texts[:0])).count() == 0
     kept = jaccard.drop_near_duplicates(docs(spark, ["a b c d e f", "A b c d e f", None, ""]))
@@ -73,14 +73,20 @@ def test_jaccard_join_equals_brute_force(spark):
 def test_bound_never_rules_out_a_link():
     r = np.random.default_rng(1)
     rules = jaccard.JoinRules()
-    for _ in range(200):
-        n = int(r.integers(1, 300))
+    counts = r.integers(1, 5, 64).astype(np.uint32)
+    met = 0
+    for i in range(400):
+        n = int(r.integers(1, 300)) if i % 20 else 5000
         a = np.unique(r.integers(0, 1 << 60, n).astype(np.uint64))
         b = np.unique(np.concatenate((a[r.random(len(a)) > 0.07], r.integers(0, 1 << 60, n // 14).astype(np.uint64))))
         if len(b) and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-            assert set(jaccard.groups(a, rules)) & set(jaccard.groups(b, rules))
-            points = np.stack([np.bincount((x % np.uint64(32)).astype(np.int64), minlength=32) for x in (a, b)])
+            met += 1
+            x, y = (jaccard.first_shingles(s, counts, rules).tolist() for s in (a, b))
+            first = next(k for k in x if k in y)
+            assert 185 * min(len(a) - x.index(first), len(b) - y.index(first)) >= 85 * (len(a) + len(b))
+            points = np.stack([np.bincount((s % np.uint64(32)).astype(np.int64), minlength=32) for s in (a, b)])
             assert 1 in jaccard.RTree(np.array([len(a), len(b)]), points).search(len(a), points[0], 85)
+    assert met > 50
 
 
 def test_components(spark):
@@ -97,6 +103,14 @@ def test_components_of_a_long_shuffled_path(spark):
     assert got == [(i, 0) for i in range(2000)] + [(i, 8000) for i in [*range(8000, 8050), 9000]]
 
 
+def test_hot_keys_are_looked_up_like_others(spark):
+    left = spark.createDataFrame([(i, i % 3 if i < 50 else 7) for i in range(120)] + [(500, None)], "node int, up int")
+    pointers = spark.createDataFrame([(7, "seven"), (1, "one"), (8, "eight")], "up int, k string")
+    assert rows(looked_up(left, "up", pointers, often=20), "node", "k") == rows(left.join(pointers, "up"), "node", "k")
+    got = {r.node: r.k for r in looked_up(left, "up", pointers, "left", often=20).collect()}
+    assert got == {i: {1: "one", 7: "seven"}.get(i % 3 if i < 50 else 7) for i in range(120)} | {500: None}
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 
