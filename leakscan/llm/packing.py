@@ -2,13 +2,18 @@
 
 An example has three demands: tokens, one segment, and loss-bearing tokens. A sequence has a limit for each. A sequence takes,
 again and again, the example that fits and whose demand has the largest dot product with what is left of the limits (both as
-shares of the limits). Where examples may be cut, the room that is left is filled by a cut of the largest example; what a
-block leaves over is cut at powers of two, which need no padding.
+shares of the limits). An example above a limit fills a fresh sequence first: capped to the limits its demand has the largest
+product of all. Where examples may be cut, the room that is left is filled by a cut of the largest example that bears no more
+loss for each token than the room does (else of the largest); the last free segment goes to such a cut too. A sequence that
+the loss limit closes within 1/32 of its tokens is padded; what else stays short is cut at powers of two, which need no padding.
 
-Blocks of examples are packed where they are read: there is no shuffle, a block has a bounded number of examples, and a
-sequence's number follows from the task's place, so that a repeated task gives the same rows.
+Of documents, tokens with a letter or digit bear loss; blanks, punctuation and the separator do not.
 
-Nulls: a null text is empty and has one token, the separator. Repeated rows and ids are packed one by one.
+Blocks of examples are packed where they are read: there is no shuffle, a block has a bounded number of examples and, but for
+one text, of bytes, and a sequence's number follows from the task's place, so that a repeated task gives the same rows.
+
+Nulls: a null text is empty and has one token, the separator. Repeated rows and ids are packed one by one. Of equal products the
+earlier example of the block (the longer one, then the first read) is taken. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +36,14 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Limits:
-    """Of a sequence: tokens, segments, loss-bearing tokens. block: examples that are packed together."""
+    """Of a sequence: tokens, segments, loss-bearing tokens. block, block_bytes: a block of examples that are packed together ends
+    at so many examples or bytes of text, which bounds memory; where blocks end changes the sequences but drops nothing."""
 
     tokens: int = 1024
-    segments: int = 256
-    loss: int = 1024
+    segments: int = 8
+    loss: int = 960
     block: int = 2048
+    block_bytes: int = 16_000_000
 
 
 #: Characters that regex engines do not agree on as blanks; texts with any take the slower way.
@@ -44,9 +51,11 @@ ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u20
 
 
 class ByteTokenizer:
-    """The ids that the `tokenizers` library gives for a byte-level BPE file. Where the file's ids follow its merges, as they do
-    when ids are ranks, the same merges run in tiktoken, which is several times faster; else, and for odd texts, the library
-    itself runs."""
+    """The ids that the `tokenizers` library gives for a byte-level BPE file, with its defaults. Where the file's ids follow its
+    merges, as they do when ids are ranks, the same merges run in tiktoken, which is several times faster; else, and for texts
+    with odd blanks or an added token, the library itself runs.
+
+    bears_loss: for each id, whether its bytes hold a letter or digit (all bytes of other scripts count as letters)."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -55,22 +64,26 @@ class ByteTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], whole.get("added_tokens") or []
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         # byte-level BPE writes a byte as a printable character: itself, or one of those from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+        self.bears_loss = np.zeros(1 + max([0, *vocab.values(), *(t["id"] for t in added)]), bool)
+        self.bears_loss[[i for t, i in vocab.items() if any(chr(b).isalnum() or b > 127 for b in (of.get(c, 0) for c in t))]] = True
+        self.bears_loss[[t["id"] for t in added]] = False
         self.fast = None
-        if all(vocab.get("".join(p)) == 256 + n for n, p in enumerate(pairs)):
+        if not whole.get("normalizer") and all(vocab.get("".join(p)) == 256 + n for n, p in enumerate(pairs)):
             ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if i < 256 + len(pairs)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         fast = self.fast
-        return [array("I", self.slow.encode(t, add_special_tokens=False).ids if fast is None or ODD.search(t) else fast.encode_ordinary(t)).tobytes() for t in texts]
+        return [array("I", self.slow.encode(t, add_special_tokens=False).ids if fast is None or ODD.search(t) or self.added.search(t) else fast.encode_ordinary(t)).tobytes() for t in texts]
 
 
 @lru_cache(2)
@@ -79,14 +92,16 @@ def worker_tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
 
 
-def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> list[list[tuple[int, int, int]]]:
-    """Packs a block of examples, each within the limits unless cut: sequences of pieces (example, start, length).
+def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, sums: list[np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Packs a block of examples: sequences of pieces (example, start, length).
 
-    Ties go to the earlier example. With cut, loss-bearing tokens are taken to come first in an example.
+    With sums, each example's loss-bearing tokens before every place (tokens + 1 numbers), examples may be cut; without, each
+    must be within the limits. Ties go to the earlier example.
     """
+    cut = sums is not None
     left_t, left_l, start = tokens.astype(np.int64).copy(), loss.astype(np.int64).copy(), np.zeros(len(tokens), np.int64)
     order = np.argsort(-left_t, kind="stable")
-    left_t, left_l, start, open_ = left_t[order], left_l[order], start[order], np.ones(len(order), bool)
+    left_t, left_l, open_ = left_t[order], left_l[order], np.ones(len(order), bool)
     out = []
     size = np.array([limits.tokens, limits.segments, limits.loss], float)
     demand = np.stack([left_t / size[0], np.full(len(order), 1 / size[1]), left_l / size[2]])
@@ -96,26 +111,34 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool)
         seq: list[tuple[int, int, int]] = []
         while todo and t and s:
             fits = open_ & (left_t <= t) & (left_l <= l)
-            if fits.any():
+            widest = int(np.where(open_, left_t, -1).argmax()) if cut else 0
+            filling = cut and left_t[widest] > t and (not seq or s == 1)  # a fresh sequence, or the last segment of one
+            if fits.any() and not filling:
                 score = np.where(fits, np.array([t, s, l]) / size @ demand, -1.0)
                 i = int(score.argmax())
                 n = int(left_t[i])
                 seq.append((int(order[i]), int(start[i]), n))
                 open_[i], todo = False, todo - 1
                 t, s, l = t - n, s - 1, l - int(left_l[i])
-            elif cut and l:
-                i = int(np.where(open_, left_t, -1).argmax())
-                n = min(t, l) if left_l[i] else t
-                b = min(n, int(left_l[i]))
-                seq.append((int(order[i]), int(start[i]), n))
-                start[i], left_t[i], left_l[i] = start[i] + n, left_t[i] - n, left_l[i] - b
+            elif cut:
+                lean = open_ & (left_t > t) & (left_l * t <= left_t * l)
+                i = int(np.where(lean, left_t, -1).argmax()) if lean.any() else widest
+                before, a = sums[order[i]], int(start[i])
+                n = min(t, int(left_t[i]), int(np.searchsorted(before, before[a] + l, "right")) - 1 - a)
+                if n <= 0:
+                    break  # no room for its next token's loss
+                b = int(before[a + n] - before[a])
+                seq.append((int(order[i]), a, n))
+                start[i], left_t[i], left_l[i] = a + n, left_t[i] - n, left_l[i] - b
                 demand[0, i], demand[2, i] = left_t[i] / size[0], left_l[i] / size[2]
                 t, s, l = t - n, s - 1, l - b
+                if not left_t[i]:
+                    open_[i], todo = False, todo - 1
             else:
                 break
         if not seq:
             raise ValueError("an example exceeds the limits and may not be cut")
-        out += split_at_powers(seq) if cut and t else [seq]
+        out += split_at_powers(seq) if cut and t * 32 > limits.tokens else [seq]
     return out
 
 
@@ -148,7 +171,7 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
         seq_id = TaskContext.get().partitionId() << 40
         for b in _blocks(batches, limits.block):
             rows = []
-            for seq in pack_block(b["tokens"].fillna(0).to_numpy(), b["loss_tokens"].fillna(0).to_numpy(), limits, cut=False):
+            for seq in pack_block(b["tokens"].fillna(0).to_numpy(), b["loss_tokens"].fillna(0).to_numpy(), limits):
                 at = 0
                 for k, (i, _, n) in enumerate(seq):
                     rows.append((b["example_id"].iat[i], seq_id, k, at))
@@ -192,11 +215,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
             nonlocal seq_id
             rows = []
             whole = np.array([len(t) // 4 for t in held], np.int64)
-            full = whole // limits.tokens * limits.tokens
-            alone = [[(i, a, limits.tokens)] for i, n in enumerate(full) for a in range(0, int(n), limits.tokens)]
-            tails = np.flatnonzero(whole > full)
-            some = pack_block((whole - full)[tails], (whole - full)[tails] - 1, limits, cut=True)
-            for seq in alone + [[(int(tails[i]), a + int(full[tails[i]]), n) for i, a, n in s] for s in some]:
+            sums = [np.concatenate(([0], np.cumsum(encode.bears_loss[np.frombuffer(t, "<u4")], dtype=np.int32))) for t in held]
+            for seq in pack_block(whole, np.array([x[-1] for x in sums]), limits, sums):
                 at = 0
                 for i, a, n in seq:
                     rows.append((ids[i], a, n, zlib.crc32(held[i][4 * a : 4 * (a + n)]), int(whole[i]), seq_id, at))
@@ -213,7 +233,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
                 ids += some["doc_id"].to_pylist()
                 held += [t + b"\0\0\0\0" for t in encode([x or "" for x in some["text"].to_pylist()])]
                 size += some["text"].nbytes
-                if len(held) >= limits.block or size > 16_000_000:
+                if len(held) >= limits.block or size > limits.block_bytes:
                     yield flush()
                     size = 0
         if held:

@@ -336,8 +336,9 @@ def test_packing_covers_every_token(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(BPE)
-    tk.encode_special_tokens = True
-    texts = [None, "", "a  b\n\n<|endoftext|> é日", *[prose(i, n) for i, n in enumerate((3, 50, 700, 5000, 90, 91, 92))], prose(1, 50)]
+    special = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext", "x<|endoftext|><|endoftext|>"]
+    texts = [None, "", "a  b\n\n<|endoftext|> é日", *special, *[prose(i, n) for i, n in enumerate((3, 50, 700, 5000, 90, 91, 92))], prose(1, 50), ", . ; " * 400, "word" * 500]
+    assert len(tk.encode("a <|endoftext|> b", add_special_tokens=False).ids) == 4
     got = packing.pack_documents(docs(spark, texts).coalesce(1), BPE).collect()
     for i, t in enumerate(texts):
         ids = tk.encode(t or "", add_special_tokens=False).ids + [0]
@@ -357,24 +358,45 @@ def test_packing_covers_every_token(spark):
             assert offset == at
             at += length
         padding += 0 if at & (at - 1) == 0 else 1024 - at
-        assert at <= 1024
-    assert padding == 0
+        assert at <= 1024 and len(parts) <= packing.Limits().segments
+    assert padding <= 64
     assert packing.pack_documents(docs(spark, []), BPE).count() == 0
 
 
+def test_each_limit_of_documents_binds():
+    r = random.Random(2)
+    texts = [prose(i, r.choice((2, 5, 9, 30, 200, 1500))) for i in range(300)] + [" . ".join(prose(i, 40).split()) for i in range(60)] + ["wordy " * 300] * 20
+    encode = packing.ByteTokenizer(BPE)
+    held = [np.frombuffer(x, "<u4") for x in encode(texts)]
+    sums = [np.concatenate(([0], np.cumsum(encode.bears_loss[x]))) for x in held]
+    n, loss = np.array([len(x) for x in held]), np.array([x[-1] for x in sums])
+    assert n[-1] == loss[-1] + 1 and len({round(b / a, 2) for a, b in zip(n, loss, strict=True)}) > 5
+    limits = packing.Limits()
+    made = {}
+    for name, some in {"all": limits, "loss": packing.Limits(loss=1024), "segments": packing.Limits(segments=1 << 20)}.items():
+        made[name] = packing.pack_block(n, loss, some, sums)
+        for seq in made[name]:
+            assert sum(k for *_, k in seq) <= some.tokens and len(seq) <= some.segments and sum(sums[i][a + k] - sums[i][a] for i, a, k in seq) <= some.loss
+        covered = sorted((i, a, k) for seq in made[name] for i, a, k in seq)
+        assert [sum(k for i, _, k in covered if i == j) for j in range(len(n))] == n.tolist()
+    assert made["all"] != made["loss"] and made["all"] != made["segments"]
+    padding = sum(1024 - k for k in (sum(k for *_, k in seq) for seq in made["all"]) if k & (k - 1))
+    assert padding < 0.01 * n.sum()
+
+
 def test_vector_limits(spark):
     r = random.Random(1)
     examples = [(i, r.randrange(1, 400), 0) for i in range(300)]
-    examples = [(i, t, r.randrange(0, t + 1)) for i, t, _ in examples] + [(1000, None, None)]
+    examples = [(i, t, r.randrange(0, t + 1)) for i, t, _ in examples] + [(1000, None, None)] + [(2000, 50, 20)] * 3
     limits = packing.Limits(1024, 5, 500, 128)
     got = packing.pack_examples(spark.createDataFrame(examples, "example_id int, tokens int, loss_tokens int"), limits).collect()
     size = {i: (t or 0, l or 0) for i, t, l in examples}
-    assert sorted(x.example_id for x in got) == sorted(size)
+    assert sorted(x.example_id for x in got) == sorted(i for i, *_ in examples)
     for s in {x.sequence_id for x in got}:
         inside = [size[x.example_id] for x in got if x.sequence_id == s]
         assert sum(t for t, _ in inside) <= 1024 and len(inside) <= 5 and sum(l for _, l in inside) <= 500
     with pytest.raises(ValueError):
-        packing.pack_block(np.array([2000]), np.array([0]), limits, cut=False)
+        packing.pack_block(np.array([2000]), np.array([0]), limits)
 
 
 # --- 10 ----------------------------------------------------------------------------------------------------------------
