@@ -320,6 +320,59 @@ def test_secret_pairs_of_other_line_ends_names_and_orders():
         assert ("literal", at, at + len(value)) in [x[:3] for x in secrets.scan_text(text)], text
 
 
+V, V1, V2 = "Zx9fQ2LmT7pR4vB8", "Zx9fQ2Lm", "T7pR4vB8"
+SYNTAX = [  # (text, the literals that are found)
+    (f'a = "{V1}" + "{V2}"; db_pass_word = a', [V1, V2]),
+    (f'set_pass_word("{V}")', [V]),
+    (f'env.put("AUTH_KEY", "{V}");', [V]),
+    (f"<private-key>{V}</private-key>", [V]),
+    (f'<add key="AuthKey" value="{V}"/>', [V]),
+    (f'<string name="auth_key">{V}</string>', [V]),
+    (f'private_key = """{V}"""', [V]),
+    (f'private_key = "{V1}" \\\n  "{V2}"\n', [V1, V2]),
+    (f'private_key = (\n  "{V1}"\n  "{V2}"\n)', [V1, V2]),
+    (f'static String AUTH_KEY = "{V1}"\n  + "{V2}";', [V1, V2]),
+    (f'def a():\n    k = "{V}"\n\ndef b():\n    private_key = k\n', []),
+    (f'k = "{V}"\ndef b():\n    private_key = k\n', [V]),
+    (f'function a() {{ const k = "{V}"; }} function b() {{ return {{ authKey: k }}; }}', []),
+    (f"[one]\nk={V}\n[two]\nprivate_key=k\n", []),
+    (f"[one]\nk={V}\nprivate_key=k\n", [V]),
+    (f'# k = "{V}"\nprivate_key = k\n', []),
+    (f'# private_key = "{V}"\n', [V]),
+    (f'/* auth_key: "{V}" */ x = 1', [V]),
+    ('private_key = os.getenv("DB_PRIVATE_KEY_NAME")', []),
+    (f'private_key = os.getenv("DB_PRIVATE_KEY") or "{V}"', [V]),
+    (f'private_key = decode(bytes("{V}"))', [V]),
+    (f'var authKey string = "{V}"', [V]),
+    (f'const authKey: string = "{V}";', [V]),
+    (f'conf["auth_key"] = "{V}"', [V]),
+    (f"auth:\n  private_key: {V}\n  - key: x", [V]),
+    (f"auth.private.key={V1}\\\n   {V2}\n", [V1, V2]),
+    ("a = b\nb = a\nprivate_key = a\n", []),
+    (f'a = b\nb = a + "{V}"\nprivate_key = a\n', [V]),
+    ("The author said: don't use the auth key of it's (see key).", []),
+    ("private_key = ${AUTH_KEY}\nauth_key=$OTHER\n", []),
+    ('<div class="access-key" id="x">hello</div> /* open <!-- too """ and ` and "', []),
+]
+
+
+@pytest.mark.parametrize("text,want", SYNTAX)
+def test_secret_syntax(text, want):
+    assert sorted(text[a:b] for kind, a, b, *_ in secrets.scan_text(text) if kind == "literal") == sorted(want)
+
+
+def test_secret_scan_of_long_and_broken_texts(spark):
+    long = "".join(f'a{i} = a{i - 1} + "x{i}"\n' for i in range(1, 4000)) + "private_key = a3999\n"
+    broken = ("(" * 3000 + '"' * 3001 + "key = {[" * 2000 + "/*" * 3000 + "<a b='" * 2000)
+    assert len([x for x in secrets.scan_text(long) if x[0] == "literal"]) == 3990  # pieces whose value with the one before has 6 characters
+    secrets.scan_text(broken)
+    both = docs(spark, [f"auth_key = '{V}'", f"auth_key = '{V}'", long, None])
+    assert rows(secrets.span_digests(both), "doc_id", "spans")[0][1] == rows(secrets.span_digests(both), "doc_id", "spans")[1][1] == "literal:12:28"
+    assert secrets.span_digests(docs(spark, [])).count() == secrets.redact_secrets(docs(spark, [])).count() == 0
+    once = secrets.redact_secrets(both)
+    assert rows(once, "text") == rows(secrets.redact_secrets(once), "text")
+
+
 def test_base_spans_equal_brute_force():
     r = random.Random(8)
     for _ in range(300):
