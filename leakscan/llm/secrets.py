@@ -40,7 +40,7 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # How strongly a word in a name says that its value is a secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "private": 0.5, "key": 0.5, "access": 0.3, "signing": 0.4, "encryption": 0.4, "client": 0.1, "api": 0.4, "jwt": 0.6, "bearer": 0.7, "salt": 0.4}
-PLACEHOLDER = re.compile(r"(?i)^(?:changeme|change_me|example|placeholder|none|null|true|false|undefined|xxx+|todo|your[_-].*|<.*>|\$\{.*|\$\w+|\{\{.*|%\(.*|\*+)$")
+PLACEHOLDER = re.compile(r"(?i)^(?:changeme|change_me|example|placeholder|none|null|true|false|undefined|xxx+|todo|your[_-].*|<.*>|\[.*\]|\$\{.*|\$\w+|\{\{.*|%\(.*|\*+)$")
 
 TOKEN = re.compile(
     r"""(?P<gap>[^\S\r\n]+|\\(?:\r\n?|\n))|(?P<nl>\r\n?|\n)|(?P<comment>/\*|<!--|(?<!\S)(?:\#|//)[^\r\n]*|(?:(?<=[\r\n])|\A)(?:--\ |;)[^\r\n]*)
