@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: list[list[str]] = []  # paths made by the running tidied() calls, the innermost last
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -52,6 +60,29 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Writes the (small) result of a function of a DataFrame and deletes the tables that the function wrote on its way."""
+
+    @wraps(make)
+    def run(df: DataFrame, *args: object, **options: object) -> DataFrame:
+        spark, result = df.sparkSession, []
+        _made.append([])
+        try:
+            out = make(df, *args, **options)
+            steps, _made[-1] = _made[-1], result
+            out = written(out, make.__name__)
+            result, _made[-1] = _made[-1], steps
+            return out
+        finally:
+            for path in _made.pop():
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            if _made:
+                _made[-1].extend(result)
+
+    return run
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
     """docs without the rows whose keys are in gone: by a broadcast of up to broadcast_rows keys, by a shuffle beyond."""
     gone = written(gone.select(*keys), "gone")

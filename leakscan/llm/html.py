@@ -1,22 +1,32 @@
 """Main text of web pages by site template removal.
 
-Every element subtree that lies outside an article is hashed; Spark counts the pages of each host that hold it; subtrees that
-recur on many pages of their host are the site's template and are deleted. Elements that are page furniture by their tag, role
-or class (menus, footers, adverts, forms, comments, scripts ...) are deleted on every page, as a host may have few pages.
-What is left is read block by block: inside the articles (else the main element) where a page has any, else in the whole body.
-Subtrees inside an article are never deleted for recurring: passages that articles share are content.
+A page is parsed once. Every element subtree is hashed from its leaves up; Spark counts the distinct pages of each host that hold
+it, and subtrees that recur on many of them are the site's template and are deleted. How many are many depends on where a
+subtree stands, since passages that articles share are content. In all places at least `min_pages` pages of the host hold it.
 
-Counts combine on the map side, so a host with a third of all pages makes no large task. The recurring subtrees are broadcast
-while they are at most `broadcast_rows`; beyond that they are joined to each page's subtrees by a shuffle.
+- Outside the articles (or main elements) of pages that have any: it is short, or `min_share` percent of the pages hold it.
+- On pages without: `min_share` percent hold it, or it is short and always stands at the same place, counted in blocks from the
+  start of the page or from its end.
+- Inside an article: it is short, always stands at the same place of its article, and `article_share` percent hold it.
 
-Nulls: a null or empty page has an empty text, a null url a host of its own kind. Repeated rows are extracted one by one.
+What recurrence cannot show goes by lists: adverts and reader comments differ from page to page, and on a host with few pages
+nothing recurs. So elements that are furniture by their tag, role or class are deleted too. What is left is read block by block: inside the
+articles where a page has any, else inside the main elements, else in the whole body.
+
+The parse leaves a table of text pieces and of subtree hashes with the range of pieces that each covers; pages are not read
+again. Counts combine on the map side, so a host with a third of all pages makes no large task. The recurring subtrees are
+broadcast while they are at most `broadcast_rows`; beyond that they are joined to the pages by a shuffle on host and hash.
+
+Nulls: a null or empty page has an empty text, a null url a host of its own kind. Equal pages count once; repeated rows are
+extracted one by one. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # HTML's elements without content, with raw text, and without a block of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -33,6 +45,10 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 LIST_SCOPE = frozenset("ul ol dl table select menu".split())
 # Page furniture by tag, by role, and by words of class and id.
 FURNITURE = frozenset("head script style title nav footer aside form noscript template iframe svg button select textarea dialog object canvas menu xmp noembed noframes".split())
+# What is never text, and what leaves no break in the text around it.
+HIDDEN = frozenset("head script style title noscript template iframe svg select textarea object canvas xmp noembed noframes".split())
+NO_TEMPLATE = HIDDEN | {"#root", "br", "meta", "link"}
+SILENT = frozenset("script style noscript template iframe svg button select textarea object canvas noembed noframes title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLASSES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus respond reply replies notice notices cookie cookies consent gdpr banner alert popup modal newsletter subscribe signup share sharing social related footer masthead skip pagination pager".split())
 
@@ -42,31 +58,38 @@ ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """min_pages, min_share: a subtree is template if at least so many pages, and percent of its host's pages, hold it;
-    broadcast_rows: see the module."""
+    """min_pages, min_share, article_share: see the module, shares in percent; short: most words of a short subtree;
+    lists: whether furniture by tag, role and class goes too; broadcast_rows: see the module."""
 
     min_pages: int = 5
     min_share: int = 20
+    article_share: int = 50
+    short: int = 50
+    lists: bool = True
     broadcast_rows: int = 100_000
 
 
 class Node:
-    __slots__ = ("children", "end", "furniture", "start", "tag")
+    __slots__ = ("children", "digest", "furniture", "opening", "tag")
 
-    def __init__(self, tag: str, start: int, furniture: bool) -> None:
-        self.tag, self.start, self.end, self.furniture, self.children = tag, start, start, furniture, []
+    def __init__(self, tag: str, opening: str, furniture: bool) -> None:
+        self.tag, self.opening, self.furniture, self.children, self.digest = tag, opening, furniture, [], 0
 
 
-def parse(page: str) -> Node:
-    """The page's tree; children are nodes and strings (text with character references as written)."""
-    root = Node("#root", 0, False)
-    stack, at, size = [root], 0, len(page)
+def parse(page: str, lists: bool = True) -> tuple[Node, list[Node]]:
+    """The page's tree and its nodes in page order; children are nodes and strings (text with character references as written)."""
+    root = Node("#root", "", False)
+    stack, nodes, at, size = [root], [root], 0, len(page)
+    opened: Counter[str] = Counter()
+    raw_ends: dict[str, re.Pattern] = {}
 
-    def close(n: int, end: int) -> None:
+    def close(n: int) -> None:
         while len(stack) > n:
-            stack.pop().end = end
+            opened[stack.pop().tag] -= 1
 
-    def nearest(tags, stop=frozenset()) -> int:
+    def nearest(tags: Iterable[str], stop: frozenset[str] | set[str] = frozenset()) -> int:
+        if not any(opened[t] for t in tags):
+            return 0
         for n in range(len(stack) - 1, 0, -1):
             if stack[n].tag in tags:
                 return n
@@ -74,6 +97,10 @@ def parse(page: str) -> Node:
                 return 0
         return 0
 
+    def add(node: Node) -> None:
+        stack[-1].children.append(node)
+        nodes.append(node)
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -98,26 +125,33 @@ def parse(page: str) -> Node:
         if m[1]:
             n = nearest((tag,))
             if n:
-                stack[n].end = at
-                close(n, at)
+                close(n)
             elif tag in ("p", "br"):
-                stack[-1].children.append(Node(tag, lt, False))
+                add(Node(tag, "", False))
             continue
         if tag in CLOSES_P and (n := nearest(("p",), {"button", "table", "article", "#root"})):
-            close(n, lt)
+            close(n)
         elif tag in SAME_CLOSES and (n := nearest(SAME_CLOSES[tag], LIST_SCOPE)):
-            close(n, lt)
-        node = Node(tag, lt, tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs)) or (tag == "header" and not nearest(("article",))))
-        stack[-1].children.append(node)
+            close(n)
+        listed = tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs)) or (tag == "header" and not opened["article"])
+        add(node := Node(tag, m[0], listed if lists else tag in HIDDEN))
         if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
-            node.end = at
-        elif tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            node.end = at = size if end is None else end.end()
-        elif len(stack) < 500:
+            continue
+        if tag in RAW:
+            if tag not in raw_ends:
+                raw_ends[tag] = re.compile(rf"</{tag}\s*>", re.I)
+            end = raw_ends[tag].search(page, at)
+            node.children.append(page[at : size if end is None else end.start()])
+            at = size if end is None else end.end()
+        else:
             stack.append(node)
-    close(0, size)
-    return root
+            opened[tag] += 1
+    for node in reversed(nodes):  # children come after their parents
+        h = xxhash.xxh64(node.opening.encode("utf-8", "replace"))
+        for c in node.children:
+            h.update(b"\0" + c.encode("utf-8", "replace") if isinstance(c, str) else b"\1" + c.digest.to_bytes(8, "little", signed=True))
+        node.digest = h.intdigest() - (1 << 63)
+    return root, nodes
 
 
 def _furniture(tag: str, attrs: str) -> bool:
@@ -135,123 +169,209 @@ def _furniture(tag: str, attrs: str) -> bool:
     return False
 
 
-def subtree_hash(page: str, node: Node) -> int:
-    """A signed 64-bit hash of the subtree as written."""
-    return xxhash.xxh64_intdigest(page[node.start : node.end].encode("utf-8", "replace")) - (1 << 63)
+OUTSIDE, INSIDE, PLAIN = range(3)
 
 
-def outer_hashes(page: str) -> set[int]:
-    """Hashes of all element subtrees outside articles (and of none that holds one)."""
-    out: set[int] = set()
-    todo = [parse(page)]
-    while todo:
-        node = todo.pop()
-        for c in node.children:
-            if not isinstance(c, str) and c.tag not in ("article", "main", "br"):
-                todo.append(c)
-                if c.tag not in ("html", "body", "head") and c.end > c.start:
-                    out.add(subtree_hash(page, c))
-    return out
+@dataclass
+class Pieces:
+    """A parsed page. texts: its text in order, None where a block ends. subtrees: (hash, first piece, end, where, words, blocks
+    before it and after it), where: OUTSIDE, INSIDE an article, or on a PLAIN page. articles, mains: ranges of pieces."""
 
+    texts: list[str | None]
+    subtrees: list[list[int]]
+    articles: list[tuple[int, int]]
+    mains: list[tuple[int, int]]
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text, without furniture and the given template subtrees."""
-    root = parse(page)
-    articles: dict[str, list[Node]] = {"article": [], "main": []}
 
-    def kept(node: Node, inside: bool) -> bool:
-        return not node.furniture and (inside or not template or node.tag in ("html", "body", "article", "main") or subtree_hash(page, node) not in template)
-
-    todo = [root]
+def pieces(page: str, rules: TemplateRules = TemplateRules()) -> Pieces:
+    root, nodes = parse(page, rules.lists)
+    holds = set()  # what holds an article or a main element is no template
+    todo: list = [(root, False)]
     while todo:
-        node = todo.pop()
-        for c in reversed(node.children):
-            if not isinstance(c, str) and kept(c, False):
-                if c.tag in articles:
-                    articles[c.tag].append(c)
-                if c.tag != "article":
-                    todo.append(c)
-    top = sorted(articles["article"] or articles["main"][:1], key=lambda n: n.start) or [root]
+        node, done = todo.pop()
+        inner = [c for c in node.children if not isinstance(c, str)]
+        if done:
+            if node.tag in ("html", "body", "article", "main") or any(id(c) in holds for c in inner):
+                holds.add(id(node))
+        else:
+            todo.append((node, True))
+            todo += [(c, False) for c in inner]
+    out = Pieces([], [], [], [])
+    held = {x.tag for x in nodes if not x.furniture}
+    plain = not held & {"article", "main"}
+    words = blocks = 0
+    open_block = False  # whether the running block has a word
+    work: list = [(root, False, False)]
+    while work:
+        x, inside, hidden = work.pop()
+        if isinstance(x, str):
+            if not hidden:
+                text = entities.unescape(x)
+                n = len(text.split())
+                words += n
+                open_block = open_block or n > 0
+                out.texts.append(text)
+            continue
+        if x is None:
+            if open_block:
+                blocks, open_block = blocks + 1, False
+            out.texts.append(None)
+            continue
+        if isinstance(x, list):  # the end of a subtree
+            x[2], x[4] = len(out.texts), words - x[4]
+            x[6] = blocks + open_block
+            continue
+        if isinstance(x, tuple):  # the end of an article or main element
+            kind, start, n, before = x
+            (out.articles if kind == "article" else out.mains).append((start, len(out.texts)))
+            if kind == "article":
+                for sub in out.subtrees[n:]:
+                    sub[5], sub[6] = sub[5] - before, blocks + open_block - sub[6]
+            continue
+        gone = hidden or x.furniture
+        if x.tag not in INLINE and not (x.furniture and x.tag in SILENT):
+            work.append((None, inside, False))
+            if open_block:
+                blocks, open_block = blocks + 1, False
+            out.texts.append(None)
+        region = x.tag if x.tag in ("article", "main") and not inside and not gone else None
+        if region == "main" and work and any(isinstance(w[0], tuple) and w[0][0] == "main" for w in work[-2:]):
+            region = None
+        if region:
+            work.append(((region, len(out.texts), len(out.subtrees), blocks), inside, False))
+        within = inside or region == "article"
+        if (id(x) not in holds or region == "article") and x.tag not in NO_TEMPLATE:
+            sub = [x.digest, len(out.texts), 0, INSIDE if within else PLAIN if plain else OUTSIDE, words, blocks, 0]
+            out.subtrees.append(sub)
+            work.append((sub, inside, False))
+        if x.tag not in HIDDEN:
+            work += [(c, within, gone) for c in reversed(x.children) if not (gone and isinstance(c, str))]
+    if plain:
+        for sub in out.subtrees:
+            sub[6] = blocks + open_block - sub[6]
+    return out
+
+
+def joined(texts: list[str | None]) -> str:
+    """Blocks in order, joined by blanks."""
     blocks: list[str] = []
     held: list[str] = []
-
-    def flush() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
-        if text:
-            blocks.append(text)
-        held.clear()
-
-    for t in top:
-        inside = t is not root
-        work: list = [t]
-        while work:
-            x = work.pop()
-            if isinstance(x, str):
-                held.append(x)
-            elif x is None:
-                flush()
-            elif x is t or kept(x, inside):
-                block = x.tag not in INLINE
-                if block:
-                    flush()
-                    work.append(None)
-                work.extend(reversed(x.children))
-        flush()
+    for x in [*texts, None]:
+        if x is not None:
+            held.append(x)
+        elif held:
+            if text := " ".join("".join(held).split()):
+                blocks.append(text)
+            held = []
     return " ".join(blocks)
 
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+def kept_text(texts: list[str | None], articles: list, mains: list, removed: list) -> str:
+    """The text of a parsed page without the removed ranges of pieces."""
+    left = list(texts)
+    for a, b in removed:
+        left[a:b] = [None if x is None else "" for x in left[a:b]]
+    whole = [(a, b) for a, b in removed if b > a]
+    for regions in (articles, mains):
+        held = [(a, b) for a, b in regions if not any(c <= a and b <= d for c, d in whole)]
+        if held:
+            return " ".join(filter(None, (joined(left[a:b]) for a, b in held)))
+    return joined(left)
 
 
-def page_subtrees(pages: DataFrame) -> DataFrame:
-    """host and hashes of each page's subtrees."""
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), rules: TemplateRules = TemplateRules()) -> str:
+    """The page's main text, without furniture and the subtrees with the given hashes."""
+    p = pieces(page, rules)
+    return kept_text(p.texts, p.articles, p.mains, [(x[1], x[2]) for x in p.subtrees if x[0] in template])
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [sorted(outer_hashes(x.as_py() or "")) for x in b["html"]]
-            yield pa.RecordBatch.from_arrays([b["host"], pa.array(out, pa.list_(pa.int64()))], names=["host", "hashes"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(hashes, "host string, hashes array<bigint>")
+def host_of(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """host and hash of the subtrees that recur across many pages of the host."""
-    # one row (host, null) for each page counts the pages of its host in the same pass
-    spread = page_subtrees(pages).select("host", F.explode(F.concat(F.col("hashes"), F.array(F.lit(None).cast("long")))).alias("hash"))
-    counts = spread.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.min_pages)
-    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return counts.where("hash is not null").join(total, "host").where(F.col("n") * 100 >= F.col("pages") * rules.min_share).select("host", "hash")
+RANGE = "array<struct<a: int, b: int>>"
+SUBTREE = "hash: bigint, a: int, b: int, place: int, words: int, before: int, after: int"
 
 
-def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of pages (page_id, url, html)."""
-    from .common import written
-
-    found = written(site_templates(pages, rules), "templates")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if found.count() <= rules.broadcast_rows:
-        rows = rows.join(F.broadcast(found.groupBy("host").agg(F.collect_list("hash").alias("template"))), "host", "left")
-    else:
-        key = F.xxhash64("url", "html").alias("key")
-        own = page_subtrees_by_key(rows.select("host", "html", key)).join(found, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))
-        rows = rows.withColumn("key", key).join(own, "key", "left")
+def parsed_pages(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
+    """One row per row of pages: page_id, url, host, digest of the page, and its pieces."""
     kind = pages.schema["page_id"].dataType.simpleString()
+    ranges = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    names = [x.split(":")[0].strip() for x in SUBTREE.split(",")]
+    subtrees = pa.list_(pa.struct([(n, pa.int64() if n == "hash" else pa.int32()) for n in names]))
+    two = lambda x: [dict(zip("ab", r, strict=True)) for r in x]
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(x.as_py() or "", frozenset(t.as_py() or ())) for x, t in zip(b["html"], b["template"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.select("page_id", "url", "html", "template").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars bigint")
+            for i in range(0, len(b), 200):
+                part = b.slice(i, 200)
+                html = [x.as_py() or "" for x in part["html"]]
+                found = [pieces(x, rules) for x in html]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["page_id"], part["url"], part["host"], pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in html], pa.binary()),
+                        pa.array([p.texts for p in found], pa.list_(pa.string())), pa.array([two(p.articles) for p in found], ranges), pa.array([two(p.mains) for p in found], ranges),
+                        pa.array([[dict(zip(names, x, strict=True)) for x in p.subtrees] for p in found], subtrees),
+                    ],
+                    names=["page_id", "url", "host", "digest", "texts", "articles", "mains", "subtrees"],
+                )
+
+    return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInArrow(
+        parse_all, f"page_id {kind}, url string, host string, digest binary, texts array<string>, articles {RANGE}, mains {RANGE}, subtrees array<struct<{SUBTREE}>>"
+    )
+
+
+def site_templates(parsed: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
+    """host and hash of the subtrees that recur across many distinct pages of the host; place: where they stand."""
+    distinct = parsed.groupBy("host", "digest").agg(F.min("subtrees").alias("subtrees"))  # equal pages have equal subtrees
+    # one row (host, null) for each page counts the pages of its host in the same pass; a page holds a subtree once
+    none = F.array(F.lit(None).cast(f"struct<{SUBTREE}>"))
+    each = distinct.select("host", "digest", F.explode(F.concat("subtrees", none)).alias("s")).groupBy("host", "digest", F.col("s.hash").alias("hash"), F.col("s.place").alias("place"))
+    once = each.agg(F.max("s.words").alias("words"), *[f(f"s.{c}").alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("min", F.min), ("max", F.max))])
+    counts = once.groupBy("host", "hash", "place").agg(
+        F.count(F.lit(1)).alias("n"), F.max("words").alias("words"), *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("min", F.min), ("max", F.max))]
+    ).where(F.col("n") >= rules.min_pages)
+    counts = written(counts, "subtree-counts")
+    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
+    shared = counts.where("hash is not null").join(total, "host")
+    share, brief = F.col("n") * 100 / F.col("pages"), F.col("words") <= rules.short
+    in_place = (F.col("min_before") == F.col("max_before")) | (F.col("min_after") == F.col("max_after"))
+    often = share >= rules.min_share
+    told = F.when(F.col("place") == INSIDE, (share >= rules.article_share) & brief & in_place & (F.col("words") > 0))
+    told = told.when(F.col("place") == PLAIN, often | (brief & in_place)).otherwise(often | brief)
+    return shared.where(told).select("host", "hash", "place")
 
 
-def page_subtrees_by_key(pages: DataFrame) -> DataFrame:
-    """key, host, hash: the subtrees of each distinct page, for templates too many to broadcast."""
+def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
+    """page_id, url, text, n_chars, n_template (outermost subtrees that went for recurring): one row per row of pages (page_id,
+    url, html)."""
+    parsed = written(parsed_pages(pages, rules), "parsed-pages")
+    found = written(site_templates(parsed, rules), "templates")
+    rows = parsed.drop("digest")
+    if found.limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows:
+        template = F.broadcast(found.groupBy("host").agg(F.collect_list(F.struct("hash", "place")).alias("template")))
+        rows = rows.join(template, "host", "left")
+    else:  # each distinct page's own recurring subtrees, by its digest
+        own = parsed.groupBy("host", "digest").agg(F.min("subtrees").alias("subtrees")).select("host", "digest", F.explode("subtrees").alias("s"))
+        own = own.select("host", "digest", F.col("s.hash").alias("hash"), F.col("s.place").alias("place")).join(found, ["host", "hash", "place"])
+        rows = parsed.join(own.groupBy("host", "digest").agg(F.collect_set(F.struct("hash", "place")).alias("template")), ["host", "digest"], "left")
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sorted(outer_hashes(x.as_py() or "")) for x in b["html"]]
-            yield pa.RecordBatch.from_arrays([b["key"], b["host"], pa.array(out, pa.list_(pa.int64()))], names=["key", "host", "hashes"])
-
-    return pages.mapInArrow(hashes, "key bigint, host string, hashes array<bigint>").select("key", "host", F.explode("hashes").alias("hash")).distinct()
+            out, removed = [], []
+            for texts, articles, mains, subtrees, template in zip(*(b[c].to_pylist() for c in ("texts", "articles", "mains", "subtrees", "template")), strict=True):
+                known = {(t["hash"], t["place"]) for t in template or ()}
+                gone: list[tuple[int, int]] = []
+                for x in subtrees if known else ():  # in page order, so that the outermost comes first
+                    if (x["hash"], x["place"]) in known and not (gone and gone[-1][0] <= x["a"] and x["b"] <= gone[-1][1]):
+                        gone.append((x["a"], x["b"]))
+                ranges = [[(r["a"], r["b"]) for r in some] for some in (articles, mains)]
+                out.append(kept_text(texts, *ranges, gone))
+                removed.append(len(gone))
+            yield pa.RecordBatch.from_arrays(
+                [b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(removed, pa.int64())],
+                names=["page_id", "url", "text", "n_chars", "n_template"],
+            )
+
+    return rows.select("page_id", "url", "texts", "articles", "mains", "subtrees", "template").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars bigint, n_template bigint")

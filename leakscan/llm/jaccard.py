@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, without, written
+from .common import LOWER_BYTES, components, tidied, without, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -216,13 +216,9 @@ class RTree:
         return self.order[found]
 
 
-def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(block, node, place, n, component, size, main) of the blocks that still hold several components; size: members of the
-    block; main: its largest component."""
-    named = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    each = named.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
-    several = each.groupBy("block").agg(F.sum("held").alias("size"), F.max(F.struct("held", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    return named.join(several, "block").select("block", "node", "place", "n", "component", "size", "main")
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the component of each node."""
+    return members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def room(place_a: Column, n_a: Column, place_b: Column, n_b: Column, rules: JoinRules) -> Column:
@@ -230,15 +226,21 @@ def room(place_a: Column, n_a: Column, place_b: Column, n_b: Column, rules: Join
     return F.least(n_a - place_a, n_b - place_b) >= needed(n_a + n_b, rules)
 
 
-def leader_pairs(members: DataFrame, labels: DataFrame | None, rules: JoinRules) -> DataFrame:
+def leader_pairs(named: DataFrame, rules: JoinRules) -> DataFrame:
     """For each node one pair (a, b) at most: with the most central leader of its blocks that has another component."""
-    named = open_members(members, labels)
-    first = named.groupBy("block").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("at"), "node", "component", "place", "n")).alias("l"))
+    first = named.groupBy("block").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("at"), "node", "component", "place", "n")).alias("l"), F.max("component").alias("top"), F.min("component").alias("low")).where("low <> top").drop("low", "top")
     met = named.join(first, "block").where((F.col("component") != F.col("l.component")) & room(F.col("place"), F.col("n"), F.col("l.place"), F.col("l.n"), rules))
     best = met.groupBy("node").agg(F.min(F.struct("l.at", "l.node")).alias("l"))
     return best.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
+def open_members(named: DataFrame) -> DataFrame:
+    """The members of the blocks that hold several components, with the block's size and its largest component."""
+    each = named.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
+    several = each.groupBy("block").agg(F.sum("held").alias("size"), F.max(F.struct("held", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    return named.join(several, "block").select("block", "node", "place", "n", "component", "size", "main")
+
+
 def cell_pairs(members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
     """Pairs of one block and of different components that neither their places nor the bound rule out.
 
@@ -294,31 +296,34 @@ def cell_pairs(members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFr
     return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
+@tidied
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs (doc_id integer, text)."""
     rows = written(sketches(docs, rules), "sketches")
     usable = rows.where("n > 0 and doc_id is not null")
     # one node per set, named by its smallest id
-    nodes = written(
-        usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "point", "blocks")).alias("m"))
-        .select("digest", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.point").alias("point"), F.col("m.blocks").alias("blocks")),
-        "nodes",
-    )
-    blocks = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("blocks").alias("place", "block"))
-    shared = blocks.groupBy("block").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("block")
+    named = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "names")
+    few = named.limit(rules.broadcast_ids + 1).count() <= rules.broadcast_ids
+    kept = usable.join(F.broadcast(named) if few else named, "digest").where("doc_id = node")
+    nodes = kept.select("node", "n", "point")
+    blocks = kept.select("node", F.col("n").cast("int").alias("n"), F.posexplode("blocks").alias("place", "block"))
+    # of a block of two it is known at once whether its places leave room for a link
+    end = lambda f: f(F.struct("node", "n", "place"))
+    shared = blocks.groupBy("block").agg(end(F.min).alias("x"), end(F.max).alias("y"), F.count(F.lit(1)).alias("size")).where("x.node <> y.node")
+    shared = shared.where((F.col("size") > 2) | room(F.col("x.place"), F.col("x.n"), F.col("y.place"), F.col("y.n"), rules)).select("block")
     members = written(blocks.join(shared, "block"), "members")
     tried, links, labels = None, None, None
     for _ in range(rules.rounds):
-        found = leader_pairs(members, labels, rules)
+        found = leader_pairs(labelled(members, labels), rules)
         found = written(bounded(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), nodes, rules), "pairs")
         new = written(verified(found, docs, rules), "links")
         tried, links = (found, new) if tried is None else (tried.union(found), links.union(new))
         labels = components(links)
-    rest = cell_pairs(open_members(members, labels), nodes, rules)
+    rest = cell_pairs(written(open_members(labelled(members, labels)), "open"), nodes, rules)
     rest = written(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     found = written(verified(rest, docs, rules), "links")
     labels = components(found if links is None else links.union(found))
-    same = usable.select(F.col("doc_id").alias("d"), "digest").join(nodes.select("digest", "node"), "digest").select("d", "node")
+    same = usable.select(F.col("doc_id").alias("d"), "digest").join(named, "digest").select("d", "node")
     alias = same.where("d <> node").union(same.where("d = node").distinct())
     known = alias.join(labels, "node", "left").groupBy("d").agg(F.min(F.coalesce("component", "node")).alias("component"))
     return rows.join(known, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -299,6 +299,48 @@ def test_templates_are_deleted(spark):
         assert got == {i: f"Page {i} says {prose(i, 9)}" for i in range(8)} | {90: f"Welcome to the site Page 90 says {prose(90, 9)}", 91: "", 92: ""}
 
 
+def test_templates_inside_articles_and_shared_passages(spark):
+    long = prose(77, 60)
+    rows_ = []
+    for i in range(12):
+        parts = [f"<h1>Title {i}</h1>", f"<p>{prose(i, 30)}</p>", f"<p>{prose(50 + i, 20)}</p>"]
+        if i % 2:
+            parts.insert(1 + i % 3, "<p>Shared short remark</p>")  # on half of the pages, but at no fixed place
+        if i % 3:
+            parts.insert(2, f"<p>{long}</p>")
+        rows_.append((i, f"http://h/{i}", f"<article>{''.join(parts)}<div><p>Read more on our site</p></div></article>"))
+    pages = spark.createDataFrame([*rows_, rows_[0], rows_[0]], "page_id bigint, url string, html string")
+    got = html.extract_main_text(pages)
+    texts = {r.page_id: r.text for r in got.collect()}
+    for i, _, page in rows_:
+        assert texts[i] == html.main_text(page).removesuffix(" Read more on our site") != html.main_text(page)
+    assert {r.n_template for r in got.collect()} == {1} and got.count() == 14
+    assert dict(rows(html.extract_main_text(pages, html.TemplateRules(min_pages=100)), "page_id", "text"))[3].endswith("our site")
+
+
+def test_template_counts_equal_brute_force(spark):
+    r = random.Random(3)
+    nav = [f"<nav><a href='/{i}'>menu {i}</a></nav>" for i in range(3)]
+    pages = [(i, f"http://{r.choice('abc')}/{i}", r.choice(nav) + f"<div><p>{prose(r.randrange(9), 5)}</p></div><article><p>{prose(i, 9)}</p></article>") for i in range(80)]
+    rules = html.TemplateRules(min_share=30, short=-1)  # only shares decide
+    parsed = html.parsed_pages(spark.createDataFrame([*pages, *pages[:20]], "page_id bigint, url string, html string"), rules)
+    held, n = {}, Counter()
+    for host, page in {(u.split("/")[2], h) for _, u, h in pages}:
+        n[host] += 1
+        for x in html.pieces(page, rules).subtrees:
+            held.setdefault((host, x[0], x[3]), set()).add(page)
+    want = {k for k, p in held.items() if len(p) >= 5 and 100 * len(p) >= 30 * n[k[0]] and k[2] == html.OUTSIDE}
+    assert want and {(x.host, x.hash, x.place) for x in html.site_templates(parsed, rules).collect()} == want
+
+
+def test_deep_and_broken_pages():
+    deep = "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000
+    assert html.main_text(f"<div><article>a{deep}b</article></div>c") == "a deep b"
+    assert html.main_text("<main>one</main><main>two</main>three") == "one two"
+    assert html.main_text("<p>a<script>x</script>b<div class=ad>x</div>c &amp;lt;&nbsp;d") == "ab c &lt; d"
+    assert html.main_text("<i>" * 2000 + "</b>" * 2000 + "x") == "x"
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 
 
