@@ -1,13 +1,15 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as two vectors: an embedding of the word (a vocabulary from the training rows) and the mean embedding of its
-character n-grams, which also speak for words never seen in training. A window of `window` words goes through a gated
+A word enters as two vectors: an embedding of the word (a vocabulary from the training rows) and the mean embedding of all its
+character n-grams, which also speak for words never seen in training. Runs of over `long` letters (long words, and texts
+without blanks) enter as overlapping parts of that length, each a step of its own, so nothing of them is left out. A window of `window` words goes through a gated
 recurrent layer in both directions, attention weighs the steps, and a logistic unit scores the pooled state. Every text is
 cut into overlapping windows (all of them are scored); the text's score is that of its highest window, calibrated on the
 training texts.
 
-Training takes a bounded sample of labelled rows (`positives` and `negatives`, those with the smallest hash of their id).
-Only whole texts are labelled, so the windows of a toxic text that teach are those with a word or n-gram that is common in
+Training takes a bounded sample of labelled rows (`positives` and `negatives`, those with the smallest hash of their id; of
+rows with one id the smallest text), and `per_text` windows of each. With under about 100 toxic rows the network has too little
+to learn from: on the 30 of a table of 1000 documents it scores no better than chance. Only whole texts are labelled, so the windows of a toxic text that teach are those with a word or n-gram that is common in
 toxic and rare in other training texts. Scoring runs over all rows, in Arrow batches, with the small model broadcast.
 
 Nulls and empty texts have no windows and score 0. Rows are scored one by one, so repeated rows and ids do not matter. With
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,10 +35,14 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    """window, stride: in words; positives, negatives: bounds of the training sample; words, grams: bounds of the vocabularies."""
+    """window, stride: in words; long: letters of a step; positives, negatives: bounds of the training sample; per_text: windows
+    of a text of the sample that teach, drawn at random (of toxic texts those with a telling word); words, grams: bounds of the
+    vocabularies; size, hidden: of the embeddings and of a direction's state; epochs, more_epochs: before and after the other
+    texts' highest windows join; least_aside: toxic rows from which a fifth of the sample sets the cut; batch, rate, seed."""
 
     window: int = 32
     stride: int = 24
+    long: int = 12
     positives: int = 1200
     negatives: int = 2000
     per_text: int = 3
@@ -51,38 +58,50 @@ class ToxicityRules:
     seed: int = 11
 
 
+def steps(text: str | None, long: int = ToxicityRules.long) -> list[str]:
+    """The lower-cased words of a text; those of over `long` letters as overlapping parts, the last one up to the end."""
+    out = WORD.findall((text or "").lower())
+    if max(map(len, out), default=0) <= long:
+        return out
+    part = lambda w: [w[i : i + long] for i in range(0, len(w) - long, long - 4)] + [w[-long:]]
+    return [p for w in out for p in (part(w) if len(w) > long else (w,))]
+
+
 def char_grams(word: str) -> list[str]:
-    w = f"<{word[:40]}>"
-    return [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 4] for i in range(len(w) - 3)]
+    w, n = f"<{word}>", len(word)
+    return [w[i : i + 3] for i in range(n)] + [w[i : i + 4] for i in range(n - 1)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-class Encoder:
-    """Words to rows of a table: the word's id and up to `most` n-gram ids (0: none)."""
+class Encoder(dict):
+    """From words of up to `long` letters to rows of a table, which has the word's id and its n-gram ids (0: none)."""
 
-    def __init__(self, words: dict[str, int], grams: dict[str, int], most: int = 24) -> None:
-        self.words, self.grams, self.most = words, grams, most
+    def __init__(self, words: dict[str, int], grams: dict[str, int], long: int = ToxicityRules.long) -> None:
+        self.words, self.grams, self.most = words, grams, 2 * long + 1  # n-grams of 3 and 4 with both ends marked
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.word_ids, self.gram_ids = [0], [[0] * self.most]  # row 0 is padding
+        super().clear()
+        self.word_ids, self.gram_ids = array("i", [0]), array("i", [0] * self.most)  # row 0 is padding
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self.word_ids)
+        self.word_ids.append(self.words.get(word, 1))
+        known = self.grams.get
+        found = [i for x in char_grams(word) if (i := known(x))]
+        found += [0] * (self.most - len(found))
+        self.gram_ids.fromlist(found)
+        return row
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The word ids and n-gram ids of all rows."""
+        return np.array(self.word_ids), np.array(self.gram_ids).reshape(-1, self.most)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        rows = self.rows
-        try:
-            return np.array([rows[w] for w in words], np.int64)
-        except KeyError:
-            for w in words:
-                if w not in rows:
-                    rows[w] = len(self.word_ids)
-                    self.word_ids.append(self.words.get(w, 1))
-                    g = [self.grams[x] for x in char_grams(w) if x in self.grams][: self.most]
-                    self.gram_ids.append(g + [0] * (self.most - len(g)))
-            return np.array([rows[w] for w in words], np.int64)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def windows(rows: np.ndarray, rules: ToxicityRules) -> np.ndarray:
@@ -207,12 +226,12 @@ class ToxicityModel:
         """The score of each whole text."""
         if self.network is None:
             return np.zeros(len(texts))
-        top = self.raw(texts, encoder or Encoder(self.words, self.grams))
+        top = self.raw(texts, encoder or Encoder(self.words, self.grams, self.rules.long))
         return np.where(np.isfinite(top), sigmoid(self.slope * top + self.shift), 0.0)
 
     def raw(self, texts: list[str | None], encoder: Encoder) -> np.ndarray:
         """The highest logit of each text's windows; -inf without words."""
-        cut = [windows(encoder(WORD.findall((t or "").lower())), self.rules) for t in texts]
+        cut = [windows(encoder(steps(t, self.rules.long)), self.rules) for t in texts]
         counts = np.array([len(c) for c in cut])
         best = np.full(len(texts), -np.inf)
         if not counts.sum():
@@ -227,7 +246,8 @@ class ToxicityModel:
         # input projections once for each distinct word
         distinct, where = np.unique(rows, return_inverse=True)
         where = where.reshape(rows.shape)
-        x = net.inputs(np.array([encoder.word_ids[i] for i in distinct]), np.array([encoder.gram_ids[i] for i in distinct]))
+        word_ids, gram_ids = np.frombuffer(encoder.word_ids, np.int32)[distinct], np.frombuffer(encoder.gram_ids, np.int32).reshape(-1, encoder.most)[distinct]
+        x = net.inputs(word_ids, gram_ids)
         proj = {d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
         logit = np.empty(len(rows))
         for i in range(0, len(rows), 2048):
@@ -245,7 +265,7 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
     # a fifth of the sample, if it is large, sets the cut between both labels
     aside = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) % 5 == 0 for t in texts]) & (y.sum() >= rules.least_aside)
     checked, texts, labels, y = [(texts[i], labels[i]) for i in np.flatnonzero(aside)], [t for t, x in zip(texts, aside, strict=True) if not x], [l for l, x in zip(labels, aside, strict=True) if not x], y[~aside]
-    split = [WORD.findall((t or "").lower()) for t in texts]
+    split = [steps(t, rules.long) for t in texts]
     seen = [set(s) for s in split]
     word_n, gram_n, word_y, gram_y = Counter(), Counter(), Counter(), Counter()
     for s, l in zip(seen, labels, strict=True):
@@ -263,7 +283,7 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
     ranked = lambda n, keep: sorted((x for x, k in n.items() if k >= 2), key=lambda x: (-n[x], x))[:keep]
     words = {w: i + 2 for i, w in enumerate(dict.fromkeys([*sorted(telling_words), *ranked(word_n, rules.words)]))}
     grams = {g: i + 1 for i, g in enumerate(dict.fromkeys([*sorted(telling_grams), *ranked(gram_n, rules.grams)]))}
-    encoder, random = Encoder(words, grams), np.random.default_rng(rules.seed)
+    encoder, random = Encoder(words, grams, rules.long), np.random.default_rng(rules.seed)
     telling = lambda w: w in telling_words or not telling_grams.isdisjoint(char_grams(w))
     known: dict[str, bool] = {}
     picked, target = [], []
@@ -283,7 +303,7 @@ def train(texts: list[str | None], labels: list[int], rules: ToxicityRules = Tox
     rows, t = np.concatenate(picked), np.array(target, np.float32)
     if not (0 < t.sum() < len(t)):
         return ToxicityModel({}, {}, None, 0.0, 0.0, rules)
-    word_ids, gram_ids = np.array(encoder.word_ids), np.array(encoder.gram_ids)
+    word_ids, gram_ids = encoder.table()
     net = GatedNetwork(len(words) + 2, len(grams) + 1, rules)
     model = ToxicityModel(words, grams, net, 1.0, 0.0, rules)
     _fit(net, rows, t, word_ids, gram_ids, rules, rules.epochs, random)
@@ -333,7 +353,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> l
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic", F.xxhash64(F.lit(rules.seed), "doc_id").alias("h")).distinct()
     picked = [usable.where(F.col("toxic") == l).orderBy("h", "doc_id").limit(n) for l, n in ((1, rules.positives), (0, rules.negatives))]
     sample = picked[0].union(picked[1]).select("doc_id", "toxic")  # at most positives + negatives rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # no more rows than the sample, whatever repeats
     return sorted(((r["text"] or "", int(r["toxic"])) for r in rows), key=lambda x: (x[1], x[0]))
 
 
@@ -344,11 +365,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = To
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
-        encoder = Encoder(held.words, held.grams)
+        encoder = Encoder(held.words, held.grams, held.rules.long)
         for b in batches:
             for i in range(0, len(b), 256):
                 part = b.slice(i, 256)
-                if len(encoder.rows) > 200_000:
+                if len(encoder) > 200_000:
                     encoder.clear()
                 s = held.scores(part["text"].to_pylist(), encoder)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -196,12 +196,16 @@ def test_toxicity_learns_from_allowed_rows_only(spark):
                 w.insert(r.randrange(len(w)), r.choice(bad))
         texts.append(" ".join(w))
         toxic.append(int(i % 3 == 0))
-    texts += [None, "", prose(7, 5000)]
+    texts += [None, "", prose(7, 5000), *[prose(9, 40)] * 2]
     held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(len(texts))]
     # labels of held-out rows are turned around: they must not be learnt
     labels = spark.createDataFrame([(i, 1 - t if held[i] else t) for i, t in enumerate(toxic)], "doc_id bigint, toxic int")
     rules = toxicity.ToxicityRules(epochs=2, more_epochs=1)
-    got = {x.doc_id: x for x in toxicity.score_toxicity(docs(spark, texts), labels, rules).collect()}
+    both = docs(spark, texts)
+    scored = toxicity.score_toxicity(both.union(both.where("doc_id in (1, 2)")), labels, rules).collect()
+    got = {x.doc_id: x for x in scored}
+    assert len(scored) == len(texts) + 2 and len({x.score for x in scored if x.doc_id == 1}) == 1 and got[243].score == got[244].score
+    assert len(toxicity.training_rows(both.union(both), labels, toxicity.ToxicityRules(positives=9, negatives=5))) == 14
     assert [got[i].held_out for i in range(len(texts))] == held
     right = [got[i].predicted == toxic[i] for i in range(240) if held[i]]
     assert sum(right) >= 0.9 * len(right)
@@ -209,6 +213,27 @@ def test_toxicity_learns_from_allowed_rows_only(spark):
     assert {x.score for x in toxicity.score_toxicity(docs(spark, texts[:5]), labels.limit(0), rules).collect()} == {0.0}
 
 
+def test_no_letter_is_left_out():
+    rules = toxicity.ToxicityRules()
+    for n in (1, 11, 12, 13, 20, 25, 64, 301):
+        word = "".join(chr(97 + (7 * i + i // 26) % 26) for i in range(n))
+        parts = toxicity.steps(f"A {word} b")[1:-1]
+        assert all(len(p) <= 12 for p in parts) and parts[0] == word[:12] and word.endswith(parts[-1])
+        at = 0
+        for p in parts:  # each part starts within the one before or right after it
+            k = word.index(p, max(0, at - 12))
+            assert k <= at
+            at = k + len(p)
+        assert at == n
+    grams = {g: i + 1 for i, g in enumerate(sorted({x for w in ("abcdefghijkl", "mnopqrstuvwx") for x in toxicity.char_grams(w)}))}
+    encoder = toxicity.Encoder({}, grams)
+    row = encoder["abcdefghijkl"]
+    assert sorted(x for x in encoder.table()[1][row].tolist() if x) == sorted(grams[x] for x in toxicity.char_grams("abcdefghijkl"))
+    ends = [toxicity.steps("q" * 60 + tail) for tail in ("vile", "fine")]
+    assert ends[0] != ends[1]
+    assert len(toxicity.windows(np.arange(1, 101), rules)) == 4 and toxicity.windows(np.arange(1, 101), rules).max() == 100
+
+
 def test_gradients():
     rules = toxicity.ToxicityRules(size=3, hidden=4)
     net = toxicity.GatedNetwork(6, 5, rules)
