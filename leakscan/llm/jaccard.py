@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,32 +67,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts; hashes of words are kept up to a bound."""
-
-    def __init__(self, k: int, keep: int = 500_000) -> None:
-        self.k, self.keep, self.known = k, keep, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
-        known = self.known
-        try:
-            ids = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.keep:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            ids = [known[w] for w in words]
-        if not ids:
-            return np.empty(0, np.uint64)
-        h = np.array(ids, np.uint64)
-        n = max(1, len(h) - self.k + 1)
-        total = np.full(n, len(h) if len(h) < self.k else self.k, np.uint64)
-        for i in range(min(self.k, len(h))):
-            total = mix(total * MIX + h[i : i + n])
-        return np.unique(total)
+BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
+BYTES = np.where(BLANKS, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * MIX) | np.uint64(1))
+
+
+def word_hashes(data: bytes, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A hash and the first byte of each word between blanks, chunk by chunk (cut at blanks)."""
+    hashes, firsts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    whole = np.frombuffer(data, np.uint8)
+    while at < len(data):
+        end = min(at + chunk, len(data))
+        while end < len(data) and not BLANKS[data[end]]:
+            end += 1
+        part = whole[at:end]
+        inside = ~BLANKS[part]
+        starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+        if len(starts):
+            lengths = np.diff(starts, append=len(part))
+            place = np.arange(starts[0], len(part)) - np.repeat(starts, lengths)
+            powers = np.full(int(lengths.max()), MIX | np.uint64(1), np.uint64)
+            powers[0] = 1
+            # blanks count nothing, so a segment may run up to the next word
+            hashes.append(mix(np.add.reduceat(BYTES[part[starts[0] :]] * np.cumprod(powers)[place], starts - starts[0])))
+            firsts.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (UTF-8)."""
+    words, firsts = word_hashes(b"\n".join(t or b"" for t in texts).translate(LOWER_BYTES))
+    ends = np.searchsorted(firsts, np.cumsum([len(t or b"") + 1 for t in texts]))
+    rolled = np.full(max(0, len(words) - k + 1), k, np.uint64)
+    for i in range(k if len(rolled) else 0):
+        rolled = mix(rolled * MIX + words[i : i + len(rolled)])
+    out, start = [], 0
+    for end in ends.tolist():
+        n = end - start
+        if n >= k:
+            out.append(np.unique(rolled[start : end - k + 1]))
+        elif n:
+            whole = np.full(1, n, np.uint64)
+            for i in range(start, end):
+                whole = mix(whole * MIX + words[i : i + 1])
+            out.append(whole)
+        else:
+            out.append(np.empty(0, np.uint64))
+        start = end
+    return out
+
+
+def text_slices(batch: pa.RecordBatch, rows: int = 1000, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Parts of a batch with their texts as bytes, of at most so many rows and, but for single texts, bytes."""
+    at, sizes = 0, np.cumsum([0] + pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist())
+    while at < len(batch):
+        end = max(at + 1, min(at + rows, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1))
+        part = batch.slice(at, end - at)
+        yield part, part["text"].cast(pa.binary()).to_pylist()
+        at = end
 
 
 def bucket_counts(docs: DataFrame, rules: JoinRules) -> np.ndarray:
@@ -101,11 +134,10 @@ def bucket_counts(docs: DataFrame, rules: JoinRules) -> np.ndarray:
     schema = "part int, counts binary"
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total = Shingler(rules.k), np.zeros(parts * size, np.int64)
+        total = np.zeros(parts * size, np.int64)
         for b in batches:
-            for i in range(0, len(b), 4000):
-                sets = [shingles(t.as_py()) for t in b["text"].slice(i, 4000)]
-                total += np.bincount((np.concatenate(sets) % np.uint64(rules.buckets)).astype(np.int64), minlength=len(total))
+            for _, texts in text_slices(b):
+                np.add.at(total, (np.concatenate(shingle_sets(texts, rules.k)) % np.uint64(rules.buckets)).astype(np.int64), 1)
         if total.any():
             yield rows(dict(enumerate(total.reshape(parts, size))))
 
@@ -137,11 +169,10 @@ def sketches(docs: DataFrame, rules: JoinRules) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, rules))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, d, counts = Shingler(rules.k), np.uint64(rules.coordinates), held.value
+        d, counts = np.uint64(rules.coordinates), held.value
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.slice(i, 1000)
-                sets = [shingles(t.as_py()) for t in part["text"]]
+            for part, texts in text_slices(b):
+                sets = shingle_sets(texts, rules.k)
                 points = [np.bincount((h % d).astype(np.int64), minlength=rules.coordinates).astype(np.int32) for h in sets]
                 blocks = [first_shingles(h, counts, rules).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -169,18 +200,21 @@ def bounded(pairs: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= needed(F.col("n_a") + F.col("n_b"), rules)).select("a", "b").distinct()
 
 
+def picked(docs: DataFrame, ids: DataFrame, rules: JoinRules) -> DataFrame:
+    """The rows of docs with an id of the written table ids (id): by a broadcast of up to broadcast_ids, by a shuffle beyond."""
+    few = ids.limit(rules.broadcast_ids + 1).count() <= rules.broadcast_ids
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
     """Pairs (a, b) of ids that are linked."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.limit(rules.broadcast_ids + 1).count() <= rules.broadcast_ids
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = picked(docs.select("doc_id", "text"), ids, rules)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(rules.k)
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), _lists([shingles(t.as_py()).view(np.int64) for t in part["text"]], pa.int64())], names=["doc_id", "s"])
+            for part, texts in text_slices(b):
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), _lists([s.view(np.int64) for s in shingle_sets(texts, rules.k)], pa.int64())], names=["doc_id", "s"])
 
     held = written(texts.mapInArrow(sets, "doc_id bigint, s array<bigint>"), "sets")
     side = lambda c: held.select(F.col("doc_id").alias(c), F.col("s").alias(f"s_{c}"))
@@ -303,8 +337,7 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataF
     usable = rows.where("n > 0 and doc_id is not null")
     # one node per set, named by its smallest id
     named = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "names")
-    few = named.limit(rules.broadcast_ids + 1).count() <= rules.broadcast_ids
-    kept = usable.join(F.broadcast(named) if few else named, "digest").where("doc_id = node")
+    kept = picked(usable, named.select(F.col("node").alias("id")), rules).withColumnRenamed("doc_id", "node")
     nodes = kept.select("node", "n", "point")
     blocks = kept.select("node", F.col("n").cast("int").alias("n"), F.posexplode("blocks").alias("place", "block"))
     # of a block of two it is known at once whether its places leave room for a link

@@ -70,6 +70,19 @@ def test_jaccard_join_equals_brute_force(spark):
     assert rows(kept, "doc_id") == [(0,), (2,), (3,)] and kept.columns == docs(spark, []).columns
 
 
+def test_shingles_equal_brute_force():
+    r = random.Random(1)
+    texts = ["".join(r.choice(["a", "B", " ", "\n", "é", "\t", "xyz", "\x0b", "\xa0"]) for _ in range(r.randrange(40))).encode() for _ in range(400)]
+    texts += [None, b"", b" ", ("w" * 5000).encode(), " ".join(map(str, range(20000))).encode()]
+    blank = r"[^\x20\x09-\x0D]+"
+    for k in (1, 4):
+        for t, s in zip(texts, jaccard.shingle_sets(texts, k), strict=True):
+            w = re.findall(blank, re.sub("[A-Z]", lambda m: m[0].lower(), (t or b"").decode()))
+            assert len(s) == (len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) if len(w) >= k else bool(w))
+    whole = b"\n".join(t or b"" for t in texts)
+    assert all((x == y).all() for x, y in zip(jaccard.word_hashes(whole), jaccard.word_hashes(whole, 7), strict=True))
+
+
 def test_bound_never_rules_out_a_link():
     r = np.random.default_rng(1)
     rules = jaccard.JoinRules()
