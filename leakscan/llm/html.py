@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -298,20 +299,25 @@ def parsed_pages(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> Da
     kind = pages.schema["page_id"].dataType.simpleString()
     ranges = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     names = [x.split(":")[0].strip() for x in SUBTREE.split(",")]
-    subtrees = pa.list_(pa.struct([(n, pa.int64() if n == "hash" else pa.int32()) for n in names]))
     two = lambda x: [dict(zip("ab", r, strict=True)) for r in x]
 
+    def listed(found: list[Pieces]) -> pa.ListArray:
+        flat = [x for p in found for x in p.subtrees]
+        cols = list(zip(*flat, strict=True)) or [()] * len(names)
+        ends = np.cumsum([0] + [len(p.subtrees) for p in found]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c, pa.int64() if n == "hash" else pa.int32()) for c, n in zip(cols, names, strict=True)], names=names))
+
     def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 200):
-                part = b.slice(i, 200)
+            for i in range(0, len(b), 100):
+                part = b.slice(i, 100)
                 html = [x.as_py() or "" for x in part["html"]]
                 found = [pieces(x, rules) for x in html]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["page_id"], part["url"], part["host"], pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in html], pa.binary()),
                         pa.array([p.texts for p in found], pa.list_(pa.string())), pa.array([two(p.articles) for p in found], ranges), pa.array([two(p.mains) for p in found], ranges),
-                        pa.array([[dict(zip(names, x, strict=True)) for x in p.subtrees] for p in found], subtrees),
+                        listed(found),
                     ],
                     names=["page_id", "url", "host", "digest", "texts", "articles", "mains", "subtrees"],
                 )
@@ -358,20 +364,24 @@ def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules())
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, removed = [], []
-            for texts, articles, mains, subtrees, template in zip(*(b[c].to_pylist() for c in ("texts", "articles", "mains", "subtrees", "template")), strict=True):
-                known = {(t["hash"], t["place"]) for t in template or ()}
-                gone: list[tuple[int, int]] = []
-                for x in subtrees if known else ():  # in page order, so that the outermost comes first
-                    if (x["hash"], x["place"]) in known and not (gone and gone[-1][0] <= x["a"] and x["b"] <= gone[-1][1]):
-                        gone.append((x["a"], x["b"]))
-                ranges = [[(r["a"], r["b"]) for r in some] for some in (articles, mains)]
-                out.append(kept_text(texts, *ranges, gone))
-                removed.append(len(gone))
-            yield pa.RecordBatch.from_arrays(
-                [b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(removed, pa.int64())],
-                names=["page_id", "url", "text", "n_chars", "n_template"],
-            )
+        for whole in batches:
+            for i in range(0, len(whole), 100):
+                b = whole.slice(i, 100)
+                out, removed = [], []
+                for texts, articles, mains, subtrees, template in zip(*(b[c] for c in ("texts", "articles", "mains", "subtrees", "template")), strict=True):
+                    known = {(t["hash"], t["place"]) for t in template.as_py() or ()}
+                    found = subtrees.values
+                    hashes, places, starts, ends = (found.field(c).to_pylist() for c in ("hash", "place", "a", "b")) if known else ([],) * 4
+                    gone: list[tuple[int, int]] = []
+                    for h, place, start, end in zip(hashes, places, starts, ends, strict=True):  # in page order: the outermost comes first
+                        if (h, place) in known and not (gone and gone[-1][0] <= start and end <= gone[-1][1]):
+                            gone.append((start, end))
+                    ranges = [[(r["a"], r["b"]) for r in some.as_py()] for some in (articles, mains)]
+                    out.append(kept_text(texts.as_py(), *ranges, gone))
+                    removed.append(len(gone))
+                yield pa.RecordBatch.from_arrays(
+                    [b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(removed, pa.int64())],
+                    names=["page_id", "url", "text", "n_chars", "n_template"],
+                )
 
     return rows.select("page_id", "url", "texts", "articles", "mains", "subtrees", "template").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars bigint, n_template bigint")
