@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-A page is parsed once. Every element subtree is hashed from its leaves up; Spark counts the distinct pages of each host that hold
+A page is parsed once. Every block element's subtree is hashed from its leaves up; Spark counts the distinct pages of each host that hold
 it, and subtrees that recur on many of them are the site's template and are deleted. How many are many depends on where a
 subtree stands, since passages that articles share are content. In all places at least `min_pages` pages of the host hold it.
 
@@ -48,7 +48,7 @@ LIST_SCOPE = frozenset("ul ol dl table select menu".split())
 FURNITURE = frozenset("head script style title nav footer aside form noscript template iframe svg button select textarea dialog object canvas menu xmp noembed noframes".split())
 # What is never text, and what leaves no break in the text around it.
 HIDDEN = frozenset("head script style title noscript template iframe svg select textarea object canvas xmp noembed noframes".split())
-NO_TEMPLATE = HIDDEN | {"#root", "br", "meta", "link"}
+NO_TEMPLATE = HIDDEN | INLINE | {"#root", "br", "meta", "link"}
 SILENT = frozenset("script style noscript template iframe svg button select textarea object canvas noembed noframes title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLASSES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus respond reply replies notice notices cookie cookies consent gdpr banner alert popup modal newsletter subscribe signup share sharing social related footer masthead skip pagination pager".split())
@@ -351,7 +351,7 @@ def site_templates(parsed: DataFrame, rules: TemplateRules = TemplateRules()) ->
 def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
     """page_id, url, text, n_chars, n_template (outermost subtrees that went for recurring): one row per row of pages (page_id,
     url, html)."""
-    parsed = written(parsed_pages(pages, rules), "parsed-pages")
+    parsed = written(parsed_pages(pages, rules), "parsed-pages", compression="zstd")
     found = written(site_templates(parsed, rules), "templates")
     rows = parsed.drop("digest")
     if found.limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows:
