@@ -83,11 +83,24 @@ def tidied(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no column of that name in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df by name, also with dots and back ticks in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
     """docs without the rows whose keys are in gone: by a broadcast of up to broadcast_rows keys, by a shuffle beyond."""
     gone = written(gone.select(*keys), "gone")
     few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*own_columns(docs))
 
 
 def looked_up(left: DataFrame, key: str, pointers: DataFrame, how: str = "inner", hot: int = 200, often: int = 1000) -> DataFrame:

@@ -9,9 +9,10 @@ collide: their number follows from the target recall. Windows of an item's size
 embedded only where it holds as many of the items' word 3-grams as any passage within the edit distance must (the q-gram
 lemma), which loses nothing. A collision is verified by the exact edit distance between the item and the words around it.
 
-Items are a small table: their index is built on the driver in blocks of at most `item_block` items, each sent to the
-executors; more items mean more passes, and there is no shuffle. Items and texts that are null or have under 3 words match
-nothing. Repeated rows and ids give repeated results.
+Items are a small table: their index is built on the driver in blocks of about `item_block` items and `item_bytes` bytes at most,
+each sent to the executors; more items mean more passes, and there is no shuffle. Items of one or two words allow no edit and
+are looked up word by word. Null and empty items and texts match nothing. Repeated rows and ids give repeated results. Of several
+closest places the first is reported. Further columns are ignored, and drop_leaks keeps them.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LeakRules:
     """max_edits: edits per item word; recall: target of the LSH; far: largest share of differing steps it is aimed at; sampled:
-    steps in a table's key; walks: independent embeddings; item_block: see the module."""
+    steps in a table's key; walks: independent embeddings; item_block, item_bytes: see the module."""
 
     max_edits: float = 0.2
     recall: float = 0.95
@@ -45,6 +46,7 @@ class LeakRules:
     sampled: int = 3
     walks: int = 6
     item_block: int = 20_000
+    item_bytes: int = 50_000_000
     seed: int = 7
 
     def edits(self, words: int) -> int:
@@ -133,10 +135,15 @@ class ItemIndex:
     def __init__(self, item_ids: list, texts: list[str | None], rules: LeakRules = LeakRules()) -> None:
         words = Words()
         self.rules = rules
-        pairs = [(i, x) for i, x in ((i, words(t)) for i, t in zip(item_ids, texts, strict=True)) if len(x) >= Q]
+        pairs = [(i, x) for i, x in ((i, words(t)) for i, t in zip(item_ids, texts, strict=True)) if len(x)]
         self.item_ids, self.ids = [p[0] for p in pairs], [p[1] for p in pairs]
         self.lists = [x.tolist() for x in self.ids]
-        order = sorted(range(len(pairs)), key=lambda k: len(self.ids[k]))
+        self.brief: dict[tuple[int, ...], list[int]] = {}
+        for k, x in enumerate(self.lists):
+            if len(x) < Q:
+                self.brief.setdefault(tuple(x), []).append(k)
+        self.brief_first = np.array(sorted({x[0] for x in self.brief}), np.uint64)
+        order = sorted((k for k in range(len(pairs)) if len(self.ids[k]) >= Q), key=lambda k: len(self.ids[k]))
         self.classes: list[SizeClass] = []
         while order:
             top = max(len(self.ids[order[0]]) + 1, int(len(self.ids[order[0]]) * 1.15))
@@ -155,6 +162,19 @@ class ItemIndex:
 
     def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, edits, first word, words) of the closest passage for each item that a text holds."""
+        return self.search_brief(ids) + self.search_long(ids)
+
+    def search_brief(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first places of items of under Q words."""
+        found: dict[int, tuple[int, int, int, int]] = {}
+        for at in np.flatnonzero(np.isin(ids, self.brief_first)).tolist() if self.brief else ():
+            for n in range(1, min(Q, len(ids) - at + 1)):
+                for k in self.brief.get(tuple(ids[at : at + n].tolist()), ()):
+                    found.setdefault(k, (k, 0, at, n))
+        return [found[k] for k in sorted(found)]
+
+    def search_long(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The closest passages of items of Q words and more."""
         if len(ids) < Q or not self.classes:
             return []
         g = grams(ids)
@@ -227,8 +247,8 @@ def nearest(item: list, text: list) -> tuple[int, int, int]:
 
 def item_indexes(docs: DataFrame, items: DataFrame, rules: LeakRules) -> Iterator:
     """The index of each block of items, broadcast."""
-    count = items.count()
-    blocks = max(1, -(-count // rules.item_block))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // rules.item_block), -(-size["bytes"] // rules.item_bytes))
     for n in range(blocks):
         some = items.select("item_id", "text")
         # a block holds about item_block items, whatever their number

@@ -9,7 +9,8 @@ How far is too far comes from the corpus: the sum of both distances is judged ag
 above the median by the spread of the half below it, which junk does not reach while it is less than half of the texts.
 
 Nulls and empty texts: no words, all counts 0, rejected by the minimum length. A null or unknown language only means that the
-document feeds no reference; it is judged like every other. Repeated rows and ids are judged one by one.
+document feeds no reference; it is judged like every other. Repeated rows and ids are judged one by one. Of languages at equal
+distances any gives the same verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, without, written
+from .common import blank_words, fresh_name, own_columns, without, written
 
 # Common function words of each reference language.
 COMMON_WORDS = {
@@ -185,7 +186,9 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without the rows that quality_verdicts rejects."""
-    gone = quality_verdicts(docs, rules).where(~F.col("kept")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text_hash").distinct()
-    keyed = docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return without(keyed, gone, ["key", "text_hash"], broadcast_rows).select(*docs.columns)
+    """docs without the rows that quality_verdicts rejects. Rows are told apart by id and text, so equal rows go or stay together;
+    further columns stay as they are, whatever their names."""
+    key, text = fresh_name(docs, "key"), fresh_name(docs, "text_hash")
+    gone = quality_verdicts(docs, rules).where(~F.col("kept")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("text_hash").alias(text)).distinct()
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return without(keyed, gone, [key, text], broadcast_rows).select(*own_columns(docs))

@@ -5,12 +5,13 @@ says where a record ends. From these the converter makes WARC records: identifie
 timestamps from the 14 digits, types from the block (a response has an HTTP header), and SHA-1 payload digests in base32. Of records with equal payloads of at
 least `min_bytes`, the one with the largest key stays a response and the others become revisits of it.
 
-Archives are written by Spark's text writer (gzip) into files of a bounded number of records, each file with its own first
-record, and read with Spark's binaryFile reader, so any store that Spark reaches will do. Only digests and keys are
+Archives are written by Spark's text writer (gzip) into files of a bounded number of records and, but for one record, of bytes,
+each file with its own first record: a file is one row of the writer. They are read with Spark's binaryFile reader, so any store that Spark reaches will do. Only digests and keys are
 shuffled; the list of repeated digests is broadcast while it has at most `broadcast_rows` rows, and joined by a shuffle beyond.
 
 Nulls: a null payload is empty, a null URL gets a urn, a null key counts as the smallest. Rows that repeat with their key are
-all responses where that key is the largest.
+all responses where that key is the largest. Records of other writers have no key; lengths of revisits are kept in a header
+field of the record, else taken from its HTTP header, else unknown (null). Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,11 +40,12 @@ HTTP_TYPE = "application/http; msgtype=response"
 
 @dataclass(frozen=True)
 class ArchiveRules:
-    """min_bytes: least payload of a revisit; per_file: records in a file; date: of records without one; broadcast_rows: see
+    """min_bytes: least payload of a revisit; per_file, file_bytes: records and bytes in a file, before compression; date: of records without one; broadcast_rows: see
     the module."""
 
     min_bytes: int = 0
     per_file: int = 4000
+    file_bytes: int = 64_000_000
     date: str = "20200101000000"
     broadcast_rows: int = 200_000
 
@@ -95,8 +97,8 @@ def http_parts(block: bytes) -> tuple[bytes, bytes]:
     """An HTTP response's header (with its empty line) and payload."""
     if not block.startswith(b"HTTP/"):
         return b"", block
-    end = block.find(b"\r\n\r\n")
-    return (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
+    m = re.search(rb"\r?\n\r?\n", block)
+    return (block, b"") if not m else (block[: m.end()], block[m.end() :])
 
 
 def digest32(payload: bytes) -> str:
@@ -106,8 +108,34 @@ def digest32(payload: bytes) -> str:
 # --- writing and reading with Spark ---------------------------------------------------------------------------------------
 
 
-def _write(records: DataFrame, path: str, line_sep: str, rules: ArchiveRules) -> None:
-    records.select(F.col("record").cast("string")).write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "lineSep": line_sep, "maxRecordsPerFile": str(rules.per_file)}).text(path)
+class _FileRows:
+    """Gathers records into rows that are whole files; first makes a file's first record."""
+
+    def __init__(self, first: Callable[[int], bytes], between: bytes, rules: ArchiveRules) -> None:
+        self.first, self.between, self.rules, self.files = first, between, rules, 0
+        self.parts: list[bytes] = []
+        self.size = 0
+
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        if self.parts and (len(self.parts) > self.rules.per_file or self.size + len(record) > self.rules.file_bytes):
+            yield self.row()
+        if not self.parts:
+            self.parts, self.size = [self.first(self.files)], 0
+        self.parts.append(record)
+        self.size += len(record)
+
+    def row(self) -> pa.RecordBatch:
+        out = pa.array([self.between.join(self.parts)], pa.binary())
+        self.parts, self.files = [], self.files + 1
+        return pa.RecordBatch.from_arrays([out], names=["record"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield self.row()
+
+
+def _write(files: DataFrame, path: str, line_sep: str) -> None:
+    files.select(F.col("record").cast("string")).write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "lineSep": line_sep, "maxRecordsPerFile": "1"}).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -118,22 +146,20 @@ def write_arc(pages: DataFrame, path: str, rules: ArchiveRules = ArchiveRules())
     """Writes pages (key, url, payload) as ARC files; files take turns in the two versions."""
 
     def to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        version = lambda file: 1 + file % 2
+        rows = _FileRows(lambda file: arc_first(version(file), "pages.arc", rules.date), b"\n", rules)
         for b in batches:
-            out = []
-            for key, url, payload in zip(*(b[c].to_pylist() for c in ("key", "url", "payload")), strict=True):
-                version = 1 + (n // rules.per_file) % 2
-                if n % rules.per_file == 0:
-                    out.append(arc_first(version, "pages.arc", rules.date))
-                    n += 1
-                payload = payload or b""
+            for key, url, payload in zip(*(b[c] for c in ("key", "url", "payload")), strict=True):
+                key, payload = key.as_py(), payload.as_py() or b""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n" + ("" if key is None else f"X-Key: {key}\r\n") + "\r\n"
-                url = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{key}"
-                out.append(arc_record(version, url, rules.date, "text/html", head.encode() + payload))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                url = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url.as_py() or "") or f"urn:page:{key}"
+                block = head.encode() + payload
+                if rows.parts and (len(rows.parts) > rules.per_file or rows.size + len(block) > rules.file_bytes):
+                    yield rows.row()  # the record is written in the next file's version
+                yield from rows.add(arc_record(version(rows.files), url, rules.date, "text/html", block))
+        yield from rows.rest()
 
-    _write(pages.select("key", "url", F.col("payload").cast("binary").alias("payload")).mapInArrow(to_arc, "record binary"), path, "\n", rules)
+    _write(pages.select("key", "url", F.col("payload").cast("binary").alias("payload")).mapInArrow(to_arc, "record binary"), path, "\n")
 
 
 def read_arc(spark: SparkSession, path: str, rules: ArchiveRules = ArchiveRules(), blocks: bool = True) -> DataFrame:
@@ -183,26 +209,27 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, rules: Archi
     records = read_arc(spark, arc_path, rules).join(targets, "digest", "left")
 
     def to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        def first(file: int) -> bytes:
+            info = b"software: leakscan\r\nformat: WARC File Format 1.0\r\n"
+            return warc_bytes("warcinfo", f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, now['record_id'])}", now["date"], [], "application/warc-fields", info)
+
+        rows, now = _FileRows(first, b"\r\n\r\n", rules), {}
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if n % rules.per_file == 0:
-                    info = b"software: leakscan\r\nformat: WARC File Format 1.0\r\n"
-                    out.append(warc_bytes("warcinfo", f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, r['record_id'])}", r["date"], [], "application/warc-fields", info))
-                    n += 1
-                n += 1
+            for i in range(len(b)):
+                r = {c: b[c][i].as_py() for c in b.schema.names}
+                now.update(record_id=r["record_id"], date=r["date"])
                 top = r["top"]
                 known = [("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}")]
                 large = r["type"] == "response" and r["size"] >= rules.min_bytes
                 if top is not None and large and r["key"] != top["key"]:
-                    known += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{top['record_id']}>"), ("WARC-Refers-To-Target-URI", top["uri"]), ("WARC-Refers-To-Date", top["date"])]
-                    out.append(warc_bytes("revisit", r["record_id"], r["date"], known, HTTP_TYPE, r["header"]))
+                    known += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{top['record_id']}>"), ("WARC-Refers-To-Target-URI", top["uri"]), ("WARC-Refers-To-Date", top["date"]), ("X-Payload-Length", str(r["size"]))]
+                    record = warc_bytes("revisit", r["record_id"], r["date"], known, HTTP_TYPE, r["header"])
                 else:
-                    out.append(warc_bytes(r["type"], r["record_id"], r["date"], known, HTTP_TYPE if r["header"] else r["mime"], r["header"] + r["payload"]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    record = warc_bytes(r["type"], r["record_id"], r["date"], known, HTTP_TYPE if r["header"] else r["mime"], r["header"] + r["payload"])
+                yield from rows.add(record)
+        yield from rows.rest()
 
-    _write(records.mapInArrow(to_warc, "record binary"), warc_path, "\r\n\r\n", rules)
+    _write(records.mapInArrow(to_warc, "record binary"), warc_path, "\r\n\r\n")
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -218,7 +245,7 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: record_id, record_type, uri, key, payload_bytes, payload_digest, refers_id (of revisits). The
-    digest of a response is that of the payload as read; lengths of revisits come from their HTTP header."""
+    digest of a response is that of the payload as read."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,7 +259,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     m = re.search(rb"\r\nX-Key: (-?\d+)\r\n", header)
                     size, digest = len(payload), digest32(payload)
                     if h["WARC-Type"] == "revisit":
-                        size, digest = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", header)[1]), h["WARC-Payload-Digest"].removeprefix("sha1:")
+                        told = h.get("X-Payload-Length") or ((c := re.search(rb"(?i)\r?\ncontent-length:[ \t]*(\d+)", header)) and c[1])
+                        size, digest = None if told is None else int(told), h["WARC-Payload-Digest"].removeprefix("sha1:")
                     elif digest != h["WARC-Payload-Digest"].removeprefix("sha1:"):
                         raise ValueError(f"payload of {h['WARC-Record-ID']} differs from its digest")
                     rows.append((h["WARC-Record-ID"].strip("<>"), h["WARC-Type"], h["WARC-Target-URI"], int(m[1]) if m else None, size, digest, h.get("WARC-Refers-To", "").strip("<>") or None))

@@ -149,6 +149,35 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Line ends of two characters, HTTP headers of one, records without HTTP header or length, no keys."""
+    body = b"1 0 Other\r\nURL IP-address Archive-date Content-type Archive-length\r\n"
+    data = b"filedesc://o.arc 0.0.0.0 19990101 text/plain %d\r\n" % len(body) + body + b"\r\n"
+    blocks = [b"HTTP/1.0 200 OK\nServer: x\n\nsame", b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\nsame", b"plain text", b"HTTP/1.0 204 No\r\n", b""]
+    for n, x in enumerate(blocks):
+        data += b"http://h/%d 1.2.3.4 199902030405%02d text/html %d\r\n" % (n, n, len(x)) + x + b"\r\n"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "o.arc").write_bytes(data)
+    got = {r.uri: r for r in warc.read_arc(spark, str(tmp_path / "a")).collect()}
+    assert [(got[f"http://h/{n}"].type, bytes(got[f"http://h/{n}"].payload), got[f"http://h/{n}"].key) for n in range(5)] == [
+        ("response", b"same", None), ("response", b"same", None), ("resource", b"plain text", None), ("response", b"", None), ("resource", b"", None)]
+    assert got["http://h/3"].date == "1999-02-03T04:05:03Z" and got["http://h/0"].ip == "1.2.3.4"
+    warc.convert_arc(spark, str(tmp_path / "a"), str(tmp_path / "w"))
+    assert sorted(r.record_type for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == ["resource", "resource", "response", "response", "response"]
+    revisit = warc.warc_bytes("revisit", "urn:x", "1999-01-01T00:00:00Z", [("WARC-Target-URI", "http://h"), ("WARC-Payload-Digest", "sha1:AA")], warc.HTTP_TYPE, b"HTTP/1.0 200 OK\r\n\r\n") + b"\r\n\r\n"
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "x.warc").write_bytes(revisit)
+    assert [(r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "v")).collect()] == [("revisit", None, "AA")]
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", bytes([65 + i % 26]) * 3000) for i in range(40)] + [(99, "http://long", b"z" * 50_000)]
+    warc.write_arc(spark.createDataFrame(pages, "key bigint, url string, payload binary").coalesce(1), str(tmp_path / "arc"), warc.ArchiveRules(file_bytes=10_000))
+    sizes = sorted(len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "arc").glob("*.gz"))
+    assert len(sizes) == 15 and sizes[-2] < 11_000 and 50_000 < sizes[-1] < 51_000
+    assert rows(warc.read_arc(spark, str(tmp_path / "arc")), "key", "size") == [(k, len(x)) for k, _, x in pages]
+
+
 def test_every_page_is_response_or_revisit(spark):
     urls = ["ftp://h/x", "no-scheme", "//host/x", " http://h/x", "http://h/x", "mailto:x"]
     got = warc.archive_round_trip(spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], "page_id bigint, url string, html string"))
@@ -186,6 +215,15 @@ def test_quality_rules(spark):
     assert quality.quality_verdicts(docs(spark, [])).count() == 0
 
 
+def test_quality_keeps_other_columns(spark):
+    texts = [prose(i, 120) + "." for i in range(8)] + ["short"]
+    plain = docs(spark, texts)
+    clash = plain.selectExpr("*", "'mine' as key", "concat('hash', doc_id) as TEXT_HASH", "page as `a.b`", "1 as kept", "2 as total")
+    got = quality.keep_good(clash)
+    assert got.columns == clash.columns and rows(got, "doc_id", "key", "TEXT_HASH", "kept") == [(i, "mine", f"hash{i}", 1) for i in range(8)]
+    assert quality.keep_good(clash.limit(0)).columns == clash.columns
+
+
 def test_quality_fence_follows_the_corpus(spark):
     clean = [prose(i, 60 + 10 * i) + "." for i in range(60)]
     # delimiters between words without a common one: 6 to 10 percent symbols
@@ -546,10 +584,13 @@ def test_leaks_with_edits_are_found(spark):
                 w[p : p + (o != 1)] = [] if o == 2 else [f"zz{r.randrange(999)}"]
             want.add((len(texts), i))
             texts.append(" ".join(["qq"] * 30 + w + ["rr"] * 40).upper())
+    want |= {(len(texts), 10), (len(texts) + 1, 11)}
+    items += [(11, "Solo!"), (12, "two words more")]
+    texts += ["just TWO, words", "here solo stands"]
     clean = len(texts)
-    texts += [None, "", "two words", " ".join(f"u{i}" for i in range(3000))]
+    texts += [None, "", "words two", " ".join(f"u{i}" for i in range(3000))]
     df = spark.createDataFrame(items, "item_id int, text string")
-    for rules in (decontam.LeakRules(), decontam.LeakRules(item_block=2)):
+    for rules in (decontam.LeakRules(), decontam.LeakRules(item_block=2), decontam.LeakRules(item_bytes=100)):
         got = decontam.find_leaks(docs(spark, texts), df, rules).collect()
         found = {(x.doc_id, x.item_id) for x in got}
         assert len(found & want) >= 0.9 * len(want) and all(x.doc_id < clean for x in got)
@@ -557,6 +598,21 @@ def test_leaks_with_edits_are_found(spark):
     assert decontam.find_leaks(docs(spark, []), df).count() == decontam.find_leaks(docs(spark, texts), df.limit(0)).count() == 0
 
 
+def test_recall_of_edited_passages():
+    r = random.Random(12)
+    items = [prose(900 + i, r.randrange(6, 120)) for i in range(40)]
+    index, words = decontam.ItemIndex(list(range(40)), items), decontam.Words()
+    met = []
+    for i, t in enumerate(items * 5):
+        w, n = t.split(), len(t.split())
+        for _ in range(index.rules.edits(n)):
+            p, o = r.randrange(len(w)), r.randrange(3)
+            w[p : p + (o != 1)] = [] if o == 2 else [f"zz{r.randrange(999)}"]
+        text = ["qq"] * r.randrange(40) + w + ["rr"] * r.randrange(40)
+        met.append(i % 40 in {k for k, *_ in index.search(words(" ".join(text)))})
+    assert sum(met) >= 0.95 * len(met)
+
+
 def test_nearest_is_the_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
