@@ -353,14 +353,17 @@ def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules())
     url, html)."""
     parsed = written(parsed_pages(pages, rules), "parsed-pages", compression="zstd")
     found = written(site_templates(parsed, rules), "templates")
-    rows = parsed.drop("digest")
-    if found.limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows:
-        template = F.broadcast(found.groupBy("host").agg(F.collect_list(F.struct("hash", "place")).alias("template")))
-        rows = rows.join(template, "host", "left")
+    rows = parsed.withColumn("template", F.lit(None).cast("array<struct<hash: bigint, place: int>>"))
+    few: dict[str, set[tuple[int, int]]] = {}
+    listed = found.limit(rules.broadcast_rows + 1).collect()  # at most broadcast_rows + 1 rows
+    if len(listed) <= rules.broadcast_rows:
+        for r in listed:
+            few.setdefault(r["host"], set()).add((r["hash"], r["place"]))
     else:  # each distinct page's own recurring subtrees, by its digest
         own = parsed.groupBy("host", "digest").agg(F.min("subtrees").alias("subtrees")).select("host", "digest", F.explode("subtrees").alias("s"))
         own = own.select("host", "digest", F.col("s.hash").alias("hash"), F.col("s.place").alias("place")).join(found, ["host", "hash", "place"])
         rows = parsed.join(own.groupBy("host", "digest").agg(F.collect_set(F.struct("hash", "place")).alias("template")), ["host", "digest"], "left")
+    by_host = pages.sparkSession.sparkContext.broadcast(few)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,8 +371,8 @@ def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules())
             for i in range(0, len(whole), 100):
                 b = whole.slice(i, 100)
                 out, removed = [], []
-                for texts, articles, mains, subtrees, template in zip(*(b[c] for c in ("texts", "articles", "mains", "subtrees", "template")), strict=True):
-                    known = {(t["hash"], t["place"]) for t in template.as_py() or ()}
+                for host, texts, articles, mains, subtrees, template in zip(*(b[c] for c in ("host", "texts", "articles", "mains", "subtrees", "template")), strict=True):
+                    known = by_host.value.get(host.as_py()) or {(t["hash"], t["place"]) for t in template.as_py() or ()}
                     found = subtrees.values
                     hashes, places, starts, ends = (found.field(c).to_pylist() for c in ("hash", "place", "a", "b")) if known else ([],) * 4
                     gone: list[tuple[int, int]] = []
@@ -384,4 +387,4 @@ def extract_main_text(pages: DataFrame, rules: TemplateRules = TemplateRules())
                     names=["page_id", "url", "text", "n_chars", "n_template"],
                 )
 
-    return rows.select("page_id", "url", "texts", "articles", "mains", "subtrees", "template").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars bigint, n_template bigint")
+    return rows.select("page_id", "url", "host", "texts", "articles", "mains", "subtrees", "template").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars bigint, n_template bigint")
