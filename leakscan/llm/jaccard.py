@@ -53,7 +53,7 @@ class JoinRules:
     buckets: int = 1 << 20
     page: int = 1024
     query_page: int = 8192
-    rounds: int = 2
+    rounds: int = 1
     broadcast_ids: int = 1_000_000
 
     def places(self, n: int) -> int:
