@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,3 +12,22 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows, with columns that later filters and columns refer to instead of repeating their expressions: the
     optimizer moves filters below projections, but not below a generator."""
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The same rows, computed once for all uses and kept in the shared checkpoint folder, so that lost executors lose nothing."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="leakscan-")  # a local session, as in tests
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows ahead of costly expressions: dealt out anew where a source has fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -62,16 +62,20 @@ def collapse_commits(found: DataFrame) -> DataFrame:
     order = F.when(live, choice(1, points, F.length("matched_string"), -F.col("seq"), -F.col("rank"))).otherwise(choice(0, F.lit(0), F.lit(0), F.col("seq"), F.col("rank").cast("int")))
     row = F.struct(*[c for c in ROW if c not in ("seq", "rank")])
     first = F.struct("seq", "rank")
-    grouped = found.withColumn("np", slashes(F.col("file_path"))).groupBy("np", "matched_string").agg(
-        F.max_by(row, order).alias("top"),
-        F.min_by("entropy_score", F.when(F.col("entropy_score").isNotNull(), first)).alias("first_score"),
-        F.count(F.lit(1)).cast("int").alias("occurrences"),
-        F.sort_array(F.collect_list(F.when(F.coalesce("commit_hash", F.lit("")) != "", F.struct("seq", "rank", "commit_hash"))), asc=False).alias("commits"),
-        F.min(first).alias("first"),
+    scored = F.when(F.col("entropy_score").isNotNull(), first)
+    # by commit first, so that no more than its distinct commits meet in the row of a secret
+    each = found.withColumn("np", slashes(F.col("file_path"))).groupBy("np", "matched_string", "commit_hash").agg(
+        F.max(order).alias("rated"), F.max_by(row, order).alias("top"), F.min(scored).alias("scored"), F.min_by("entropy_score", scored).alias("first_score"),
+        F.count(F.lit(1)).alias("n"), F.max(first).alias("last"), F.min(first).alias("first"),
+    )
+    commit = F.when(F.coalesce("commit_hash", F.lit("")) != "", F.struct("last.seq", "last.rank", "commit_hash"))
+    grouped = each.groupBy("np", "matched_string").agg(
+        F.max_by("top", "rated").alias("top"), F.min_by("first_score", "scored").alias("first_score"), F.sum("n").cast("int").alias("occurrences"),
+        F.sort_array(F.collect_list(commit), asc=False).alias("commits"), F.min("first").alias("first"),
     )
     return grouped.select(
         *[F.coalesce("top.entropy_score", "first_score").alias(c) if c == "entropy_score" else F.col(f"top.{c}").alias(c) for c in ROW if c not in ("seq", "rank")],
-        "occurrences", F.array_distinct(F.transform("commits", lambda c: c["commit_hash"])).alias("history_commits"), "first.seq", "first.rank",
+        "occurrences", F.transform("commits", lambda c: c["commit_hash"]).alias("history_commits"), "first.seq", "first.rank",
     )
 
 

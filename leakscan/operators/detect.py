@@ -140,13 +140,16 @@ def python_hits(lines: DataFrame, signatures: list[Signature]) -> DataFrame:
     return lines.withColumn("py_hits", F.pandas_udf(detect, f"array<{HIT}>")("line_content"))
 
 
+def hinted(lines: DataFrame) -> DataFrame:
+    """lines without those that hold no literal which any built-in signature or context word needs."""
+    return lines.where((F.col("line_content") != "") & F.col("line_content").rlike(HINTS))
+
+
 def with_hits(lines: DataFrame, signatures: list[Signature] | None = None, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> DataFrame:
     """lines that may hold hits, with them as the array column `hits`: signatures first, then entropy."""
     own = signatures is not None
     signatures = default_signatures() if signatures is None else signatures
-    lines = lines.where(F.col("line_content") != "")
-    if not own and words == CONTEXT_WORDS:
-        lines = lines.where(F.col("line_content").rlike(HINTS))
+    lines = hinted(lines) if not own and words == CONTEXT_WORDS else lines.where(F.col("line_content") != "")
     native, other = [s for s in signatures if s.expressible], [s for s in signatures if not s.expressible]
     parts = [signature_hits(F.col("line_content"), s) for s in native]
     if other:

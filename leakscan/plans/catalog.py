@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.plan import once
 from ..functions.regexes import SIGNATURES, default_signatures
 from ..operators import baseline, dedup, detect, remediate, score
 from ..operators.gitlog import parse_log
 from ..report import sarif
 from ..sources.ignore import DEFAULT_IGNORES, ignored
+from ..sources.repo import binary_head
 from . import oracle
-from .corpus import CORPUS_SQL, DOCUMENTS_SQL, corpus, document_lines, text_lines
+from .corpus import CORPUS_SQL, DOCUMENTS_SQL, SHARED_LINES, corpus, document_lines, text_lines
 from .oracle import upto
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,12 +44,9 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.raw_findings(corpus(spark, sf_dir))
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.collapse_lines(raw(spark, sf_dir))
-
-
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.collapse_commits(merged(spark, sf_dir))
+    """The path that scans take: hits are clustered inside their line's row."""
+    return dedup.collapse_commits(dedup.line_findings(corpus(spark, sf_dir)))
 
 
 def found(spark: SparkSession, sf_dir: str, context: score.ScanContext = score.ScanContext()) -> DataFrame:
@@ -85,8 +84,8 @@ def unified_walk(spark, sf_dir):
     return corpus(spark, sf_dir).agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(T.slashes(F.col("file_path"))).alias("files"), F.countDistinct("commit_hash").alias("commits"))
 
 
-# a log of one commit for each customer of a nation, one file and one hunk each, with added, removed and marker lines
-LOG = """SELECT CAST(c_nationkey AS INT) AS stream, CAST(c_custkey * 10 + i AS BIGINT) AS n, CASE i
+# a log of one commit for each customer, each a stream of its own: one file and one hunk each, with added, removed and marker lines
+LOG = """SELECT CAST(c_custkey AS INT) AS stream, CAST(c_custkey * 10 + i AS BIGINT) AS n, CASE i
   WHEN 0 THEN 'commit ' || md5(CAST(c_custkey AS STRING)) || substr(md5('x' || CAST(c_custkey AS STRING)), 1, 8)
   WHEN 1 THEN 'diff --git a/src/f' || CAST(c_custkey % 40 AS STRING) || '.py b/src/f' || CAST(c_custkey % 40 AS STRING) || '.py'
   WHEN 2 THEN '--- a/src/f' || CAST(c_custkey % 40 AS STRING) || '.py'
@@ -121,11 +120,12 @@ def ignore_filter(spark, sf_dir):
     return spark.sql(PATHS + f"parquet.`{sf_dir}/part.parquet`").select("file_path", ignored(F.col("file_path"), DEFAULT_IGNORES).alias("is_ignored"))
 
 
-@query("""SELECT doc_id, text = '' AS empty, length(regexp_replace(substr(text, 1, 8192), '[\\x07-\\x0a\\x0c\\x0d\\x1b\\x20-\\x7e]|[^\\x00-\\x7f]', '', 'g')) * 10 > 3 * length(substr(text, 1, 8192)) AS binary FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, text = '' AS empty, contains(head, chr(0)) OR strlen(regexp_replace(head, '[\\x07-\\x0a\\x0c\\x0d\\x1b\\x20-\\x7e]|[^\\x00-\\x7f]', '', 'g')) * 10 > 3 * strlen(head) AS binary
+FROM (SELECT doc_id, text, substr(text, 1, 2048) AS head FROM documents WHERE text IS NOT NULL)""")
 def binary_ratio(spark, sf_dir):
-    head = F.substring("text", 1, 8192)
-    odd = F.length(F.regexp_replace(head, r"[\x07-\x0a\x0c\x0d\x1b\x20-\x7e]|[^\x00-\x7f]", ""))
-    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", (F.col("text") == "").alias("empty"), (odd * 10 > 3 * F.length(head)).alias("binary"))
+    """The sources' own test of a file's first bytes, on texts' first 2048 characters (8192 bytes at most)."""
+    texts = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return texts.select("doc_id", (F.col("text") == "").alias("empty"), binary_head(F.encode(F.substring("text", 1, 2048), "UTF-8")).alias("binary"))
 
 
 # --- detectors -------------------------------------------------------------------------------------------------------
@@ -137,26 +137,26 @@ for _n, _s in enumerate(SIGNATURES):
     @query(upto("lines", f"SELECT {', '.join(HIT_COLUMNS)} FROM ({oracle.signature_sql(_n)})"), f"detect_{_s[0].lower()}")
     def _detect(spark, sf_dir, n=_n):
         hits = detect.signature_hits(F.col("line_content"), default_signatures()[n])
-        lines = corpus(spark, sf_dir).where(F.col("line_content") != "")
+        lines = detect.hinted(corpus(spark, sf_dir))
         return lines.select("file_path", "commit_hash", "line_number", F.explode(hits).alias("h")).select("file_path", "commit_hash", "line_number", "h.matched_string", "h.start_col", "h.end_col")
 
 
 @query(upto("signatures", "SELECT detector_type, count(*) AS hits, count(DISTINCT matched_string) AS secrets, sum(start_col)::BIGINT AS starts FROM signatures GROUP BY 1"))
 def detect_regex_all(spark, sf_dir):
-    hits = corpus(spark, sf_dir).where(F.col("line_content") != "").select(F.explode(detect.regex_hits(F.col("line_content"))).alias("h"))
+    hits = detect.hinted(corpus(spark, sf_dir)).select(F.explode(detect.regex_hits(F.col("line_content"))).alias("h"))
     return hits.groupBy(F.col("h.type").alias("detector_type")).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("h.matched_string").alias("secrets"), F.sum("h.start_col").alias("starts"))
 
 
 @query(upto("signatures", f"SELECT detector_type, {', '.join(HIT_COLUMNS)} FROM signatures"))
 def detect_regex_spans(spark, sf_dir):
-    lines = corpus(spark, sf_dir).where(F.col("line_content") != "")
+    lines = detect.hinted(corpus(spark, sf_dir))
     hits = lines.select("file_path", "commit_hash", "line_number", F.explode(detect.regex_hits(F.col("line_content"))).alias("h"))
     return hits.select(F.col("h.type").alias("detector_type"), "file_path", "commit_hash", "line_number", "h.matched_string", "h.start_col", "h.end_col")
 
 
 @query(upto("entropic", f"SELECT {', '.join(HIT_COLUMNS)}, entropy_score, det = 101 AS fallback FROM entropy_hits"))
 def entropy_detector(spark, sf_dir):
-    lines = corpus(spark, sf_dir).where(F.col("line_content") != "")
+    lines = corpus(spark, sf_dir).where(detect.suspicious(F.col("line_content")))
     hits = lines.select("file_path", "commit_hash", "line_number", "line_content", F.explode(detect.entropy_hits(F.col("line_content"))).alias("h"))
     # what no assignment holds came from the fallback
     taken = detect.matches(F.col("line_content"), detect.ASSIGNMENT, (1, 2, 3, 4))
@@ -191,9 +191,10 @@ def raw_findings(spark, sf_dir):
 # --- deduplication ---------------------------------------------------------------------------------------------------
 
 
-@query(upto("merged", f"SELECT detector_type, {', '.join(HIT_COLUMNS)}, entropy_score FROM merged"))
+@query(upto("merged", f"SELECT detector_type, {', '.join(HIT_COLUMNS)}, entropy_score FROM merged").replace(*SHARED_LINES))
 def dedup_overlap(spark, sf_dir):
-    return merged(spark, sf_dir).select("detector_type", *HIT_COLUMNS, "entropy_score")
+    """Findings of any origin, several rows for a line."""
+    return dedup.collapse_lines(detect.raw_findings(corpus(spark, sf_dir, shared=True))).select("detector_type", *HIT_COLUMNS, "entropy_score")
 
 
 @query(upto("deduped", f"SELECT detector_type, {', '.join(HIT_COLUMNS)}, occurrences FROM deduped"))
@@ -306,13 +307,13 @@ def _accepted(rows: DataFrame) -> DataFrame:
 
 @query(upto("scored", f"SELECT file_path, detector_type, redacted, line_number FROM scored WHERE {PRINT} NOT IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
 def baseline_anti_join(spark, sf_dir):
-    rows = found(spark, sf_dir)
+    rows = once(found(spark, sf_dir))
     return baseline.suppress(rows, _accepted(rows))[0].select("file_path", "detector_type", "redacted", "line_number")
 
 
 @query(upto("scored", f"SELECT count(*) AS suppressed FROM scored WHERE {PRINT} IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
 def baseline_suppressed_count(spark, sf_dir):
-    rows = found(spark, sf_dir)
+    rows = once(found(spark, sf_dir))
     return baseline.suppress(rows, _accepted(rows))[1].agg(F.count(F.lit(1)).alias("suppressed"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import spread
+
 Q = "chr(39)"
 # k: order key; two neighbouring keys share their secret, path and kind of line, and differ in commit and line number
 KEYED = """
@@ -44,12 +46,18 @@ PATH = """CASE (g / 2) % 7
   WHEN 5 THEN 'Makefile' ELSE 'src/web/m' || CAST(g % 97 AS STRING) || '.ts' END"""
 # DuckDB's / divides integers into doubles, so whole division is written as a floor in both
 LINES = f"""SELECT {PATH} AS file_path, CASE WHEN k % 3 = 0 THEN NULL ELSE substr(md5('c' || CAST(k % 50 AS STRING)), 1, 12) END AS commit_hash,
-  CAST(k % 400 + 1 AS INT) AS line_number, {LINE} AS line_content, CAST(k AS BIGINT) AS seq FROM ({KEYED}) AS keyed""".replace("(g / 2)", "CAST(floor(g / 2) AS BIGINT)")
-DOCUMENTS = """SELECT 'documents/' || CAST(doc_id AS STRING) AS file_path, CAST(NULL AS STRING) AS commit_hash, CAST(n AS INT) AS line_number, line AS line_content, CAST(doc_id AS BIGINT) * 1000000 + n AS seq"""
+  CAST(k AS INT) AS line_number, {LINE} AS line_content, CAST(k AS BIGINT) AS seq FROM ({KEYED}) AS keyed""".replace("(g / 2)", "CAST(floor(g / 2) AS BIGINT)")
+DOCUMENTS = """SELECT 'documents/' || CAST(doc_id AS STRING) AS file_path, CAST(NULL AS STRING) AS commit_hash, CAST(n AS INT) AS line_number, line AS line_content, 1125899906842624 + CAST(doc_id AS BIGINT) * 1000000 + n AS seq"""
+
+
+#: A line number that several rows of a path and commit share, for the pass that groups by lines.
+SHARED_LINES = ("CAST(k AS INT) AS line_number", "CAST(k % 400 + 1 AS INT) AS line_number")
 
 
-def orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES.replace("FROM orders", f"FROM parquet.`{sf_dir}/orders.parquet`").replace("\\", "\\\\"))
+def orders_lines(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    keys = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
+    sql = LINES.replace("FROM orders", "FROM {keys}").replace("\\", "\\\\")
+    return spark.sql(sql.replace(*SHARED_LINES) if shared else sql, keys=keys)
 
 
 def text_lines(df: DataFrame, path: str, *keys: str) -> DataFrame:
@@ -57,15 +65,15 @@ def text_lines(df: DataFrame, path: str, *keys: str) -> DataFrame:
     name = F.concat(F.lit(path + "/"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
     at = F.posexplode(F.split("text", "\n")).alias("n", "line_content")
     rows = df.where(F.col("text").isNotNull()).select(name.alias("file_path"), F.col(keys[0]).cast("bigint").alias("key"), at)
-    return rows.select("file_path", F.lit(None).cast("string").alias("commit_hash"), (F.col("n") + 1).alias("line_number"), "line_content", (F.col("key") * 1_000_000 + F.col("n") + 1).alias("seq"))
+    return rows.select("file_path", F.lit(None).cast("string").alias("commit_hash"), (F.col("n") + 1).alias("line_number"), "line_content", (F.lit(1 << 50) + F.col("key") * 1_000_000 + F.col("n") + 1).alias("seq"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), "documents", "doc_id")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_lines(spark, sf_dir).unionByName(document_lines(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    return orders_lines(spark, sf_dir, shared).unionByName(document_lines(spark, sf_dir))
 
 
 DOCUMENTS_SQL = f"""lines AS ({DOCUMENTS} FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS n, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"""

@@ -14,7 +14,8 @@ import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.gitlog import COMMIT, DIFF, HUNK
@@ -37,6 +38,11 @@ def is_binary(head: bytes) -> bool:
     return b"\0" in head or len(head.translate(None, TEXT_BYTES)) * 10 > 3 * len(head)
 
 
+def binary_head(head: Column) -> Column:
+    """is_binary for a column of first bytes."""
+    return F.pandas_udf(lambda heads: heads.map(lambda b: is_binary(bytes(b))), "boolean")(head)
+
+
 def tree_files(root: str, patterns: list[str]) -> list[str]:
     """Relative paths of the files to scan, in order."""
     rules, out = IgnoreRules(patterns), []
