@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.plan import once
 from .functions.regexes import Signature, load_signatures
 from .operators import dedup, detect, remediate, score, verify
 from .sources.ignore import read_patterns, scan_patterns
-from .sources.repo import git, repo_lines, resolve_target
+from .sources.repo import git, is_remote, repo_lines, resolve_target
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,9 @@ class ScanOptions:
     defaults: bool = True
     signatures: list[Signature] | None = None
     context: score.ScanContext = field(default_factory=score.ScanContext)
+    entropy_threshold: float = detect.ENTROPY_THRESHOLD
+    entropy_min_length: int = detect.MIN_LENGTH
+    entropy_words: tuple[str, ...] = detect.CONTEXT_WORDS
     verifier: verify.Verifier | None = None
 
 
@@ -42,19 +46,24 @@ def target_lines(spark: SparkSession, root: str, options: ScanOptions = ScanOpti
 
 def findings(lines: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Scored findings with remediation steps, of any lines (file_path, commit_hash, line_number, line_content, seq)."""
-    found = dedup.collapse_commits(dedup.line_findings(lines, signatures=options.signatures))
+    found = dedup.line_findings(lines, signatures=options.signatures, threshold=options.entropy_threshold, min_length=options.entropy_min_length, words=options.entropy_words)
+    found, context = dedup.collapse_commits(found), options.context
     if options.verifier is not None:
-        found = verify.verified(found, options.verifier)
-    return remediate.annotate(score.scored(found, options.context))
+        found, context = verify.verified(found, options.verifier), replace(context, asked=True)
+    return remediate.annotate(score.scored(found, context))
 
 
 def scan(spark: SparkSession, target: str, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Findings of a folder or a GitHub address, worst first. A clone lives until the driver ends."""
-    folder = tempfile.mkdtemp(prefix="leakscan-", dir=os.environ.get("LEAKSCAN_CLONES"))
-    root = resolve_target(target, os.path.join(folder, "clone"))
-    if not root.startswith(folder):
+    """Findings of a folder or a GitHub address, worst first. A clone lies in LEAKSCAN_CLONES (a folder that executors see; by
+    default the session's shared one), and is removed once its findings are computed and kept."""
+    if not is_remote(target):
+        return score.worst_first(findings(target_lines(spark, resolve_target(target, ""), options), options))
+    shared = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
+    folder = tempfile.mkdtemp(prefix="leakscan-", dir=os.environ.get("LEAKSCAN_CLONES") or (shared if os.path.isdir(shared) else None))
+    try:
+        return score.worst_first(once(findings(target_lines(spark, resolve_target(target, os.path.join(folder, "clone")), options), options)))
+    finally:
         shutil.rmtree(folder)
-    return score.worst_first(findings(target_lines(spark, root, options), options))
 
 
 __all__ = ["ScanOptions", "findings", "load_signatures", "scan", "target_lines"]

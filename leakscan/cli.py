@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from .api import ScanOptions, load_signatures, scan
 from .functions.regexes import PatternError
 from .operators import baseline
+from .operators.providers import verifier
 from .operators.score import ScanContext, exit_code, severity_number
 from .report.render import report
 from .sources.repo import ScanError
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-severity", default="low")
     p.add_argument("--fail-on", default="none")
     p.add_argument("--keep-placeholders", action="store_true")
+    p.add_argument("--verify-live", action="store_true", help="ask the providers whether secrets are live")
     p.add_argument("--baseline")
     p.add_argument("--no-baseline", action="store_true")
     p.add_argument("--update-baseline", action="store_true")
@@ -44,7 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     try:
         context = ScanContext(keep_placeholders=args.keep_placeholders, min_severity=severity_number(args.min_severity))
-        options = ScanOptions(args.history, args.staged, args.max_commits, tuple(args.ignore), args.ignore_file, not args.full, load_signatures(args.patterns) if args.patterns else None, context)
+        options = ScanOptions(args.history, args.staged, args.max_commits, tuple(args.ignore), args.ignore_file, not args.full, load_signatures(args.patterns) if args.patterns else None, context, verifier=verifier() if args.verify_live else None)
         spark = spark or SparkSession.builder.appName("leakscan").getOrCreate()
         found = scan(spark, args.target, options).cache()
         path = args.baseline or (os.path.join(args.target, baseline.BASELINE_NAME) if os.path.isdir(args.target) else None)

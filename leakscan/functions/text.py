@@ -32,7 +32,18 @@ PLACEHOLDERS = [
     "^(sk_test_|pk_test_)",
 ]
 # Labels of password forms, matched as a whole.
-FORM_LABELS = r"changeme|(change|new|reset|update|confirm|current|old)[_-]?password|password[_-]?(change|reset|update|new|confirm|current|old)|password[_-]?changed"
+FORM_LABELS = [
+    r"changeme",
+    r"change[_-]?password",
+    r"new[_-]?password",
+    r"reset[_-]?password",
+    r"update[_-]?password",
+    r"confirm[_-]?password",
+    r"current[_-]?password",
+    r"old[_-]?password",
+    r"password[_-]?(change|reset|update|new|confirm|current|old)",
+    r"password[_-]?changed",
+]
 
 
 def slashes(path: Column) -> Column:
@@ -51,7 +62,7 @@ def entropy(value: Column) -> Column:
 
 
 def is_placeholder(secret: Column, extra: tuple[str, ...] = ()) -> Column:
-    label = F.lower(F.regexp_replace(secret, r"^\s+|\s+$", "")).rlike(f"^(?:{FORM_LABELS})$")
+    label = F.lower(F.regexp_replace(secret, r"^\s+|\s+$", "")).rlike(f"^(?:{'|'.join(FORM_LABELS)})$")
     known = secret.rlike("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))
     flat = (F.length(secret) >= 8) & (F.size(F.array_distinct(characters(secret))) <= 2)
     found = (F.coalesce(secret, F.lit("")) == "") | label | known | flat

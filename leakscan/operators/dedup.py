@@ -5,6 +5,8 @@ Order matters: `seq` orders lines (working tree first, then commits from the new
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions.text import slashes
 from .detect import with_hits
 from .score import base_points
 
+Points = Callable[[Column], Column]
 ROW = ["detector_type", "matched_string", "file_path", "line_number", "commit_hash", "line_content", "entropy_score", "start_col", "end_col", "seq", "rank"]
 
 
@@ -34,32 +37,32 @@ def clusters(hits: Column, item: str) -> Column:
     return F.aggregate(hits, start, step)
 
 
-def representatives(found: DataFrame) -> DataFrame:
+def representatives(found: DataFrame, points: Points = base_points) -> DataFrame:
     """One row for each cluster (column c): the member with the most base points, then the longest match, then the earliest;
     it takes the first entropy score of the cluster if it has none."""
-    key = lambda m: F.struct(base_points(m["detector_type"]).alias("p"), F.length(m["matched_string"]).alias("n"), (-m["seq"]).alias("s"), (-m["rank"]).alias("r"), m.alias("m"))
+    key = lambda m: F.struct(points(m["detector_type"]).alias("p"), F.length(m["matched_string"]).alias("n"), (-m["seq"]).alias("s"), (-m["rank"]).alias("r"), m.alias("m"))
     scores = F.filter(F.transform("c", lambda m: m["entropy_score"]), lambda e: e.isNotNull())
     picked = settled(found).select(F.array_max(F.transform("c", key)).alias("t"), F.get(scores, F.lit(0)).alias("score"))
     return settled(picked).select(*[F.coalesce(F.col("t.m.entropy_score"), "score").alias(c) if c == "entropy_score" else F.col(f"t.m.{c}").alias(c) for c in ROW])
 
 
-def collapse_lines(raw: DataFrame) -> DataFrame:
+def collapse_lines(raw: DataFrame, points: Points = base_points) -> DataFrame:
     """First pass, for any findings: hits on one line (path, commit, number) that point at the same text become one."""
     raw = raw.select(*ROW)
     item = raw.select(F.struct(*ROW).alias("x")).schema["x"].dataType.simpleString()
     order = F.struct("seq", "rank", F.struct(*ROW).alias("x"))
     grouped = raw.groupBy(slashes(F.col("file_path")).alias("np"), "commit_hash", "line_number").agg(F.sort_array(F.collect_list(order)).alias("h"))
     found = settled(grouped.select(clusters(F.transform("h", lambda h: h["x"]), item).alias("cs")))
-    return representatives(found.select(F.explode("cs").alias("c")))
+    return representatives(found.select(F.explode("cs").alias("c")), points)
 
 
-def collapse_commits(found: DataFrame) -> DataFrame:
+def collapse_commits(found: DataFrame, points: Points = base_points) -> DataFrame:
     """Second pass: one row per path and secret, with occurrences and history_commits (oldest first), and seq and rank of the
     first hit. A copy in the working tree represents the rest, else the oldest commit's."""
     live = F.col("commit_hash").isNull()
-    points = base_points(F.col("detector_type"))
+    rated = points(F.col("detector_type"))
     choice = lambda on, p, n, s, r: F.struct(F.lit(on).alias("a"), p.alias("b"), n.alias("l"), s.alias("s"), r.alias("r"))
-    order = F.when(live, choice(1, points, F.length("matched_string"), -F.col("seq"), -F.col("rank"))).otherwise(choice(0, F.lit(0), F.lit(0), F.col("seq"), F.col("rank").cast("int")))
+    order = F.when(live, choice(1, rated, F.length("matched_string"), -F.col("seq"), -F.col("rank"))).otherwise(choice(0, F.lit(0), F.lit(0), F.col("seq"), F.col("rank").cast("int")))
     row = F.struct(*[c for c in ROW if c not in ("seq", "rank")])
     first = F.struct("seq", "rank")
     scored = F.when(F.col("entropy_score").isNotNull(), first)
@@ -79,8 +82,9 @@ def collapse_commits(found: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(raw: DataFrame) -> DataFrame:
-    return collapse_commits(collapse_lines(raw))
+def deduplicate(raw: DataFrame, points: Points = base_points) -> DataFrame:
+    """points: base points of a column of types, for callers with a scale of their own."""
+    return collapse_commits(collapse_lines(raw, points), points)
 
 
 def line_findings(lines: DataFrame, **options) -> DataFrame:

@@ -24,11 +24,13 @@ BANDS = ((45, 4), (30, 3), (15, 2))
 
 @dataclass(frozen=True)
 class ScanContext:
-    """keep_placeholders: cap instead of drop; min_severity: 1 (low) to 4 (critical); verify: the verdict column is used."""
+    """keep_placeholders: cap instead of drop; min_severity: 1 (low) to 4 (critical); extra_placeholders: further expressions;
+    asked: a verifier ran, so that findings without a verdict say so."""
 
     keep_placeholders: bool = False
     min_severity: int = 1
     extra_placeholders: tuple[str, ...] = ()
+    asked: bool = False
 
 
 def severity_number(name: str) -> int:
@@ -96,7 +98,7 @@ def scored(found: DataFrame, context: ScanContext = ScanContext()) -> DataFrame:
     where = F.when(
         history, F.concat(F.lit("only in git history (commit "), "commit_hash", F.lit(")"), F.when(commits > 1, F.concat(F.lit(", seen in "), commits.cast("string"), F.lit(" commits"))).otherwise("")),
     ).otherwise(F.concat(F.lit("still in the working tree"), F.when(commits > 0, F.concat(F.lit(" and committed to history (introduced in "), F.get("history_commits", F.lit(0)), F.lit(", "), commits.cast("string"), F.lit(" commit(s))"))).otherwise("")))
-    verdict = F.when(verified, " Verified: the provider accepts it, so it is live.").when(~verified, " Verified: the provider rejects it, so it is dead.").otherwise("")
+    verdict = F.when(verified, " Verified: the provider accepts it, so it is live.").when(~verified, " Verified: the provider rejects it, so it is dead.").otherwise(" Not verified: no check exists for this type, or it gave no answer." if context.asked else "")
     rationale = F.concat(severity_label(F.col("severity")), F.lit(" severity: "), "redacted", F.lit(" ("), "detector_type", F.lit("), "), where, F.lit(". Score "), F.col("points").cast("string"), F.lit(" from "), "reasons", F.lit("."), verdict)
     return found.select(
         "detector_type", "file_path", "line_number", "severity", "points", "exposure", "commit_hash", "redacted",

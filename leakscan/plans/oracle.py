@@ -52,7 +52,7 @@ def signature_sql(n: int) -> str:
 REJECT = f"""(length(value) < {MIN_LENGTH} OR regexp_full_match(value, '[0-9]+') OR regexp_full_match(value, '#?[0-9A-Fa-f]{{3}}(?:[0-9A-Fa-f]{{3}})?')
   OR regexp_full_match(value, '[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}') OR regexp_matches(value, {text(LOOKUPS.replace("(?iu)", "(?i)"))})
   OR regexp_matches(value, '\\s') OR lower(value) IN ({listed(COMMON_WORDS)}))"""
-PLACEHOLDER = f"""(matched_string = '' OR regexp_full_match(lower(trim(matched_string)), {text(FORM_LABELS)}) OR regexp_matches(matched_string, {text("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))})
+PLACEHOLDER = f"""(matched_string = '' OR regexp_full_match(lower(trim(matched_string)), {text("|".join(FORM_LABELS))}) OR regexp_matches(matched_string, {text("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))})
   OR (length(matched_string) >= 8 AND len(list_distinct({chars("matched_string")})) <= 2))"""
 NAME = "lower(string_split(replace(file_path, chr(92), '/'), '/')[-1])"
 EXT = f"regexp_extract({NAME}, '^\\.*[^.].*?(\\.[^.]*)$', 1)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def results(found: DataFrame) -> DataFrame:
     )
 
 
-def render(found: DataFrame) -> str:
+def render(found: DataFrame) -> Iterator[str]:
     listed = [
         {
             "id": r["id"], "name": r["id"].title().replace("_", ""), "shortDescription": {"text": r["description"]}, "fullDescription": {"text": f"{r['description']}. Reported by {TOOL}."},
@@ -55,14 +56,18 @@ def render(found: DataFrame) -> str:
         }
         for r in rules(found).orderBy("id").collect()
     ]
-    out = []
+    head = json.dumps({"$schema": SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": listed}}, "results": []}]}, indent=2)
+    cut = head.rindex("[]") + 1
+    yield head[:cut]
+    mark = ""
     for r in results(found).orderBy(F.desc("order"), F.desc("points"), "seq", "rank").toLocalIterator():
         properties = {"points": r["points"], "severity": r["severity"], "exposure": r["exposure"], "fileClass": r["file_class"], "occurrences": r["occurrences"]}
         properties |= {"verifiedLive": r["verified"]} if r["verified"] is not None else {}
         properties |= {"commit": r["commit_hash"]} if r["commit_hash"] else {}
-        out.append({
+        yield mark + "\n" + json.dumps({
             "ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["rationale"]},
             "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": r["start_line"]}}}],
             "partialFingerprints": {"secretHash/v1": r["secret_hash"]}, "properties": properties,
-        })
-    return json.dumps({"$schema": SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": listed}}, "results": out}]}, indent=2)
+        }, indent=2)
+        mark = ","
+    yield head[cut:]

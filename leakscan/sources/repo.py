@@ -155,9 +155,22 @@ def repo_lines(spark: SparkSession, path: str, mode: str = "tree", patterns: lis
 GITHUB = re.compile(r"^\s*(?:https?://|git@)(?:www\.)?github\.com[/:].+", re.I)
 
 
+def is_remote(target: str) -> bool:
+    return bool(GITHUB.match(target))
+
+
+def staged_paths(path: str) -> list[str]:
+    """Paths of files that are staged as added, copied or modified; none outside a repository."""
+    try:
+        root = git(path, "rev-parse", "--show-toplevel", timeout=30).strip()
+        return [x for x in git(root, "diff", "--cached", "--name-only", "-z", "--diff-filter=ACM", timeout=60).split("\0") if x]
+    except ScanError:
+        return []
+
+
 def resolve_target(target: str, clone_to: str) -> str:
     """A folder's absolute path; a GitHub address is cloned into the folder clone_to, which executors must see."""
-    if GITHUB.match(target):
+    if is_remote(target):
         git(".", "clone", "--quiet", target.strip(), clone_to, timeout=300)
         return clone_to
     if not os.path.isdir(target):

@@ -90,15 +90,20 @@ def test_ignore_rules(spark, patterns, path, want):
     assert rule("# x") is None
 
 
-def test_fix(tmp_path):
+def test_fix(spark, tmp_path):
     (tmp_path / "a.py").write_text(f'from x import y\ntoken = "{SECRET}"\n')
-    done = apply_fix(str(tmp_path), "a.py", 2, 9, 9 + len(SECRET), "GENERIC_SECRET")
-    assert done.ok and done.env_var == "TOKEN"
+    moved = apply_fix(spark, str(tmp_path), "a.py", 1, "GENERIC_SECRET")
+    assert not moved.done and "any more" in moved.reason and not (tmp_path / ".env").exists()
+    done = apply_fix(spark, str(tmp_path), "a.py", 2, "GENERIC_SECRET")
+    assert len(done.done) == 4 and done.variable == "TOKEN"
     assert (tmp_path / "a.py").read_text() == 'import os\nfrom x import y\ntoken = os.environ["TOKEN"]\n'
     assert (tmp_path / ".env").read_text() == f"TOKEN={SECRET}\n" and (tmp_path / ".gitignore").read_text() == ".env\n"
-    assert not apply_fix(str(tmp_path), "../a.py", 1, 0, 2, "X").ok
-    assert not apply_fix(str(tmp_path), "a.py", 9, 0, 2, "X").ok
-    assert apply_fix(str(tmp_path), ".env", 1, 6, 9, "X").kind == "gitignore"
+    for path, line in (("../a.py", 1), ("a.py", 9), ("a.py", 3), ("none.py", 1)):
+        assert not apply_fix(spark, str(tmp_path), path, line, "GENERIC_SECRET").done
+    (tmp_path / "b.c").write_text(f'token = "{SECRET}"')
+    assert "no safe rewrite" in apply_fix(spark, str(tmp_path), "b.c", 1, "GENERIC_SECRET").reason
+    (tmp_path / ".env").write_text(f"token = '{SECRET}'")
+    assert apply_fix(spark, str(tmp_path), ".env", 1, "GENERIC_SECRET").done == (".gitignore lists it",)
 
 
 def test_stream(spark, tmp_path):
