@@ -7,9 +7,10 @@ import pytest
 
 from leakscan import api, cli
 from leakscan.operators.fix import apply_fix
+from leakscan.report import render
 from leakscan.report.render import report
 from leakscan.sources.ignore import IgnoreRules, rule
-from leakscan.sources.repo import ScanError, is_binary, repo_lines, resolve_target
+from leakscan.sources.repo import ScanError, is_binary, repo_lines, resolve_target, staged_paths
 
 SECRET = "Zx9" + "kQ2mV7pL4wT8r"
 
@@ -80,6 +81,18 @@ def test_targets(tmp_path):
         resolve_target(str(tmp_path / "none"), "x")
 
 
+def test_staged_paths(spark, repo, tmp_path):
+    (repo / "odd name.txt").write_text("x")
+    git(repo, "add", "odd name.txt")
+    assert staged_paths(str(repo)) == ["odd name.txt"] and staged_paths(str(tmp_path / "none")) == []
+
+
+def test_exposure_in_words():
+    base = {"exposure": "working_tree", "history_commits": [], "commit_hash": None}
+    told = [render.exposure(base | x) for x in ({}, {"history_commits": ["c1", "c2"]}, {"exposure": "history_only", "commit_hash": "c9", "history_commits": ["c9"]}, {"exposure": "history_only", "commit_hash": "c9", "history_commits": ["c8", "c9"]})]
+    assert len(set(told)) == 4 and "c1" in told[1] and "2 commit" in told[1] and "c9" in told[2] and "2 commits" in told[3]
+
+
 def test_binary():
     assert is_binary(b"a\0b") and is_binary(b"\x01\x02ab") and not is_binary(b"") and not is_binary("é".encode() * 9)
 
