@@ -644,6 +644,48 @@ def test_pipeline_stages_take_effect(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "packing"]
 
 
+def test_whole_pipeline(spark, tmp_path):
+    """run() against the stages worked out by hand, over tables with nulls, repeated rows and clashing columns."""
+    from tokenizers import Tokenizer
+
+    item, value = prose(700, 30), "Zx9fQ2LmT7pR4vB8"
+    good = [prose(i, 200) + f" end{i}." for i in range(12)]
+    texts = [*good, near(good[0], 1, 2), "too short", prose(50, 100) + " " + item + " " + prose(51, 100), None, good[1], "", prose(60, 120) + f' auth_key = "{value}" ' + prose(61, 60)]
+    d = docs(spark, texts).selectExpr("*", "'k' as key", "2 as total")
+    d.union(d.where("doc_id in (2, 13, 16)")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tk = Tokenizer.from_file(BPE)
+    kept = {i: texts[i] for i in [*range(12), 18]}
+    kept[18] = kept[18].replace(value, "[secret]")
+    held: dict = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        held.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert sorted(held) == sorted(kept)
+    for i, t in kept.items():
+        ids = tk.encode(t, add_special_tokens=False).ids + [0]
+        assert sum(n for _, n, _ in held[i]) == len(ids) * (2 if i == 2 else 1)  # equal rows go or stay together
+        assert all(c == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, c in held[i])
+    sizes = Counter()
+    for r in got:
+        sizes[r.sequence_id] += r.length
+    assert max(sizes.values()) <= 1024
+    empty = tmp_path / "empty"
+    d.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_empty_tables_and_odd_columns(spark):
+    d = docs(spark, ["Under the MIT license " + "x " * 20000, None]).selectExpr("*", "1 as key", "'h' as h", "2 as template", "3 as digest", "4 as n", "5 as host")
+    for run in (licenses.scan_licenses, secrets.span_digests, jaccard.jaccard_components, lambda x: viterbi.count_tokens(x, [("a", -1.0)])):
+        assert run(d.limit(0)).count() == 0 and rows(run(d), "doc_id") == [(0,), (1,)]
+    pages = spark.createDataFrame([(1, "http://a", "<p>x</p>" * 30000, 7), (2, None, None, 7)], "page_id bigint, url string, html string, digest int")
+    for run in (html.extract_main_text, warc.archive_round_trip):
+        assert run(pages.limit(0)).count() == 0 and rows(run(pages), "page_id") == [(1,), (2,)]
+    assert {r.n_chars for r in html.extract_main_text(pages).collect()} == {59999, 0}
+
+
 def test_registered_queries():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
