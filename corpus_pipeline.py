@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of
 documents; the last returns the pieces of the packed sequences.
+
+Nulls: null and empty texts have too few words and go with the quality rules; a null id is kept like any other by all stages (the
+near duplicates take it for a document without copies). Rows that are equal go or stay together, and are packed one by one.
+Empty tables give no rows. Further columns stay until the packing, whatever their names.
 """
 
 from __future__ import annotations
