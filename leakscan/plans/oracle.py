@@ -2,12 +2,72 @@
 
 from __future__ import annotations
 
-from ..functions.regexes import SIGNATURES
-from ..functions.text import CONFIG_EXTENSIONS, DOC_EXTENSIONS, DOC_NAMES, FORM_LABELS, PLACEHOLDERS, SOURCE_EXTENSIONS, TEST_SEGMENTS
-from ..operators.detect import COMMON_WORDS, CONTEXT_WORDS, ENTROPY_THRESHOLD, LOOKUPS, MIN_LENGTH
-from ..operators.score import BANDS, BASE_POINTS, CLASS_POINTS, DEFAULT_POINTS
 from .corpus import CORPUS_SQL
 
+# Fixed values, written out here a second time, so that a wrong one in the library shows as a difference.
+SIGNATURES = (
+    ('AWS_ACCESS_KEY', 'AKIA[0-9A-Z]{16}', False),
+    ('AWS_SECRET_KEY', '(?:aws_secret_access_key|aws_secret_key|secret_access_key)\\s*[:=]\\s*[\'"](?P<value>[A-Za-z0-9/+=]{40})[\'"]', True),
+    ('GENERIC_API_KEY', '(?:api[_-]?key|apikey)\\s*[:=]\\s*[\'"](?P<value>[A-Za-z0-9\\-_]{16,})[\'"]', True),
+    ('GENERIC_SECRET', '(?:secret|token|access[_-]?token)\\s*[:=]\\s*[\'"](?P<value>[A-Za-z0-9\\-_./+=]{12,})[\'"]', True),
+    ('GENERIC_PASSWORD', '(?:password|passwd|pwd)\\s*[:=]\\s*[\'"](?P<value>[^\\s\'"]{4,64})[\'"]', True),
+    ('SLACK_TOKEN', 'xox[baprs]-[0-9A-Za-z-]{10,48}', False),
+    ('SLACK_WEBHOOK', 'https://hooks\\.slack\\.com/services/T[0-9A-Za-z_]{8,}/B[0-9A-Za-z_]{8,}/[0-9A-Za-z_]{24}', False),
+    ('PRIVATE_KEY_HEADER', '-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----', False),
+    ('DB_CONNECTION_STRING', '(?:postgres(?:ql)?|mysql|mongodb(?:\\+srv)?|redis)://[^\\s\'"]+:[^\\s\'"@]+@[^\\s\'"/]+', True),
+    ('JWT', 'eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+', False),
+    ('GITHUB_TOKEN', 'gh[pousr]_[A-Za-z0-9]{36}', False),
+    ('GOOGLE_API_KEY', 'AIza[0-9A-Za-z\\-_]{35}', False),
+    ('STRIPE_KEY', 'sk_live_[0-9a-zA-Z]{24,}', False),
+)
+CONTEXT_WORDS = (
+    'key', 'token', 'secret', 'password', 'passwd', 'pwd', 'auth', 'credential',
+)
+COMMON_WORDS = (
+    'password', 'changeme', 'change_me', 'example', 'placeholder', 'development', 'production', 'localhost', 'administrator', 'username', 'letmein',
+    'temporary', 'undefined', 'notasecret', 'testing', 'hunter2',
+)
+TEST_SEGMENTS = (
+    'test', 'tests', 'spec', 'specs', 'example', 'examples', 'mock', 'mocks', '__mocks__', 'sample', 'samples', 'fixture', 'fixtures', 'testdata',
+    'demo',
+)
+CONFIG_EXTENSIONS = (
+    '.yml', '.yaml', '.json', '.ini', '.toml', '.cfg', '.conf', '.properties', '.xml', '.env',
+)
+SOURCE_EXTENSIONS = (
+    '.py', '.js', '.ts', '.jsx', '.tsx', '.go', '.java', '.rb', '.php', '.c', '.cpp', '.cs', '.sh', '.rs', '.kt', '.swift', '.scala', '.pl',
+)
+DOC_EXTENSIONS = (
+    '.md', '.markdown', '.rst', '.txt',
+)
+DOC_NAMES = (
+    'readme', 'readme.md', 'changelog', 'changelog.md',
+)
+PLACEHOLDERS = (
+    'your[_\\- ]?(api[_\\-]?)?(key|token|secret|password)[_\\- ]?here', 'insert[_\\- ].*(key|token|secret)', 'replace[_\\- ]?me', 'change[_\\- ]?me',
+    '<[^>]+>', '\\{\\{.*\\}\\}', '\\$\\{[^}]*\\}', 'os\\.environ|os\\.getenv|process\\.env|getenv\\s*\\(|System\\.getenv', 'example', 'placeholder',
+    'dummy', 'redacted', 'notasecret', '^x{4,}$', '^0{4,}$', '^(foo|bar|baz|qux)+$', '^(sk_test_|pk_test_)',
+)
+FORM_LABELS = (
+    'changeme', 'change[_-]?password', 'new[_-]?password', 'reset[_-]?password', 'update[_-]?password', 'confirm[_-]?password',
+    'current[_-]?password', 'old[_-]?password', 'password[_-]?(change|reset|update|new|confirm|current|old)', 'password[_-]?changed',
+)
+LOOKUPS = '(?i)os\\.environ|os\\.getenv|\\bgetenv\\s*\\(|process\\.env\\b|\\bENV\\s*\\[|System\\.getenv|\\$\\{[^}]*\\}|\\{\\{[^}]*\\}\\}|<%=?[^%]*%>'
+MIN_LENGTH, ENTROPY_THRESHOLD, DEFAULT_POINTS = 12, 3.5, 25
+BASE_POINTS = {
+    50: ('AWS_ACCESS_KEY', 'AWS_SECRET_KEY', 'PRIVATE_KEY_HEADER', 'DB_CONNECTION_STRING', 'STRIPE_KEY', 'GITHUB_TOKEN', 'GOOGLE_API_KEY'),
+    35: ('SLACK_TOKEN', 'SLACK_WEBHOOK', 'GENERIC_API_KEY', 'JWT'),
+    20: ('GENERIC_SECRET', 'GENERIC_PASSWORD', 'HIGH_ENTROPY'),
+}
+CLASS_POINTS = {
+    'env': (15, 'in a .env file (+15)'),
+    'config': (10, 'in a config file (+10)'),
+    'source': (5, 'in source code (+5)'),
+    'test': (-20, 'in a test/example path (-20)'),
+    'docs': (-25, 'in docs/markdown (-25)'),
+}
+BANDS = ((45, 4), (30, 3), (15, 2))
+
 
 def text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -29,7 +89,7 @@ def entropy(v: str) -> str:
 ASSIGN = r"""['"]?([A-Za-z_][A-Za-z0-9_\-]{1,60})['"]?\s*[:=]\s*(?:'([^']*)'|"([^"]*)"|([^\s,;#]+))"""
 QUOTED = r"""'([^']*)'|"([^"]*)\""""
 CONTEXT = "|".join(CONTEXT_WORDS)
-BASE = "CASE " + " ".join(f"WHEN detector_type IN ({listed(k for k, v in BASE_POINTS.items() if v == p)}) THEN {p}" for p in (50, 35, 20)) + f" ELSE {DEFAULT_POINTS} END"
+BASE = "CASE " + " ".join(f"WHEN detector_type IN ({listed(kinds)}) THEN {p}" for p, kinds in BASE_POINTS.items()) + f" ELSE {DEFAULT_POINTS} END"
 
 
 def _starts(regex: str, groups: int, extra: str = "") -> str:
@@ -42,7 +102,7 @@ def _starts(regex: str, groups: int, extra: str = "") -> str:
 
 
 def signature_sql(n: int) -> str:
-    kind, _, regex, flags = SIGNATURES[n]
+    kind, regex, flags = SIGNATURES[n]
     valued = "(?P<value>" in regex
     regex = ("(?i)" if flags else "") + regex.replace("(?P<value>", "(")
     v, at = ("g1", "spot + length(g0) - 1 - length(g1)") if valued else ("g0", "spot")
@@ -50,7 +110,7 @@ def signature_sql(n: int) -> str:
 
 
 REJECT = f"""(length(value) < {MIN_LENGTH} OR regexp_full_match(value, '[0-9]+') OR regexp_full_match(value, '#?[0-9A-Fa-f]{{3}}(?:[0-9A-Fa-f]{{3}})?')
-  OR regexp_full_match(value, '[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}') OR regexp_matches(value, {text(LOOKUPS.replace("(?iu)", "(?i)"))})
+  OR regexp_full_match(value, '[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}') OR regexp_matches(value, {text(LOOKUPS)})
   OR regexp_matches(value, '\\s') OR lower(value) IN ({listed(COMMON_WORDS)}))"""
 PLACEHOLDER = f"""(matched_string = '' OR regexp_full_match(lower(trim(matched_string)), {text("|".join(FORM_LABELS))}) OR regexp_matches(matched_string, {text("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))})
   OR (length(matched_string) >= 8 AND len(list_distinct({chars("matched_string")})) <= 2))"""
