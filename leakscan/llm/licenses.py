@@ -7,7 +7,10 @@ counts when enough of the template's k-grams were hit. Hits compare the words th
 
 Base phrases are templates too: a base phrase stands where one diagonal holds all of its k-grams.
 
-Nulls and empty texts: no words and no hits. Rows with equal id and text get equal results; a null id is a value like others.
+A span is verified by its k-grams: each counts once, compared word by word, and their share must reach `min_share`.
+
+Nulls and empty texts: no words and no hits. Rows with equal id and text get equal results; a null id is a value like others. Of
+overlapping templates all that reach their share give their labels. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

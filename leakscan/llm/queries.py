@@ -47,6 +47,8 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No given tokenizer is a unigram model: the pieces of a BPE file get scores by rank, so the counts are those of a unigram model
+    with that vocabulary (as the tokenizers library counts them), not of the file's own model."""
     return count_tokens(table(spark, sf_dir, "documents"), ranked_vocabulary(tokenizer_path("piece_bpe_32k.model")))
 
 
