@@ -7,11 +7,13 @@ own file readers would leave out files whose names start with a dot, .env first
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+import threading
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,10 +81,31 @@ def git(root: str, *args: str, given: str | None = None, timeout: int = 600) ->
     return done.stdout.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def added_lines(log: str, rules: IgnoreRules) -> Iterator[tuple[str, str | None, int, str]]:
+def git_lines(root: str, *args: str, given: str = "", timeout: int = 600) -> Iterator[str]:
+    """The output of git, line by line as it comes: a log is never held whole. given: a short input."""
+    try:
+        run = subprocess.Popen(["git", "-C", root, *args], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    except FileNotFoundError as e:
+        raise ScanError("git is not installed") from e
+    late = threading.Timer(timeout, run.kill)
+    late.start()
+    try:
+        run.stdin.write(given.encode())
+        run.stdin.close()
+        for line in io.TextIOWrapper(run.stdout, "utf-8", errors="ignore"):  # all line ends become \n
+            yield from line.removesuffix("\n").splitlines() or [""]
+        if run.wait():
+            raise ScanError(f"git {args[0]} failed or took over {timeout} s")
+    finally:
+        late.cancel()
+        run.kill()
+        run.wait()
+
+
+def added_lines(log: Iterable[str], rules: IgnoreRules) -> Iterator[tuple[str, str | None, int, str]]:
     """(path, commit, line number, text) of the added lines of a log or diff."""
     commit = path = number = None
-    for raw in log.splitlines():
+    for raw in log:
         if m := re.match(COMMIT, raw):
             commit, path, number = m[1][:12], None, None
         elif m := re.match(DIFF, raw):
@@ -108,6 +131,7 @@ class RepoReader(DataSourceReader):
         self.patterns = json.loads(options.get("patterns", "[]"))
         self.limit = int(options.get("max_commits", 0))
         self.size = int(options.get("batch", 200))
+        self.bytes = int(options.get("batch_bytes", 64_000_000))  # of the files in a batch, but for one that is larger
 
     def partitions(self) -> list[Batch]:
         if self.mode == "tree":
@@ -116,7 +140,16 @@ class RepoReader(DataSourceReader):
             units = git(self.root, "rev-list", "--all", *([f"-n{self.limit}"] if self.limit else [])).split()
         else:
             units = ["staged"]
-        return [Batch(i, units[i : i + self.size]) for i in range(0, len(units), self.size)]
+        out: list[Batch] = []
+        held = self.bytes + 1
+        for i, unit in enumerate(units):
+            size = os.path.getsize(os.path.join(self.root, unit)) if self.mode == "tree" and os.path.exists(os.path.join(self.root, unit)) else 0
+            if held + size > self.bytes or len(out[-1].units) >= self.size:
+                out.append(Batch(i, []))
+                held = 0
+            out[-1].units.append(unit)
+            held += size
+        return out
 
     def read(self, part: Batch) -> Iterator[tuple]:
         rules = IgnoreRules(self.patterns)
@@ -126,9 +159,9 @@ class RepoReader(DataSourceReader):
                     yield path, None, number, line, n * PER_UNIT + number
             return
         if self.mode == "history":
-            log = git(self.root, "log", "-p", "--no-walk=unsorted", "--no-color", "--unified=0", "--stdin", given="\n".join(part.units) + "\n")
+            log = git_lines(self.root, "log", "-p", "--no-walk=unsorted", "--no-color", "--unified=0", "--stdin", given="\n".join(part.units) + "\n")
         else:
-            log = git(self.root, "diff", "--cached", "--no-color", "-U0", "--diff-filter=ACM")
+            log = git_lines(self.root, "diff", "--cached", "--no-color", "-U0", "--diff-filter=ACM")
         start = (HISTORY if self.mode == "history" else 0) + part.first * PER_UNIT
         for n, (path, commit, number, line) in enumerate(added_lines(log, rules)):
             yield path, commit if self.mode == "history" else None, number, line, start + n

@@ -10,7 +10,7 @@ from leakscan.operators.fix import apply_fix
 from leakscan.report import render
 from leakscan.report.render import report
 from leakscan.sources.ignore import IgnoreRules, rule
-from leakscan.sources.repo import ScanError, is_binary, repo_lines, resolve_target, staged_paths
+from leakscan.sources.repo import RepoReader, ScanError, is_binary, repo_lines, resolve_target, staged_paths
 
 SECRET = "Zx9" + "kQ2mV7pL4wT8r"
 
@@ -81,6 +81,14 @@ def test_targets(tmp_path):
         resolve_target(str(tmp_path / "none"), "x")
 
 
+def test_batches_are_bounded_by_files_and_bytes(tmp_path):
+    for i in range(7):
+        (tmp_path / f"f{i}").write_text("x" * (10 if i != 3 else 500))
+    cut = lambda **o: [b.units for b in RepoReader({"path": str(tmp_path)} | o).partitions()]
+    assert [len(x) for x in cut(batch="3")] == [3, 3, 1] and [len(x) for x in cut(batch_bytes="25")] == [2, 1, 1, 2, 1]
+    assert cut()[0] == [f"f{i}" for i in range(7)] and RepoReader({"path": str(tmp_path)}).partitions()[0].first == 0
+
+
 def test_staged_paths(spark, repo, tmp_path):
     (repo / "odd name.txt").write_text("x")
     git(repo, "add", "odd name.txt")
