@@ -22,7 +22,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,32 +76,73 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def gram_hashes(words: list[str], long: int) -> np.ndarray:
+    """A row for each word of up to `long` letters: hashes of its n-grams of 3 and 4 characters with both ends marked, 0 for none."""
+    marked = np.array([f"<{w}>" for w in words], f"<U{long + 2}")
+    codes = marked.view(np.uint32).reshape(len(words), long + 2).astype(np.uint64)
+    out = []
+    for n in (3, 4):
+        width = long + 3 - n
+        h = np.full((len(words), width), np.uint64(n))
+        for k in range(n):
+            h = (h ^ codes[:, k : k + width]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out.append(np.where(codes[:, n - 1 :] > 0, h, np.uint64(0)))
+    return np.concatenate(out, 1)
+
+
 class Encoder(dict):
     """From words of up to `long` letters to rows of a table, which has the word's id and its n-gram ids (0: none)."""
 
     def __init__(self, words: dict[str, int], grams: dict[str, int], long: int = ToxicityRules.long) -> None:
-        self.words, self.grams, self.most = words, grams, 2 * long + 1  # n-grams of 3 and 4 with both ends marked
+        self.words, self.long, self.most = words, long, 2 * long - 1  # n-grams of 3 and 4 with both ends marked
+        known = list(grams)
+        own = np.array([_part_hash(g) for g in known], np.uint64)
+        order = np.argsort(own)
+        self.hashes, self.ids = own[order], np.array([grams[g] for g in known], np.int32)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
         self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.word_ids, self.gram_ids = array("i", [0]), array("i", [0] * self.most)  # row 0 is padding
 
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self.word_ids)
-        self.word_ids.append(self.words.get(word, 1))
-        known = self.grams.get
-        found = [i for x in char_grams(word) if (i := known(x))]
-        found += [0] * (self.most - len(found))
-        self.gram_ids.fromlist(found)
-        return row
+    def learn(self, words: Iterable[str]) -> None:
+        """Gives rows to words that have none."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if not new:
+            return
+        self.update(zip(new, range(len(self.word_ids), len(self.word_ids) + len(new)), strict=True))
+        known = self.words.get
+        self.word_ids.extend([known(w, 1) for w in new])
+        found = np.zeros((len(new), self.most), np.int32)
+        if len(self.hashes):
+            h = gram_hashes(new, self.long)
+            row, col = np.nonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
+            mine = h[row, col]
+            at = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
+            found[row, col] = np.where(self.hashes[at] == mine, self.ids[at], 0)
+        self.gram_ids.frombytes(found.tobytes())
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """The word ids and n-gram ids of all rows."""
         return np.array(self.word_ids), np.array(self.gram_ids).reshape(-1, self.most)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        try:
+            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self.learn(words)
+            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _part_hash(gram: str) -> int:
+    h = len(gram)
+    for c in gram:
+        h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+    return h
 
 
 def windows(rows: np.ndarray, rules: ToxicityRules) -> np.ndarray:
@@ -231,7 +272,9 @@ class ToxicityModel:
 
     def raw(self, texts: list[str | None], encoder: Encoder) -> np.ndarray:
         """The highest logit of each text's windows; -inf without words."""
-        cut = [windows(encoder(steps(t, self.rules.long)), self.rules) for t in texts]
+        split = [steps(t, self.rules.long) for t in texts]
+        encoder.learn(w for s in split for w in s)
+        cut = [windows(encoder(s), self.rules) for s in split]
         counts = np.array([len(c) for c in cut])
         best = np.full(len(texts), -np.inf)
         if not counts.sum():

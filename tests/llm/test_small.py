@@ -278,6 +278,7 @@ def test_no_letter_is_left_out():
         assert at == n
     grams = {g: i + 1 for i, g in enumerate(sorted({x for w in ("abcdefghijkl", "mnopqrstuvwx") for x in toxicity.char_grams(w)}))}
     encoder = toxicity.Encoder({}, grams)
+    encoder.learn(["abcdefghijkl", "abc"])
     row = encoder["abcdefghijkl"]
     assert sorted(x for x in encoder.table()[1][row].tolist() if x) == sorted(grams[x] for x in toxicity.char_grams("abcdefghijkl"))
     ends = [toxicity.steps("q" * 60 + tail) for tail in ("vile", "fine")]
