@@ -117,7 +117,7 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def text_slices(batch: pa.RecordBatch, rows: int = 1000, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def text_slices(batch: pa.RecordBatch, rows: int = 500, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Parts of a batch with their texts as bytes, of at most so many rows and, but for single texts, bytes."""
     at, sizes = 0, np.cumsum([0] + pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist())
     while at < len(batch):
@@ -129,7 +129,7 @@ def text_slices(batch: pa.RecordBatch, rows: int = 1000, most: int = 4_000_000)
 
 def bucket_counts(docs: DataFrame, rules: JoinRules) -> np.ndarray:
     """How many rows of docs hold shingles of each hash bucket: summed by tasks in parts, `buckets` numbers in all."""
-    parts = min(256, rules.buckets)
+    parts = min(1024, rules.buckets)  # a row holds a few KB, so that a batch of rows stays small
     size = -(-rules.buckets // parts)
     schema = "part int, counts binary"
 
@@ -139,13 +139,13 @@ def bucket_counts(docs: DataFrame, rules: JoinRules) -> np.ndarray:
             for _, texts in text_slices(b):
                 np.add.at(total, (np.concatenate(shingle_sets(texts, rules.k)) % np.uint64(rules.buckets)).astype(np.int64), 1)
         if total.any():
-            yield rows(dict(enumerate(total.reshape(parts, size))))
+            yield rows(dict(enumerate(total.astype("<u4").reshape(parts, size))))  # of one task, so under 2^32
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b["part"].to_pylist(), b["counts"], strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(counts.as_py(), "<i8")
+                total[part] = total.get(part, 0) + np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
         yield rows(total)
 
     def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
