@@ -12,6 +12,7 @@ from .decontam import find_leaks
 from .html import extract_main_text
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
+from .merkle import verified_digests
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import span_digests
@@ -68,9 +69,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_legacy_archives": sql.archives(), "op3_quality_rules": sql.quality(), "op5_license_scans": sql.licenses()}
+    return {"op2_legacy_archives": sql.archives(), "op3_quality_rules": sql.quality(), "op5_license_scans": sql.licenses(), "op11_merkle_manifest": sql.merkle()}

@@ -85,3 +85,44 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM e)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM m"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an expression that gives ASCII text, bit by bit."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda c, k: {step})"
+    each = f"list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({each}, lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+def merkle() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    tree = lambda name, source: f"""
+{name}(level, k, i, d, n) AS (
+  SELECT 0, k, i, d, n FROM {source}
+  UNION ALL
+  SELECT * FROM (SELECT level + 1, k, i // 3, sha256(string_agg(d, '' ORDER BY i)), ((n + 2) // 3)::BIGINT FROM {name} WHERE n > 1 GROUP BY level + 1, k, i // 3, n))"""
+    sides = lambda node, first: f"""
+  SELECT o.rid, {first} + t.level AS level, coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i < {node} // (3 ** t.level)::BIGINT), '') AS l,
+    coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i > {node} // (3 ** t.level)::BIGINT), '') AS r"""
+    run = "t.n > 1 AND t.i // 3 = {} // (3 ** t.level)::BIGINT // 3"
+    return rf"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS k, {leaf("text")} AS d,
+    CASE WHEN doc_id IS NOT NULL AND {crc32("doc_id::VARCHAR")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS claimed
+  FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM f),
+{tree("t", "o")},
+s AS (SELECT k, d, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{tree("u", "(SELECT '' AS k, i, d, n FROM s)")},
+p AS ({sides("o.i", 0)}
+  FROM o JOIN t ON t.k = o.k AND {run.format("o.i")} GROUP BY o.rid, t.level, o.i
+  UNION ALL {sides("s.i", 1000)}
+  FROM o JOIN s ON s.k = o.k JOIN u t ON {run.format("s.i")} GROUP BY o.rid, t.level, s.i),
+q AS (SELECT rid, string_agg(l || r, '' ORDER BY level) AS proof, list({{'l': l, 'r': r}} ORDER BY level) AS steps FROM p GROUP BY rid),
+z AS (
+  SELECT o.doc_id, o.d AS leaf, s.d AS subroot, (SELECT d FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([{{'l': claimed, 'r': ''}}], coalesce(steps, [])), lambda a, b: {{'l': sha256(b.l || a.l || b.r), 'r': ''}}).l AS folded_root
+  FROM o JOIN s ON s.k = o.k LEFT JOIN q ON q.rid = o.rid)
+SELECT *, folded_root = root AS verified FROM z"""
