@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
+from typing import Any
 
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,3 +145,38 @@ def components(edges: DataFrame) -> DataFrame:
     for up in reversed(rounds):
         labels = looked_up(up, "up", labels.select(F.col("node").alias("up"), F.col("up").alias("k")), "left").select("node", F.coalesce("k", "up").alias("up"))
     return written(labels.select("node", F.col("up").alias("component")), "labels")
+
+
+def scanned(rows: RDD, group: Callable[[Any], Any], element: Callable[[Any], Any], join: Callable[[Any, Any], Any], zero: Any) -> RDD:
+    """Running totals over rows that are sorted over all partitions: (row, the total before it, the total with it), where each
+    group (consecutive rows) starts from zero. join must be associative. One record a partition, its first and last group with
+    the total of the last one, tells the driver where each partition goes on, so a group of any size may lie over many."""
+
+    def ends(p: int, held: Iterator[Any]) -> Iterator[tuple]:
+        first = last = total = None
+        n = 0
+        for row in held:
+            g = group(row)
+            if not n or g != last:
+                first, last, total, n = (g, g, zero, 1) if not n else (first, g, zero, n + 1)
+            total = join(total, element(row))
+        if n:
+            yield p, first, last, total, n
+
+    start: dict[int, Any] = {}
+    running, so_far = None, zero
+    for p, first, last, total, n in sorted(rows.mapPartitionsWithIndex(ends).collect(), key=lambda x: x[0]):  # a record a partition
+        start[p] = so_far if running is not None and running[0] == first else zero
+        running, so_far = (last,), join(start[p], total) if n == 1 else total
+
+    def run(p: int, held: Iterator[Any]) -> Iterator[tuple]:
+        total, last, fresh = start.get(p, zero), None, True
+        for row in held:
+            g = group(row)
+            if not fresh and g != last:
+                total = zero
+            last, fresh, before = g, False, total
+            total = join(total, element(row))
+            yield row, before, total
+
+    return rows.mapPartitionsWithIndex(run)

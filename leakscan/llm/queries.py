@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import span_digests
 from .toxicity import score_toxicity
+from .trie import prefix_trie
 from .viterbi import count_tokens, ranked_vocabulary
 from .warc import archive_round_trip
 
@@ -74,6 +75,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("place", "end")
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -83,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_legacy_archives": sql.archives(), "op3_quality_rules": sql.quality(), "op5_license_scans": sql.licenses(), "op11_merkle_manifest": sql.merkle()}
+    return {"op2_legacy_archives": sql.archives(), "op3_quality_rules": sql.quality(), "op5_license_scans": sql.licenses(), "op11_merkle_manifest": sql.merkle(), "op12_prefix_trie": sql.trie()}

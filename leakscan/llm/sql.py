@@ -126,3 +126,30 @@ z AS (
     list_reduce(list_concat([{{'l': claimed, 'r': ''}}], coalesce(steps, [])), lambda a, b: {{'l': sha256(b.l || a.l || b.r), 'r': ''}}).l AS folded_root
   FROM o JOIN s ON s.k = o.k LEFT JOIN q ON q.rid = o.rid)
 SELECT *, folded_root = root AS verified FROM z"""
+
+
+def trie() -> str:
+    what = "md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+    return f"""
+WITH t AS (
+  SELECT conv_id AS c, {what} AS what, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {what}) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS base, {crc32("c::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+u AS (
+  SELECT h.c, place, what, n FROM h JOIN t ON t.c = h.base AND place < h.h
+  UNION ALL SELECT h.c, place, what, n FROM h JOIN t ON t.c = h.c AND place >= h.h),
+p AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY place) AS d, n, string_agg(what, '') OVER (PARTITION BY c ORDER BY place) AS node FROM u
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+v AS (
+  SELECT node, d AS depth, min(c) AS conv_id, count(*) AS n_convs, min(n) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM e GROUP BY node, d),
+k AS (SELECT a.node, count(b.node) AS n_children FROM v a LEFT JOIN v b ON b.depth = a.depth + 1 AND left(b.node, 32 * a.depth) = a.node GROUP BY a.node),
+x AS (SELECT v.*, n_children FROM v JOIN k ON k.node = v.node),
+s AS (
+  SELECT a.node, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n) AS saved_tokens
+  FROM x a JOIN x b ON b.depth >= a.depth AND left(b.node, 32 * a.depth) = a.node GROUP BY a.node)
+SELECT x.conv_id::BIGINT AS conv_id, x.depth::BIGINT AS depth, o.conv_id::BIGINT AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN s ON s.node = x.node LEFT JOIN x o ON x.depth > 0 AND o.depth = x.depth - 1 AND o.node = left(x.node, 32 * o.depth)"""
