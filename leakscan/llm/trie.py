@@ -55,7 +55,8 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     hundred's first conversation go to at most 199 ids, at most five to each."""
     spark = conversations.sparkSession
     plus = lambda a, b: a + b
-    placed = scanned(in_order(turns(conversations), "conv_id", "turn", "what"), lambda r: r[0], lambda r: 1, plus, 0).map(lambda x: (x[0][0], x[1], x[0][2], x[0][3]))
+    read = written(turns(conversations), "read")  # texts are read once, though a range sort samples its input first
+    placed = scanned(in_order(read, "conv_id", "turn", "what"), lambda r: r[0], lambda r: 1, plus, 0).map(lambda x: (x[0][0], x[1], x[0][2], x[0][3]))
     own = written(spark.createDataFrame(placed, "conv_id bigint, place bigint, what string, chars bigint", verifySchema=False), "turns")
     ids = written(own.groupBy("conv_id").agg(F.lit(1).alias("one")).select("conv_id"), "ids")
     asked = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("from"), shared_turns(F.col("conv_id")).alias("h"))
