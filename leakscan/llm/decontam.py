@@ -7,7 +7,7 @@ The CGK walk reads a word sequence with random bits: step j writes the current w
 Sequences at a small edit distance then write outputs at a small Hamming distance, and tables keyed by a few sampled steps
 collide: their number follows from the target recall. Windows of an item's size class start at every word; a window is
 embedded only where it holds as many of the items' word 3-grams as any passage within the edit distance must (the q-gram
-lemma), which loses nothing. A collision is verified by the exact edit distance between the item and the words around it.
+lemma; 2-grams or words where an item is too short for its edits), which loses nothing. A collision is verified by the exact edit distance between the item and the words around it.
 
 Items are a small table: their index is built on the driver in blocks of about `item_block` items and `item_bytes` bytes at most,
 each sent to the executors; more items mean more passes, and there is no shuffle. Items of one or two words allow no edit and
@@ -50,7 +50,7 @@ class LeakRules:
     seed: int = 7
 
     def edits(self, words: int) -> int:
-        return int(self.max_edits * words) if words > 5 else 0
+        return int(self.max_edits * words + 1e-9)
 
     @property
     def tables(self) -> int:
@@ -78,8 +78,17 @@ class Words:
             return np.array([known[w] for w in words], np.uint64)
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    return ((ids[:-2] * MIX + ids[1:-1]) * MIX + ids[2:]) * MIX
+def grams(ids: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of each q words in a row."""
+    h = np.zeros(max(0, len(ids) - q + 1), np.uint64)
+    for k in range(q):
+        h = h * MIX + ids[k : k + len(h)]
+    return h * MIX
+
+
+def gram_size(words: int, edits: int) -> int:
+    """The longest grams, up to Q words, of which a passage within so many edits must still hold one."""
+    return max([q for q in range(1, Q + 1) if words - q + 1 - q * edits >= 1], default=1)
 
 
 class SizeClass:
@@ -90,7 +99,8 @@ class SizeClass:
         sizes = [len(ids[i]) for i in items]
         self.least, self.most = min(sizes), max(sizes)
         self.reach = self.most + max(rules.edits(s) for s in sizes)
-        self.need = max(1, min(s - Q + 1 - Q * rules.edits(s) for s in sizes))
+        self.q = gram_size(sizes[0], rules.edits(sizes[0]))  # that of all its items
+        self.need = max(1, min(s - self.q + 1 - self.q * rules.edits(s) for s in sizes))
         self.steps = max(Q, int(1.6 * self.least))  # walks of this many steps stay inside the shortest item, mostly
         random = np.random.default_rng([rules.seed, n])
         self.bits = random.integers(1, 1 << 63, (rules.walks, self.steps), np.int64).astype(np.uint64) | np.uint64(1)
@@ -131,6 +141,45 @@ class SizeClass:
         return sorted({(self.items[self.owner[k]], int(starts[r])) for r, c in zip(rows.tolist(), cols.tolist(), strict=True) for k in range(lo[r, c], hi[r, c])})
 
 
+class GramFilter:
+    """Places of a text where the classes that share a gram size may have passages."""
+
+    def __init__(self, q: int, classes: list[tuple[int, SizeClass]], ids: list[np.ndarray]) -> None:
+        self.q, self.classes = q, classes
+        of = [(grams(ids[k], q), n) for n, c in classes for k in c.items]
+        self.grams, which = np.unique(np.concatenate([g for g, _ in of]), return_inverse=True)
+        # the size classes (their numbers modulo 64, as bits) whose items hold a gram
+        self.holders = np.zeros(len(self.grams), np.uint64)
+        np.bitwise_or.at(self.holders, which, np.concatenate([np.full(len(g), np.uint64(1) << np.uint64(n % 64)) for g, n in of]))
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+        self.least = min(c.need for _, c in classes)
+
+    def starts(self, ids: np.ndarray) -> Iterator[tuple[SizeClass, np.ndarray]]:
+        """Each class with the starts of the windows that hold as many of its grams as a passage must."""
+        if len(ids) < self.q:
+            return
+        g = grams(ids, self.q)
+        maybe = np.flatnonzero(self.seen[(g >> np.uint64(42)).astype(np.int64)])
+        if len(maybe) < self.least:
+            return
+        place = np.minimum(np.searchsorted(self.grams, g[maybe]), len(self.grams) - 1)
+        real = self.grams[place] == g[maybe]
+        at, holders = maybe[real], self.holders[place[real]]
+        for n, c in self.classes:
+            own = at[(holders >> np.uint64(n % 64)) & np.uint64(1) == 1]
+            k = c.need - 1
+            # need hits that one window can hold: its start may lie from the last hit less the reach to the first hit
+            first = np.flatnonzero(own[k:] - own[: len(own) - k] <= c.reach - self.q) if len(own) > k else ()
+            if not len(first):
+                continue
+            lo, hi = np.maximum(own[first + k] + self.q - c.reach, 0), own[first]
+            edge = np.zeros(len(ids) + 2, np.int32)
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, hi + 1, -1)
+            yield c, np.flatnonzero(np.cumsum(edge)[: len(ids)] > 0)
+
+
 class ItemIndex:
     def __init__(self, item_ids: list, texts: list[str | None], rules: LeakRules = LeakRules()) -> None:
         words = Words()
@@ -143,22 +192,17 @@ class ItemIndex:
             if len(x) < Q:
                 self.brief.setdefault(tuple(x), []).append(k)
         self.brief_first = np.array(sorted({x[0] for x in self.brief}), np.uint64)
-        order = sorted((k for k in range(len(pairs)) if len(self.ids[k]) >= Q), key=lambda k: len(self.ids[k]))
+        size = lambda k: len(self.ids[k])
+        q = lambda k: gram_size(size(k), rules.edits(size(k)))
+        order = sorted((k for k in range(len(pairs)) if size(k) >= Q), key=lambda k: (q(k), size(k)))
         self.classes: list[SizeClass] = []
         while order:
-            top = max(len(self.ids[order[0]]) + 1, int(len(self.ids[order[0]]) * 1.15))
-            some = [k for k in order if len(self.ids[k]) <= top]
+            top = max(size(order[0]) + 1, int(size(order[0]) * 1.15))
+            some = [k for k in order if q(k) == q(order[0]) and size(k) <= top]
             self.classes.append(SizeClass(some, self.ids, rules, len(self.classes)))
             order = order[len(some) :]
-        of = [(grams(self.ids[k]), n) for n, c in enumerate(self.classes) for k in c.items]
-        every = np.concatenate([g for g, _ in of]) if of else np.empty(0, np.uint64)
-        self.grams, which = np.unique(every, return_inverse=True)
-        # the size classes (their numbers modulo 64, as bits) whose items hold a gram
-        self.holders = np.zeros(len(self.grams), np.uint64)
-        np.bitwise_or.at(self.holders, which, np.concatenate([np.full(len(g), np.uint64(1) << np.uint64(n % 64)) for g, n in of]) if of else np.empty(0, np.uint64))
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-        self.least = min((c.need for c in self.classes), default=1)
+        numbered = list(enumerate(self.classes))
+        self.filters = [GramFilter(n, [(i, c) for i, c in numbered if c.q == n], self.ids) for n in sorted({c.q for c in self.classes})]
 
     def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, edits, first word, words) of the closest passage for each item that a text holds."""
@@ -175,29 +219,11 @@ class ItemIndex:
 
     def search_long(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """The closest passages of items of Q words and more."""
-        if len(ids) < Q or not self.classes:
-            return []
-        g = grams(ids)
-        maybe = np.flatnonzero(self.seen[(g >> np.uint64(42)).astype(np.int64)])
-        if len(maybe) < self.least:
-            return []
-        place = np.minimum(np.searchsorted(self.grams, g[maybe]), len(self.grams) - 1)
-        real = self.grams[place] == g[maybe]
-        at, holders = maybe[real], self.holders[place[real]]
         found: dict[int, list[int]] = {}
-        for n, c in enumerate(self.classes):
-            own = at[(holders >> np.uint64(n % 64)) & np.uint64(1) == 1]
-            k = c.need - 1
-            # need hits that one window can hold: its start may lie from the last hit less the reach to the first hit
-            first = np.flatnonzero(own[k:] - own[: len(own) - k] <= c.reach - Q) if len(own) > k else ()
-            if not len(first):
-                continue
-            lo, hi = np.maximum(own[first + k] + Q - c.reach, 0), own[first]
-            edge = np.zeros(len(ids) + 2, np.int32)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi + 1, -1)
-            for i, s in c.candidates(ids, np.flatnonzero(np.cumsum(edge)[: len(ids)] > 0)):
-                found.setdefault(i, []).append(s)
+        for held in self.filters:
+            for c, starts in held.starts(ids):
+                for i, s in c.candidates(ids, starts):
+                    found.setdefault(i, []).append(s)
         if not found:
             return []
         words, out = ids.tolist(), []

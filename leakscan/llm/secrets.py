@@ -12,7 +12,10 @@ An expression is a concatenation (+, ., .., &, or strings side by side) of liter
 name stands for its last assignment before it that its scope can see (braces, indented function bodies, sections [x] of
 configuration files; else the first one after it). Sensitivity flows from the assigned names along these references to a
 fixed point, through chains and cycles; each literal is scored by the most sensitive name that it reaches and by the joined
-value that it is a piece of. Comments are read on their own: what they assign is scored, but defines nothing outside.
+value that it is a piece of. Comments are read on their own: what they assign is scored, but defines nothing outside; marks of
+comments in them are passed over. Calls inside calls count as one value down to NESTED levels; what lies deeper is a value of its own
+that the call refers to, and so are constants of over JOINED pieces. So any text, however deeply nested, is read in about the time
+of its length.
 
 Nulls and empty texts hold no spans. Rows are scanned one by one, so repeated rows, ids and further columns do not matter. Offsets
 are code points, ends exclusive. Of equally sensitive names the one met first is reported.
@@ -48,11 +51,13 @@ TOKEN = re.compile(
     |(?P<op>:=|=>|->|::|[=!<>]=|\|\||\?\?|\.\.|[=:+,;(){}\[\].&])|(?P<other>[^\s"'`,;:=(){}\[\]<>]+|.)""",
     re.X | re.S | re.A,
 )
+IN_COMMENT = re.compile(TOKEN.pattern.replace(r"[^\r\n]*|(?:(?<=", "|(?:(?<=", 1).replace(r";)[^\r\n]*)", ";))", 1), TOKEN.flags)  # the mark of a comment only
 STRING_END = {q: re.compile(rf"[^{q}\\\r\n]*+(?:\\[\s\S][^{q}\\\r\n]*+)*+{q}") for q in "\"'"} | {"`": re.compile(r"[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`")}
 OPEN_TAG = re.compile(r"<([A-Za-z][\w:.\-]*)((?:\s+[\w:.\-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>")
 ATTRIBUTE = re.compile(r"([\w:.\-]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')")
 ELEMENT_TEXT = re.compile(r"\s*([^<>\s]+)\s*</")
 BARE = re.compile(r"[^\S\r\n]*([^\s\"',;#(){}\[\]`]+)[^\S\r\n]*(?=[\r\n]|\Z|(?<=\s)(?:[#;]|//))")
+NESTED, JOINED = 4, 64
 LINE_END = re.compile(r"\r\n?|\n")
 IDENTIFIER = re.compile(r"[A-Za-z_][\w.\-]*")
 # Words before an assigned name, types after it, and first words of functions that look a value up by its name.
@@ -104,29 +109,33 @@ class Assignment:
     literals: list[tuple[int, int]]
     refs: list[str]
     at: int
-    scope: tuple[int, ...]
+    scope: int
     own_line: tuple[int, int] | None = None  # the bare word that a lone name on a configuration line may be
 
 
 class Lexer:
     """Assignments of one text (or one comment)."""
 
-    def __init__(self, text: str, start: int = 0, end: int | None = None) -> None:
-        self.text, self.start, self.end = text, start, len(text) if end is None else end
+    def __init__(self, text: str, start: int = 0, end: int | None = None, comment: bool = False) -> None:
+        self.text, self.start, self.end, self.comment = text, start, len(text) if end is None else end, comment
         self.tokens: list[Token] = []
         self.comments: list[tuple[int, int]] = []
         self.found: list[Assignment] = []
+        self.deep: dict[int, bool] = {}
         self.tags: list[re.Match] = []
         self.tokenize()
         self.match_brackets()
 
     def tokenize(self) -> None:
         text, at, end, out, never = self.text, self.start, self.end, self.tokens, set()
+        token = (IN_COMMENT if self.comment else TOKEN).match
         while at < end:
-            m = TOKEN.match(text, at, end)
+            m = token(text, at, end)
             kind, a, at = m.lastgroup, at, m.end()
             if kind == "gap":
                 continue
+            if kind == "comment" and self.comment:
+                continue
             if kind == "comment":
                 if m[0] in ("/*", "<!--"):
                     mark = "*/" if m[0] == "/*" else "-->"
@@ -163,38 +172,57 @@ class Lexer:
                 out.append(Token(kind, m[0], a, at))
 
     def match_brackets(self) -> None:
-        """The place of each bracket's partner, and the scope and bracket depth of each token."""
+        """The place of each bracket's partner, and the scope and bracket depth of each token. Scopes are numbered as they open;
+        self.last has the last scope inside each."""
         self.partner: dict[int, int] = {}
-        self.scopes: list[tuple[int, ...]] = []
+        self.scopes: list[int] = []
+        self.last: list[int] = [0]
         stack: list[int] = []
         scope: list[tuple[int, int]] = []  # (number, indent; -1: a brace; -2: a section)
         fresh, body, self.inside = True, None, []
+        line = seen = 0  # where the line of the last place looked at begins, and that place
         pairs = {")": "(", "]": "[", "}": "{"}
+
+        def opened(kind: int) -> None:
+            scope.append((len(self.last), kind))
+            self.last.append(-1)
+
+        def closed() -> int:
+            n, kind = scope.pop()
+            self.last[n] = len(self.last) - 1
+            return kind
+
         for i, t in enumerate(self.tokens):
             if fresh and t.kind != "nl" and not stack:
-                indent = t.start - 1 - max(self.text.rfind("\n", 0, t.start), self.text.rfind("\r", 0, t.start))
+                line, seen = max(line, 1 + self.text.rfind("\n", seen, t.start), 1 + self.text.rfind("\r", seen, t.start)), t.start
+                indent = t.start - line
                 while scope and (0 <= scope[-1][1] and indent <= scope[-1][1]):
-                    scope.pop()
+                    closed()
                 section = t.text == "[" and i + 2 < len(self.tokens) and self.tokens[i + 2].text == "]" and (i + 3 == len(self.tokens) or self.tokens[i + 3].kind == "nl")
                 if section and (not scope or scope[-1][1] == -2):
-                    scope[:] = [(i + 1, -2)]
+                    while scope:
+                        closed()
+                    opened(-2)
                 body = indent if t.text in ("def", "class", "async") else None
             fresh = t.kind == "nl"
             if fresh and body is not None and not stack:
-                scope.append((i + 1, body))
+                opened(body)
                 body = None
-            self.scopes.append(tuple(n for n, _ in scope))
+            self.scopes.append(scope[-1][0] if scope else 0)
             self.inside.append(len(stack))
             if t.kind == "op":
                 if t.text in "([{":
                     stack.append(i)
                     if t.text == "{":
-                        scope.append((i + 1, -1))
+                        opened(-1)
                 elif t.text in pairs and stack and self.tokens[stack[-1]].text == pairs[t.text]:
                     self.partner[stack.pop()] = i
                     if t.text == "}":
-                        while scope and scope.pop()[1] != -1:
+                        while scope and closed() != -1:
                             pass
+        while scope:
+            closed()
+        self.last[0] = len(self.last) - 1
 
     def is_op(self, i: int, *ops: str) -> bool:
         return 0 <= i < len(self.tokens) and self.tokens[i].kind == "op" and self.tokens[i].text in ops
@@ -205,57 +233,70 @@ class Lexer:
         return i
 
     def expression(self, i: int) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
-        """The alternatives of the expression at token i: pieces and names."""
+        """The alternatives of the expression at token i: pieces and names. What stands in brackets is one operand."""
         literals: list[tuple[int, int]] = []
         refs: list[str] = []
         tokens, n = self.tokens, len(self.tokens)
+        ends: list[int] = []  # of the brackets that i is in
         i = self.past_lines(i) if i < n and self.inside[i] else i
-        while i < n:
-            t = tokens[i]
-            if t.kind == "str":
+        while True:
+            t = tokens[i] if i < n else None
+            operand = True
+            if t is None:
+                operand = False
+            elif t.kind == "str":
                 literals.append((t.start, t.end))
                 i += 1
             elif t.kind == "name" and t.text in ("new", "await", "return"):
                 i += 1
                 continue
             elif t.kind == "name" and self.is_op(i + 1, "("):
-                if i + 1 not in self.partner:
-                    break
-                for arg in self.arguments(i + 1, skip_key=looks_up(t.text)):
-                    literals += [(x.start, x.end) for x in arg if x.kind == "str"]
-                    refs += [x.text for x in arg if x.kind == "name"]
-                i = self.partner[i + 1] + 1
+                operand = i + 1 in self.partner
+                if operand:
+                    for arg in self.arguments(i + 1, skip_key=looks_up(t.text)):
+                        literals += [(x.start, x.end) for x in arg if x.kind == "str"]
+                        refs += [x.text for x in arg if x.kind == "name"]
+                    i = self.partner[i + 1] + 1
             elif t.kind == "name":
                 if t.text != "or":
                     refs.append(t.text)
                 i += 1
             elif self.is_op(i, "(") and i in self.partner:
-                for a, b in self.expression(i + 1):
-                    literals, refs = literals + a, refs + b
-                i = self.partner[i] + 1
-            else:
-                break
-            after = i if i < n and tokens[i].kind != "nl" else self.past_lines(i)
-            if after < n and (tokens[after].text in ("||", "??") or (tokens[after].kind == "name" and tokens[after].text == "or")) and (after == i or self.inside[after]):
-                yield literals, refs
-                literals, refs = [], []
-                i = self.past_lines(after + 1)
-            elif self.is_op(after, "+", ".", "..", "&"):
-                i = self.past_lines(after + 1)
-            elif after < n and tokens[after].kind == "str" and tokens[i - 1].kind == "str" and (after == i or self.inside[after]):
-                i = after  # strings side by side
+                ends.append(self.partner[i])
+                i = self.past_lines(i + 1)
+                continue
             else:
+                operand = False
+            while True:
+                after = i if i >= n or tokens[i].kind != "nl" else self.past_lines(i)
+                if operand and after < n and (tokens[after].text in ("||", "??") or (tokens[after].kind == "name" and tokens[after].text == "or")) and (after == i or self.inside[after]):
+                    if not ends:
+                        yield literals, refs
+                        literals, refs = [], []
+                    i = self.past_lines(after + 1)
+                elif operand and self.is_op(after, "+", ".", "..", "&"):
+                    i = self.past_lines(after + 1)
+                elif operand and after < n and tokens[after].kind == "str" and tokens[i - 1].kind == "str" and (after == i or self.inside[after]):
+                    i = after  # strings side by side
+                elif ends:
+                    i, operand = ends.pop() + 1, True
+                    continue
+                else:
+                    if literals or refs:
+                        yield literals, refs
+                    return
                 break
-        if literals or refs:
-            yield literals, refs
 
     def arguments(self, i: int, skip_key: bool = False) -> list[list[Token]]:
         """The arguments of the call whose bracket is token i, calls in it included, but for lookups, other
-        brackets and named arguments."""
+        brackets and named arguments. Calls more than NESTED levels deep are references."""
         out: list[list[Token]] = [[]]
         named, j, end = False, i + 1, self.partner[i]
+        ends: list[int] = []
         while j < end:
             t = self.tokens[j]
+            while ends and j >= ends[-1]:
+                ends.pop()
             if self.is_op(j, ","):
                 out.append([])
                 named = False
@@ -264,11 +305,23 @@ class Lexer:
             elif t.kind in ("str", "name") and not named:
                 out[-1].append(t)
             nested = self.is_op(j, "(") and not (self.tokens[j - 1].kind == "name" and looks_up(self.tokens[j - 1].text))
+            if nested and j in self.partner and len(ends) >= NESTED:
+                if not named:
+                    out[-1].append(Token("name", self.deeper(j), t.start, t.start))
+                nested = False
+            elif nested and j in self.partner:
+                ends.append(self.partner[j])
             j = j + 1 if nested else self.partner.get(j, j) + 1
         return out[1:] if skip_key else out
 
+    def deeper(self, i: int) -> str:
+        """The name that stands for the arguments of the call whose bracket is token i."""
+        if i not in self.deep:
+            self.deep[i] = False  # not read yet
+        return f"\0{i}"
+
     def assign(self, name: str, i: int, literals: list[tuple[int, int]], refs: list[str], own_line: tuple[int, int] | None = None) -> None:
-        scope = self.scopes[i] if i < len(self.scopes) else ()
+        scope = self.scopes[i] if i < len(self.scopes) else 0
         self.found.append(Assignment(name, literals, refs, self.tokens[i].start if i < len(self.tokens) else 0, scope, own_line))
 
     def target(self, i: int) -> int | None:
@@ -308,8 +361,11 @@ class Lexer:
         tokens = self.tokens
         for i, t in enumerate(tokens):
             if t.kind == "name" and self.is_op(i + 1, "(") and i + 1 in self.partner:
-                args = self.arguments(i + 1)
-                if name_score(t.text) and not looks_up(t.text):
+                sensitive = name_score(t.text) and not looks_up(t.text)
+                # name("key", ...): only such calls and those of sensitive functions are read here
+                keyed = i + 3 < len(tokens) and tokens[i + 2].kind == "str" and self.is_op(i + 3, ",") and not looks_up(t.text)
+                args = self.arguments(i + 1) if sensitive or keyed else []
+                if sensitive:
                     self.assign(t.text, i, [(x.start, x.end) for arg in args for x in arg if x.kind == "str"], [x.text for arg in args for x in arg if x.kind == "name"])
                 key = args[0][0] if len(args) > 1 and len(args[0]) == 1 and args[0][0].kind == "str" else None
                 if key and IDENTIFIER.fullmatch(key.text) and not looks_up(t.text):
@@ -334,7 +390,12 @@ class Lexer:
             called = [self.text[slice(*held[k])] for k in ("name", "key", "id") if k in held]
             inner = None if m[3] else ELEMENT_TEXT.match(self.text, m.end(), self.end)
             values = [(k, v) for k, v in held.items()] + [(c, held["value"]) for c in called if "value" in held] + ([(c, inner.span(1)) for c in [m[1], *called]] if inner else [])
-            self.found += [Assignment(name, [span], [], m.start(), ()) for name, span in values]
+            self.found += [Assignment(name, [span], [], m.start(), 0) for name, span in values]
+        while todo := [i for i, read in self.deep.items() if not read]:
+            for i in todo:
+                self.deep[i] = True
+                held = [x for arg in self.arguments(i) for x in arg]
+                self.found.append(Assignment(f"\0{i}", [(x.start, x.end) for x in held if x.kind == "str"], [x.text for x in held if x.kind == "name"], tokens[i].start, 0))
         return self.found
 
 
@@ -344,34 +405,40 @@ def looks_up(function: str) -> bool:
     return bool(words) and words[0] in LOOKUPS
 
 
-def resolved(found: list[Assignment]) -> list[list[int]]:
-    """For each assignment the numbers of those that its names stand for."""
-    by_name: dict[str, list[int]] = {}
-    for k, x in enumerate(found):
-        by_name.setdefault(x.name, []).append(k)
-    # of one name: the last assignment of each scope before a place, by scope
-    out: list[list[int]] = []
-    last: dict[str, dict[tuple[int, ...], int]] = {}
-    first: dict[str, dict[tuple[int, ...], int]] = {name: {} for name in by_name}
-    for k in reversed(range(len(found))):
-        first[found[k].name][found[k].scope] = k
-    for k, x in enumerate(found):
-        met = []
-        for ref in x.refs:
-            for known in (last.get(ref, {}), first.get(ref, {})):
-                chain = [x.scope[:n] for n in range(len(x.scope), -1, -1)]
-                hit = next((known[s] for s in chain if s in known and known[s] != k), None)
-                if hit is not None:
-                    met.append(hit)
-                    break
-        out.append(met)
-        last.setdefault(x.name, {})[x.scope] = k
-    return out
+def resolved(found: list[Assignment], last: list[int]) -> list[list[int]]:
+    """For each assignment the numbers of those that its names stand for; last: of each scope the last one inside it.
+
+    Assignments come in the order of their places, so those of a name in scopes that are open form a stack, the innermost on
+    top; what has been closed is taken off when it is met. One pass forwards finds the last assignment before a place, one
+    backwards the first one after it."""
+    before: list[dict[str, int]] = []
+    after: list[dict[str, int]] = [{}] * len(found)
+    for way, numbers in ((before, range(len(found))), (after, reversed(range(len(found))))):
+        open_: dict[str, list[tuple[int, int]]] = {}
+
+        def top(name: str, scope: int, open_: dict = open_) -> list[tuple[int, int]]:
+            held = open_.get(name, [])
+            while held and not held[-1][0] <= scope <= last[held[-1][0]]:
+                held.pop()
+            return held
+
+        for k in numbers:
+            x = found[k]
+            met = {ref: held[-1][1] for ref in dict.fromkeys(x.refs) if (held := top(ref, x.scope))}
+            if way is before:
+                before.append(met)
+            else:
+                after[k] = met
+            held = top(x.name, x.scope)
+            if held and held[-1][0] == x.scope:
+                held.pop()
+            open_.setdefault(x.name, held).append((x.scope, k))
+    return [[hit for ref in dict.fromkeys(x.refs) if (hit := b.get(ref, a.get(ref))) is not None] for x, b, a in zip(found, before, after, strict=True)]
 
 
-def scored(text: str, found: list[Assignment], rules: SecretRules) -> dict[tuple[int, int], tuple[float, str]]:
+def scored(text: str, found: list[Assignment], last: list[int], rules: SecretRules) -> dict[tuple[int, int], tuple[float, str]]:
     """The best score and name of each literal that reaches a sensitive name."""
-    uses = resolved(found)
+    uses = resolved(found, last)
     weight = [(name_score(x.name), x.name) for x in found]
     # the most sensitive first, so that each assignment is settled once
     todo = sorted((k for k in range(len(found)) if weight[k][0]), key=lambda k: -weight[k][0])
@@ -390,7 +457,7 @@ def scored(text: str, found: list[Assignment], rules: SecretRules) -> dict[tuple
         w, name = weight[k]
         if not w:
             continue
-        pieces = x.literals + [p for u in uses[k] for p in found[u].literals]
+        pieces = x.literals + [p for u in uses[k] if len(found[u].literals) <= JOINED for p in found[u].literals]
         if not pieces and x.own_line and not uses[k]:
             pieces = [x.own_line]  # a name that leads nowhere is a value itself
         value = "".join(text[a:b] for a, b in pieces)
@@ -405,11 +472,11 @@ def scored(text: str, found: list[Assignment], rules: SecretRules) -> dict[tuple
 def lexed(text: str, rules: SecretRules) -> list[tuple[str, int, int, str, float]]:
     """Spans of literals that reach a sensitive name: (literal, start, end, name, score)."""
     out: dict[tuple[int, int], tuple[float, str]] = {}
-    todo: list[tuple[int, int]] = [(0, len(text))]
+    todo: list[tuple[int, int, bool]] = [(0, len(text), False)]
     while todo:
         lexer = Lexer(text, *todo.pop())
-        todo += lexer.comments
-        for span, best in scored(text, lexer.assignments(), rules).items():
+        todo += [(*x, True) for x in lexer.comments]
+        for span, best in scored(text, lexer.assignments(), lexer.last, rules).items():
             if best[0] > out.get(span, (0.0, ""))[0]:
                 out[span] = best
     return [("literal", a, b, name, score) for (a, b), (score, name) in out.items()]

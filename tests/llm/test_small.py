@@ -4,6 +4,7 @@ columns; and against brute force."""
 import gzip
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -492,6 +493,48 @@ def test_secret_scan_of_long_and_broken_texts(spark):
     assert rows(once, "doc_id", "text")[0] == rows(secrets.redact_secrets(once), "doc_id", "text")[0] == (0, "auth_key = '[secret]'")
 
 
+DEEP, VALUE = 100_000, "Zx9kQ2mV7pL4"
+
+
+@pytest.mark.parametrize("text", [
+    f"password = {'(' * DEEP}'{VALUE}'{')' * DEEP}", "{" * DEEP + f"password = '{VALUE}'" + "}" * DEEP, f"password = {'f(' * DEEP}'{VALUE}'{')' * DEEP}", "[" * DEEP + f"password = '{VALUE}'",
+    f"password = {'(' * DEEP}'{VALUE}'", "{a=b;" * DEEP + f"password = '{VALUE}'", "# a = " * DEEP + f"password = '{VALUE}'", "f(x, {" * DEEP + f"password = '{VALUE}'", "\n".join(" " * (i % 300) + f"def f{i}():" for i in range(5000)) + f"\n password = '{VALUE}'",
+])
+def test_secrets_in_deeply_nested_texts(text):
+    begun = time.perf_counter()
+    found = [text[a:b] for kind, a, b, *_ in secrets.scan_text(text) if kind == "literal"]
+    assert found == ([VALUE] if not text.startswith("password = ((") or text.endswith(")") else []) and time.perf_counter() - begun < 40
+
+
+def test_names_stand_for_what_their_scope_sees():
+    r = random.Random(8)
+    for _ in range(60):
+        # nested scopes, names assigned and used at random, against a walk up the scopes
+        last, parent, found, open_ = [-1], [0], [], [0]
+        for _ in range(r.randrange(1, 60)):
+            step = r.random()
+            if step < 0.25:
+                parent.append(open_[-1])
+                open_.append(len(last))
+                last.append(-1)
+            elif step < 0.45 and len(open_) > 1:
+                last[open_.pop()] = len(last) - 1
+            else:
+                found.append(secrets.Assignment(r.choice("abc"), [], [r.choice("abcd") for _ in range(r.randrange(3))], 0, open_[-1]))
+        for s in open_:
+            last[s] = len(last) - 1
+        for k, (x, met) in enumerate(zip(found, secrets.resolved(found, last), strict=True)):
+            chain = [x.scope]
+            while chain[-1]:
+                chain.append(parent[chain[-1]])
+            want = []
+            for ref in dict.fromkeys(x.refs):
+                of = {s: [n for n, y in enumerate(found) if y.name == ref and y.scope == s] for s in chain}
+                before, after = ([v for s in chain if (v := [n for n in of[s] if way(n)])] for way in (lambda n: n < k, lambda n: n > k))  # noqa: B023
+                want += [before[0][-1]] if before else [after[0][0]] if after else []
+            assert met == want
+
+
 def test_base_spans_equal_brute_force():
     r = random.Random(8)
     for _ in range(300):
@@ -614,6 +657,25 @@ def test_recall_of_edited_passages():
     assert sum(met) >= 0.95 * len(met)
 
 
+@pytest.mark.parametrize(("n", "share"), [(5, 0.2), (10, 0.3), (6, 0.4), (3, 0.34)])
+def test_recall_of_short_items_and_many_edits(n, share):
+    r = random.Random(n)
+    items = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for _ in range(60)]
+    index, words = decontam.ItemIndex(list(range(60)), items, decontam.LeakRules(max_edits=share)), decontam.Words()
+    assert index.rules.edits(n) == int(round(n * share, 6))
+    met = []
+    for i, t in enumerate(items * 4):
+        w = t.split()
+        for p in r.sample(range(n), index.rules.edits(n)):
+            w[p] = f"zz{r.randrange(999)}"
+        met.append(i % 60 in {k for k, *_ in index.search(words(" ".join(["qq"] * r.randrange(30) + w + ["rr"] * r.randrange(30))))})
+    assert sum(met) >= 0.9 * len(met)
+    # one edit too many is no passage
+    w = items[0].split()
+    w[: index.rules.edits(n) + 1] = ["zz"] * (index.rules.edits(n) + 1)
+    assert not index.search(words(" ".join(w)))
+
+
 def test_nearest_is_the_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
