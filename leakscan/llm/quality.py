@@ -54,8 +54,8 @@ class QualityRules:
     min_chars: int = 200
     min_words: int = 50
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
-    spreads: float = 4.0
-    least_gap: float = 0.1
+    spreads: float = 6.0
+    least_gap: float = 0.15
     least_texts: int = 50
 
 

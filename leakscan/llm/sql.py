@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .licenses import K, LicenseRules, template_grams
-from .quality import CHAR_CLASSES, QualityRules, vocabulary
 
 
 def _list(words: list[str]) -> str:
@@ -16,40 +15,65 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {half.format(a=x, b=y)} + {half.format(a=y, b=x)})) / 2))"
 
 
-def quality(source: str = "documents", rules: QualityRules = QualityRules()) -> str:
-    classes = ", ".join(f"length(regexp_replace(t, '[^{s.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for s in CHAR_CLASSES.values())
-    n_class, n_word = len(CHAR_CLASSES) + 2, len(vocabulary()) + 1
+# Fixed values, written a second time so that the SQL checks them: character classes, symbols, common words, limits.
+SETS = ["A-Z", "0-9", ".!?", ",;:", "''\"()\\-", "\\x{C0}-\\x{24F}"]
+SYMBOLS = "#*$%&|<>=+/_@~^\\{}[]`"
+WORDS = (
+    "the of and to in a is that for it as was der die und in den von zu das mit sich des auf "
+    "de la le et les des en un du une que est de la que el en y a los del se las por"
+)
+
+
+def quality(source: str = "documents", least_texts: int = 50) -> str:
+    """Distances over fine classes and common words, the two limits, and the fence by size: the median of the sums of both
+    distances (of distinct texts, in steps of 0.001) and above it six times what the lower quarter lies below, 0.15 at least;
+    sizes with few texts are pooled with the next smaller ones, at last with all."""
+    blank = r"[\x20\x09-\x0D]+"
+    only = lambda s: f"length(regexp_replace(t, '[^{s}]+', '', 'g'))"
+    each = lambda c: f"length(t) - length(replace(t, '{c}', ''))"
+    classes = ", ".join([*map(only, SETS), *map(each, SYMBOLS)])
+    words = sorted(set(WORDS.split()))
+    n_class, n_word = len(SETS) + len(SYMBOLS) + 2, len(words) + 1
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])::DOUBLE" for i in range(n)) + "]"
     norm = lambda c: f"list_transform({c}, lambda x: x / greatest(1, list_sum({c})))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM {source}),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '{blank}'), lambda x: x <> '') AS w FROM d),
 g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 4),
 h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY rid),
 f AS (
-  SELECT rid, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  SELECT rid, doc_id, lang, t, len(w) AS n_words, length(regexp_replace(t, '{blank}', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(t) AS n_chars,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-    [{classes}, length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))] AS classes, w
+    [{classes}, length(t) - length(regexp_replace(t, '{blank}', '', 'g'))] AS classes, w
   FROM w),
 c AS (
-  SELECT * EXCLUDE (classes), list_append(classes, n_chars - list_sum(classes)::BIGINT) AS class_counts, len(w) AS n_letters,
-    list_transform({_list(vocabulary())}, lambda v: len(list_filter(w, lambda x: x = v))) AS found FROM f),
-e AS (SELECT *, list_append(found, n_letters - list_sum(found)::BIGINT) AS word_counts FROM c),
-q AS (SELECT lang, {sums("class_counts", n_class)} AS rc, {sums("word_counts", n_word)} AS rw FROM e WHERE lang IN ({", ".join(f"'{x}'" for x in rules.languages)}) GROUP BY lang),
+  SELECT * EXCLUDE (classes), list_append(classes, n_chars - list_sum(classes)::BIGINT) AS class_counts,
+    list_transform({_list(words)}, lambda v: len(list_filter(w, lambda x: x = v))) AS found FROM f),
+e AS (SELECT *, list_append(found, n_words - list_sum(found)::BIGINT) AS word_counts FROM c),
+q AS (SELECT lang, {sums("class_counts", n_class)} AS rc, {sums("word_counts", n_word)} AS rw FROM e WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang),
 qn AS (SELECT {norm("rc")} AS rc, {norm("rw")} AS rw FROM q),
 j AS (
   SELECT e.rid, min({_distance("x.pc", "qn.rc")}) AS class_distance, min({_distance("x.pw", "qn.rw")}) AS word_distance
-  FROM e JOIN (SELECT rid, {norm("class_counts")} AS pc, {norm("word_counts")} AS pw FROM e WHERE n_chars > 0 AND n_letters > 0) x USING (rid) CROSS JOIN qn GROUP BY e.rid),
+  FROM e JOIN (SELECT rid, {norm("class_counts")} AS pc, {norm("word_counts")} AS pw FROM e WHERE n_chars > 0 AND n_words > 0) x USING (rid) CROSS JOIN qn GROUP BY e.rid),
 v AS (
-  SELECT e.*, coalesce(n_repeat_words, 0) AS nr, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS failed,
-    CASE WHEN n_chars >= {rules.min_chars} THEN class_distance END AS cd, CASE WHEN n_letters >= {rules.min_words} THEN word_distance END AS wd
-  FROM e LEFT JOIN r USING (rid) LEFT JOIN j USING (rid))
+  SELECT e.*, coalesce(n_repeat_words, 0) AS nr, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS failed, length(bin(n_words)) AS bits,
+    CASE WHEN n_chars >= 200 THEN class_distance END AS cd, CASE WHEN n_words >= 50 THEN word_distance END AS wd
+  FROM e LEFT JOIN r USING (rid) LEFT JOIN j USING (rid)),
+b AS (SELECT bits, floor((cd + wd) / 0.001)::BIGINT AS pos, count(DISTINCT t) AS n FROM v WHERE NOT failed AND cd + wd IS NOT NULL GROUP BY ALL),
+s AS (SELECT bits, sum(n) AS n FROM b GROUP BY bits),
+p AS (
+  SELECT bits, max(low) AS low FROM (
+    SELECT x.bits, z.bits AS low, (SELECT sum(y.n) FROM s y WHERE y.bits BETWEEN z.bits AND x.bits) AS held FROM s x JOIN s z ON z.bits <= x.bits) WHERE held >= {least_texts} GROUP BY bits),
+o AS (
+  SELECT x.bits, b.pos, sum(b.n) AS n FROM s x LEFT JOIN p ON p.bits = x.bits JOIN b ON CASE WHEN p.low IS NULL THEN true ELSE b.bits BETWEEN p.low AND x.bits END GROUP BY x.bits, b.pos),
+u AS (SELECT bits, pos, sum(n) OVER (PARTITION BY bits ORDER BY pos) AS so_far, sum(n) OVER (PARTITION BY bits) AS n FROM o),
+k AS (SELECT bits, 0.001::DOUBLE * min(pos) FILTER (so_far >= 0.5 * n) AS middle, 0.001::DOUBLE * min(pos) FILTER (so_far >= 0.25 * n) AS lower FROM u GROUP BY bits)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, nr::BIGINT AS n_repeat_words, failed AS base_failed,
-  NOT failed AND NOT (coalesce(cd, 0) > {rules.max_class_distance} OR coalesce(wd, 0) > {rules.max_word_distance}) AS kept
-FROM v"""
+  NOT failed AND NOT (coalesce(cd, 0) > 0.26 OR coalesce(wd, 0) > 0.75 OR coalesce(cd + wd > middle + greatest(0.15, 6 * (middle - lower)), false)) AS kept
+FROM v LEFT JOIN k USING (bits)"""
 
 
 def licenses(rules: LicenseRules = LicenseRules()) -> str:
