@@ -46,6 +46,10 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 LIST_SCOPE = frozenset("ul ol dl table select menu".split())
 # Page furniture by tag, by role, and by words of class and id.
 FURNITURE = frozenset("head script style title nav footer aside form noscript template iframe svg button select textarea dialog object canvas menu xmp noembed noframes".split())
+# Content of an article, whatever its class says; blocks of it that are furniture are of other tags.
+CONTENT = INLINE | frozenset("table thead tbody tfoot tr td th caption colgroup dl dt dd li pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 hgroup main article".split())
+# First words of class names that say what a page has, not what an element is.
+TELLS_OF_PAGE = frozenset("has no with without".split())
 # What is never text, and what leaves no break in the text around it.
 HIDDEN = frozenset("head script style title noscript template iframe svg select textarea object canvas xmp noembed noframes".split())
 NO_TEMPLATE = HIDDEN | INLINE | {"#root", "br", "meta", "link"}
@@ -71,10 +75,11 @@ class TemplateRules:
 
 
 class Node:
-    __slots__ = ("children", "digest", "furniture", "opening", "tag")
+    __slots__ = ("by_name", "children", "digest", "furniture", "opening", "tag")
 
-    def __init__(self, tag: str, opening: str, furniture: bool) -> None:
-        self.tag, self.opening, self.furniture, self.children, self.digest = tag, opening, furniture, [], 0
+    def __init__(self, tag: str, opening: str, furniture: bool, by_name: bool = False) -> None:
+        """by_name: furniture for nothing but a class or id."""
+        self.tag, self.opening, self.furniture, self.by_name, self.children, self.digest = tag, opening, furniture, by_name, [], 0
 
 
 def parse(page: str, lists: bool = True) -> tuple[Node, list[Node]]:
@@ -83,6 +88,7 @@ def parse(page: str, lists: bool = True) -> tuple[Node, list[Node]]:
     stack, nodes, at, size = [root], [root], 0, len(page)
     opened: Counter[str] = Counter()
     raw_ends: dict[str, re.Pattern] = {}
+    wraps: dict[str, list[list[Node]]] = {"article": [], "main": []}  # of each, the furniture around it
 
     def close(n: int) -> None:
         while len(stack) > n:
@@ -134,8 +140,11 @@ def parse(page: str, lists: bool = True) -> tuple[Node, list[Node]]:
             close(n)
         elif tag in SAME_CLOSES and (n := nearest(SAME_CLOSES[tag], LIST_SCOPE)):
             close(n)
-        listed = tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs)) or (tag == "header" and not opened["article"])
-        add(node := Node(tag, m[0], listed if lists else tag in HIDDEN))
+        listed = tag in FURNITURE or (tag == "header" and not opened["article"])
+        role, name = _furniture(tag, attrs, opened["article"] > 0) if attrs and lists and not listed else (False, False)
+        add(node := Node(tag, m[0], listed or role or name if lists else tag in HIDDEN, name and not role))
+        if tag in wraps and not node.furniture:
+            wraps[tag].append([x for x in stack if x.furniture])
         if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
         if tag in RAW:
@@ -147,6 +156,9 @@ def parse(page: str, lists: bool = True) -> tuple[Node, list[Node]]:
         else:
             stack.append(node)
             opened[tag] += 1
+    around = wraps["article"] or wraps["main"]
+    if around and all(around):
+        unwrap(root, around)
     for node in reversed(nodes):  # children come after their parents
         h = xxhash.xxh64(node.opening.encode("utf-8", "replace"))
         for c in node.children:
@@ -155,19 +167,44 @@ def parse(page: str, lists: bool = True) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
-def _furniture(tag: str, attrs: str) -> bool:
-    """By role, class and id; the page itself and its main parts only by role, and an article also where it is a comment."""
+def unwrap(root: Node, around: list[list[Node]]) -> None:
+    """Where all of a page's articles lie in furniture by class or id, that is their wrapper and no furniture, if it holds most of
+    the page's text; a list of teasers beside a text without an article stays furniture."""
+    wrappers = {id(x): x for held in around if all(x.by_name for x in held) for x in held}
+    inner = outer = 0
+    work: list[tuple[Node, bool]] = [(root, False)]
+    while work:
+        x, wrapped = work.pop()
+        wrapped = wrapped or id(x) in wrappers
+        if x.furniture and not wrapped or x.tag in HIDDEN:
+            continue
+        n = sum(len(c.split()) for c in x.children if isinstance(c, str))
+        inner, outer = (inner + n, outer) if wrapped else (inner, outer + n)
+        work += [(c, wrapped) for c in x.children if not isinstance(c, str)]
+    if inner >= outer:
+        for x in wrappers.values():
+            x.furniture = False
+
+
+def _furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture by its role, and by a class or id; the page itself and its main parts only by role, and
+    an article also where it is a comment; inside an article only what is not content by its tag."""
+    role = name = False
     for m in ATTR.finditer(attrs):
-        name = m[1].lower()
-        if name not in ("class", "id", "role"):
+        kind = m[1].lower()
+        if kind not in ("class", "id", "role"):
             continue
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name != "role" and tag in ("html", "body", "main", "article"):
-            if tag == "article" and any(re.split(r"[^a-z0-9]+", x)[0] in ("comment", "reply") for x in value.split()):
-                return True
-        elif not (ROLES if name == "role" else CLASSES).isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        if kind == "role":
+            role = role or not ROLES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+        elif tag in ("html", "body", "main", "article"):
+            if tag == "article":
+                name = name or any(re.split(r"[^a-z0-9]+", x)[0] in ("comment", "reply") for x in value.split())
+        elif not (in_article and tag in CONTENT):
+            for x in value.split():
+                parts = re.split(r"[^a-z0-9]+", x)
+                name = name or (not CLASSES.isdisjoint(parts) and parts[0] not in TELLS_OF_PAGE)
+    return role, name
 
 
 OUTSIDE, INSIDE, PLAIN = range(3)
@@ -202,7 +239,7 @@ def pieces(page: str, rules: TemplateRules = TemplateRules()) -> Pieces:
     plain = not held & {"article", "main"}
     words = blocks = 0
     open_block = False  # whether the running block has a word
-    work: list = [(root, False, False)]
+    work: list = [(root, 0, False)]  # inside: 1 a main element, 2 an article
     while work:
         x, inside, hidden = work.pop()
         if isinstance(x, str):
@@ -235,14 +272,12 @@ def pieces(page: str, rules: TemplateRules = TemplateRules()) -> Pieces:
             if open_block:
                 blocks, open_block = blocks + 1, False
             out.texts.append(None)
-        region = x.tag if x.tag in ("article", "main") and not inside and not gone else None
-        if region == "main" and work and any(isinstance(w[0], tuple) and w[0][0] == "main" for w in work[-2:]):
-            region = None
+        region = x.tag if not gone and inside < {"article": 2, "main": 1}.get(x.tag, 0) else None
         if region:
             work.append(((region, len(out.texts), len(out.subtrees), blocks), inside, False))
-        within = inside or region == "article"
+        within = max(inside, {"article": 2, "main": 1}[region] if region else 0)
         if (id(x) not in holds or region == "article") and x.tag not in NO_TEMPLATE:
-            sub = [x.digest, len(out.texts), 0, INSIDE if within else PLAIN if plain else OUTSIDE, words, blocks, 0]
+            sub = [x.digest, len(out.texts), 0, INSIDE if within == 2 else PLAIN if plain else OUTSIDE, words, blocks, 0]
             out.subtrees.append(sub)
             work.append((sub, inside, False))
         if x.tag not in HIDDEN:

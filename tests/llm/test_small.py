@@ -369,6 +369,20 @@ def test_page_and_article_classes_are_no_furniture():
     assert html.main_text(page) == "One two"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='site-content has-sidebar'", "div id='page' class='no-sidebar'", "div class='row related-layout'", "section class='comment-policy'", "div class='menu-open' id=promo", "main class=x><div class='sidebar-left'"])
+def test_what_holds_the_article_is_no_furniture(wrapper):
+    article = "<article><h1>Told</h1><p>Here it <span class='social'>all</span> is.</p><table class='menu'><tr><td class='ad'>cell</table><div class='share'>no</div></article>"
+    page = f"<body><nav>menu</nav><{wrapper}>{article}</{wrapper.split()[0]}><div class='related'><p>no</p></div></body>"
+    assert html.main_text(page) == "Told Here it all is. cell"
+
+
+def test_teasers_beside_a_text_are_furniture():
+    page = "<body><div class='content'><p>The text of this page has no article around it, and it is long.</p></div><div class='related'><article>Read this</article><article>and that</article></div></body>"
+    assert html.main_text(page) == "The text of this page has no article around it, and it is long."
+    both = "<body><article>Own text</article><div class='related'><article>teaser of many many many words</article></div></body>"
+    assert html.main_text(both) == "Own text"
+
+
 def test_templates_are_deleted(spark):
     page = lambda i: f'<body><div class="top"><p>Welcome to the site</p></div><div><p>Page {i} says {prose(i, 9)}</p></div></body>'
     pages = spark.createDataFrame([(i, f"http://Host/{i}", page(i)) for i in range(8)] + [(90, "http://other/", page(90)), (91, None, None), (92, "", "")], "page_id bigint, url string, html string")
