@@ -6,8 +6,9 @@ timestamps from the 14 digits, types from the block (a response has an HTTP head
 least `min_bytes`, the one with the largest key stays a response and the others become revisits of it.
 
 Archives are written by Spark's text writer (gzip) into files of a bounded number of records and, but for one record, of bytes,
-each file with its own first record: a file is one row of the writer. They are read with Spark's binaryFile reader, so any store that Spark reaches will do. Only digests and keys are
-shuffled; the list of repeated digests is broadcast while it has at most `broadcast_rows` rows, and joined by a shuffle beyond.
+each file with its own first record: a file is one row of the writer. They are read with Spark's binaryFile reader, so any store that Spark reaches will do. The list of
+repeated digests is made of digests and keys alone, and broadcast while it has at most `broadcast_rows` rows: no payload is shuffled
+then. Beyond that it is joined by a shuffle on the digest, which moves the payloads too.
 
 Nulls: a null payload is empty, a null URL gets a urn, a null key counts as the smallest. Rows that repeat with their key are
 all responses where that key is the largest. Records of other writers have no key; lengths of revisits are kept in a header
@@ -203,7 +204,8 @@ def warc_bytes(kind: str, record_id: str, date: str, headers: list[tuple[str, st
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, rules: ArchiveRules = ArchiveRules()) -> None:
     """Converts all ARC files under arc_path to WARC files under warc_path."""
-    targets = revisit_targets(read_arc(spark, arc_path, rules, blocks=False), rules)
+    # digests, keys and identifiers of repeated payloads, from one parse of the archives
+    targets = written(revisit_targets(read_arc(spark, arc_path, rules, blocks=False), rules), "targets")
     if targets.limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows:
         targets = F.broadcast(targets)
     records = read_arc(spark, arc_path, rules).join(targets, "digest", "left")
@@ -232,15 +234,48 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, rules: Archi
     _write(records.mapInArrow(to_warc, "record binary"), warc_path, "\r\n\r\n")
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+class Headers(dict):
+    """Named fields in any case and spacing, folded lines joined; of repeated names the first counts."""
+
+    def __init__(self, lines: list[str]) -> None:
+        super().__init__()
+        name = None
+        for line in lines:
+            if line[:1] in (" ", "\t") and name:
+                self[name] = f"{self[name]} {line.strip()}"
+            elif ":" in line:
+                name, value = (x.strip() for x in line.split(":", 1))
+                name = None if name.lower() in self else name.lower()
+                if name:
+                    self[name] = value
+
+    def __missing__(self, name: str) -> str:
+        low = name.lower()
+        if low == name:
+            raise KeyError(name)
+        return self[low]
+
+    def field(self, name: str, default: str | None = None) -> str | None:
+        return self.get(name.lower(), default)
+
+
+def warc_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
     """(headers, block) of each record, by declared lengths."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        headers = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        length = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            if data[at:].strip():
+                raise ValueError(f"a record's header at byte {at} has no end")
+            return
+        headers = Headers(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+        told = headers.field("Content-Length")
+        if told is None or not told.isdecimal():
+            raise ValueError(f"the record at byte {at} declares no length")
+        yield headers, data[end + 4 : end + 4 + int(told)]
+        at = end + 4 + int(told)
+        while data[at : at + 2] == b"\r\n":  # two, by the standard
+            at += 2
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -253,17 +288,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 data = content.as_py()
                 rows = []
                 for h, block in warc_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    if h["WARC-Type"] == "warcinfo":
+                    kind, record_id = h.field("WARC-Type", ""), (h.field("WARC-Record-ID") or "").strip("<>")
+                    if kind not in ("response", "resource", "revisit"):
                         continue
                     header, payload = http_parts(block)
                     m = re.search(rb"\r\nX-Key: (-?\d+)\r\n", header)
                     size, digest = len(payload), digest32(payload)
-                    if h["WARC-Type"] == "revisit":
-                        told = h.get("X-Payload-Length") or ((c := re.search(rb"(?i)\r?\ncontent-length:[ \t]*(\d+)", header)) and c[1])
-                        size, digest = None if told is None else int(told), h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    elif digest != h["WARC-Payload-Digest"].removeprefix("sha1:"):
-                        raise ValueError(f"payload of {h['WARC-Record-ID']} differs from its digest")
-                    rows.append((h["WARC-Record-ID"].strip("<>"), h["WARC-Type"], h["WARC-Target-URI"], int(m[1]) if m else None, size, digest, h.get("WARC-Refers-To", "").strip("<>") or None))
+                    stated = (h.field("WARC-Payload-Digest") or "").removeprefix("sha1:")
+                    if kind == "revisit":
+                        told = h.field("X-Payload-Length") or ((c := re.search(rb"(?i)\r?\ncontent-length:[ \t]*(\d+)", header)) and c[1])
+                        size, digest = None if told is None else int(told), stated
+                    elif stated and re.fullmatch("[A-Z2-7]{32}", stated) and digest != stated:
+                        raise ValueError(f"payload of {record_id} differs from its digest")
+                    rows.append((record_id, kind, (h.field("WARC-Target-URI") or "").strip("<>"), int(m[1]) if m else None, size, digest, (h.field("WARC-Refers-To") or "").strip("<>") or None))
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 

@@ -171,6 +171,29 @@ def test_foreign_archives(spark, tmp_path):
     assert [(r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "v")).collect()] == [("revisit", None, "AA")]
 
 
+def test_foreign_warc_headers(spark, tmp_path):
+    """Names in any case and spacing, folded lines, other record types, no digest, missing line ends at the end of the file."""
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    head = lambda *lines: b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n"
+    data = head("content-length:5", "WARC-type:request", "WARC-Record-ID: <urn:q>") + b"GET /\r\n\r\n"
+    data += head("WARC-TYPE : response", "warc-record-id:\t<urn:a>", "WARC-Target-URI: <http://a/", " b>", f"Content-Length:{len(block)}", "X-Odd") + block + b"\r\n\r\n"
+    data += head(f"Content-Length:   {len(block)}", "WARC-Type: resource", "WARC-Record-ID: <urn:b>", "WARC-Payload-Digest: md5:00", "content-length: 1") + block
+    (tmp_path / "x.warc").write_bytes(data)
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [(r.record_id, r.record_type, r.uri, r.payload_bytes) for r in got] == [("urn:a", "response", "http://a/ b", 5), ("urn:b", "resource", "", 5)]
+    for bad in (b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"WARC/1.0\r\nContent-Length: x\r\n\r\n", b"WARC/1.0\r\nContent-Length: 3"):
+        with pytest.raises(ValueError, match="record"):
+            list(warc.warc_records(bad))
+
+
+def test_archive_plan_shuffles_no_payload(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", b"same") for i in range(9)], "key bigint, url string, payload binary")
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    targets = warc.revisit_targets(warc.read_arc(spark, str(tmp_path / "arc"), blocks=False), warc.ArchiveRules())
+    plan = warc.read_arc(spark, str(tmp_path / "arc")).join(warc.F.broadcast(targets), "digest", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+
+
 def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
     pages = [(i, f"http://h/{i}", bytes([65 + i % 26]) * 3000) for i in range(40)] + [(99, "http://long", b"z" * 50_000)]
     warc.write_arc(spark.createDataFrame(pages, "key bigint, url string, payload binary").coalesce(1), str(tmp_path / "arc"), warc.ArchiveRules(file_bytes=10_000))
