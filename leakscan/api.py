@@ -13,7 +13,8 @@ from .functions.plan import once
 from .functions.regexes import Signature, load_signatures
 from .operators import dedup, detect, remediate, score, verify
 from .sources.ignore import read_patterns, scan_patterns
-from .sources.repo import git, is_remote, repo_lines, resolve_target
+from .sources.repo import commit_stream, git, is_remote, repo_lines, resolve_target
+from .streaming.findings import secret_states
 
 
 @dataclass(frozen=True)
@@ -66,4 +67,11 @@ def scan(spark: SparkSession, target: str, options: ScanOptions = ScanOptions())
         shutil.rmtree(folder)
 
 
-__all__ = ["ScanOptions", "findings", "load_signatures", "scan", "target_lines"]
+def watch(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """A stream (update mode) of the state of each path and secret in the commits of a repository, those there already and those
+    to come; detection as scans without options of their own."""
+    extra = list(options.ignore) + (read_patterns(options.ignore_file) if options.ignore_file else [])
+    return secret_states(commit_stream(spark, root, scan_patterns(root, extra, options.defaults)))
+
+
+__all__ = ["ScanOptions", "findings", "load_signatures", "scan", "target_lines", "watch"]

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.plan import settled
+from ..functions.plan import let, running, settled
 from ..functions.text import slashes
 from .detect import with_hits
 from .score import base_points
@@ -37,6 +37,32 @@ def clusters(hits: Column, item: str) -> Column:
     return F.aggregate(hits, start, step)
 
 
+FEW = 8  # hits that are simply compared with each other
+
+
+def span_clusters(hits: Column, item: str) -> Column:
+    """clusters() of hits that all have spans, in about linear time.
+
+    A sweep by starts with the furthest end so far cuts the hits where nothing overlaps: no cluster reaches over such a cut, so
+    each part is clustered alone. A part whose first hit (in their order) overlaps all the others is one cluster, since each of
+    them joins the first one there is; of one or two hits this is always so. Only other parts are searched hit by hit."""
+    placed = F.transform(hits, lambda h, i: F.struct(h["start_col"].alias("a"), i.alias("i"), h.alias("h")))
+    fresh = lambda far, x: x["a"] >= far
+
+    def parts(ordered: Column) -> Column:
+        cuts = running(ordered, F.lit(0), lambda far, x: F.greatest(far, x["h"]["end_col"]), fresh, "boolean")
+        starts = F.filter(F.transform(cuts, lambda c, i: F.when(c | (i == 0), i + 1)), lambda i: i.isNotNull())
+        # a part goes on to the next one's start
+        return let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, 2, 1 << 30), F.array(F.size(ordered) + 1)), lambda x, y: F.slice(ordered, x, y - x)))
+
+    def split(part: Column) -> Column:
+        own = F.transform(F.sort_array(F.transform(part, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h")))), lambda x: x["h"])
+        return let(own, lambda hs: F.when(F.forall(hs, lambda h: same_text(hs[0], h)), F.array(hs)).otherwise(clusters(hs, item)))
+
+    swept = let(F.sort_array(placed), lambda ordered: F.flatten(F.transform(parts(ordered), split)))
+    return F.when(F.size(hits) <= FEW, clusters(hits, item)).otherwise(swept)
+
+
 def representatives(found: DataFrame, points: Points = base_points) -> DataFrame:
     """One row for each cluster (column c): the member with the most base points, then the longest match, then the earliest;
     it takes the first entropy score of the cluster if it has none."""
@@ -52,17 +78,22 @@ def collapse_lines(raw: DataFrame, points: Points = base_points) -> DataFrame:
     item = raw.select(F.struct(*ROW).alias("x")).schema["x"].dataType.simpleString()
     order = F.struct("seq", "rank", F.struct(*ROW).alias("x"))
     grouped = raw.groupBy(slashes(F.col("file_path")).alias("np"), "commit_hash", "line_number").agg(F.sort_array(F.collect_list(order)).alias("h"))
-    found = settled(grouped.select(clusters(F.transform("h", lambda h: h["x"]), item).alias("cs")))
+    placed = lambda hs: F.when(F.forall(hs, lambda h: h["start_col"].isNotNull() & h["end_col"].isNotNull()), span_clusters(hs, item)).otherwise(clusters(hs, item))
+    found = settled(grouped.select(let(F.transform("h", lambda h: h["x"]), placed).alias("cs")))
     return representatives(found.select(F.explode("cs").alias("c")), points)
 
 
+def hit_order(points: Points = base_points) -> Column:
+    """What represents a path's secret is its largest hit in this order: the best one in the working tree, else the oldest."""
+    choice = lambda on, p, n, s, r: F.struct(F.lit(on).alias("a"), p.alias("b"), n.alias("l"), s.alias("s"), r.alias("r"))
+    live = choice(1, points(F.col("detector_type")), F.length("matched_string"), -F.col("seq"), -F.col("rank"))
+    return F.when(F.col("commit_hash").isNull(), live).otherwise(choice(0, F.lit(0), F.lit(0), F.col("seq"), F.col("rank").cast("int")))
+
+
 def collapse_commits(found: DataFrame, points: Points = base_points) -> DataFrame:
     """Second pass: one row per path and secret, with occurrences and history_commits (oldest first), and seq and rank of the
     first hit. A copy in the working tree represents the rest, else the oldest commit's."""
-    live = F.col("commit_hash").isNull()
-    rated = points(F.col("detector_type"))
-    choice = lambda on, p, n, s, r: F.struct(F.lit(on).alias("a"), p.alias("b"), n.alias("l"), s.alias("s"), r.alias("r"))
-    order = F.when(live, choice(1, rated, F.length("matched_string"), -F.col("seq"), -F.col("rank"))).otherwise(choice(0, F.lit(0), F.lit(0), F.col("seq"), F.col("rank").cast("int")))
+    order = hit_order(points)
     row = F.struct(*[c for c in ROW if c not in ("seq", "rank")])
     first = F.struct("seq", "rank")
     scored = F.when(F.col("entropy_score").isNotNull(), first)
@@ -89,11 +120,18 @@ def deduplicate(raw: DataFrame, points: Points = base_points) -> DataFrame:
 
 def line_findings(lines: DataFrame, **options) -> DataFrame:
     """The first pass for scans, where each line of a path and commit is one row: hits are clustered inside their row, without
-    a shuffle. The result is that of collapse_lines over raw_findings."""
+    a shuffle. The result is that of collapse_lines over raw_findings. Hits do not carry their line while they are clustered."""
     hits = with_hits(lines, **options)
     of = {"detector_type": "type", "matched_string": "matched_string", "entropy_score": "entropy_score", "start_col": "start_col", "end_col": "end_col"}
-    row = lambda h, i: F.struct(*[(h[of[c]] if c in of else i if c == "rank" else F.col(c)).alias(c) for c in ROW])
-    rows = hits.where(F.size("hits") > 0).select(F.transform("hits", row).alias("h"))
+    own = ["file_path", "line_number", "commit_hash", "line_content", "seq"]
+    rows = hits.where(F.size("hits") > 0).select(*own, F.transform("hits", lambda h, i: F.struct(*[h[x].alias(c) for c, x in of.items()], i.alias("rank"))).alias("h"))
     item = rows.schema["h"].dataType.elementType.simpleString()
-    found = settled(rows.select(clusters(F.col("h"), item).alias("cs")))
-    return representatives(found.select(F.explode("cs").alias("c")))
+    key = lambda m: F.struct(base_points(m["detector_type"]).alias("p"), F.length(m["matched_string"]).alias("n"), (-m["rank"]).alias("r"), m.alias("m"))
+
+    def best(c: Column) -> Column:
+        scores = F.filter(F.transform(c, lambda m: m["entropy_score"]), lambda e: e.isNotNull())
+        return F.struct(F.array_max(F.transform(c, key))["m"].alias("m"), F.get(scores, F.lit(0)).alias("score"))
+
+    found = settled(rows.select(*own, F.transform(span_clusters(F.col("h"), item), best).alias("b")))
+    found = settled(found.select(*own, F.explode("b").alias("t")))
+    return found.select(*[F.coalesce(F.col("t.m.entropy_score"), "t.score").alias(c) if c == "entropy_score" else F.col(c) if c in own else F.col(f"t.m.{c}").alias(c) for c in ROW])

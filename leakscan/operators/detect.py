@@ -7,14 +7,14 @@ of a match follows from the text between matches, which splitting by the same ex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import BLANK, HINTS, Signature, default_signatures
-from ..functions.plan import settled
+from ..functions.plan import let, running, settled
 from ..functions.text import entropy
 
 HIT = "struct<type: string, matched_string: string, start_col: int, end_col: int, entropy_score: double>"
@@ -33,14 +33,9 @@ def matches(line: Column, regex: str, groups: tuple[int, ...]) -> Column:
     full = F.regexp_extract_all(line, F.lit(regex), 0)
     # the last gap follows the last match and has none of its own
     both = F.filter(F.arrays_zip(full.alias("full"), F.split(line, regex, -1).alias("gap")), lambda x: x["full"].isNotNull())
-    item = "struct<at: int, full: string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["full"])).alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("at"), x["full"].alias("full")))).alias("out"))
-
-    placed = F.aggregate(both, start, step, lambda s: s["out"])
+    ends = lambda at, x: at + F.length(x["gap"]) + F.length(x["full"])
+    # few lines have many matches; the array is bound, as it is looked at several times
+    placed = let(both, lambda found: running(found, F.lit(0), ends, lambda at, x: F.struct((at + F.length(x["gap"])).alias("at"), x["full"].alias("full")), "struct<at: int, full: string>"))
     if not groups:
         return placed
     return F.transform(placed, lambda m: F.struct(m["at"].alias("at"), m["full"].alias("full"), *[F.regexp_extract(m["full"], regex, g).alias(f"g{n}") for n, g in enumerate(groups)]))
@@ -109,11 +104,36 @@ def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length:
     # a one-element array binds the assignments once for both passes
     both = F.transform(F.array(pairs), lambda taken: F.concat(
         scored(F.transform(F.filter(taken, lambda p: suspicious(p["name"], words)), lambda p: F.struct(p["value"].alias("value"), p["at"].alias("at")))),
-        scored(F.filter(quoted, lambda q: ~path_like(q["value"]) & ~F.exists(taken, lambda p: _touches(p, q)))),
+        scored(free(F.filter(quoted, lambda q: ~path_like(q["value"])), taken)),
     ))
     return F.when(suspicious(line, words), F.flatten(both)).otherwise(none())
 
 
+FEW = 8  # intervals that are simply compared with each other
+
+
+def free(quoted: Column, taken: Column) -> Column:
+    """The quoted strings that start or end in no assigned value. Both arrays are in order and their intervals disjoint, so of
+    many ones only the last value that begins before a string's start, and before its end, has to be looked at."""
+
+    def ends_of_last(place: Callable[[Column], Column], late: int) -> Column:
+        """By the number of each string: the end of the last value that begins before a place of it; late: on ties."""
+        value = F.transform(taken, lambda p: F.struct(p["at"].alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("i"), (p["at"] + F.length(p["value"])).alias("end")))
+        string = F.transform(quoted, lambda q, i: F.struct(place(q).alias("at"), F.lit(late).alias("kind"), i.alias("i"), F.lit(-1).alias("end")))
+        merged = F.sort_array(F.concat(value, string))
+        last = let(merged, lambda m: running(m, F.lit(-1), lambda end, x: F.when(x["kind"] == 1, x["end"]).otherwise(end), lambda end, x: F.struct(x["i"].alias("i"), end.alias("end")), "struct<i: int, end: int>"))
+        return F.transform(F.sort_array(F.filter(last, lambda x: x["i"] >= 0)), lambda x: x["end"])
+
+    def swept(starts: Column, ends: Column) -> Column:
+        marked = F.arrays_zip(quoted.alias("q"), starts.alias("s"), ends.alias("e"))
+        left = F.filter(marked, lambda x: ~((x["q"]["at"] < x["s"]) | (x["q"]["at"] + F.length(x["q"]["value"]) <= x["e"])))
+        return F.transform(left, lambda x: x["q"])
+
+    many = swept(ends_of_last(lambda q: q["at"], 2), ends_of_last(lambda q: q["at"] + F.length(q["value"]), 0))
+    few = F.filter(quoted, lambda q: ~F.exists(taken, lambda p: _touches(p, q)))
+    return F.when((F.size(quoted) <= FEW) | (F.size(taken) <= FEW), few).otherwise(many)
+
+
 def _touches(p: Column, q: Column) -> Column:
     s, e = p["at"], p["at"] + F.length(p["value"])
     a, b = q["at"], q["at"] + F.length(q["value"])

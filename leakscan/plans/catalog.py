@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.plan import once
+from ..functions.plan import once, shared_folder
 from ..functions.regexes import SIGNATURES, default_signatures
 from ..operators import baseline, dedup, detect, remediate, score
 from ..operators.gitlog import parse_log
 from ..report import sarif
-from ..sources.ignore import DEFAULT_IGNORES, ignored
+from ..sources.ignore import DEFAULT_IGNORES, GlobRules, ignored
 from ..sources.repo import binary_head
+from ..streaming.findings import secret_states
 from . import oracle
 from .corpus import CORPUS_SQL, DOCUMENTS_SQL, SHARED_LINES, corpus, document_lines, text_lines
 from .oracle import upto
@@ -120,6 +121,15 @@ def ignore_filter(spark, sf_dir):
     return spark.sql(PATHS + f"parquet.`{sf_dir}/part.parquet`").select("file_path", ignored(F.col("file_path"), DEFAULT_IGNORES).alias("is_ignored"))
 
 
+GLOBS = ["node_modules/", "*.min.js", "img/*.png", "build/", "a.pyc[0-4]*", "notes/?[!0-5]*.pyc", "__pycache__", "src/*"]
+_GLOB_SQL = " OR ".join(f"p GLOB '{g.rstrip('/')}' OR p GLOB '*/{g.rstrip('/')}'" + (f" OR starts_with(p, '{g}') OR contains(p, '/{g}')" if g.endswith("/") else "") for g in GLOBS)
+
+
+@query(f"SELECT file_path, {_GLOB_SQL} AS is_ignored FROM (SELECT file_path, replace(file_path, chr(92), '/') AS p FROM ({PATHS} part))")
+def ignore_reduced(spark, sf_dir):
+    return spark.sql(PATHS + f"parquet.`{sf_dir}/part.parquet`").select("file_path", GlobRules(GLOBS).column(F.col("file_path")).alias("is_ignored"))
+
+
 @query("""SELECT doc_id, text = '' AS empty, contains(head, chr(0)) OR strlen(regexp_replace(head, '[\\x07-\\x0a\\x0c\\x0d\\x1b\\x20-\\x7e]|[^\\x00-\\x7f]', '', 'g')) * 10 > 3 * strlen(head) AS binary
 FROM (SELECT doc_id, text, substr(text, 1, 2048) AS head FROM documents WHERE text IS NOT NULL)""")
 def binary_ratio(spark, sf_dir):
@@ -213,6 +223,24 @@ def entropy_carry(spark, sf_dir):
     return carried.groupBy("detector_type", "entropy_score").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(upto("deduped", f"SELECT detector_type, {', '.join(HIT_COLUMNS)}, entropy_score, occurrences, array_to_string(history_commits, ',') AS commits FROM deduped"))
+def stream_secret_states(spark, sf_dir):
+    """The states that a stream over the same lines ends with, in several batches."""
+    folder = shared_folder(spark, "stream")
+    lines = corpus(spark, sf_dir)
+    lines.repartition(3, "seq").write.parquet(f"{folder}/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/states/n={n}")
+
+    run = secret_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    states = spark.read.parquet(f"{folder}/states")
+    last = states.groupBy(T.slashes(F.col("file_path")).alias("np"), "matched_string").agg(F.max_by(F.struct(*[c for c in states.columns if c != "matched_string"]), "batch").alias("s"))
+    return last.select("s.detector_type", *[c if c == "matched_string" else f"s.{c}" for c in HIT_COLUMNS], "s.entropy_score", "s.occurrences", joined("s.history_commits").alias("commits"))
+
+
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 

@@ -75,6 +75,47 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return verdict
 
 
+def glob_regex(pattern: str) -> str:
+    """A shell pattern over a whole path as a regular expression; stars match slashes too."""
+    out, i = "", 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        end = pattern.find("]", i + (2 if pattern[i : i + 1] == "!" else 1))
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif c == "[" and end > 0:
+            body = re.sub(r"([\\\[\]^&~|])", r"\\\1", pattern[i:end].removeprefix("!"))
+            out, i = out + ("[^" if pattern[i] == "!" else "[") + body + "]", end + 1
+        else:
+            out += re.escape(c)
+    return f"(?s)^{out}$"
+
+
+class GlobRules:
+    """The reduced matcher: patterns are globs for a whole path or what follows a folder, any of them decides, and there is no
+    negation. One that ends with a slash also stands for what lies below a folder of that very name."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.patterns = [p for p in patterns if p]
+        bare = [p.rstrip("/") for p in self.patterns]
+        self.globs = [glob_regex(x) for p in bare for x in (p, f"*/{p}")]
+        self.folders = [b + "/" for p, b in zip(self.patterns, bare, strict=True) if p.endswith("/")]
+
+    def __call__(self, path: str) -> bool:
+        path = path.replace("\\", "/")
+        return any(re.match(g, path) for g in self.globs) or any(path.startswith(f) or "/" + f in path for f in self.folders)
+
+    def column(self, path: Column) -> Column:
+        path, verdict = F.replace(path, F.lit("\\"), F.lit("/")), F.lit(False)
+        for g in self.globs:
+            verdict = verdict | path.rlike(g)
+        for f in self.folders:
+            verdict = verdict | F.startswith(path, F.lit(f)) | F.contains(path, F.lit("/" + f))
+        return verdict
+
+
 def read_patterns(path: str) -> list[str]:
     """Patterns of a file, one to a line; none without a file."""
     try:

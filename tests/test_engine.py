@@ -1,6 +1,8 @@
 """Detectors, deduplication, scoring, remediation and baseline on small inputs."""
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from leakscan.api import ScanOptions, findings
 from leakscan.functions.regexes import PatternError, Signature, default_signatures, load_signatures, spark_regex
 from leakscan.operators import baseline, dedup, detect, remediate, score, verify
+from leakscan.operators.dedup import line_findings, span_clusters
+from leakscan.operators.detect import free
 from leakscan.operators.gitlog import parse_log
 
 LINES = "file_path string, commit_hash string, line_number int, line_content string, seq bigint"
@@ -225,3 +229,52 @@ def test_log_parser(spark):
     log = ["commit " + "a" * 40, "diff --git a/x b/y", "--- a/x", "+++ b/y", "@@ -1 +5,2 @@", "-old", "+one", "+++two", " ctx", "+three", "commit " + "b" * 40, "+lost"]
     rows = parse_log(spark.createDataFrame([(1, i, x) for i, x in enumerate(log)], "stream int, n bigint, raw string")).collect()
     assert sorted((r.file_path, r.commit_hash, r.line_number, r.line_content) for r in rows) == [("y", "a" * 12, 5, "one"), ("y", "a" * 12, 7, "three")]
+
+
+def first_fit(spans):
+    """Clusters of intervals in their order: each joins the first cluster with an overlapping one."""
+    found = []
+    for k, (a, b) in enumerate(spans):
+        for c in found:
+            if any(a < spans[m][1] and spans[m][0] < b for m in c):
+                c.append(k)
+                break
+        else:
+            found.append([k])
+    return sorted(found)
+
+
+def test_swept_clusters_equal_first_fit(spark):
+    r = random.Random(11)
+    cases = [[(s, s + r.randrange(1, w)) for s in (r.randrange(n) for _ in range(k))] for k, n, w in ((9, 20, 9), (30, 40, 12), (60, 500, 20), (200, 3000, 30), (400, 900, 4)) for _ in range(8)]
+    kind = "struct<start_col: int, end_col: int, matched_string: string, rank: int>"
+    df = spark.createDataFrame([(i, [(a, b, f"m{a}-{b}", k) for k, (a, b) in enumerate(c)]) for i, c in enumerate(cases)], f"i int, h array<{kind}>")
+    got = {x.i: sorted(sorted(m["rank"] for m in c) for c in x.c) for x in df.select("i", span_clusters(F.col("h"), kind).alias("c")).collect()}
+    assert got == {i: first_fit(c) for i, c in enumerate(cases)}
+
+
+def test_free_strings_equal_comparing_all(spark):
+    r = random.Random(12)
+
+    def disjoint(k):
+        at, out = 0, []
+        for _ in range(k):
+            at += r.randrange(4)
+            n = r.randrange(5)
+            out.append(("v" * n, at))
+            at += n + r.randrange(1, 3)
+        return out
+
+    cases = [(disjoint(r.randrange(3, 200)), disjoint(r.randrange(3, 200))) for _ in range(40)]
+    df = spark.createDataFrame([(i, q, p) for i, (q, p) in enumerate(cases)], "i int, q array<struct<value: string, at: int>>, p array<struct<value: string, at: int>>")
+    got = {x.i: [tuple(y) for y in x.f] for x in df.select("i", free(F.col("q"), F.col("p")).alias("f")).collect()}
+    touches = lambda s, e, a, b: s <= a < e or s < b <= e
+    assert got == {i: [(v, a) for v, a in q if not any(touches(s, s + len(x), a, a + len(v)) for x, s in p)] for i, (q, p) in enumerate(cases)}
+
+
+def test_thousands_of_hits_in_a_line(spark):
+    line = " ".join(f'token="{k:05d}aBcDeFgHiJkLmN"' for k in range(20_000))
+    lines = spark.createDataFrame([("a", None, 1, line, 1)], "file_path string, commit_hash string, line_number int, line_content string, seq bigint")
+    begun = time.perf_counter()
+    got = line_findings(lines).select("matched_string", "start_col").collect()
+    assert sorted(x.start_col for x in got) == [7 + 28 * k for k in range(20_000)] and time.perf_counter() - begun < 60

@@ -84,9 +84,9 @@ def test_targets(tmp_path):
 def test_batches_are_bounded_by_files_and_bytes(tmp_path):
     for i in range(7):
         (tmp_path / f"f{i}").write_text("x" * (10 if i != 3 else 500))
-    cut = lambda **o: [b.units for b in RepoReader({"path": str(tmp_path)} | o).partitions()]
+    cut = lambda **o: [[path for _, path in b.units] for b in RepoReader({"path": str(tmp_path)} | o).partitions()]
     assert [len(x) for x in cut(batch="3")] == [3, 3, 1] and [len(x) for x in cut(batch_bytes="25")] == [2, 1, 1, 2, 1]
-    assert cut()[0] == [f"f{i}" for i in range(7)] and RepoReader({"path": str(tmp_path)}).partitions()[0].first == 0
+    assert cut()[0] == [f"f{i}" for i in range(7)] and RepoReader({"path": str(tmp_path)}).partitions()[0].units[0][0] == 0
 
 
 def test_staged_paths(spark, repo, tmp_path):
