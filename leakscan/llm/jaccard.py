@@ -299,7 +299,7 @@ def cell_pairs(members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFr
             col["point"] = b["point"].flatten().to_numpy().reshape(len(b), -1)
             change = (col["cell"][1:] != col["cell"][:-1]) | (col["block"][1:] != col["block"][:-1]) | (col["query"][1:] != col["query"][:-1])
             ends = [*(np.flatnonzero(change) + 1).tolist(), len(b)] if len(b) else []
-            start, found = 0, []
+            start = 0
             for end in ends:
                 part, key = {c: x[start:end] for c, x in col.items()}, (col["cell"][start], col["block"][start])
                 if key != now:
@@ -311,21 +311,25 @@ def cell_pairs(members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFr
                         whole = {c: np.concatenate([x[c] for x in held]) for c in part}
                         tree, held = RTree(whole["n"], whole["point"]), []
                     if tree is not None:
-                        found.append(matches(part, whole, tree))
+                        for both in matches(part, whole, tree):
+                            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
                 start = end
-            if found:
-                both = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    def matches(queries: dict[str, np.ndarray], data: dict[str, np.ndarray], tree: RTree) -> np.ndarray:
+    def matches(queries: dict[str, np.ndarray], data: dict[str, np.ndarray], tree: RTree, most: int = 1 << 16) -> Iterator[np.ndarray]:
+        """Pairs, about `most` at a time: a query may meet a whole page, so all of a batch's are not held."""
         side = data["component"] != data["main"]  # these are queries too: such pairs are taken once
-        out = []
+        out, n_out = [], 0
         for q, comp, n, place, point in zip(*(queries[c] for c in ("node", "component", "n", "place", "point")), strict=True):
             f = tree.search(int(n), point, rules.percent)
             f = f[(data["component"][f] != comp) & ~(side[f] & (data["node"][f] <= q))]
             f = f[np.minimum(n - place, data["n"][f] - data["place"][f]) * (100 + rules.percent) >= rules.percent * (n + data["n"][f])]
             out.append(np.stack([np.minimum(data["node"][f], q), np.maximum(data["node"][f], q)], 1))
-        return np.concatenate(out)
+            n_out += len(f)
+            if n_out >= most:
+                yield np.concatenate(out)
+                out, n_out = [], 0
+        if n_out:
+            yield np.concatenate(out)
 
     return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
 
