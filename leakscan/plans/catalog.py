@@ -339,6 +339,14 @@ def baseline_anti_join(spark, sf_dir):
     return baseline.suppress(rows, _accepted(rows))[0].select("file_path", "detector_type", "redacted", "line_number")
 
 
+@query(upto("scored", f"SELECT file_path, detector_type, redacted, line_number FROM scored WHERE {PRINT} NOT IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
+def baseline_table(spark, sf_dir):
+    """The same by a table that findings are merged into, behind its Bloom filter."""
+    rows, table_ = once(found(spark, sf_dir)), shared_folder(spark, "baseline")
+    baseline.merge(rows.where("severity = 4"), table_)
+    return baseline.suppress(rows, baseline.accepted_table(spark, table_), broadcast_rows=0)[0].select("file_path", "detector_type", "redacted", "line_number")
+
+
 @query(upto("scored", f"SELECT count(*) AS suppressed FROM scored WHERE {PRINT} IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
 def baseline_suppressed_count(spark, sf_dir):
     rows = once(found(spark, sf_dir))
