@@ -1,4 +1,5 @@
-"""Reports of findings: terminal, JSON, SARIF and HTML. Rows stream through the driver; none holds a plain secret."""
+"""Reports of findings: terminal, JSON, SARIF and HTML; none holds a plain secret. Here rows stream through the driver one by one;
+sink.py writes the last three on the executors."""
 
 from __future__ import annotations
 
@@ -6,19 +7,23 @@ import html
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..operators.score import SEVERITIES, severity_counts, worst_first
 from . import sarif
+from .frame import Frame
 
 FIELDS = ["detector_type", "file_path", "line_number", "severity", "points", "exposure", "commit_hash", "redacted", "redacted_context", "rationale", "entropy_score", "file_class", "verified", "remediation_steps", "occurrences", "history_commits"]
 NOTHING = "No leaked credentials, but for placeholders."
 COLORS = {4: "\033[1;31m", 3: "\033[31m", 2: "\033[33m", 1: "\033[36m"}
 
 
+def shown(r: Row) -> dict:
+    return {f: r[f] if f in r else None for f in FIELDS} | {"severity": SEVERITIES[r["severity"] - 1]}
+
+
 def rows(found: DataFrame) -> Iterator[dict]:
-    for r in worst_first(found).toLocalIterator():
-        yield {f: r[f] if f in r else None for f in FIELDS} | {"severity": SEVERITIES[r["severity"] - 1]}
+    return map(shown, worst_first(found).toLocalIterator())
 
 
 def counts(found: DataFrame) -> dict[str, int]:
@@ -56,44 +61,50 @@ def terminal(found: DataFrame, color: bool = False) -> Iterator[str]:
         yield "\n".join(out)
 
 
-def as_json(found: DataFrame) -> Iterator[str]:
-    mark = "["
-    for r in rows(found):
-        yield mark + "\n" + json.dumps(r, indent=2)
-        mark = ","
-    yield "[]" if mark == "[" else "\n]"
+def json_item(r: Row) -> str:
+    return json.dumps(shown(r), indent=2)
+
 
+def json_frame(found: DataFrame) -> Frame:
+    return Frame("[", "\n]", ",", json_item, "]", "\n")
+
+
+def html_item(r: Row) -> str:
+    r = shown(r)
+    e = {k: html.escape(str(v)) for k, v in r.items() if not isinstance(v, list)}
+    steps = "".join(f"<li>{html.escape(s)}</li>" for s in r["remediation_steps"] or [])
+    return f"""<article class="{e['severity'].lower()}" data-band="{e['severity']}" data-file="{e['file_path']}" data-entropy="{r['entropy_score'] or 0}" data-points="{e['points']}">
+<h2>{e['severity']} &middot; {e['detector_type']}</h2><p><code>{e['file_path']}:{e['line_number']}</code> &middot; {html.escape(exposure(r))} &middot; x{e['occurrences']}</p>
+<pre>{e['redacted_context']}</pre><p>{e['rationale']}</p><ol>{steps}</ol></article>"""
 
-def as_html(found: DataFrame) -> Iterator[str]:
+
+def html_frame(found: DataFrame) -> Frame:
     per = counts(found)
     tiles = "".join(f'<button class="tile {k.lower()}" data-band="{k}"><b>{v}</b> {k}</button>' for k, v in per.items())
-    yield f"""<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Leaked credentials</title><style>
+    head = f"""<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Leaked credentials</title><style>
 body{{font:16px system-ui;margin:2rem auto;max-width:60rem}}article{{border-left:.4rem solid #999;padding:.2rem 1rem;margin:1rem 0;background:#f6f6f6}}
 article.critical{{border-color:#b00020}}article.high{{border-color:#d9480f}}article.medium{{border-color:#e0a800}}pre{{white-space:pre-wrap}}.off{{display:none}}</style></head><body>
 <h1>{sum(per.values())} leaked credential(s)</h1><p>{tiles} <select id="sort"><option value="points">points</option><option value="file">file</option><option value="entropy">entropy</option></select></p>
 <main>"""
-    for r in rows(found):
-        e = {k: html.escape(str(v)) for k, v in r.items() if not isinstance(v, list)}
-        steps = "".join(f"<li>{html.escape(s)}</li>" for s in r["remediation_steps"] or [])
-        yield f"""<article class="{e['severity'].lower()}" data-band="{e['severity']}" data-file="{e['file_path']}" data-entropy="{r['entropy_score'] or 0}" data-points="{e['points']}">
-<h2>{e['severity']} &middot; {e['detector_type']}</h2><p><code>{e['file_path']}:{e['line_number']}</code> &middot; {html.escape(exposure(r))} &middot; x{e['occurrences']}</p>
-<pre>{e['redacted_context']}</pre><p>{e['rationale']}</p><ol>{steps}</ol></article>"""
-    if not sum(per.values()):
-        yield f"<p>{NOTHING}</p>"
     # only fixed text stands inside the script: nothing of a finding can end it
-    yield """</main><script>
+    tail = """</main><script>
 const main=document.querySelector("main"),cards=[...main.querySelectorAll("article")];
 document.querySelectorAll(".tile").forEach(t=>t.onclick=()=>{const on=t.classList.toggle("on");document.querySelectorAll(".tile").forEach(x=>x!==t&&x.classList.remove("on"));cards.forEach(c=>c.classList.toggle("off",on&&c.dataset.band!==t.dataset.band))});
 document.querySelector("#sort").onchange=e=>{const k=e.target.value;cards.sort((a,b)=>k==="file"?a.dataset.file.localeCompare(b.dataset.file):b.dataset[k]-a.dataset[k]).forEach(c=>main.append(c))};
 </script></body></html>"""
+    return Frame(head, tail, "", html_item, f"<p>{NOTHING}</p>" + tail)
+
+
+#: Of each format that has one row for each finding: its frame, and the ordered rows.
+FRAMES = {"json": (json_frame, worst_first), "sarif": (sarif.frame, sarif.ordered), "html": (html_frame, worst_first)}
 
 
 def report(found: DataFrame, kind: str = "terminal", path: str | None = None, color: bool = False) -> str:
     """The report as text, or, written to a file as its rows come in, an empty text."""
-    kinds = {"terminal": lambda f: terminal(f, color), "text": lambda f: terminal(f, color), "cli": lambda f: terminal(f, color), "json": as_json, "sarif": sarif.render, "html": as_html}
-    if kind.lower() not in kinds:
+    kind = kind.lower()
+    if kind not in (*FRAMES, "terminal", "text", "cli"):
         raise ValueError(f"unknown format {kind!r}")
-    chunks = kinds[kind.lower()](found)
+    chunks = FRAMES[kind][0](found).chunks(FRAMES[kind][1](found).toLocalIterator()) if kind in FRAMES else terminal(found, color)
     if not path:
         return "".join(chunks)
     with open(path, "w", encoding="utf-8") as f:

@@ -1,16 +1,16 @@
-"""SARIF 2.1.0: rules and results as DataFrames, assembled on the driver."""
+"""SARIF 2.1.0: rules and results as DataFrames, and the frame around the results."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.regexes import default_signatures
 from ..functions.text import slashes
 from ..operators.score import severity_label
+from .frame import Frame
 
 TOOL, VERSION = "leakscan", "1.0.0"
 SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
@@ -48,7 +48,23 @@ def results(found: DataFrame) -> DataFrame:
     )
 
 
-def render(found: DataFrame) -> Iterator[str]:
+def ordered(found: DataFrame) -> DataFrame:
+    """The results, worst first."""
+    return results(found).orderBy(F.desc("order"), F.desc("points"), "seq", "rank")
+
+
+def item(r: Row) -> str:
+    properties = {"points": r["points"], "severity": r["severity"], "exposure": r["exposure"], "fileClass": r["file_class"], "occurrences": r["occurrences"]}
+    properties |= {"verifiedLive": r["verified"]} if r["verified"] is not None else {}
+    properties |= {"commit": r["commit_hash"]} if r["commit_hash"] else {}
+    return json.dumps({
+        "ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["rationale"]},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": r["start_line"]}}}],
+        "partialFingerprints": {"secretHash/v1": r["secret_hash"]}, "properties": properties,
+    }, indent=2)
+
+
+def frame(found: DataFrame) -> Frame:
     listed = [
         {
             "id": r["id"], "name": r["id"].title().replace("_", ""), "shortDescription": {"text": r["description"]}, "fullDescription": {"text": f"{r['description']}. Reported by {TOOL}."},
@@ -58,16 +74,4 @@ def render(found: DataFrame) -> Iterator[str]:
     ]
     head = json.dumps({"$schema": SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": listed}}, "results": []}]}, indent=2)
     cut = head.rindex("[]") + 1
-    yield head[:cut]
-    mark = ""
-    for r in results(found).orderBy(F.desc("order"), F.desc("points"), "seq", "rank").toLocalIterator():
-        properties = {"points": r["points"], "severity": r["severity"], "exposure": r["exposure"], "fileClass": r["file_class"], "occurrences": r["occurrences"]}
-        properties |= {"verifiedLive": r["verified"]} if r["verified"] is not None else {}
-        properties |= {"commit": r["commit_hash"]} if r["commit_hash"] else {}
-        yield mark + "\n" + json.dumps({
-            "ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["rationale"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": r["start_line"]}}}],
-            "partialFingerprints": {"secretHash/v1": r["secret_hash"]}, "properties": properties,
-        }, indent=2)
-        mark = ","
-    yield head[cut:]
+    return Frame(head[:cut], head[cut:], ",", item, head[cut:], "\n")
