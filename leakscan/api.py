@@ -13,7 +13,7 @@ from .functions.plan import once
 from .functions.regexes import Signature, load_signatures
 from .operators import dedup, detect, remediate, score, verify
 from .sources.ignore import read_patterns, scan_patterns
-from .sources.repo import commit_stream, git, is_remote, repo_lines, resolve_target
+from .sources.repo import ScanError, commit_stream, git, is_remote, repo_lines, resolve_target
 from .streaming.findings import secret_states
 
 
@@ -60,7 +60,10 @@ def scan(spark: SparkSession, target: str, options: ScanOptions = ScanOptions())
     if not is_remote(target):
         return score.worst_first(findings(target_lines(spark, resolve_target(target, ""), options), options))
     shared = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
-    folder = tempfile.mkdtemp(prefix="leakscan-", dir=os.environ.get("LEAKSCAN_CLONES") or (shared if os.path.isdir(shared) else None))
+    kept = os.environ.get("LEAKSCAN_CLONES") or (shared if os.path.isdir(shared) else None)
+    if kept is None and not spark.sparkContext.master.startswith("local"):
+        raise ScanError("set LEAKSCAN_CLONES to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="leakscan-", dir=kept)
     try:
         return score.worst_first(once(findings(target_lines(spark, resolve_target(target, os.path.join(folder, "clone")), options), options)))
     finally:

@@ -82,6 +82,7 @@ def scored(found: DataFrame, context: ScanContext = ScanContext()) -> DataFrame:
     sums = F.col("base") + by_class - F.when(history, 5).otherwise(0) + F.when(entropy >= 4.5, 10).when(entropy >= 4.0, 5).otherwise(0)
     sums = F.when(verified, sums + 25).when(~verified, F.least(sums, F.lit(10))).otherwise(sums)
     sums = F.when(F.col("placeholder"), F.least(sums, F.lit(10))).otherwise(sums).cast("int")
+    # The clauses of a rationale, which other tools read.
     reasons = F.array_compact(F.array(
         F.concat("detector_type", F.lit(" pattern (base "), F.col("base").cast("string"), F.lit(")")),
         class_reason,
