@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.plan import once, shared_folder
+from ..functions.plan import once, shared_folder, spread
 from ..functions.regexes import SIGNATURES, default_signatures
 from ..operators import baseline, dedup, detect, remediate, score
 from ..operators.gitlog import parse_log
 from ..report import sarif
+from ..sources import planted
 from ..sources.ignore import DEFAULT_IGNORES, GlobRules, ignored
 from ..sources.repo import binary_head
 from ..streaming.findings import secret_states
@@ -138,6 +139,67 @@ def binary_ratio(spark, sf_dir):
     return texts.select("doc_id", (F.col("text") == "").alias("empty"), binary_head(F.encode(F.substring("text", 1, 2048), "UTF-8")).alias("binary"))
 
 
+# --- planted histories -----------------------------------------------------------------------------------------------
+
+# the choices of a planted history, with values of its own: types in order of their names, five places, four commits
+_TYPES = ["AWS_ACCESS_KEY", "AWS_SECRET_KEY", "DB_CONNECTION_STRING", "GENERIC_API_KEY", "GENERIC_PASSWORD", "GENERIC_SECRET", "GITHUB_TOKEN", "GOOGLE_API_KEY", "HIGH_ENTROPY", "JWT", "PRIVATE_KEY_HEADER", "SLACK_TOKEN", "SLACK_WEBHOOK", "STRIPE_KEY"]
+_EXCLUDED = ("SLACK_TOKEN", "SLACK_WEBHOOK", "STRIPE_KEY")
+
+
+def _planted_sql(exclude: tuple[str, ...] = ()) -> str:
+    digit = lambda i: f"(instr('0123456789abcdef', substr(m, {i}, 1)) - 1)"
+    return f"""drawn AS (SELECT *, [{oracle.listed(_TYPES)}][({digit(2)} * 16 + {digit(3)}) % 14 + 1] AS kind, {digit(4)} % 5 AS place, {digit(5)} % 4 AS step,
+  CASE WHEN {digit(1)} < 4 THEN 'live' WHEN {digit(1)} < 7 THEN 'deleted' WHEN {digit(1)} < 9 THEN 'uncommitted' WHEN {digit(1)} < 11 THEN 'skipped' WHEN {digit(1)} < 12 THEN 'ignored' WHEN {digit(1)} < 14 THEN 'placeholder' ELSE 'clean' END AS fate
+  FROM (SELECT o_orderkey AS k, md5('7:' || o_orderkey) AS m FROM orders)),
+named AS (SELECT *, CASE WHEN kind IN ({oracle.listed(exclude or [''])}) AND fate <> 'placeholder' THEN 'clean' ELSE fate END AS outcome FROM drawn),
+planted AS (SELECT k, outcome, CASE WHEN outcome IN ('placeholder', 'clean') THEN '-' ELSE kind END AS detector_type,
+  CASE outcome WHEN 'skipped' THEN 'node_modules/leaky/' WHEN 'ignored' THEN 'vendor/' ELSE '' END
+    || CASE place WHEN 0 THEN 'deploy/' || k || '/.env' WHEN 1 THEN 'config/c' || k || '.yml' WHEN 2 THEN 'src/m' || k || '.py' WHEN 3 THEN 'tests/test_' || k || '.py' ELSE 'docs/p' || k || '.md' END AS file_path,
+  substr(md5('7commit' || step), 1, 12) AS commit_hash FROM named)"""
+
+
+def planted_scan(spark: SparkSession, sf_dir: str, rules: planted.PlantRules = planted.PlantRules()) -> tuple[DataFrame, DataFrame]:
+    """The files of a planted history of one file for each order, and the scored findings of a scan of everything in it."""
+    keys = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
+    files = planted.planted_files(keys, rules)
+    lines = planted.heeded(planted.planted_lines(files, rules))
+    return files, score.scored(dedup.collapse_commits(dedup.line_findings(lines)))
+
+
+@query(f"""WITH {_planted_sql()} SELECT file_path, commit_hash, 2::BIGINT AS lines FROM planted WHERE outcome <> 'uncommitted'
+  UNION ALL SELECT file_path, NULL AS commit_hash, 2::BIGINT AS lines FROM planted WHERE outcome <> 'deleted'""")
+def planted_history(spark, sf_dir):
+    files = planted.planted_files(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
+    return planted.planted_lines(files).groupBy("file_path", "commit_hash").agg(F.count(F.lit(1)).alias("lines"))
+
+
+# every planted secret is found by its type, with the exposure and the commits that are due; what must be silent is
+_DUE = """SELECT outcome, detector_type, n AS planted, leak * n AS found_full, CASE WHEN outcome = 'skipped' THEN 0 ELSE leak * n END AS found_quick, leak * n AS exposed, leak * n AS dated, 0::BIGINT AS others
+  FROM (SELECT outcome, detector_type, count(*) AS n, CASE WHEN outcome IN ('live', 'deleted', 'uncommitted', 'skipped') THEN 1 ELSE 0 END AS leak FROM planted GROUP BY ALL)"""
+
+
+@query(f"WITH {_planted_sql()} {_DUE}")
+def planted_found(spark, sf_dir):
+    return planted.planted_check(*planted_scan(spark, sf_dir))
+
+
+@query(f"WITH {_planted_sql(_EXCLUDED)} {_DUE}")
+def planted_excluded(spark, sf_dir):
+    """As planted_found, of a history that never holds some types."""
+    return planted.planted_check(*planted_scan(spark, sf_dir, planted.PlantRules(exclude=_EXCLUDED)))
+
+
+@query(upto("scored", "SELECT replace(file_path, chr(92), '/') AS file_path, redacted, count(*) AS n FROM scored GROUP BY 1, 2 HAVING count(*) > 1"))
+def repeated_findings(spark, sf_dir):
+    return planted.repeated(found(spark, sf_dir))
+
+
+@query(upto("scored", """SELECT replace(file_path, chr(92), '/') AS file_path, max(points) AS points, max(points) FILTER (WHERE detector_type = 'AWS_ACCESS_KEY') AS aws_access_key,
+  max(points) FILTER (WHERE detector_type = 'GENERIC_SECRET') AS generic_secret FROM scored GROUP BY 1"""))
+def top_points(spark, sf_dir):
+    return planted.top_points(found(spark, sf_dir), "AWS_ACCESS_KEY", "GENERIC_SECRET")
+
+
 # --- detectors -------------------------------------------------------------------------------------------------------
 
 HIT_COLUMNS = ["file_path", "commit_hash", "line_number", "matched_string", "start_col", "end_col"]

@@ -65,6 +65,14 @@ def json_item(r: Row) -> str:
     return json.dumps(shown(r), indent=2)
 
 
+def script_json(value: object) -> str:
+    """JSON that may stand inside a script element: nothing in it can end the element or start another one."""
+    text = json.dumps(value)  # ASCII only
+    for c in "<>&":
+        text = text.replace(c, f"\\u{ord(c):04x}")
+    return text
+
+
 def json_frame(found: DataFrame) -> Frame:
     return Frame("[", "\n]", ",", json_item, "]", "\n")
 
@@ -75,7 +83,7 @@ def html_item(r: Row) -> str:
     steps = "".join(f"<li>{html.escape(s)}</li>" for s in r["remediation_steps"] or [])
     return f"""<article class="{e['severity'].lower()}" data-band="{e['severity']}" data-file="{e['file_path']}" data-entropy="{r['entropy_score'] or 0}" data-points="{e['points']}">
 <h2>{e['severity']} &middot; {e['detector_type']}</h2><p><code>{e['file_path']}:{e['line_number']}</code> &middot; {html.escape(exposure(r))} &middot; x{e['occurrences']}</p>
-<pre>{e['redacted_context']}</pre><p>{e['rationale']}</p><ol>{steps}</ol></article>"""
+<pre>{e['redacted_context']}</pre><p>{e['rationale']}</p><ol>{steps}</ol><script type="application/json">{script_json(r)}</script></article>"""
 
 
 def html_frame(found: DataFrame) -> Frame:

@@ -12,7 +12,7 @@ from leakscan.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SOME = ["scan_lines_documents", "diff_parse_window", "ignore_filter", "binary_ratio", "entropy_detector", "dedup_across_commits", "filter_and_score", "baseline_anti_join", "sarif_rules", "rewrite_preview"]
+SOME = ["scan_lines_documents", "diff_parse_window", "ignore_filter", "binary_ratio", "entropy_detector", "dedup_across_commits", "filter_and_score", "baseline_anti_join", "sarif_rules", "rewrite_preview", "planted_history", "planted_found", "planted_excluded", "repeated_findings", "top_points", "ignore_reduced"]
 
 
 def plain(rows):
