@@ -105,17 +105,36 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str], broadcast_rows: i
     return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*own_columns(docs))
 
 
-def looked_up(left: DataFrame, key: str, pointers: DataFrame, how: str = "inner", hot: int = 200, often: int = 1000) -> DataFrame:
+def looked_up(left: DataFrame, key: str, pointers: DataFrame, how: str = "inner", hot: int = 200, often: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """left with the columns of pointers (unique, named `key` too): keys that left has over `often` times, the `hot` most
-    frequent of them, meet their rows by a broadcast of at most `hot` rows, so that no task gets all rows of one key."""
-    counts = left.groupBy(key).count().where(F.col("count") > often).orderBy(F.desc("count"), key).limit(hot).collect()  # at most `hot` rows
-    keys = [r[0] for r in counts if r[0] is not None]
+    frequent of them, meet their rows by a broadcast of at most `hot` rows, so that no task gets all rows of one key.
+    counts: how often left has each key (key, count), if that is known."""
+    counts = left.groupBy(key).count() if counts is None else counts
+    many = counts.where(F.col("count") > often).orderBy(F.desc("count"), key).limit(hot).collect()  # at most `hot` rows
+    keys = [r[key] for r in many if r[key] is not None]
     if not keys:
         return left.join(pointers, key, how)
     many = F.coalesce(F.col(key).isin(keys), F.lit(False))
     return left.where(~many).join(pointers, key, how).unionByName(left.where(many).join(F.broadcast(pointers.where(F.col(key).isin(keys))), key, how))
 
 
+def shares(left: DataFrame, key: str, often: int) -> DataFrame:
+    """Of each key that left has over `often` times: the number of shares (key, shares) of about that many rows."""
+    return left.groupBy(key).count().where(F.col("count") > often).select(key, F.ceil(F.col("count") / often).cast("int").alias("shares"))
+
+
+def dealt_join(left: DataFrame, key: str, other: str, wide: DataFrame, parts: DataFrame) -> DataFrame:
+    """left joined with wide (unique by key, rows too wide to broadcast): the rows of a key in parts (see shares; a written
+    table) are dealt by another column into its shares, each of which meets a copy of the key's row of wide. A task so gets
+    about as many rows of a key as a share has, and wide is copied once a share, not once a row."""
+    if not parts.limit(1).count():
+        return left.join(wide, key)
+    n = F.coalesce("shares", F.lit(1))
+    dealt = looked_up(left, key, parts, "left").withColumn("share", F.pmod(F.xxhash64(other), n).cast("int")).drop("shares")
+    copies = wide.join(parts, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), n - 1))).drop("shares")
+    return dealt.join(copies, [key, "share"]).drop("share")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, component) with the smallest node of each component.
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, tidied, without, written
+from .common import LOWER_BYTES, components, dealt_join, looked_up, shares, tidied, without, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -45,7 +45,9 @@ class JoinRules:
     """k: words of a shingle; percent: least Jaccard similarity; coordinates: of a count vector; buckets: hash buckets that shingles
     are counted in for their order, a table of this fixed size that is broadcast (more of them only save work); page,
     query_page: members of an R-tree and queries that meet it in one cell; rounds: of comparisons with leaders before the
-    R-trees; broadcast_ids: ids that may be broadcast to pick texts, beyond which the texts are joined."""
+    R-trees; broadcast_ids: ids that may be broadcast to pick texts, beyond which the texts are joined; often: rows of one digest, node
+    or block in a join that may meet in a task, beyond which the key is hot (see common.looked_up); set_pairs: pairs of one node
+    that are verified beside one copy of its set."""
 
     k: int = 4
     percent: int = 85
@@ -55,6 +57,8 @@ class JoinRules:
     query_page: int = 8192
     rounds: int = 1
     broadcast_ids: int = 1_000_000
+    often: int = 10_000
+    set_pairs: int = 1000
 
     def places(self, n: int) -> int:
         """How many of the first shingles of a set of n a linked set must share one of."""
@@ -194,10 +198,11 @@ def needed(total: Column, rules: JoinRules) -> Column:
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
-    """Pairs (a, b) whose points' summed coordinate minima allow a link."""
+    """Pairs (a, b; a written table) whose points' summed coordinate minima allow a link."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
     most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= needed(F.col("n_a") + F.col("n_b"), rules)).select("a", "b").distinct()
+    met = looked_up(looked_up(pairs, "a", side("a"), often=rules.often), "b", side("b"), often=rules.often, counts=pairs.groupBy("b").count())
+    return met.where(most >= needed(F.col("n_a") + F.col("n_b"), rules)).select("a", "b").distinct()
 
 
 def picked(docs: DataFrame, ids: DataFrame, rules: JoinRules) -> DataFrame:
@@ -207,7 +212,7 @@ def picked(docs: DataFrame, ids: DataFrame, rules: JoinRules) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """Pairs (a, b) of ids that are linked."""
+    """Pairs (a, b) of ids that are linked; pairs: a written table."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     texts = picked(docs.select("doc_id", "text"), ids, rules)
 
@@ -218,7 +223,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
 
     held = written(texts.mapInArrow(sets, "doc_id bigint, s array<bigint>"), "sets")
     side = lambda c: held.select(F.col("doc_id").alias(c), F.col("s").alias(f"s_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    parts = {c: written(shares(pairs, c, rules.set_pairs), "shares") for c in ("a", "b")}
+    both = dealt_join(dealt_join(pairs, "a", "b", side("a"), parts["a"]), "b", "a", side("b"), parts["b"])
     met = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("o"), (F.size("s_a") + F.size("s_b")).alias("t"))
     return met.where(100 * F.col("o") >= rules.percent * (F.col("t") - F.col("o"))).select("a", "b").distinct()
 
@@ -260,30 +266,31 @@ def room(place_a: Column, n_a: Column, place_b: Column, n_b: Column, rules: Join
     return F.least(n_a - place_a, n_b - place_b) >= needed(n_a + n_b, rules)
 
 
-def leader_pairs(named: DataFrame, rules: JoinRules) -> DataFrame:
-    """For each node one pair (a, b) at most: with the most central leader of its blocks that has another component."""
+def leader_pairs(named: DataFrame, sizes: DataFrame, rules: JoinRules) -> DataFrame:
+    """For each node one pair (a, b) at most: with the most central leader of its blocks that has another component. sizes: of
+    the blocks (block, count)."""
     first = named.groupBy("block").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("at"), "node", "component", "place", "n")).alias("l"), F.max("component").alias("top"), F.min("component").alias("low")).where("low <> top").drop("low", "top")
-    met = named.join(first, "block").where((F.col("component") != F.col("l.component")) & room(F.col("place"), F.col("n"), F.col("l.place"), F.col("l.n"), rules))
+    met = looked_up(named, "block", written(first, "leaders"), often=rules.often, counts=sizes).where((F.col("component") != F.col("l.component")) & room(F.col("place"), F.col("n"), F.col("l.place"), F.col("l.n"), rules))
     best = met.groupBy("node").agg(F.min(F.struct("l.at", "l.node")).alias("l"))
     return best.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def open_members(named: DataFrame) -> DataFrame:
+def open_members(named: DataFrame, sizes: DataFrame, rules: JoinRules) -> DataFrame:
     """The members of the blocks that hold several components, with the block's size and its largest component."""
     each = named.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
     several = each.groupBy("block").agg(F.sum("held").alias("size"), F.max(F.struct("held", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    return named.join(several, "block").select("block", "node", "place", "n", "component", "size", "main")
+    return looked_up(named, "block", written(several, "several"), often=rules.often, counts=sizes).select("block", "node", "place", "n", "component", "size", "main")
 
 
-def cell_pairs(members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
+def cell_pairs(members: DataFrame, nodes: DataFrame, sizes: DataFrame, rules: JoinRules) -> DataFrame:
     """Pairs of one block and of different components that neither their places nor the bound rule out.
 
     Members outside a block's largest component are its queries. A block is dealt into cells of about `page` members by
     `query_page` queries; a cell holds an R-tree of its members, and its queries stream past it.
     """
     pages, lanes = F.ceil(F.col("size") / rules.page).cast("int"), F.ceil(F.col("queries") / rules.query_page).cast("int")
-    asked = members.where("component <> main").groupBy("block").agg(F.count(F.lit(1)).alias("queries"))
-    dealt = members.join(asked, "block").join(nodes.select("node", "point"), "node").withColumns({"pages": pages, "lanes": lanes, "deal": F.xxhash64("node")})
+    asked = written(members.where("component <> main").groupBy("block").agg(F.count(F.lit(1)).alias("queries")), "asked")
+    dealt = looked_up(members, "block", asked, often=rules.often, counts=sizes).join(nodes.select("node", "point"), "node").withColumns({"pages": pages, "lanes": lanes, "deal": F.xxhash64("node")})
     out = ["block", "page", "lane", "query", "node", "component", "main", "n", "place", "point"]
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     held = dealt.withColumn("page", F.pmod("deal", "pages").cast("int")).withColumn("lane", every("lanes")).withColumn("query", F.lit(0)).select(out)
@@ -347,22 +354,26 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataF
     # of a block of two it is known at once whether its places leave room for a link
     end = lambda f: f(F.struct("node", "n", "place"))
     shared = blocks.groupBy("block").agg(end(F.min).alias("x"), end(F.max).alias("y"), F.count(F.lit(1)).alias("size")).where("x.node <> y.node")
-    shared = shared.where((F.col("size") > 2) | room(F.col("x.place"), F.col("x.n"), F.col("y.place"), F.col("y.n"), rules)).select("block")
-    members = written(blocks.join(shared, "block"), "members")
+    shared = shared.where((F.col("size") > 2) | room(F.col("x.place"), F.col("x.n"), F.col("y.place"), F.col("y.n"), rules))
+    sizes = written(shared.select("block", F.col("size").alias("count")), "sizes")
+    members = written(looked_up(blocks, "block", sizes.select("block"), often=rules.often, counts=sizes), "members")
     tried, links, labels = None, None, None
     for _ in range(rules.rounds):
-        found = leader_pairs(labelled(members, labels), rules)
-        found = written(bounded(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), nodes, rules), "pairs")
+        found = leader_pairs(labelled(members, labels), sizes, rules)
+        found = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "led")
+        found = written(bounded(found, nodes, rules), "pairs")
         new = written(verified(found, docs, rules), "links")
         tried, links = (found, new) if tried is None else (tried.union(found), links.union(new))
         labels = components(links)
-    rest = cell_pairs(written(open_members(labelled(members, labels)), "open"), nodes, rules)
+    rest = cell_pairs(written(open_members(labelled(members, labels), sizes, rules), "open"), nodes, sizes, rules)
     rest = written(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     found = written(verified(rest, docs, rules), "links")
     labels = components(found if links is None else links.union(found))
-    same = usable.select(F.col("doc_id").alias("d"), "digest").join(named, "digest").select("d", "node")
+    by_text = F.hex("digest").alias("digest")
+    same = looked_up(usable.select(F.col("doc_id").alias("d"), by_text), "digest", named.select(by_text, "node"), often=rules.often)
+    same = written(same.select("d", "node"), "same")
     alias = same.where("d <> node").union(same.where("d = node").distinct())
-    known = alias.join(labels, "node", "left").groupBy("d").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    known = looked_up(alias, "node", labels, "left", often=rules.often).groupBy("d").agg(F.min(F.coalesce("component", "node")).alias("component"))
     return rows.join(known, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -10,9 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leakscan.llm import decontam, html, jaccard, licenses, packing, quality, queries, secrets, toxicity, viterbi, warc
+from leakscan.llm import common, decontam, html, jaccard, licenses, packing, quality, queries, secrets, toxicity, viterbi, warc
 from leakscan.llm.common import components, looked_up
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -58,6 +59,34 @@ def near(text, seed, edits):
     return " ".join(w)
 
 
+def test_jaccard_join_of_hot_keys(spark):
+    """Exact copies and one leader of many near copies, with bounds so low that every hot key is dealt out."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 40
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"z{i}-{j}" for j in range(20)) for i in range(10)]
+    rng.shuffle(texts)
+    got = {}
+    for often, set_pairs in ((10_000, 1000), (3, 4)):
+        rows = jaccard.jaccard_components(docs(spark, texts), jaccard.JoinRules(often=often, set_pairs=set_pairs)).collect()
+        got[often] = sorted(tuple(r) for r in rows)
+    assert got[3] == got[10_000] and len(got[3]) == len(texts)
+    assert len({r[2] for r in got[3]}) == 11
+
+
+def test_dealt_join_spreads_a_hot_key(spark):
+    pairs = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
+    wide = spark.range(5000).select(F.col("id").alias("a"), F.array(F.col("id"), F.col("id") + 1).alias("s"))
+    parts = common.shares(pairs, "a", 100)
+    assert [tuple(r) for r in parts.collect()] == [(1, 40)]
+    got = common.dealt_join(pairs, "a", "b", wide, parts)
+    assert sorted(map(tuple, got.select("a", "b", "s").collect())) == sorted(map(tuple, pairs.join(wide, "a").select("a", "b", "s").collect()))
+
+
 def test_jaccard_join_equals_brute_force(spark):
     base = [prose(i, n) for i, n in enumerate((8, 15, 40, 90, 200, 600, 2500))]
     texts = [None, "", " \t", "one", "One", "a b c", *base, *base[:3]]
