@@ -3,7 +3,7 @@
 Lines are clustered inside their row, so detection needs no state. stream_findings() reports a (path, secret) pair once while the
 watermark of its first report lasts. secret_states() keeps for each pair what collapse_commits() makes of all its hits:
 its representative, how often and in which commits it occurred, and gives that anew whenever a batch adds hits. The state of a pair
-is one row and an entry for each of its commits; a batch reads and writes only the pairs it holds hits of.
+is one row with an entry for each of its commits; a batch reads and writes only the pairs it holds hits of.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,6 +23,8 @@ FIELDS = "detector_type string, matched_string string, file_path string, line_nu
 FOUND = FIELDS + ", occurrences int, history_commits array<string>, seq bigint, rank int"
 ORDER = ("live", "points", "length", "by_seq", "by_rank")
 STATE = f"{FIELDS}, {', '.join(f'{c} bigint' for c in ORDER)}, score double, score_seq bigint, score_rank int, occurrences int, seq bigint, rank int"
+COMMITS = "commits array<struct<commit_hash: string, seq: bigint, rank: int>>"
+NAMES, FOUND_NAMES = ([c.split()[0] for c in x.split(", ")] for x in (STATE, FIELDS))
 
 
 def stream_findings(lines: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -35,45 +36,36 @@ def stream_findings(lines: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return once.select("seen_at", "file_path", "commit_hash", "line_number", "detector_type", redact(F.col("matched_string")).alias("redacted"), points.alias("points"), severity_band(points).alias("severity"))
 
 
-def _plain(v: Any) -> Any:
-    """A value of a pandas row as Python's own, nulls as None."""
-    return None if v is None or v != v else v.item() if hasattr(v, "item") else v
-
-
 class SecretState(StatefulProcessor):
-    """The running result of collapse_commits for one path and secret."""
+    """The running result of collapse_commits for one path and secret, read and written whole once a batch: what is given out
+    names all commits anyway, and each access is a call from Python to the JVM."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", STATE)
-        self.commits = handle.getMapState("commits", "commit_hash string", "seq bigint, rank int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in STATE.split(", ")]
-        held = dict(zip(names, self.best.get(), strict=True)) if self.best.exists() else None
-        last: dict[str, tuple[int, int]] = {}
-        for batch in rows:
-            for row in batch.to_dict("records"):
-                row = {c: _plain(v) for c, v in row.items()}
-                at = (row["seq"], row["rank"])
-                scored = row["entropy_score"] is not None
-                if held is None:
-                    held = {c: row.get(c) for c in names} | {"occurrences": 0, "score": None, "score_seq": None, "score_rank": None}
-                elif tuple(row[c] for c in ORDER) > tuple(held[c] for c in ORDER):
-                    held |= {c: row[c] for c in (*ORDER, *(x.split()[0] for x in FIELDS.split(", ")))}
-                if scored and (held["score_seq"] is None or at < (held["score_seq"], held["score_rank"])):
-                    held |= {"score": row["entropy_score"], "score_seq": at[0], "score_rank": at[1]}
-                held["occurrences"] += 1
-                held["seq"], held["rank"] = min(at, (held["seq"], held["rank"]))
-                if row["commit_hash"]:
-                    last[row["commit_hash"]] = max(at, last.get(row["commit_hash"], at))
-        self.best.update(tuple(held[c] for c in names))
-        for commit, at in last.items():
-            known = self.commits.getValue((commit,)) if self.commits.containsKey((commit,)) else at
-            self.commits.updateValue((commit,), max(at, tuple(known)))
-        history = [c for _, c in sorted(((tuple(at), c) for (c,), at in self.commits.iterator()), reverse=True)]
+        self.state = handle.getValueState("state", f"{STATE}, {COMMITS}")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = self.state.get()
+        held = dict(zip(NAMES, known, strict=False)) if known else None
+        commits = {c: (seq, rank) for c, seq, rank in known[-1]} if known else {}
+        for row in rows:
+            row = row.asDict()
+            at = (row["seq"], row["rank"])
+            scored = row["entropy_score"] is not None
+            if held is None:
+                held = {c: row.get(c) for c in NAMES} | {"occurrences": 0, "score": None, "score_seq": None, "score_rank": None}
+            elif tuple(row[c] for c in ORDER) > tuple(held[c] for c in ORDER):
+                held |= {c: row[c] for c in (*ORDER, *FOUND_NAMES)}
+            if scored and (held["score_seq"] is None or at < (held["score_seq"], held["score_rank"])):
+                held |= {"score": row["entropy_score"], "score_seq": at[0], "score_rank": at[1]}
+            held["occurrences"] += 1
+            held["seq"], held["rank"] = min(at, (held["seq"], held["rank"]))
+            if row["commit_hash"]:
+                commits[row["commit_hash"]] = max(at, commits.get(row["commit_hash"], at))
+        self.state.update((*[held[c] for c in NAMES], [(c, *at) for c, at in commits.items()]))
+        history = [c for _, c in sorted(((at, c) for c, at in commits.items()), reverse=True)]
         score = held["score"] if held["entropy_score"] is None else held["entropy_score"]
-        out = {c: held[c] for c in (x.split()[0] for x in FIELDS.split(", "))} | {"entropy_score": score, "occurrences": held["occurrences"], "history_commits": history, "seq": held["seq"], "rank": held["rank"]}
-        yield pd.DataFrame([out])
+        out = {c: held[c] for c in FOUND_NAMES} | {"entropy_score": score, "occurrences": held["occurrences"], "history_commits": history, "seq": held["seq"], "rank": held["rank"]}
+        yield Row(**out)
 
     def close(self) -> None:
         pass
@@ -90,4 +82,4 @@ def secret_states(lines: DataFrame, points: Points = base_points) -> DataFrame:
     parts = dict(zip(ORDER, "ablsr", strict=True))
     found = line_findings(lines).select(slashes(F.col("file_path")).alias("np"), *ROW, order.alias("o"))
     flat = found.select("np", F.col("matched_string").alias("secret"), *ROW, *[F.col(f"o.{p}").cast("bigint").alias(c) for c, p in parts.items()])
-    return flat.groupBy("np", "secret").transformWithStateInPandas(statefulProcessor=SecretState(), outputStructType=FOUND, outputMode="Update", timeMode="None")
+    return flat.groupBy("np", "secret").transformWithState(statefulProcessor=SecretState(), outputStructType=FOUND, outputMode="Update", timeMode="None")
