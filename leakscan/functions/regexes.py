@@ -62,8 +62,8 @@ class Signature:
 
     @property
     def expressible(self) -> bool:
-        """Whether spans follow from the matches alone: no look-around, anchors or word edges, and a fixed tail."""
-        return self.tail is not None and not re.search(r"\(\?[=!<](?!P)|\\[bBAZ]|(?<![\[\\])[\^$]|\\\d", self.regex.replace("(?P<value>", "(")) and not re.match(self.regex, "")
+        """Whether spans follow from the matches alone: no look-around, anchors, word edges, atomic or possessive parts, and a fixed tail."""
+        return self.tail is not None and not re.search(r"\(\?[=!<>](?!P)|[*+?}]\+|\\[bBAZ]|(?<![\[\\])[\^$]|\\\d", self.regex.replace("(?P<value>", "(")) and not re.match(self.regex, "")
 
 
 def _close(regex: str, at: int) -> int:

@@ -1,7 +1,8 @@
 """Both detectors as column expressions: a line becomes an array of hits, without a shuffle and without Python.
 
 A hit is (type, matched_string, start_col, end_col, entropy_score), with 0-based half-open columns in code points. The start
-of a match follows from the text between matches, which splitting by the same expression yields.
+of a match is the next place of its text, or, where matches are many, follows from the text between them, which splitting by the same
+expression yields.
 """
 
 from __future__ import annotations
@@ -24,18 +25,32 @@ MIN_LENGTH = 12
 CONTEXT_WORDS = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "credential")
 COMMON_WORDS = ("password", "changeme", "change_me", "example", "placeholder", "development", "production", "localhost", "administrator", "username", "letmein", "temporary", "undefined", "notasecret", "testing", "hunter2")
 LOOKUPS = r"(?iu)os\.environ|os\.getenv|\bgetenv\s*\(|process\.env\b|\bENV\s*\[|System\.getenv|\$\{[^}]*\}|\{\{[^}]*\}\}|<%=?[^%]*%>"
-ASSIGNMENT = r"""['"]?([A-Za-z_][A-Za-z0-9_\-]{1,60})['"]?[BLANK]*[:=][BLANK]*(?:'([^']*)'|"([^"]*)"|([^BLANK,;#]+))""".replace("BLANK", BLANK)
+# possessive where what follows a run cannot be part of it: the same matches, without a search that grows with the square of a word
+ASSIGNMENT = r"""['"]?([A-Za-z_][A-Za-z0-9_\-]{1,60}+)['"]?+[BLANK]*+[:=][BLANK]*+(?:'([^']*)'|"([^"]*)"|([^BLANK,;#]+))""".replace("BLANK", BLANK)
 QUOTED = r"""'([^']*)'|"([^"]*)\""""
+FEW = 8  # matches that are looked up one by one, and intervals that are simply compared with each other
 
 
 def matches(line: Column, regex: str, groups: tuple[int, ...]) -> Column:
     """All matches, left to right: structs of `at` (0-based start), `full`, and g0, g1 ... for the groups (empty if unmatched)."""
-    full = F.regexp_extract_all(line, F.lit(regex), 0)
-    # the last gap follows the last match and has none of its own
-    both = F.filter(F.arrays_zip(full.alias("full"), F.split(line, regex, -1).alias("gap")), lambda x: x["full"].isNotNull())
-    ends = lambda at, x: at + F.length(x["gap"]) + F.length(x["full"])
-    # few lines have many matches; the array is bound, as it is looked at several times
-    placed = let(both, lambda found: running(found, F.lit(0), ends, lambda at, x: F.struct((at + F.length(x["gap"])).alias("at"), x["full"].alias("full")), "struct<at: int, full: string>"))
+    kind = "struct<at: int, full: string>"
+
+    def swept(found: Column) -> Column:
+        # the last gap follows the last match and has none of its own
+        both = F.filter(F.arrays_zip(found.alias("full"), F.split(line, regex, -1).alias("gap")), lambda x: x["full"].isNotNull())
+        ends = lambda at, x: at + F.length(x["gap"]) + F.length(x["full"])
+        # the array is bound, as it is looked at several times
+        return let(both, lambda found: running(found, F.lit(0), ends, lambda at, x: F.struct((at + F.length(x["gap"])).alias("at"), x["full"].alias("full")), kind))
+
+    def sought(found: Column) -> Column:
+        # where a text that matches stands, a match begins, so the first place of a match's text after the last match is its own
+        def one(s: Column, full: Column) -> Column:
+            return let(F.call_function("locate", full, line, s["end"] + 1) - 1, lambda at: F.struct((at + F.length(full)).alias("end"), F.concat(s["out"], F.array(F.struct(at.alias("at"), full.alias("full")))).alias("out")))
+
+        return F.aggregate(found, F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda s: s["out"])
+
+    # few lines have many matches
+    placed = let(F.regexp_extract_all(line, F.lit(regex), 0), lambda found: F.when(F.size(found) <= FEW, sought(found)).otherwise(swept(found)))
     if not groups:
         return placed
     return F.transform(placed, lambda m: F.struct(m["at"].alias("at"), m["full"].alias("full"), *[F.regexp_extract(m["full"], regex, g).alias(f"g{n}") for n, g in enumerate(groups)]))
@@ -109,8 +124,6 @@ def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length:
     return F.when(suspicious(line, words), F.flatten(both)).otherwise(none())
 
 
-FEW = 8  # intervals that are simply compared with each other
-
 
 def free(quoted: Column, taken: Column) -> Column:
     """The quoted strings that start or end in no assigned value. Both arrays are in order and their intervals disjoint, so of

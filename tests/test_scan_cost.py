@@ -1,0 +1,29 @@
+"""Searches that must not repeat work, and what they find."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from leakscan.functions.regexes import Signature
+from leakscan.operators import detect
+
+
+def test_search_does_not_give_back_what_it_has_read():
+    """A name, its quote and blanks are never read again by parts; the matches are those of the plain expression."""
+    assert "{1,60}+" in detect.ASSIGNMENT
+    plain = re.compile(re.sub(r"(\{1,60\}|\?|\*)\+", r"\1", detect.ASSIGNMENT))
+    own = re.compile(detect.ASSIGNMENT)
+    for line in ("a" * 70 + "=b", "x-1 : 'y' , ab=:c", "key = ;", "'ab':\"c d\" e_ = f", "ab  cd =  'open", "ab\t:\t=\t#", 'q"=1; "q_" : 2'):
+        assert [(m.span(), m.groups()) for m in own.finditer(line)] == [(m.span(), m.groups()) for m in plain.finditer(line)]
+
+
+def test_places_of_few_and_many_matches(spark):
+    for n in (1, 3, detect.FEW, detect.FEW + 1):
+        line = "ééab😀" + " ab=c;ab" * n
+        got = spark.createDataFrame([(line,)], "line string").select(detect.matches(F.col("line"), "ab=c", ()).alias("m")).head().m
+        assert [x.at for x in got] == [m.start() for m in re.finditer("ab=c", line)]
+
+
+def test_possessive_signatures_go_through_python():
+    assert not Signature("x", "", r"ab*+c").expressible
+    assert not Signature("x", "", r"(?>ab|a)c").expressible
