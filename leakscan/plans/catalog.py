@@ -469,8 +469,9 @@ def rewrite_preview(spark, sf_dir):
 @query(upto("scored", "SELECT count(*) AS leaks FROM scored s JOIN (SELECT DISTINCT file_path, matched_string FROM deduped WHERE length(matched_string) > 8) d ON s.file_path = d.file_path WHERE contains(s.redacted_context, d.matched_string) AND s.redacted = left(d.matched_string, 4) || repeat('*', least(length(d.matched_string) - 4, 20))"))
 def leak_check(spark, sf_dir):
     """How many shown lines still hold the secret they are about: 0."""
-    secrets = deduped(spark, sf_dir).where(F.length("matched_string") > 8).select("file_path", "matched_string", T.redact(F.col("matched_string")).alias("redacted")).distinct()
-    return found(spark, sf_dir).join(secrets, ["file_path", "redacted"]).where(F.contains("redacted_context", "matched_string")).agg(F.count(F.lit(1)).alias("leaks"))
+    rows = once(deduped(spark, sf_dir))
+    secrets = rows.where(F.length("matched_string") > 8).select("file_path", "matched_string", T.redact(F.col("matched_string")).alias("redacted")).distinct()
+    return score.scored(rows).join(secrets, ["file_path", "redacted"]).where(F.contains("redacted_context", "matched_string")).agg(F.count(F.lit(1)).alias("leaks"))
 
 
 @query(upto("scored", f"SELECT {', '.join(SCORED)} FROM scored").replace(CORPUS_SQL, DOCUMENTS_SQL))
