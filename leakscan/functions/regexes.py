@@ -27,6 +27,8 @@ BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FLAGS = {"IGNORECASE": "iu", "MULTILINE": "m", "DOTALL": "s"}
 #: Every built-in signature's match holds one of these; lines without any are skipped.
 HINTS = r"(?iu)key|token|secret|passw|pwd|auth|credential|akia|xox|hooks\.slack|://|eyj|gh[pousr]_|aiza|sk_live_"
+#: What the JVM's (?iu) takes for a letter beyond its two cases.
+FOLDS = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
 
 
 class PatternError(ValueError):
@@ -111,6 +113,20 @@ def spark_regex(regex: str) -> str:
     return "".join(out)
 
 
+def begun(regex: str, firsts: str) -> str:
+    """The same search, told by which characters (letters in either case) all its matches begin: most places fail at one test of a set."""
+    flags = re.match(r"\(\?[a-z]+\)|", regex)[0]
+    either = "".join(sorted({x for c in firsts for x in (c.lower(), c.upper(), *FOLDS.get(c.lower(), ""))}))
+    return f"(?=[{re.escape(either)}]){flags}(?:{regex[len(flags) :]})"
+
+
+def quick_blanks(regex: str) -> str:
+    """The same expression for the JVM, whose sets try their parts one by one: printable ASCII is settled by a range."""
+    free = "".join(f"\\x{a:02x}-\\x{b:02x}" for a, b in ((0x3C, 0x7E), (0x2D, 0x3A), (0x24, 0x2B), (0x21, 0x22)))  # all but , ; and #
+    regex = regex.replace(f"[^{BLANK},;#]", f"[{free}[^{BLANK},;#]]")
+    return regex.replace(f"[{BLANK}]", rf"[\x00-\x20\x7f-\x{{10ffff}}&&[{BLANK}]]")
+
+
 def default_signatures() -> list[Signature]:
     return [Signature(*s) for s in SIGNATURES]
 

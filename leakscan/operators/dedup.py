@@ -98,12 +98,13 @@ def collapse_commits(found: DataFrame, points: Points = base_points) -> DataFram
     first = F.struct("seq", "rank")
     scored = F.when(F.col("entropy_score").isNotNull(), first)
     # by commit first, so that no more than its distinct commits meet in the row of a secret
-    each = found.withColumn("np", slashes(F.col("file_path"))).groupBy("np", "matched_string", "commit_hash").agg(
+    # rows are sorted for this: a hash in front settles nearly all comparisons at once
+    each = found.withColumn("np", slashes(F.col("file_path"))).withColumn("spot", F.xxhash64("np", "matched_string")).groupBy("spot", "np", "matched_string", "commit_hash").agg(
         F.max(order).alias("rated"), F.max_by(row, order).alias("top"), F.min(scored).alias("scored"), F.min_by("entropy_score", scored).alias("first_score"),
         F.count(F.lit(1)).alias("n"), F.max(first).alias("last"), F.min(first).alias("first"),
     )
     commit = F.when(F.coalesce("commit_hash", F.lit("")) != "", F.struct("last.seq", "last.rank", "commit_hash"))
-    grouped = each.groupBy("np", "matched_string").agg(
+    grouped = each.groupBy("spot", "np", "matched_string").agg(
         F.max_by("top", "rated").alias("top"), F.min_by("first_score", "scored").alias("first_score"), F.sum("n").cast("int").alias("occurrences"),
         F.sort_array(F.collect_list(commit), asc=False).alias("commits"), F.min("first").alias("first"),
     )
@@ -132,6 +133,8 @@ def line_findings(lines: DataFrame, **options) -> DataFrame:
         scores = F.filter(F.transform(c, lambda m: m["entropy_score"]), lambda e: e.isNotNull())
         return F.struct(F.array_max(F.transform(c, key))["m"].alias("m"), F.get(scores, F.lit(0)).alias("score"))
 
-    found = settled(rows.select(*own, F.transform(span_clusters(F.col("h"), item), best).alias("b")))
+    # most lines hold one hit
+    alone = F.array(F.struct(F.col("h")[0].alias("m"), F.col("h")[0]["entropy_score"].alias("score")))
+    found = settled(rows.select(*own, F.when(F.size("h") == 1, alone).otherwise(F.transform(span_clusters(F.col("h"), item), best)).alias("b")))
     found = settled(found.select(*own, F.explode("b").alias("t")))
     return found.select(*[F.coalesce(F.col("t.m.entropy_score"), "t.score").alias(c) if c == "entropy_score" else F.col(c) if c in own else F.col(f"t.m.{c}").alias(c) for c in ROW])

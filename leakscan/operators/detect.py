@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import BLANK, HINTS, Signature, default_signatures
+from ..functions.regexes import BLANK, HINTS, Signature, begun, default_signatures, quick_blanks
 from ..functions.plan import let, running, settled
 from ..functions.text import entropy
 
@@ -28,6 +28,10 @@ LOOKUPS = r"(?iu)os\.environ|os\.getenv|\bgetenv\s*\(|process\.env\b|\bENV\s*\[|
 # possessive where what follows a run cannot be part of it: the same matches, without a search that grows with the square of a word
 ASSIGNMENT = r"""['"]?([A-Za-z_][A-Za-z0-9_\-]{1,60}+)['"]?+[BLANK]*+[:=][BLANK]*+(?:'([^']*)'|"([^"]*)"|([^BLANK,;#]+))""".replace("BLANK", BLANK)
 QUOTED = r"""'([^']*)'|"([^"]*)\""""
+# what precedes an assignment's value, and the same search as the JVM runs it
+BEFORE_VALUE = quick_blanks(r"""^['"]?[A-Za-z0-9_\-]++['"]?+[BLANK]*+[:=][BLANK]*+""".replace("BLANK", BLANK))
+_ASSIGNMENT = quick_blanks(ASSIGNMENT)
+_HINTS, _LOOKUPS = begun(HINTS, "aceghkpstx:"), begun(LOOKUPS, "egops${<")
 FEW = 8  # matches that are looked up one by one, and intervals that are simply compared with each other
 
 
@@ -56,6 +60,30 @@ def matches(line: Column, regex: str, groups: tuple[int, ...]) -> Column:
     return F.transform(placed, lambda m: F.struct(m["at"].alias("at"), m["full"].alias("full"), *[F.regexp_extract(m["full"], regex, g).alias(f"g{n}") for n, g in enumerate(groups)]))
 
 
+def assignments(line: Column) -> Column:
+    """All assignments, left to right: structs of name, value (without quotes) and `at` (0-based start of the value).
+
+    A match says itself which form it has: a value in quotes begins and ends with one of a kind and holds no other; a bare one
+    that begins with a quote has no second of its kind on the line."""
+
+    def parted(m: Column) -> Column:
+        return let(F.regexp_replace(m["full"], BEFORE_VALUE, ""), lambda v: F.when(
+            (F.length(v) > 1) & (F.startswith(v, F.lit("'")) & F.endswith(v, F.lit("'")) | F.startswith(v, F.lit('"')) & F.endswith(v, F.lit('"'))),
+            placed(m, F.substring(v, F.lit(2), F.length(v) - 2), 1),
+        ).otherwise(placed(m, v, 0)))
+
+    def placed(m: Column, value: Column, quote: int) -> Column:
+        name = F.regexp_extract(m["full"], r"[A-Za-z0-9_\-]+", 0)
+        return F.struct(name.alias("name"), value.alias("value"), (m["at"] + F.length(m["full"]) - F.length(value) - quote).alias("at"))
+
+    return F.transform(matches(line, _ASSIGNMENT, ()), parted)
+
+
+def quoted_strings(line: Column) -> Column:
+    """All strings in quotes, left to right: structs of value (without quotes) and `at` (its 0-based start)."""
+    return F.transform(matches(line, QUOTED, ()), lambda m: F.struct(F.substring(m["full"], F.lit(2), F.length(m["full"]) - 2).alias("value"), (m["at"] + 1).alias("at")))
+
+
 def _hit(kind: str, text: Column, at: Column, score: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("type"), text.alias("matched_string"), at.cast("int").alias("start_col"), (at + F.length(text)).cast("int").alias("end_col"), (F.lit(None).cast("double") if score is None else score).alias("entropy_score"))
 
@@ -79,7 +107,9 @@ def regex_hits(line: Column, signatures: list[Signature] | None = None) -> Colum
 
 
 def suspicious(text: Column, words: tuple[str, ...] = CONTEXT_WORDS) -> Column:
-    return F.lower(text).rlike("|".join(re.escape(w.lower()) for w in words))
+    words = tuple(w.lower() for w in words)
+    either = "|".join(map(re.escape, words))
+    return F.lower(text).rlike(begun(either, "".join(w[0] for w in words)) if all(words) and words else either)
 
 
 def possible_secret(value: Column, min_length: int = MIN_LENGTH) -> Column:
@@ -89,9 +119,9 @@ def possible_secret(value: Column, min_length: int = MIN_LENGTH) -> Column:
         & ~value.rlike(r"^\p{Nd}+$")
         & ~value.rlike(r"^#?[0-9A-Fa-f]{3}(?:[0-9A-Fa-f]{3})?$")
         & ~value.rlike(r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")
-        & ~value.rlike(LOOKUPS)
-        & ~value.rlike(f"[{BLANK}]")
-        & ~F.lower(value).isin(*COMMON_WORDS)
+        & ~value.rlike(_LOOKUPS)
+        & ~value.rlike(quick_blanks(f"[{BLANK}]"))
+        & ~F.lower(value).rlike(rf"^(?:{'|'.join(COMMON_WORDS)})\z")
     )
 
 
@@ -101,15 +131,7 @@ def path_like(value: Column) -> Column:
 
 def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> Column:
     """Random-looking values of suspicious names, then of quoted strings on suspicious lines that no assignment has taken."""
-    pairs = F.transform(
-        matches(line, ASSIGNMENT, (1, 2, 3, 4)),
-        lambda m: F.struct(
-            m["g0"].alias("name"),
-            F.concat(m["g1"], m["g2"], m["g3"]).alias("value"),
-            (m["at"] + F.length(m["full"]) - F.when(m["g3"] != "", F.length(m["g3"])).otherwise(F.length(m["g1"]) + F.length(m["g2"]) + 1)).alias("at"),
-        ),
-    )
-    quoted = F.transform(matches(line, QUOTED, (1, 2)), lambda m: F.struct(F.concat(m["g0"], m["g1"]).alias("value"), (m["at"] + 1).alias("at")))
+    pairs, quoted = assignments(line), quoted_strings(line)
 
     def scored(found: Column) -> Column:
         good = F.filter(found, lambda x: possible_secret(x["value"], min_length))
@@ -119,7 +141,7 @@ def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length:
     # a one-element array binds the assignments once for both passes
     both = F.transform(F.array(pairs), lambda taken: F.concat(
         scored(F.transform(F.filter(taken, lambda p: suspicious(p["name"], words)), lambda p: F.struct(p["value"].alias("value"), p["at"].alias("at")))),
-        scored(free(F.filter(quoted, lambda q: ~path_like(q["value"])), taken)),
+        scored(let(F.filter(quoted, lambda q: ~path_like(q["value"])), lambda q: free(q, taken))),
     ))
     return F.when(suspicious(line, words), F.flatten(both)).otherwise(none())
 
@@ -175,7 +197,7 @@ def python_hits(lines: DataFrame, signatures: list[Signature]) -> DataFrame:
 
 def hinted(lines: DataFrame) -> DataFrame:
     """lines without those that hold no literal which any built-in signature or context word needs."""
-    return lines.where((F.col("line_content") != "") & F.col("line_content").rlike(HINTS))
+    return lines.where((F.col("line_content") != "") & F.col("line_content").rlike(_HINTS))
 
 
 def with_hits(lines: DataFrame, signatures: list[Signature] | None = None, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> DataFrame:

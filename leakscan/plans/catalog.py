@@ -231,22 +231,19 @@ def entropy_detector(spark, sf_dir):
     lines = corpus(spark, sf_dir).where(detect.suspicious(F.col("line_content")))
     hits = lines.select("file_path", "commit_hash", "line_number", "line_content", F.explode(detect.entropy_hits(F.col("line_content"))).alias("h"))
     # what no assignment holds came from the fallback
-    taken = detect.matches(F.col("line_content"), detect.ASSIGNMENT, (1, 2, 3, 4))
-    assigned = F.exists(taken, lambda m: F.concat(m["g1"], m["g2"], m["g3"]) == F.col("h.matched_string"))
+    assigned = F.exists(detect.assignments(F.col("line_content")), lambda p: p["value"] == F.col("h.matched_string"))
     return hits.select("file_path", "commit_hash", "line_number", "h.matched_string", "h.start_col", "h.end_col", "h.entropy_score", (~assigned).alias("fallback"))
 
 
 @query(upto("pairs", f"SELECT value, round({oracle.entropy('value')}, 6) AS bits, round_even({oracle.entropy('value')}, 2) AS score FROM (SELECT DISTINCT value FROM pairs WHERE value <> '')"))
 def shannon_entropy(spark, sf_dir):
-    values = corpus(spark, sf_dir).select(F.explode(detect.matches(F.col("line_content"), detect.ASSIGNMENT, (1, 2, 3, 4))).alias("m"))
-    values = values.select(F.concat("m.g1", "m.g2", "m.g3").alias("value")).where("value <> ''").distinct()
+    values = corpus(spark, sf_dir).select(F.explode(detect.assignments(F.col("line_content"))).alias("p")).select("p.value").where("value <> ''").distinct()
     return values.select("value", F.round(T.entropy(F.col("value")), 6).alias("bits"), F.bround(T.entropy(F.col("value")), 2).alias("score"))
 
 
 @query(upto("pairs", f"SELECT {oracle.REJECT} AS rejected, regexp_matches(lower(name), '{oracle.CONTEXT}') AS suspicious, count(*) AS n FROM pairs GROUP BY 1, 2"))
 def entropy_rejects(spark, sf_dir):
-    pairs = corpus(spark, sf_dir).where(F.col("line_content") != "").select(F.explode(detect.matches(F.col("line_content"), detect.ASSIGNMENT, (1, 2, 3, 4))).alias("m"))
-    pairs = pairs.select(F.concat("m.g1", "m.g2", "m.g3").alias("value"), F.col("m.g0").alias("name"))
+    pairs = corpus(spark, sf_dir).where(F.col("line_content") != "").select(F.explode(detect.assignments(F.col("line_content"))).alias("p")).select("p.*")
     return pairs.groupBy((~detect.possible_secret(F.col("value"))).alias("rejected"), detect.suspicious(F.col("name")).alias("suspicious")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plan import spread
+from ..functions.plan import settled, spread
 
 Q = "chr(39)"
 # k: order key; two neighbouring keys share their secret, path and kind of line, and differ in commit and line number
@@ -57,7 +57,8 @@ SHARED_LINES = ("CAST(k AS INT) AS line_number", "CAST(k % 400 + 1 AS INT) AS li
 def orders_lines(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     keys = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     sql = LINES.replace("FROM orders", "FROM {keys}").replace("\\", "\\\\")
-    return spark.sql(sql.replace(*SHARED_LINES) if shared else sql, keys=keys)
+    # a line is made once, not again by every filter on it
+    return settled(spark.sql(sql.replace(*SHARED_LINES) if shared else sql, keys=keys))
 
 
 def text_lines(df: DataFrame, path: str, *keys: str) -> DataFrame:

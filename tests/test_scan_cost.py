@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.regexes import Signature
 from leakscan.operators import detect
+from leakscan.plans import corpus
 
 
 def test_search_does_not_give_back_what_it_has_read():
@@ -27,3 +28,32 @@ def test_places_of_few_and_many_matches(spark):
 def test_possessive_signatures_go_through_python():
     assert not Signature("x", "", r"ab*+c").expressible
     assert not Signature("x", "", r"(?>ab|a)c").expressible
+
+
+ODD_LINES = ["a" * 70 + "=b", "x-1 : 'y' , ab=:c", "key = ;", "'ab':\"c d\" e_ = f", "ab  cd =  'open", "ab\t:\t=\t#", 'q"=1; "q_" : 2', "ab = ''", 'ab = ""x', "ab='", "ab=\u3000\u00e9\u4e2d'x'", "9ab\u00a0=\u00a0c\u0085d", "token='a\"b' pw=\"c'd\"", "ab='c\"", "ab==='x'", "x\U0001f600yz=\U0001f600;zz:'\U0001f600'"]
+
+
+def test_assignments_are_those_of_the_expression(spark):
+    """Names, values and places, where each match is taken apart without its search being run again for every group."""
+    own = re.compile(detect.ASSIGNMENT)
+    got = spark.createDataFrame([(n, x) for n, x in enumerate(ODD_LINES)], "n int, line string").select("n", detect.assignments(F.col("line")).alias("p"), detect.quoted_strings(F.col("line")).alias("q")).orderBy("n").collect()
+    for line, row in zip(ODD_LINES, got, strict=True):
+        want = [(m[1], m[g], m.start(g)) for m in own.finditer(line) for g in (2, 3, 4) if m[g] is not None]
+        assert [tuple(p) for p in row.p] == want, line
+        assert [tuple(q) for q in row.q] == [(m[m.lastindex], m.start() + 1) for m in re.finditer(detect.QUOTED, line)], line
+
+
+def test_told_beginnings_rule_nothing_out(spark):
+    words = [w for w in "key token secret passw pwd auth credential akia xox hooks.slack :// eyj ghp_ aiza sk_live_ os.environ getenv( process.env ENV[ System.getenv ${a} {{a}} <%a% none".split()]
+    odd = [w.replace(a, b) for w in words for a, b in (("k", "\u212a"), ("s", "\u017f"), ("i", "\u0130"), ("i", "\u0131"), ("S", "\u017f"))] + [w.upper() for w in words] + [f"z {w}" for w in words] + [chr(c) + w[1:] for w in words for c in range(1, 0x2200) if not 0x80 <= c < 0x100]
+    df = spark.createDataFrame([(w,) for w in dict.fromkeys(words + odd)], "w string")
+    same = F.lit(True)
+    for plain, quick in ((detect.HINTS, detect._HINTS), (detect.LOOKUPS, detect._LOOKUPS)):
+        same = same & (F.col("w").rlike(plain) == F.col("w").rlike(quick))
+    assert df.where(~same).collect() == []
+
+
+def test_filters_do_not_make_lines_again(spark, tmp_path):
+    spark.range(50).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    plan = detect.hinted(corpus.orders_lines(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if re.match(r"[\s:+-]*Filter", x) and "md5" in x]
