@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 from typing import Any
 
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)
+
+
+def give_back() -> None:
+    """Returns memory that this Python worker has freed but kept: workers wait for later tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its memory back after each batch it has read and in the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                give_back()
+
+        yield from work(each())
+        give_back()
+
+    return run
+
+
 _made: list[list[str]] = []  # paths made by the running tidied() calls, the innermost last
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import lean, slices
+
 WORD = re.compile(r"[^\W_]+")
 Q = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +63,7 @@ class LeakRules:
 class Words:
     """Word hashes of texts, kept up to a bound."""
 
-    def __init__(self, keep: int = 500_000) -> None:
+    def __init__(self, keep: int = 100_000) -> None:
         self.known: dict[str, int] = {}
         self.keep = keep
 
@@ -310,8 +312,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, words = index.value, Words()
             for b in batches:
-                yield b.filter(pa.array([not held.search(words(t.as_py())) for t in b["text"]], pa.bool_()))
+                for some in slices(b):
+                    yield some.filter(pa.array([not held.search(words(t.as_py())) for t in some["text"]], pa.bool_()))
 
-        return held_docs.mapInArrow(keep, docs.schema)
+        return held_docs.mapInArrow(lean(keep), docs.schema)
 
     return reduce(kept, item_indexes(docs, items, rules), docs)

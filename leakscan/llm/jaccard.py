@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, dealt_join, looked_up, shares, tidied, without, written
+from .common import LOWER_BYTES, components, dealt_join, lean, looked_up, shares, tidied, without, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -75,7 +75,7 @@ BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
 BYTES = np.where(BLANKS, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * MIX) | np.uint64(1))
 
 
-def word_hashes(data: bytes, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """A hash and the first byte of each word between blanks, chunk by chunk (cut at blanks)."""
     hashes, firsts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     whole = np.frombuffer(data, np.uint8)
@@ -156,7 +156,7 @@ def bucket_counts(docs: DataFrame, rules: JoinRules) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros((parts, size), np.int64)
-    for r in docs.select("text").mapInArrow(tally, schema).repartition("part").mapInArrow(add, schema).collect():  # at most `parts` rows
+    for r in docs.select("text").mapInArrow(lean(tally), schema).repartition("part").mapInArrow(lean(add), schema).collect():  # at most `parts` rows
         out[r["part"]] = np.frombuffer(r["counts"], "<i8")
     return np.minimum(out.ravel()[: rules.buckets], (1 << 32) - 1).astype(np.uint32)
 
@@ -184,7 +184,7 @@ def sketches(docs: DataFrame, rules: JoinRules) -> DataFrame:
                     names=["doc_id", "n", "digest", "point", "blocks"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id bigint, n bigint, digest binary, point array<int>, blocks array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lean(sketch), "doc_id bigint, n bigint, digest binary, point array<int>, blocks array<bigint>")
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -221,7 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
             for part, texts in text_slices(b):
                 yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), _lists([s.view(np.int64) for s in shingle_sets(texts, rules.k)], pa.int64())], names=["doc_id", "s"])
 
-    held = written(texts.mapInArrow(sets, "doc_id bigint, s array<bigint>"), "sets")
+    held = written(texts.mapInArrow(lean(sets), "doc_id bigint, s array<bigint>"), "sets")
     side = lambda c: held.select(F.col("doc_id").alias(c), F.col("s").alias(f"s_{c}"))
     parts = {c: written(shares(pairs, c, rules.set_pairs), "shares") for c in ("a", "b")}
     both = dealt_join(dealt_join(pairs, "a", "b", side("a"), parts["a"]), "b", "a", side("b"), parts["b"])
@@ -338,7 +338,7 @@ def cell_pairs(members: DataFrame, nodes: DataFrame, sizes: DataFrame, rules: Jo
         if n_out:
             yield np.concatenate(out)
 
-    return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(lean(search), "a bigint, b bigint").distinct()
 
 
 @tidied

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import lean, slices
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -195,11 +197,6 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(batch), rows):
-        yield batch.slice(i, rows)
-
-
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -> DataFrame:
     """Packs all tokens of all documents, each document followed by id 0: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, one row per piece. tokenizer: path of a byte-level BPE file that every executor can read."""
@@ -240,4 +237,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
             yield flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(pack, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return docs.select("doc_id", "text").mapInArrow(lean(pack), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

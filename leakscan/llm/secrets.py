@@ -34,6 +34,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean, slices
+
 # The base shapes, in their order.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -518,7 +520,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]", rules: SecretRules =
     """docs with every found span replaced by the mask (overlapping spans by one) and n_chars counted anew; other columns stay."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (some for whole in batches for some in slices(whole)):
             old = b["text"].to_pylist()
             new = [None if t is None else masked(t, scan_text(t, rules), mask) for t in old]
             cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True)} | {"text": pa.array(new, b.schema.field("text").type)}
@@ -527,7 +529,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]", rules: SecretRules =
                 cols["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(new, kept, strict=True)], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 
 
 def masked(text: str, spans: list[tuple], mask: str) -> str:
