@@ -27,6 +27,11 @@ BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FLAGS = {"IGNORECASE": "iu", "MULTILINE": "m", "DOTALL": "s"}
 #: Every built-in signature's match holds one of these; lines without any are skipped.
 HINTS = r"(?iu)key|token|secret|passw|pwd|auth|credential|akia|xox|hooks\.slack|://|eyj|gh[pousr]_|aiza|sk_live_"
+#: Of each built-in signature, literals of which every match holds one: in lower case for those that ignore case.
+NEEDED = dict(zip((s[2] for s in SIGNATURES), (
+    ("AKIA",), ("secret_access_key", "aws_secret_key"), ("api_key", "api-key", "apikey"), ("token", "secret"), ("password", "passwd", "pwd"), ("xox",), ("hooks.slack",), ("-----BEGIN ",),
+    ("://",), ("eyJ",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("AIza",), ("sk_live_",),
+), strict=True))
 #: What the JVM's (?iu) takes for a letter beyond its two cases.
 FOLDS = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
 

@@ -60,7 +60,9 @@ def span_clusters(hits: Column, item: str) -> Column:
         return let(own, lambda hs: F.when(F.forall(hs, lambda h: same_text(hs[0], h)), F.array(hs)).otherwise(clusters(hs, item)))
 
     swept = let(F.sort_array(placed), lambda ordered: F.flatten(F.transform(parts(ordered), split)))
-    return F.when(F.size(hits) <= FEW, clusters(hits, item)).otherwise(swept)
+    # a second hit joins the first one or not
+    pair = F.when(same_text(hits[1], hits[0]), F.array(hits)).otherwise(F.array(F.array(hits[0]), F.array(hits[1])))
+    return F.when(F.size(hits) == 2, pair).when(F.size(hits) <= FEW, clusters(hits, item)).otherwise(swept)
 
 
 def representatives(found: DataFrame, points: Points = base_points) -> DataFrame:

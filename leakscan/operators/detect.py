@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import BLANK, HINTS, Signature, begun, default_signatures, quick_blanks
+from ..functions.regexes import BLANK, FOLDS, HINTS, NEEDED, Signature, begun, default_signatures, quick_blanks
 from ..functions.plan import let, running, settled
 from ..functions.text import entropy
 
@@ -53,8 +54,11 @@ def matches(line: Column, regex: str, groups: tuple[int, ...]) -> Column:
 
         return F.aggregate(found, F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda s: s["out"])
 
-    # few lines have many matches
-    placed = let(F.regexp_extract_all(line, F.lit(regex), 0), lambda found: F.when(F.size(found) <= FEW, sought(found)).otherwise(swept(found)))
+    def first(found: Column) -> Column:
+        return F.array(F.struct((F.call_function("locate", found[0], line) - 1).alias("at"), found[0].alias("full")))
+
+    # few lines have many matches, and most have one or none, which take no fold
+    placed = let(F.regexp_extract_all(line, F.lit(regex), 0), lambda found: F.when(F.size(found) == 0, F.array().cast(f"array<{kind}>")).when(F.size(found) == 1, first(found)).when(F.size(found) <= FEW, sought(found)).otherwise(swept(found)))
     if not groups:
         return placed
     return F.transform(placed, lambda m: F.struct(m["at"].alias("at"), m["full"].alias("full"), *[F.regexp_extract(m["full"], regex, g).alias(f"g{n}") for n, g in enumerate(groups)]))
@@ -92,24 +96,42 @@ def none() -> Column:
     return F.array().cast(f"array<{HIT}>")
 
 
-def signature_hits(line: Column, signature: Signature) -> Column:
-    """All hits of one signature."""
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some literals: bytes are compared, which takes a small part of a regex's time."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def folded(line: Column) -> Column:
+    """The line in lower case, as (?iu) of the JVM compares ASCII letters: literals in lower case are sought in it."""
+    pairs = [(c, letter) for letter, odd in FOLDS.items() for c in odd]
+    plain = F.translate(line, "".join(c for c, _ in pairs), "".join(x for _, x in pairs))
+    return F.lower(F.when((F.length(line) < F.octet_length(line)) & holds(line, tuple(c for c, _ in pairs)), plain).otherwise(line))
+
+
+def may_match(line: Column, low: Column, signature: Signature) -> Column | None:
+    """Whether a line holds a literal that a built-in signature needs; None for others. low: the line, folded."""
+    words = NEEDED.get(signature.regex)
+    return words and holds(low if signature.flags else line, words)
+
+
+def signature_hits(line: Column, signature: Signature, low: Column | None = None) -> Column:
+    """All hits of one signature. low: the line, folded, if there is such a column."""
     group, tail = signature.group, signature.tail or 0
     value = lambda m: m["g0"] if group else m["full"]
     at = lambda m: m["at"] + F.length(m["full"]) - tail - F.length(m["g0"]) if group else m["at"]
     found = F.transform(matches(line, signature.native, (group,) if group else ()), lambda m: _hit(signature.type, value(m), at(m)))
-    return F.when(line.rlike(signature.native), found).otherwise(none())
+    there = None if low is None else may_match(line, low, signature)
+    return F.when(line.rlike(signature.native) if there is None else there, found).otherwise(none())
 
 
-def regex_hits(line: Column, signatures: list[Signature] | None = None) -> Column:
+def regex_hits(line: Column, signatures: list[Signature] | None = None, low: Column | None = None) -> Column:
     """Hits of all signatures, in their order, each left to right."""
-    return F.concat(*[signature_hits(line, s) for s in signatures or default_signatures()])
+    return F.concat(*[signature_hits(line, s, low) for s in signatures or default_signatures()])
 
 
 def suspicious(text: Column, words: tuple[str, ...] = CONTEXT_WORDS) -> Column:
     words = tuple(w.lower() for w in words)
-    either = "|".join(map(re.escape, words))
-    return F.lower(text).rlike(begun(either, "".join(w[0] for w in words)) if all(words) and words else either)
+    return holds(F.lower(text), words) if words else F.lower(text).rlike("")
 
 
 def possible_secret(value: Column, min_length: int = MIN_LENGTH) -> Column:
@@ -131,7 +153,9 @@ def path_like(value: Column) -> Column:
 
 def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> Column:
     """Random-looking values of suspicious names, then of quoted strings on suspicious lines that no assignment has taken."""
-    pairs, quoted = assignments(line), quoted_strings(line)
+    pairs = assignments(line)
+    # what is too short takes no further tests
+    quoted = F.when(holds(line, ("'", '"')), F.filter(quoted_strings(line), lambda q: F.length(q["value"]) >= min_length)).otherwise(F.array().cast("array<struct<value: string, at: int>>"))
 
     def scored(found: Column) -> Column:
         good = F.filter(found, lambda x: possible_secret(x["value"], min_length))
@@ -195,23 +219,33 @@ def python_hits(lines: DataFrame, signatures: list[Signature]) -> DataFrame:
     return lines.withColumn("py_hits", F.pandas_udf(detect, f"array<{HIT}>")("line_content"))
 
 
-def hinted(lines: DataFrame) -> DataFrame:
-    """lines without those that hold no literal which any built-in signature or context word needs."""
-    return lines.where((F.col("line_content") != "") & F.col("line_content").rlike(_HINTS))
+LOW = "folded line"  # a column beside a line's own
+# context words, and what the signatures need, in as few searches as will do: key headers hold "key", webhooks "://"
+_LOW_HINTS = ("key", "token", "secret", "passw", "pwd", "auth", "credential", "://")
+_OWN_HINTS = ("AKIA", "xox", "eyJ", "AIza")
+_JOINED_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_")
+
+
+def hinted(lines: DataFrame, keep: bool = False) -> DataFrame:
+    """lines without those that hold no literal which any built-in signature or context word needs. keep: with the folded line."""
+    marked = settled(lines.where(F.col("line_content") != "").withColumn(LOW, folded(F.col("line_content"))))
+    left = marked.where(holds(F.col(LOW), _LOW_HINTS) | holds(F.col("line_content"), _OWN_HINTS) | F.contains("line_content", F.lit("_")) & holds(F.col("line_content"), _JOINED_HINTS))
+    return left if keep else left.drop(LOW)
 
 
 def with_hits(lines: DataFrame, signatures: list[Signature] | None = None, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> DataFrame:
     """lines that may hold hits, with them as the array column `hits`: signatures first, then entropy."""
     own = signatures is not None
     signatures = default_signatures() if signatures is None else signatures
-    lines = hinted(lines) if not own and words == CONTEXT_WORDS else lines.where(F.col("line_content") != "")
+    quick = not own and words == CONTEXT_WORDS
+    lines = hinted(lines, keep=True) if quick else lines.where(F.col("line_content") != "")
     native, other = [s for s in signatures if s.expressible], [s for s in signatures if not s.expressible]
-    parts = [signature_hits(F.col("line_content"), s) for s in native]
+    parts = [signature_hits(F.col("line_content"), s, F.col(LOW) if quick else None) for s in native]
     if other:
         lines = python_hits(lines, other)
         parts.append(F.col("py_hits"))
     parts.append(entropy_hits(F.col("line_content"), threshold, min_length, words))
-    return settled(lines.withColumn("hits", F.concat(*parts)).drop("py_hits"))
+    return settled(lines.withColumn("hits", F.concat(*parts)).drop("py_hits", LOW))
 
 
 def raw_findings(lines: DataFrame, **options) -> DataFrame:

@@ -57,3 +57,20 @@ def test_filters_do_not_make_lines_again(spark, tmp_path):
     spark.range(50).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     plan = detect.hinted(corpus.orders_lines(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if re.match(r"[\s:+-]*Filter", x) and "md5" in x]
+
+
+def test_lines_are_told_apart_by_literals(spark):
+    """No expression is searched for on lines without a hint, and what literals rule out holds no match of any signature."""
+    words = [w for w in "key token secret passw pwd auth credential :// AKIA xoxb- eyJ ghp_ ghr_ AIza sk_live_ akia GHP_".split()]
+    values = ["AKIA" + "A1" * 8, "aws_\u017fecret_acce\u017f\u017f_\u212aey='" + "a" * 40 + "'", "AP\u0130-\u212aEY:\"" + "a" * 16 + '"', "ap\u0131key='" + "b" * 16 + "'", "To\u212aen='" + "c" * 12 + "'", "\u00e9 \u017fecret='" + "c" * 12 + "'", "pa\u017fswd='abcd'", "PWD='abcd'",
+              "xo" + "xp-" + "a" * 12, "https://hooks.slack.com/services/T" + "A" * 8 + "/B" + "B" * 8 + "/" + "c" * 24, "-----BEGIN EC PRIVATE KEY-----", "Red\u0131\u017f://u:p@h", "mongodb+srv://u:p@h", "eyJa.b.c", "gh" + "s_" + "a" * 36, "AI" + "za" + "a" * 35, "sk_" + "live_" + "a" * 24, "none of it"]
+    lines = spark.createDataFrame([(n, x) for n, x in enumerate(words + values)], "n int, line_content string")
+    assert "rlike" not in detect.hinted(lines)._jdf.queryExecution().optimizedPlan().toString().lower()
+    kept = {r.n for r in detect.hinted(lines).collect()}
+    matched = set()
+    for s in detect.default_signatures():
+        told = detect.may_match(F.col("line_content"), detect.folded(F.col("line_content")), s)
+        for r in lines.select("n", F.col("line_content").rlike(s.native).alias("m"), told.alias("t")).collect():
+            assert r.t or not r.m, (s.type, r)
+            matched |= {r.n} if r.m else set()
+    assert matched <= kept and len(matched) == len(values) - 1 and len(words + values) - 1 not in kept
