@@ -16,6 +16,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, settled(); the others stay beside the generator, so that what nobody reads is pruned."""
+    kept = [c for c in df.columns if c not in columns]
+    # made by a projection, which is compiled; a generator of expressions with lambdas is not
+    return df.withColumns(columns).select(*kept, F.explode(F.array(F.struct(*columns))).alias("bound row")).select(*kept, "bound row.*")
+
+
 def shared_folder(spark: SparkSession, name: str = "") -> str:
     """The session's checkpoint folder, which all executors see, or a fresh folder in it. A local session that names none gets
     one of this machine; on a cluster the setting is required."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .plan import let
+
 # Fixed values.
 TEST_SEGMENTS = ("test", "tests", "spec", "specs", "example", "examples", "mock", "mocks", "__mocks__", "sample", "samples", "fixture", "fixtures", "testdata", "demo")
 CONFIG_EXTENSIONS = (".yml", ".yaml", ".json", ".ini", ".toml", ".cfg", ".conf", ".properties", ".xml", ".env")
@@ -59,7 +61,9 @@ def entropy(value: Column) -> Column:
     """Shannon entropy in bits for each character; 0 for an empty string."""
     # a value has few distinct characters; the length that is left without one tells how often it stands
     letters = F.sort_array(F.array_distinct(F.when(value != "", F.split(value, "")).otherwise(F.array().cast("array<string>"))))
-    shares = F.transform(letters, lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value))
+    # in bytes, whose number is known without counting
+    gone = lambda c: F.octet_length(value) - F.octet_length(F.replace(value, c, F.lit("")))
+    shares = let(F.length(value), lambda n: F.transform(letters, lambda c: gone(c) / (F.octet_length(c) * n)))
     return F.aggregate(shares, F.lit(0.0), lambda s, share: s - share * F.log2(share))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.plan import let, running, settled
+from ..functions.plan import bound, let, running, settled
 from ..functions.text import slashes
 from .detect import with_hits
 from .score import base_points
@@ -96,22 +96,22 @@ def collapse_commits(found: DataFrame, points: Points = base_points) -> DataFram
     """Second pass: one row per path and secret, with occurrences and history_commits (oldest first), and seq and rank of the
     first hit. A copy in the working tree represents the rest, else the oldest commit's."""
     order = hit_order(points)
-    row = F.struct(*[c for c in ROW if c not in ("seq", "rank")])
+    row = F.struct(*[c for c in ROW if c not in ("seq", "rank") and c in found.columns])
     first = F.struct("seq", "rank")
-    scored = F.when(F.col("entropy_score").isNotNull(), first)
+    scored = F.when(F.col("entropy_score").isNotNull(), F.struct("seq", "rank", "entropy_score"))
     # by commit first, so that no more than its distinct commits meet in the row of a secret
-    # rows are sorted for this: a hash in front settles nearly all comparisons at once
+    # rows are sorted for this: a hash in front settles nearly all comparisons at once. Each choice and what it brings is one value
     each = found.withColumn("np", slashes(F.col("file_path"))).withColumn("spot", F.xxhash64("np", "matched_string")).groupBy("spot", "np", "matched_string", "commit_hash").agg(
-        F.max(order).alias("rated"), F.max_by(row, order).alias("top"), F.min(scored).alias("scored"), F.min_by("entropy_score", scored).alias("first_score"),
+        F.max(F.struct(order.alias("rated"), row.alias("row"))).alias("top"), F.min(scored).alias("scored"),
         F.count(F.lit(1)).alias("n"), F.max(first).alias("last"), F.min(first).alias("first"),
     )
     commit = F.when(F.coalesce("commit_hash", F.lit("")) != "", F.struct("last.seq", "last.rank", "commit_hash"))
     grouped = each.groupBy("spot", "np", "matched_string").agg(
-        F.max_by("top", "rated").alias("top"), F.min_by("first_score", "scored").alias("first_score"), F.sum("n").cast("int").alias("occurrences"),
+        F.max("top").alias("top"), F.min("scored").alias("scored"), F.sum("n").cast("int").alias("occurrences"),
         F.sort_array(F.collect_list(commit), asc=False).alias("commits"), F.min("first").alias("first"),
     )
     return grouped.select(
-        *[F.coalesce("top.entropy_score", "first_score").alias(c) if c == "entropy_score" else F.col(f"top.{c}").alias(c) for c in ROW if c not in ("seq", "rank")],
+        *[F.coalesce("top.row.entropy_score", "scored.entropy_score").alias(c) if c == "entropy_score" else F.col(f"top.row.{c}").alias(c) for c in ROW if c not in ("seq", "rank") and c in found.columns],
         "occurrences", F.transform("commits", lambda c: c["commit_hash"]).alias("history_commits"), "first.seq", "first.rank",
     )
 
@@ -137,6 +137,6 @@ def line_findings(lines: DataFrame, **options) -> DataFrame:
 
     # most lines hold one hit
     alone = F.array(F.struct(F.col("h")[0].alias("m"), F.col("h")[0]["entropy_score"].alias("score")))
-    found = settled(rows.select(*own, F.when(F.size("h") == 1, alone).otherwise(F.transform(span_clusters(F.col("h"), item), best)).alias("b")))
-    found = settled(found.select(*own, F.explode("b").alias("t")))
+    found = bound(rows, b=F.when(F.size("h") == 1, alone).otherwise(F.transform(span_clusters(F.col("h"), item), best)))
+    found = found.select(*own, F.explode("b").alias("t"))
     return found.select(*[F.coalesce(F.col("t.m.entropy_score"), "t.score").alias(c) if c == "entropy_score" else F.col(c) if c in own else F.col(f"t.m.{c}").alias(c) for c in ROW])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import BLANK, FOLDS, HINTS, NEEDED, Signature, begun, default_signatures, quick_blanks
-from ..functions.plan import let, running, settled
+from ..functions.plan import bound, let, running
 from ..functions.text import entropy
 
 HIT = "struct<type: string, matched_string: string, start_col: int, end_col: int, entropy_score: double>"
@@ -136,14 +136,15 @@ def suspicious(text: Column, words: tuple[str, ...] = CONTEXT_WORDS) -> Column:
 
 def possible_secret(value: Column, min_length: int = MIN_LENGTH) -> Column:
     """False for values whose structure rules a secret out."""
+    # a colour with a line break behind it has 8 characters
+    long = (F.length(value) >= min_length) if min_length > 8 else (F.length(value) >= min_length) & ~value.rlike(r"^#?[0-9A-Fa-f]{3}(?:[0-9A-Fa-f]{3})?$")
     return (
-        (F.length(value) >= min_length)
+        long
         & ~value.rlike(r"^\p{Nd}+$")
-        & ~value.rlike(r"^#?[0-9A-Fa-f]{3}(?:[0-9A-Fa-f]{3})?$")
         & ~value.rlike(r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")
         & ~value.rlike(_LOOKUPS)
         & ~value.rlike(quick_blanks(f"[{BLANK}]"))
-        & ~F.lower(value).rlike(rf"^(?:{'|'.join(COMMON_WORDS)})\z")
+        & ~F.lower(value).isin(*COMMON_WORDS)
     )
 
 
@@ -151,8 +152,9 @@ def path_like(value: Column) -> Column:
     return value.rlike(r"^(?:/|\./|\.\./|https?://)")
 
 
-def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> Column:
-    """Random-looking values of suspicious names, then of quoted strings on suspicious lines that no assignment has taken."""
+def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS, told: Column | None = None) -> Column:
+    """Random-looking values of suspicious names, then of quoted strings on suspicious lines that no assignment has taken.
+    told: whether the line is suspicious, if that is known."""
     pairs = assignments(line)
     # what is too short takes no further tests
     quoted = F.when(holds(line, ("'", '"')), F.filter(quoted_strings(line), lambda q: F.length(q["value"]) >= min_length)).otherwise(F.array().cast("array<struct<value: string, at: int>>"))
@@ -167,8 +169,7 @@ def entropy_hits(line: Column, threshold: float = ENTROPY_THRESHOLD, min_length:
         scored(F.transform(F.filter(taken, lambda p: suspicious(p["name"], words)), lambda p: F.struct(p["value"].alias("value"), p["at"].alias("at")))),
         scored(let(F.filter(quoted, lambda q: ~path_like(q["value"])), lambda q: free(q, taken))),
     ))
-    return F.when(suspicious(line, words), F.flatten(both)).otherwise(none())
-
+    return F.when(suspicious(line, words) if told is None else told, F.flatten(both)).otherwise(none())
 
 
 def free(quoted: Column, taken: Column) -> Column:
@@ -219,7 +220,7 @@ def python_hits(lines: DataFrame, signatures: list[Signature]) -> DataFrame:
     return lines.withColumn("py_hits", F.pandas_udf(detect, f"array<{HIT}>")("line_content"))
 
 
-LOW = "folded line"  # a column beside a line's own
+LOW, MARKS = "folded line", "marks"  # columns beside a line's own
 # context words, and what the signatures need, in as few searches as will do: key headers hold "key", webhooks "://"
 _LOW_HINTS = ("key", "token", "secret", "passw", "pwd", "auth", "credential", "://")
 _OWN_HINTS = ("AKIA", "xox", "eyJ", "AIza")
@@ -228,24 +229,54 @@ _JOINED_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_")
 
 def hinted(lines: DataFrame, keep: bool = False) -> DataFrame:
     """lines without those that hold no literal which any built-in signature or context word needs. keep: with the folded line."""
-    marked = settled(lines.where(F.col("line_content") != "").withColumn(LOW, folded(F.col("line_content"))))
+    marked = bound(lines.where(F.col("line_content") != ""), **{LOW: folded(F.col("line_content"))})
     left = marked.where(holds(F.col(LOW), _LOW_HINTS) | holds(F.col("line_content"), _OWN_HINTS) | F.contains("line_content", F.lit("_")) & holds(F.col("line_content"), _JOINED_HINTS))
     return left if keep else left.drop(LOW)
 
 
+def marked(lines: DataFrame) -> DataFrame:
+    """hinted() with the folded line, and which literals it holds as a column of booleans: each is sought once for all its uses."""
+    line, low = F.col("line_content"), F.col(LOW)
+    rows = bound(lines.where(line != ""), **{LOW: folded(line)})
+    there = {w: F.contains(low, F.lit(w)) for w in _LOW_HINTS} | {w: F.contains(line, F.lit(w)) for w in _OWN_HINTS}
+    there |= {"joined": F.contains(line, F.lit("_")) & holds(line, _JOINED_HINTS), "quote": holds(line, ('"', "'"))}
+    rows = bound(rows, **{MARKS: F.struct(*[c.alias(name) for name, c in there.items()])})
+    return rows.where(reduce(lambda a, b: a | b, [F.col(MARKS)[name] for name in there if name != "quote"]))
+
+
+#: Of each built-in signature, marks of which a line with a match has one of each group.
+_IMPLIED = dict(zip(NEEDED, (
+    [("AKIA",)], [("quote",), ("key",), ("secret",)], [("quote",), ("key",)], [("quote",), ("token", "secret")], [("quote",), ("passw", "pwd")], [("xox",)], [("://",)], [("key",)],
+    [("://",)], [("eyJ",)], [("joined",)], [("AIza",)], [("joined",)],
+), strict=True))
+
+
+def marked_hits(line: Column, signature: Signature) -> Column:
+    """signature_hits() of marked() lines: literals are sought only where the marks leave a match possible."""
+    either = lambda names: reduce(lambda a, b: a | b, [F.col(MARKS)[n] for n in names])
+    groups = _IMPLIED.get(signature.regex)
+    found = signature_hits(line, signature, F.col(LOW))
+    return found if groups is None else F.when(reduce(lambda a, b: a & b, map(either, groups)), found).otherwise(none())
+
+
 def with_hits(lines: DataFrame, signatures: list[Signature] | None = None, threshold: float = ENTROPY_THRESHOLD, min_length: int = MIN_LENGTH, words: tuple[str, ...] = CONTEXT_WORDS) -> DataFrame:
     """lines that may hold hits, with them as the array column `hits`: signatures first, then entropy."""
     own = signatures is not None
     signatures = default_signatures() if signatures is None else signatures
     quick = not own and words == CONTEXT_WORDS
-    lines = hinted(lines, keep=True) if quick else lines.where(F.col("line_content") != "")
+    lines = marked(lines) if quick else lines.where(F.col("line_content") != "")
     native, other = [s for s in signatures if s.expressible], [s for s in signatures if not s.expressible]
-    parts = [signature_hits(F.col("line_content"), s, F.col(LOW) if quick else None) for s in native]
+    parts = [marked_hits(F.col("line_content"), s) if quick else signature_hits(F.col("line_content"), s) for s in native]
     if other:
         lines = python_hits(lines, other)
         parts.append(F.col("py_hits"))
-    parts.append(entropy_hits(F.col("line_content"), threshold, min_length, words))
-    return settled(lines.withColumn("hits", F.concat(*parts)).drop("py_hits", LOW))
+    line, told = F.col("line_content"), None
+    if quick:
+        # of ASCII the folded line is the one in lower case
+        words_left = reduce(lambda a, b: a | b, [F.col(MARKS)[w] for w in _LOW_HINTS if w != "://"])
+        told = words_left & F.when(F.length(line) == F.octet_length(line), holds(F.col(LOW), words)).otherwise(suspicious(line, words))
+    parts.append(entropy_hits(line, threshold, min_length, words, told))
+    return bound(lines, hits=F.concat(*parts)).drop("py_hits", LOW, MARKS)
 
 
 def raw_findings(lines: DataFrame, **options) -> DataFrame:

@@ -46,13 +46,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.raw_findings(corpus(spark, sf_dir))
 
 
-def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path that scans take: hits are clustered inside their line's row."""
-    return dedup.collapse_commits(dedup.line_findings(corpus(spark, sf_dir)))
+def deduped(spark: SparkSession, sf_dir: str, shown: bool = True) -> DataFrame:
+    """The path that scans take: hits are clustered inside their line's row. shown: findings carry their line."""
+    found = dedup.line_findings(corpus(spark, sf_dir))
+    return dedup.collapse_commits(found if shown else found.drop("line_content"))
 
 
-def found(spark: SparkSession, sf_dir: str, context: score.ScanContext = score.ScanContext()) -> DataFrame:
-    return score.scored(deduped(spark, sf_dir), context)
+def found(spark: SparkSession, sf_dir: str, context: score.ScanContext = score.ScanContext(), shown: bool = True) -> DataFrame:
+    return score.scored(deduped(spark, sf_dir, shown), context)
 
 
 def joined(column: str) -> Column:
@@ -163,7 +164,7 @@ def planted_scan(spark: SparkSession, sf_dir: str, rules: planted.PlantRules = p
     keys = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
     files = planted.planted_files(keys, rules)
     lines = planted.heeded(planted.planted_lines(files, rules))
-    return files, score.scored(dedup.collapse_commits(dedup.line_findings(lines)))
+    return files, score.scored(dedup.collapse_commits(dedup.line_findings(lines).drop("line_content")))
 
 
 @query(f"""WITH {_planted_sql()} SELECT file_path, commit_hash, 2::BIGINT AS lines FROM planted WHERE outcome <> 'uncommitted'
@@ -191,13 +192,13 @@ def planted_excluded(spark, sf_dir):
 
 @query(upto("scored", "SELECT replace(file_path, chr(92), '/') AS file_path, redacted, count(*) AS n FROM scored GROUP BY 1, 2 HAVING count(*) > 1"))
 def repeated_findings(spark, sf_dir):
-    return planted.repeated(found(spark, sf_dir))
+    return planted.repeated(found(spark, sf_dir, shown=False))
 
 
 @query(upto("scored", """SELECT replace(file_path, chr(92), '/') AS file_path, max(points) AS points, max(points) FILTER (WHERE detector_type = 'AWS_ACCESS_KEY') AS aws_access_key,
   max(points) FILTER (WHERE detector_type = 'GENERIC_SECRET') AS generic_secret FROM scored GROUP BY 1"""))
 def top_points(spark, sf_dir):
-    return planted.top_points(found(spark, sf_dir), "AWS_ACCESS_KEY", "GENERIC_SECRET")
+    return planted.top_points(found(spark, sf_dir, shown=False), "AWS_ACCESS_KEY", "GENERIC_SECRET")
 
 
 # --- detectors -------------------------------------------------------------------------------------------------------
@@ -268,17 +269,17 @@ def dedup_overlap(spark, sf_dir):
 
 @query(upto("deduped", f"SELECT detector_type, {', '.join(HIT_COLUMNS)}, occurrences FROM deduped"))
 def dedup_across_commits(spark, sf_dir):
-    return deduped(spark, sf_dir).select("detector_type", *HIT_COLUMNS, "occurrences")
+    return deduped(spark, sf_dir, shown=False).select("detector_type", *HIT_COLUMNS, "occurrences")
 
 
 @query(upto("deduped", "SELECT file_path, matched_string, array_to_string(history_commits, ',') AS commits, len(history_commits)::INTEGER AS n FROM deduped"))
 def history_commits(spark, sf_dir):
-    return deduped(spark, sf_dir).select("file_path", "matched_string", joined("history_commits").alias("commits"), F.size("history_commits").alias("n"))
+    return deduped(spark, sf_dir, shown=False).select("file_path", "matched_string", joined("history_commits").alias("commits"), F.size("history_commits").alias("n"))
 
 
 @query(upto("deduped", "SELECT detector_type, entropy_score, count(*) AS n FROM deduped WHERE detector_type <> 'HIGH_ENTROPY' AND entropy_score IS NOT NULL GROUP BY 1, 2"))
 def entropy_carry(spark, sf_dir):
-    carried = deduped(spark, sf_dir).where("detector_type <> 'HIGH_ENTROPY' AND entropy_score IS NOT NULL")
+    carried = deduped(spark, sf_dir, shown=False).where("detector_type <> 'HIGH_ENTROPY' AND entropy_score IS NOT NULL")
     return carried.groupBy("detector_type", "entropy_score").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -305,13 +306,13 @@ def stream_secret_states(spark, sf_dir):
 
 @query(upto("deduped", f"SELECT DISTINCT matched_string, {oracle.PLACEHOLDER} AS placeholder FROM deduped"))
 def placeholder_filter(spark, sf_dir):
-    return deduped(spark, sf_dir).select("matched_string", T.is_placeholder(F.col("matched_string")).alias("placeholder")).distinct()
+    return deduped(spark, sf_dir, shown=False).select("matched_string", T.is_placeholder(F.col("matched_string")).alias("placeholder")).distinct()
 
 
 @query(upto("deduped", f"SELECT count(*) AS n FROM deduped WHERE length(matched_string) >= 8 AND len(list_distinct({oracle.chars('matched_string')})) <= 2"))
 def low_variety(spark, sf_dir):
     flat = (F.length("matched_string") >= 8) & (F.size(F.array_distinct(T.characters(F.col("matched_string")))) <= 2)
-    return deduped(spark, sf_dir).agg(F.count_if(flat).alias("n"))
+    return deduped(spark, sf_dir, shown=False).agg(F.count_if(flat).alias("n"))
 
 
 @query(upto("lines", f"SELECT DISTINCT file_path, {oracle.FILE_CLASS} AS file_class FROM lines"))
@@ -326,7 +327,7 @@ def base_points(spark, sf_dir):
 
 @query(upto("deduped", f"SELECT matched_string, {oracle.REDACT} AS redacted FROM (SELECT DISTINCT matched_string FROM deduped)"))
 def redact_secret(spark, sf_dir):
-    return deduped(spark, sf_dir).select("matched_string").distinct().select("matched_string", T.redact(F.col("matched_string")).alias("redacted"))
+    return deduped(spark, sf_dir, shown=False).select("matched_string").distinct().select("matched_string", T.redact(F.col("matched_string")).alias("redacted"))
 
 
 SCORED = ["detector_type", "file_path", "line_number", "severity", "points", "exposure", "commit_hash", "redacted", "redacted_context", "rationale", "entropy_score", "file_class", "occurrences"]
@@ -344,28 +345,28 @@ def keep_placeholders(spark, sf_dir):
 
 @query(upto("scored", "SELECT file_path, redacted, detector_type, points FROM scored WHERE severity >= 3"))
 def min_severity(spark, sf_dir):
-    return found(spark, sf_dir, score.ScanContext(min_severity=score.severity_number("high"))).select("file_path", "redacted", "detector_type", "points")
+    return found(spark, sf_dir, score.ScanContext(min_severity=score.severity_number("high")), shown=False).select("file_path", "redacted", "detector_type", "points")
 
 
 @query(upto("scored", "SELECT points, severity, exposure, count(*) AS n FROM scored GROUP BY ALL"))
 def score_points(spark, sf_dir):
-    return found(spark, sf_dir).groupBy("points", "severity", "exposure").agg(F.count(F.lit(1)).alias("n"))
+    return found(spark, sf_dir, shown=False).groupBy("points", "severity", "exposure").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(upto("scored", "SELECT s AS severity, ['Low', 'Medium', 'High', 'Critical'][s] AS label, count(scored.severity) AS findings FROM (SELECT unnest([1, 2, 3, 4])::INTEGER AS s) LEFT JOIN scored ON s = scored.severity GROUP BY 1, 2"))
 def severity_counts(spark, sf_dir):
-    return score.severity_counts(found(spark, sf_dir))
+    return score.severity_counts(found(spark, sf_dir, shown=False))
 
 
 @query(upto("scored", "SELECT detector_type, redacted, file_path, severity, points FROM scored ORDER BY severity DESC, points DESC, lead LIMIT 100"))
 def sort_worst_first(spark, sf_dir):
     """The report's first page: a top-k report."""
-    return score.worst_first(found(spark, sf_dir)).select("detector_type", "redacted", "file_path", "severity", "points").limit(100)
+    return score.worst_first(found(spark, sf_dir, shown=False)).select("detector_type", "redacted", "file_path", "severity", "points").limit(100)
 
 
 @query(upto("scored", "SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END::INTEGER AS code FROM scored WHERE severity >= 4"))
 def gate_exit_code(spark, sf_dir):
-    return found(spark, sf_dir).agg(F.coalesce(F.bool_or(F.col("severity") >= 4), F.lit(False)).cast("int").alias("code"))
+    return found(spark, sf_dir, shown=False).agg(F.coalesce(F.bool_or(F.col("severity") >= 4), F.lit(False)).cast("int").alias("code"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -385,7 +386,7 @@ PRINT = "sha256(replace(file_path, chr(92), '/') || chr(0) || detector_type || c
 
 @query(upto("scored", f"SELECT file_path, detector_type, redacted, {PRINT} AS fingerprint FROM scored"))
 def baseline_fingerprint(spark, sf_dir):
-    return found(spark, sf_dir).select("file_path", "detector_type", "redacted", baseline.fingerprint().alias("fingerprint"))
+    return found(spark, sf_dir, shown=False).select("file_path", "detector_type", "redacted", baseline.fingerprint().alias("fingerprint"))
 
 
 def _accepted(rows: DataFrame) -> DataFrame:
@@ -394,21 +395,21 @@ def _accepted(rows: DataFrame) -> DataFrame:
 
 @query(upto("scored", f"SELECT file_path, detector_type, redacted, line_number FROM scored WHERE {PRINT} NOT IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
 def baseline_anti_join(spark, sf_dir):
-    rows = once(found(spark, sf_dir))
+    rows = once(found(spark, sf_dir, shown=False))
     return baseline.suppress(rows, _accepted(rows))[0].select("file_path", "detector_type", "redacted", "line_number")
 
 
 @query(upto("scored", f"SELECT file_path, detector_type, redacted, line_number FROM scored WHERE {PRINT} NOT IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
 def baseline_table(spark, sf_dir):
     """The same by a table that findings are merged into, behind its Bloom filter."""
-    rows, table_ = once(found(spark, sf_dir)), shared_folder(spark, "baseline")
+    rows, table_ = once(found(spark, sf_dir, shown=False)), shared_folder(spark, "baseline")
     baseline.merge(rows.where("severity = 4"), table_)
     return baseline.suppress(rows, baseline.accepted_table(spark, table_), broadcast_rows=0)[0].select("file_path", "detector_type", "redacted", "line_number")
 
 
 @query(upto("scored", f"SELECT count(*) AS suppressed FROM scored WHERE {PRINT} IN (SELECT {PRINT} FROM scored WHERE severity = 4)"))
 def baseline_suppressed_count(spark, sf_dir):
-    rows = once(found(spark, sf_dir))
+    rows = once(found(spark, sf_dir, shown=False))
     return baseline.suppress(rows, _accepted(rows))[1].agg(F.count(F.lit(1)).alias("suppressed"))
 
 
@@ -420,7 +421,7 @@ def _steps() -> str:
 @query(upto("scored", f"""SELECT file_path, redacted, detector_type, array_to_string(list_concat(coalesce(own, [{oracle.listed(remediate.GENERIC)}]), CASE WHEN len(history_commits) > 0 THEN [{oracle.listed(remediate.HISTORY)}] ELSE [] END), ' ') AS steps
   FROM scored LEFT JOIN steps ON kind = detector_type""", _steps()))
 def remediation_join(spark, sf_dir):
-    return remediate.annotate(found(spark, sf_dir)).select("file_path", "redacted", "detector_type", F.array_join("remediation_steps", " ").alias("steps"))
+    return remediate.annotate(found(spark, sf_dir, shown=False)).select("file_path", "redacted", "detector_type", F.array_join("remediation_steps", " ").alias("steps"))
 
 
 @query(upto("scored", f"""SELECT coalesce(kind, detector_type) AS id, CASE WHEN worst IS NULL OR worst = 1 THEN 'warning' WHEN worst >= 3 THEN 'error' ELSE 'warning' END AS level,
