@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import settled
 from ..functions.text import slashes
 from .ignore import DEFAULT_IGNORES, IGNORE_NAME, ignored
 
@@ -61,7 +62,7 @@ def planted_files(keys: DataFrame, rules: PlantRules = PlantRules()) -> DataFram
     one telling line), step (the commit that adds it, from 0). An excluded type leaves a clean file in its place."""
     rows = keys.select(F.col("k").cast("long").alias("k"))
     salted = lambda salt: F.md5(F.concat(F.lit(f"{rules.seed}{salt}"), F.col("k").cast("string")))
-    rows = rows.withColumns({"m": salted(":"), "w": salted("/")})
+    rows = settled(rows.withColumns({"m": salted(":"), "w": salted("/")}))
     digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring("m", i, 1)) - 1
     made = secrets(F.col("m"), F.col("w"))
     outcome = F.lit("clean")
@@ -81,11 +82,12 @@ def planted_files(keys: DataFrame, rules: PlantRules = PlantRules()) -> DataFram
         F.concat(F.lit("tests/test_"), k, F.lit(".py")), F.concat(F.lit("docs/p"), k, F.lit(".md")),
     ), (digit(4) % 5 + 1).cast("int"))
     silent = F.col("outcome").isin("placeholder", "clean")
-    return rows.select(
+    # a file is made once, not again by every filter on its path
+    return settled(rows.select(
         "k", F.concat(folder, place).alias("file_path"), "outcome", F.when(silent, "-").otherwise(F.col("drawn")).alias("detector_type"),
         F.when(F.col("outcome") == "placeholder", 'secret = "your_api_key_here"').when(silent, F.lit('region = lookup("zone")')).otherwise(line).alias("content"),
         (digit(5) % rules.commits).cast("int").alias("step"),
-    )
+    ))
 
 
 def planted_lines(files: DataFrame, rules: PlantRules = PlantRules()) -> DataFrame:
