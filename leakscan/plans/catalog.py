@@ -287,9 +287,10 @@ def entropy_carry(spark, sf_dir):
 def stream_secret_states(spark, sf_dir):
     """The states that a stream over the same lines ends with, in several batches."""
     folder = shared_folder(spark, "stream")
-    lines = corpus(spark, sf_dir)
-    lines.repartition(3, "seq").write.parquet(f"{folder}/lines")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    lines, files = corpus(spark, sf_dir), spark.sparkContext.defaultParallelism
+    # three batches, of a file for each core
+    lines.repartition(3 * files, "seq").write.parquet(f"{folder}/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/lines")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/states/n={n}")

@@ -3,12 +3,15 @@
 Lines are clustered inside their row, so detection needs no state. stream_findings() reports a (path, secret) pair once while the
 watermark of its first report lasts. secret_states() keeps for each pair what collapse_commits() makes of all its hits:
 its representative, how often and in which commits it occurred, and gives that anew whenever a batch adds hits. The state of a pair
-is one row with an entry for each of its commits; a batch reads and writes only the pairs it holds hits of.
+has an entry for each of its commits. Pairs are dealt by a hash into buckets; a batch reads and writes only the buckets it holds hits of.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from itertools import batched
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -22,9 +25,9 @@ from ..operators.score import base_points, severity_band
 FIELDS = "detector_type string, matched_string string, file_path string, line_number int, commit_hash string, line_content string, entropy_score double, start_col int, end_col int"
 FOUND = FIELDS + ", occurrences int, history_commits array<string>, seq bigint, rank int"
 ORDER = ("live", "points", "length", "by_seq", "by_rank")
-STATE = f"{FIELDS}, {', '.join(f'{c} bigint' for c in ORDER)}, score double, score_seq bigint, score_rank int, occurrences int, seq bigint, rank int"
-COMMITS = "commits array<struct<commit_hash: string, seq: bigint, rank: int>>"
-NAMES, FOUND_NAMES = ([c.split()[0] for c in x.split(", ")] for x in (STATE, FIELDS))
+FOUND_NAMES = [c.split()[0] for c in FIELDS.split(", ")]
+NAMES = [*FOUND_NAMES, "seq", "rank", *ORDER]  # of a hit
+BUCKETS = 1 << 14
 
 
 def stream_findings(lines: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -36,50 +39,77 @@ def stream_findings(lines: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return once.select("seen_at", "file_path", "commit_hash", "line_number", "detector_type", redact(F.col("matched_string")).alias("redacted"), points.alias("points"), severity_band(points).alias("severity"))
 
 
+def packed(value: Any) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 class SecretState(StatefulProcessor):
-    """The running result of collapse_commits for one path and secret, read and written whole once a batch: what is given out
-    names all commits anyway, and each access is a call from Python to the JVM."""
+    """The running results of collapse_commits for the paths and secrets of a bucket, read and written whole once a batch: each access is
+    a call from Python to the JVM, and what a key gives out is an Arrow batch of its own, so keys of one pair spend their time on those.
+    The value is JSON, by pair: its top hit, the place of its first one, its first score, its hits and the last place in each commit."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", f"{STATE}, {COMMITS}")
+        self.state = handle.getValueState("state", "pairs string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        for out in self.merged(row.asDict() for row in rows):
+            yield Row(**out)
+
+    def merged(self, hits: Iterable[dict[str, Any]]) -> Iterator[dict[str, Any]]:
+        """Adds hits to the state and gives the results of their pairs."""
         known = self.state.get()
-        held = dict(zip(NAMES, known, strict=False)) if known else None
-        commits = {c: (seq, rank) for c, seq, rank in known[-1]} if known else {}
-        for row in rows:
-            row = row.asDict()
-            at = (row["seq"], row["rank"])
-            scored = row["entropy_score"] is not None
-            if held is None:
-                held = {c: row.get(c) for c in NAMES} | {"occurrences": 0, "score": None, "score_seq": None, "score_rank": None}
-            elif tuple(row[c] for c in ORDER) > tuple(held[c] for c in ORDER):
-                held |= {c: row[c] for c in (*ORDER, *FOUND_NAMES)}
-            if scored and (held["score_seq"] is None or at < (held["score_seq"], held["score_rank"])):
-                held |= {"score": row["entropy_score"], "score_seq": at[0], "score_rank": at[1]}
-            held["occurrences"] += 1
-            held["seq"], held["rank"] = min(at, (held["seq"], held["rank"]))
-            if row["commit_hash"]:
-                commits[row["commit_hash"]] = max(at, commits.get(row["commit_hash"], at))
-        self.state.update((*[held[c] for c in NAMES], [(c, *at) for c, at in commits.items()]))
-        history = [c for _, c in sorted(((at, c) for c, at in commits.items()), reverse=True)]
-        score = held["score"] if held["entropy_score"] is None else held["entropy_score"]
-        out = {c: held[c] for c in FOUND_NAMES} | {"entropy_score": score, "occurrences": held["occurrences"], "history_commits": history, "seq": held["seq"], "rank": held["rank"]}
-        yield Row(**out)
+        pairs, touched = json.loads(known[0]) if known else {}, set()
+        for hit in hits:
+            path = (hit.get("file_path") or "").replace("\\", "/")
+            pair = f"{len(path)}:{path}{hit.get('matched_string')}"
+            pairs[pair] = self.added(pairs.get(pair), hit)
+            touched.add(pair)
+        self.state.update((packed(pairs),))
+        for p in map(pairs.get, touched):
+            top, (seq, rank), score = p["top"], p["first"], p["scored"][2]
+            history = sorted(p["commits"], key=lambda c: (p["commits"][c], c), reverse=True)
+            out = {c: top.get(c) for c in FOUND_NAMES} | {"occurrences": p["hits"], "history_commits": history, "seq": seq, "rank": rank}
+            yield out if out["entropy_score"] is not None else out | {"entropy_score": score}
+
+    @staticmethod
+    def added(pair: dict[str, Any] | None, hit: dict[str, Any], order: itemgetter = itemgetter(*ORDER)) -> dict[str, Any]:
+        """The state of a pair with a hit more."""
+        at, score, commit = [hit["seq"], hit["rank"]], hit.get("entropy_score"), hit.get("commit_hash")
+        if pair is None:
+            pair = {"top": hit, "first": at, "scored": [None, None, None], "hits": 0, "commits": {}}
+        elif order(hit) > order(pair["top"]):
+            pair["top"] = hit
+        if score is not None and (pair["scored"][2] is None or at < pair["scored"][:2]):
+            pair["scored"] = [*at, score]
+        if commit:
+            pair["commits"][commit] = max(at, pair["commits"].get(commit, at))
+        pair["first"], pair["hits"] = min(at, pair["first"]), pair["hits"] + 1
+        return pair
 
     def close(self) -> None:
         pass
 
 
-def secret_states(lines: DataFrame, points: Points = base_points) -> DataFrame:
+class PackedStates(SecretState):
+    """SecretState of hits in JSON, with the results of many pairs in one JSON text: Python fetches and gives values one by one."""
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        for some in batched(self.merged(json.loads(hit) for _, hit in rows), 1000):
+            yield Row(states=packed(some))
+
+
+def secret_states(lines: DataFrame, points: Points = base_points, buckets: int = BUCKETS) -> DataFrame:
     """lines: a stream of (file_path, commit_hash, line_number, line_content, seq) as of sources.repo.commit_stream(). Gives, in
-    update mode, the rows of collapse_commits() for the paths and secrets that a batch adds to; the last row of each is its state."""
+    update mode, the rows of collapse_commits() for the paths and secrets that a batch adds to; the last row of each is its state.
+    buckets: into how many parts the states are dealt; fixed for a checkpoint."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     if lines.sparkSession.conf.get(provider, None) != rocks:
         lines.sparkSession.conf.set(provider, rocks)  # the only one that keeps such states
     order = hit_order(points)
     parts = dict(zip(ORDER, "ablsr", strict=True))
-    found = line_findings(lines).select(slashes(F.col("file_path")).alias("np"), *ROW, order.alias("o"))
-    flat = found.select("np", F.col("matched_string").alias("secret"), *ROW, *[F.col(f"o.{p}").cast("bigint").alias(c) for c, p in parts.items()])
-    return flat.groupBy("np", "secret").transformWithState(statefulProcessor=SecretState(), outputStructType=FOUND, outputMode="Update", timeMode="None")
+    bucket = F.pmod(F.xxhash64(slashes(F.col("file_path")), "matched_string"), F.lit(buckets)).cast("int")
+    found = line_findings(lines).select(bucket.alias("bucket"), *ROW, order.alias("o"))
+    hit = F.to_json(F.struct(*ROW, *[F.col(f"o.{p}").cast("bigint").alias(c) for c, p in parts.items()]))
+    kept = found.select("bucket", hit.alias("hit")).groupBy("bucket").transformWithState(statefulProcessor=PackedStates(), outputStructType="states string", outputMode="Update", timeMode="None")
+    return kept.select(F.explode(F.from_json("states", f"array<struct<{FOUND}>>", {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)})).alias("state")).select("state.*")
