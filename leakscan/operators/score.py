@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.plan import settled
+from ..functions.plan import once, settled, small
 from ..functions.text import file_class, is_placeholder, redact, redact_line
 
 # Base points by type, and points by class of file.
@@ -109,6 +109,33 @@ def scored(found: DataFrame, context: ScanContext = ScanContext()) -> DataFrame:
     )
 
 
+def still_shown(shown: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Every pair of a shown finding (file_path, redacted, redacted_context) and a secret of its file (file_path, matched_string; each once,
+    of more than 8 characters) that it redacts alike and still holds. Both are read more than once.
+
+    Very many secrets of a file may look alike, so they are not compared with each other: a secret begins with the four characters
+    that its mask shows, and where a context has these, its text there, as long as the mask (24 at most), is looked up among the beginnings
+    of the file's secrets. What is found tells the lengths at which whole secrets are looked up."""
+    context, mask = F.col("redacted_context"), F.col("redacted")
+    start, n = F.substring(mask, 1, 4), F.length(mask)
+    first = F.call_function("locate", start, context)
+    again = F.call_function("locate", start, context, first + 1)
+    every = F.filter(F.sequence(F.lit(1), F.length(context)), lambda i: F.substring(context, i, F.lit(4)) == start)
+    # most contexts hold them once, in the mask
+    places = F.when(first == 0, F.array().cast("array<int>")).when(again == 0, F.array(first)).otherwise(every)
+    heads = F.array_distinct(F.filter(F.transform(places, lambda i: F.substring(context, i, n)), lambda h: F.length(h) == n))
+    spot = F.xxhash64("file_path", "head")  # rows are sorted by it
+
+    begun = secrets.select("file_path", F.substring("matched_string", 1, 24).alias("head"), F.length("matched_string").alias("n")).withColumn("spot", spot)
+    begun = begun.groupBy("spot", "file_path", "head").agg(F.collect_set(F.when(F.col("n") <= 200, F.col("n"))).alias("lengths"))
+    sought = shown.where(n > 8).select("file_path", "redacted", "redacted_context", F.explode(heads).alias("head")).withColumn("spot", spot)
+    met = sought.join(begun, ["spot", "file_path", "head"])
+    there = F.filter(F.sequence(F.lit(1), F.length(context)), lambda i: F.substring(context, i, n) == F.col("head"))
+    texts = F.flatten(F.transform(there, lambda i: F.transform("lengths", lambda k: F.when(i + k - 1 <= F.length(context), F.substring(context, i, k)))))
+    whole = once(met.select("file_path", "redacted", "redacted_context", F.explode(F.array_distinct(F.array_compact(texts))).alias("matched_string")))
+    return small(whole).join(secrets.select("file_path", "matched_string"), ["file_path", "matched_string"])
+
+
 def worst_first(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("severity"), F.desc("points"), "seq", "rank")
 

@@ -469,8 +469,8 @@ def rewrite_preview(spark, sf_dir):
 def leak_check(spark, sf_dir):
     """How many shown lines still hold the secret they are about: 0."""
     rows = once(deduped(spark, sf_dir))
-    secrets = rows.where(F.length("matched_string") > 8).select("file_path", "matched_string", T.redact(F.col("matched_string")).alias("redacted")).distinct()
-    return score.scored(rows).join(secrets, ["file_path", "redacted"]).where(F.contains("redacted_context", "matched_string")).agg(F.count(F.lit(1)).alias("leaks"))
+    secrets = rows.where(F.length("matched_string") > 8).select("file_path", "matched_string")  # once for each path
+    return score.still_shown(score.scored(rows), secrets).agg(F.count(F.lit(1)).alias("leaks"))
 
 
 @query(upto("scored", f"SELECT {', '.join(SCORED)} FROM scored").replace(CORPUS_SQL, DOCUMENTS_SQL))
