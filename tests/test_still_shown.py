@@ -29,11 +29,11 @@ def test_equals_comparing_all(spark):
 
 
 def test_time_grows_with_the_lines(spark):
-    """40,000 secrets of one file with one mask: 1.6 billion pairs, of which one is a leak, shown twice in its line."""
+    """100,000 secrets of one file with one mask: 10 billion pairs, of which one is a leak, shown twice in its line."""
     key = lambda i: F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(F.col(i).cast("string")), 1, 16)))
-    own = spark.range(40_000).select(F.lit("Makefile").alias("file_path"), key("id").alias("matched_string"))
+    own = spark.range(100_000).select(F.lit("Makefile").alias("file_path"), key("id").alias("matched_string"))
     text = F.concat(F.lit("key_id = AKIA****************"), F.when(F.col("id") == 7, F.concat(F.lit(" AKIA "), key("id"), key("id"))).otherwise(""))
-    shown = spark.range(40_000).select(F.lit("Makefile").alias("file_path"), F.lit("AKIA****************").alias("redacted"), text.alias("redacted_context"))
+    shown = spark.range(100_000).select(F.lit("Makefile").alias("file_path"), F.lit("AKIA****************").alias("redacted"), text.alias("redacted_context"))
     begin = time.perf_counter()
     assert score.still_shown(shown, own).count() == 1
-    assert time.perf_counter() - begin < 40
+    assert time.perf_counter() - begin < 60
